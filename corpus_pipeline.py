@@ -1,3 +1,60 @@
-STAGES, ORACLE_SQL = [], None
-def run(spark, sf_dir):
-    raise NotImplementedError
+"""A pipeline over ``documents``: drop toxic texts, keep one of each group of near copies, cut out secrets, mix the
+sources to their target weights, pack what is left into sequences.
+
+Each stage takes the rows that the one before wrote and returns the columns of ``documents``; the last returns packed
+pieces. A document that the mix repeats is packed as often.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from pricewright.llm import common, minhash, mixing, packing, secrets, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the threshold; the model learns from the labelled rows among them."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, model, "_score").where(f"_score < {toxicity.THRESHOLD}").drop("_score")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group linked by five-word shingles at a similarity of 0.8."""
+    gone = common.saved(minhash.near_duplicates(docs, k=5, part=80, whole=100).where("not kept").select("doc_id").distinct(), "copies")
+    return docs.join(common.small(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, secrets replaced by their kind."""
+    return secrets.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, each as many times as the mix takes it."""
+    return mixing.repeated(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 ids with their places in sequences."""
+    return packing.packed(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("minhash near-dedup", drop_near_copies),
+    ("secret scans", cut_secrets),
+    ("mixing", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+#: SQL can express neither the trained scores nor the tokenizer.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table ``documents``, each written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = common.saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.llm import mixing, packing, secrets, sharding, tokenfile
+from pricewright.llm import embdedup, minhash, mixing, packing, secrets, sharding, substring, tokenfile, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (mixing.op1_mixture, tokenfile.op6_token_files, packing.op7_best_fit, secrets.op8_secret_scan, sharding.op9_histogram_sort)
+    found = (
+        mixing.op1_mixture, minhash.op2_minhash, embdedup.op3_binary_codes, substring.op4_seed_and_extend, topk.op5_cover_trees,
+        tokenfile.op6_token_files, packing.op7_best_fit, secrets.op8_secret_scan, sharding.op9_histogram_sort, toxicity.op10_toxicity,
+    )
     return {f.__name__: f for f in found}
 
 
