@@ -92,8 +92,11 @@ def text_bytes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarra
     return data, offsets - offsets[0]
 
 
-def split_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False, between: np.ndarray = BLANK) -> Words:
-    """Maximal runs of bytes that are not in ``between``, none across two texts; ``lower`` maps A-Z to a-z first."""
+def split_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False, between: np.ndarray = BLANK, kinds: np.ndarray | None = None) -> Words:
+    """Maximal runs of bytes that are not in ``between``, none across two texts; ``lower`` maps A-Z to a-z first.
+
+    With ``kinds`` (a number for each byte), runs are also cut where 1 meets 2 or 2 meets 1.
+    """
     data, offsets = text_bytes(texts)
     if lower:
         data = LOWER[data]
@@ -103,6 +106,11 @@ def split_words(texts: pa.Array | pa.ChunkedArray, lower: bool = False, between:
     if n:
         begins[1:] &= ~word[:-1]
         ends[:-1] &= ~word[1:]
+        if kinds is not None:
+            kind = kinds[data]
+            cut = np.flatnonzero((kind[1:] | kind[:-1]) == 3)
+            begins[cut + 1] = True
+            ends[cut] = True
         edge = offsets[1:-1]
         edge = edge[(edge > 0) & (edge < n)]
         begins[edge] = word[edge]

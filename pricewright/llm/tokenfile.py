@@ -41,7 +41,7 @@ class SequenceWriter:
     """One Arrow file of equal-length sequences and masks."""
 
     def __init__(self, sink, seq_len: int, dtype: type, rows: int = 512):
-        self.ids, self.mask = pa.list_(pa.from_numpy_dtype(dtype), seq_len), pa.list_(pa.uint8(), seq_len)
+        self.ids, self.mask = pa.list_(pa.from_numpy_dtype(dtype), seq_len), pa.list_(pa.bool_(), seq_len)
         self.seq_len, self.dtype, self.rows, self.left = seq_len, dtype, rows, [np.zeros(0, dtype)]
         self.writer = pa.ipc.new_file(sink, pa.schema([("ids", self.ids), ("mask", self.mask)]))
 
@@ -52,11 +52,11 @@ class SequenceWriter:
             return
         flat = np.concatenate(self.left)
         whole = n - n % self.seq_len
-        self._batch(flat[:whole], np.ones(whole, np.uint8))
+        self._batch(flat[:whole], np.ones(whole, bool))
         self.left = [flat[whole:]]
         if last and whole < n:
             pad = self.seq_len - (n - whole)
-            self._batch(np.pad(flat[whole:], (0, pad)), np.pad(np.ones(n - whole, np.uint8), (0, pad)))
+            self._batch(np.pad(flat[whole:], (0, pad)), np.pad(np.ones(n - whole, bool), (0, pad)))
 
     def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
         if len(ids):
@@ -112,16 +112,16 @@ class TokenFile:
         self.docs = pa.ipc.open_file(filesystem.open_input_file(f"{base}/{shard}.docs"))
 
     def batches(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids and mask of each batch, a row for each sequence."""
+        """Ids (a view of the buffer) and mask (unpacked from its bits) of each batch, a row for each sequence."""
         for i in range(self.reader.num_record_batches):
             b = self.reader.get_batch(i)
-            yield tuple(b.column(c).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.seq_len) for c in (0, 1))
+            yield tuple(b.column(c).flatten().to_numpy(zero_copy_only=c == 0).reshape(-1, self.seq_len) for c in (0, 1))
 
 
 def digests(out: str, shard: str) -> Iterator[pa.RecordBatch]:
     """From a shard's files: doc_id, start within the shard, n_tokens, ids_crc32, a document's ids met in order."""
     file = TokenFile(out, shard)
-    pieces = (ids[mask.astype(bool)].astype("<u4") for ids, mask in file.batches())
+    pieces = (ids[mask].astype("<u4") for ids, mask in file.batches())
     have = np.zeros(0, "<u4")
     for k in range(file.docs.num_record_batches):
         index = file.docs.get_batch(k)
