@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricewright.llm import embdedup, minhash, mixing, packing, secrets, sharding, substring, tokenfile, topk, toxicity
+from pricewright.llm import embdedup, minhash, mixing, oracles, packing, secrets, sharding, substring, tokenfile, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,4 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_minhash": oracles.minhash(),
+        "op3_binary_codes": oracles.vectors(),
+        "op4_seed_and_extend": oracles.substrings(),
+        "op5_cover_trees": oracles.top_k(),
+        "op8_secret_scan": oracles.secret_spans(),
+    }
