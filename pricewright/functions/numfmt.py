@@ -11,6 +11,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def ten_places(x: float | None) -> str | None:
@@ -37,17 +38,17 @@ def general(x: float | None) -> str | None:
     return plain(x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def usd_text(x: pd.Series) -> pd.Series:
     return x.map(ten_places)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def general_text(x: pd.Series) -> pd.Series:
     return x.map(general)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def plain_text(x: pd.Series) -> pd.Series:
     return x.map(plain)
 

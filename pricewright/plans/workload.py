@@ -175,8 +175,10 @@ def _(spark, d):
     return rows.select("product_hash", "description", h.alias("price_hash"))
 
 
-_ORDER = [F.col("description"), F.col("USD"), F.col("l_linenumber")]
-_SHOW = ["l_partkey", "l_suppkey", F.col("purchaseOption").alias("purchaseoption"), "unit", F.col("USD").alias("usd"), F.col("startUsageAmount").alias("startusageamount"), "description"]
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("l_partkey", "l_suppkey", F.col("purchaseOption").alias("purchaseoption"), "unit", F.col("USD").alias("usd"), F.col("startUsageAmount").alias("startusageamount"), "description")
+
+
 _SHOW_SQL = 'l_partkey, l_suppkey, "purchaseOption" AS purchaseoption, unit, "USD" AS usd, "startUsageAmount" AS startusageamount, description'
 _KEY = ["l_partkey", "l_suppkey"]
 
@@ -185,17 +187,17 @@ _KEY = ["l_partkey", "l_suppkey"]
 SELECT {_SHOW_SQL} FROM w WHERE auth OR covered = 0""")
 def _(spark, d):
     rows = lines_v(spark, d).withColumn("authoritative", F.col("description").contains("F") | (F.col("l_linenumber") == 2))
-    return P.slot_coverage(rows, ["l_partkey"], ("purchaseOption", "startUsageAmount", "termLength")).select(*_SHOW)
+    return _shown(P.slot_coverage(rows, ["l_partkey"], ("purchaseOption", "startUsageAmount", "termLength")))
 
 
 @_add("dedup_exact", f"""WITH {LINES}, w AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, "purchaseOption", unit, "startUsageAmount", "termLength" ORDER BY description, "USD", l_suppkey) AS n FROM lines_v) SELECT {_SHOW_SQL} FROM w WHERE n = 1""")
 def _(spark, d):
-    return P.dedup_exact(lines_v(spark, d), ["l_partkey"], [F.col("description"), F.col("USD"), F.col("l_suppkey")], ("purchaseOption", "unit", "startUsageAmount", "termLength")).select(*_SHOW)
+    return _shown(P.dedup_exact(lines_v(spark, d), ["l_partkey"], [F.col("description"), F.col("USD"), F.col("l_suppkey")], ("purchaseOption", "unit", "startUsageAmount", "termLength")))
 
 
 @_add("dedup_tier_min", f"""WITH {LINES}, w AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, "purchaseOption", "startUsageAmount", "termLength" ORDER BY CAST("USD" AS DOUBLE), description, l_suppkey) AS n FROM lines_v) SELECT {_SHOW_SQL} FROM w WHERE n = 1""")
 def _(spark, d):
-    return P.dedup_tier_min(lines_v(spark, d), ["l_partkey"], [F.col("description"), F.col("l_suppkey")]).select(*_SHOW)
+    return _shown(P.dedup_tier_min(lines_v(spark, d), ["l_partkey"], [F.col("description"), F.col("l_suppkey")]))
 
 
 @_add("grouped_prices", f"""WITH {LINES} SELECT l_partkey, l_suppkey, CAST(count(*) AS BIGINT) AS n_prices, min("USD") AS first_usd, string_agg("USD", ',' ORDER BY "USD") AS all_usd FROM lines_v GROUP BY 1, 2""")

@@ -41,7 +41,7 @@ ODD = {"e2-micro": (0.25, 1.0), "e2-small": (0.5, 2.0), "e2-medium": (1.0, 4.0),
 
 def machine_types() -> list[tuple[str, str, float, float]]:
     """family, machine type, cores, GB."""
-    found = {f"{f}-{c}-{n}": (float(n), round(n * per, 6)) for (f, c), (per, sizes) in SHAPES.items() for n in sizes} | ODD
+    found = {f"{f}-{c}-{n}": (float(n), round(float(n * per), 6)) for (f, c), (per, sizes) in SHAPES.items() for n in sizes} | ODD
     return [(name.split("-")[0], name, *spec) for name, spec in sorted(found.items())]
 
 
