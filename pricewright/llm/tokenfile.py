@@ -7,7 +7,7 @@ compressed, so a reader maps them and any sequence is a slice of a buffer. A tas
 and then renames, so a repeated task cannot leave half a file.
 
 Cases: null texts are empty (they still hold the end id); null doc_ids come first; rows that share a doc_id stand
-next to each other in an order fixed by their text; an empty table gives no file and no row; other columns of the
+next to each other in an order fixed by their texts; an empty table gives no file and no row; other columns of the
 input play no part.
 """
 
@@ -72,7 +72,7 @@ def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int =
     spark, tokenizer = docs.sparkSession, tokenizer or default_path()
     bounded_batches(spark)
     _open(out)[0].create_dir(_open(out)[1], recursive=True)
-    ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id"), F.col("text")).sortWithinPartitions("doc_id", "text")
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, files, name = encoder(tokenizer), None, uuid.uuid4().hex
