@@ -24,7 +24,7 @@ from pricewright.llm.common import documents, saved, small
 
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
 #: Documents sorted by one task within a source.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
