@@ -29,7 +29,7 @@ from pricewright.llm.tokens import default_path, encoder
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length ranked by one task, and salts at most.
-RANKED, SALTS = 5_000, 4_096
+RANKED, SALTS = 500, 4_096
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
