@@ -40,11 +40,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, computes it once, survives lost executors."""
+def saved(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, computes it once, survives lost executors.
+
+    Spark deletes the shuffle files of a job when the driver's collector finds its plan unused; ``free`` has it look
+    now, after a job that shuffled much.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    if free:
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,6 +69,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def blocked(rows: DataFrame, key: list[str], block: int) -> DataFrame:
+    """Adds x, y (the pair of blocks that a copy of the row is for) and own (its block, by ``id``): one pair unless more
+    than ``block`` rows share ``key``; then each row goes to every pair of blocks that its own is part of."""
+    large = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where(f"m > {block}").select(*key, F.ceil(F.col("m") / block).cast("int").alias("parts"))
+    large = saved(large, "large")
+    if large.isEmpty():
+        return rows.withColumns({"x": F.lit(0), "y": F.lit(0), "own": F.lit(0)})
+    joined = rows.join(small(large), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    other = joined.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return other.withColumns({"x": F.least("own", "o").cast("int"), "y": F.greatest("own", "o").cast("int")}).drop("o", "parts")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (id, component_id) for every id in ``edges``: the smallest id it reaches.
 

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import connected_components, saved, small
+from pricewright.llm.common import blocked, connected_components, saved
 
 RECALL, SIGMAS, BLOCK, PER_BUCKET, SEED = 0.995, 4.0, 2_048, 64, 2024
 
@@ -120,18 +120,6 @@ def _entries(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
     return vectors.select("id", "embedding").mapInArrow(task, "tab int, bucket long, id long, d int, turned binary, scale double, met binary")
 
 
-def _blocked(entries: DataFrame, block: int) -> DataFrame:
-    """Adds x, y (the pair of blocks that a copy of the row is for) and own (its block); one pair unless the bucket is large."""
-    key = ["tab", "bucket", "d"]
-    large = entries.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where(f"m > {block}").select(*key, F.ceil(F.col("m") / block).cast("int").alias("parts"))
-    large = saved(large, "large")
-    if large.isEmpty():
-        return entries.withColumns({"x": F.lit(0), "y": F.lit(0), "own": F.lit(0)})
-    joined = entries.join(small(large), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    other = joined.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return other.withColumns({"x": F.least("own", "o").cast("int"), "y": F.greatest("own", "o").cast("int")}).drop("o", "parts")
-
-
 def _pairs(mask: np.ndarray, own: np.ndarray, x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the mask's pairs that belong to blocks x and y, each once."""
     i, j = np.nonzero(np.triu(mask | mask.T, 1))
@@ -158,7 +146,7 @@ def _hopeful(entries: DataFrame, threshold: float, block: int) -> DataFrame:
         at = np.unique(np.concatenate([i[keep], j[keep]]))
         return rows.select(["tab", "bucket", "d", "id"]).take(pa.array(at))
 
-    return _blocked(entries, block).groupBy("tab", "bucket", "d", "x", "y").applyInArrow(task, "tab int, bucket long, d int, id long")
+    return blocked(entries, ["tab", "bucket", "d"], block).groupBy("tab", "bucket", "d", "x", "y").applyInArrow(task, "tab int, bucket long, d int, id long")
 
 
 def _components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -198,7 +186,7 @@ def _exact(entries: DataFrame, threshold: float, block: int) -> DataFrame:
         at = np.flatnonzero(links > 0)
         return pa.table({"id": pa.array(ids[at], pa.int64()), "links": pa.array(links[at].astype(np.int64)), "least": pa.array(ids[label[at]], pa.int64())})
 
-    return _blocked(entries, block).groupBy("tab", "bucket", "d", "x", "y").applyInArrow(task, "id long, links long, least long")
+    return blocked(entries, ["tab", "bucket", "d"], block).groupBy("tab", "bucket", "d", "x", "y").applyInArrow(task, "id long, links long, least long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, block: int = BLOCK) -> DataFrame:

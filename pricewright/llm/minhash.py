@@ -1,11 +1,13 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 A document's set of word shingles gets a signature of minima under random hash functions. Documents with equal sets
-form a class and only its first doc_id goes on. Classes that agree on a band of the signature meet in a bucket;
-buckets with the same members count once. Within a bucket, pairs are not enumerated: in each round a few members
-outside its largest component so far (its pivots) are paired with all members of other components, and a bucket is
-done when no such member is left that was not a pivot. So every candidate pair is either tested or already
-connected, a bucket of copies takes one round, and no round makes more rows than members times pivots.
+form a class and only its first doc_id goes on. Classes that agree on a band of the signature meet in a bucket.
+First, every bucket's smallest id is paired with the others of the bucket, which connects most groups of copies with
+as many pairs as members. Then only buckets that still hold several components matter: within a task, blocks of their
+members are compared as matrices of signatures, across components; pairs are not sent on, only the members that have
+a likely partner, once per pair in the first band that it shares. Last, the full sets of those members meet in the same blocks, likely
+pairs are compared exactly, and the links that join components come back. Every pair of a bucket is so tested or already connected, no
+step makes more rows than there are members, and hot buckets are cut into pairs of blocks.
 
 A pair's signatures are compared a batch of hashes at a time. With ``m`` of ``n`` equal and a uniform prior, the
 similarity is Beta(m + 1, n - m + 1), and its chance of reaching the threshold is that of at most m successes in n + 1
@@ -27,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import bounded_batches, connected_components, documents, saved, small
-from pricewright.llm.textkernel import grams, mix, split_words
+from pricewright.llm.common import blocked, bounded_batches, connected_components, documents, saved, small
+from pricewright.llm.textkernel import grams, mix, ranges, split_words
 
 HASHES, BATCH, MISS, LOST = 128, 16, 1e-7, 2e-6
-#: Pivots of a bucket in the first round, and by what their number grows.
-PIVOTS, GROWTH = 1, 8
+#: Members of a bucket that meet in one task.
+BLOCK = 2_048
 
 
 def banding(threshold: float, hashes: int = HASHES, lost: float = LOST) -> tuple[int, int]:
@@ -103,7 +105,7 @@ def _matrix(column: pa.Array, hashes: int) -> np.ndarray:
 
 
 def _banded(classes: DataFrame, bands: int, rows: int, hashes: int) -> DataFrame:
-    """key, id, n: a row for each band of each class."""
+    """band, key, id, n: a row for each band of each class."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,9 +119,9 @@ def _banded(classes: DataFrame, bands: int, rows: int, hashes: int) -> DataFrame
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x)
                 keys[:, b] = h
             at = pa.array(np.repeat(np.arange(len(sig)), bands))
-            yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], names=["key", "id", "n"])
+            yield pa.record_batch([pa.array(np.tile(np.arange(bands, dtype=np.int32), len(sig))), pa.array(keys.ravel().view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], names=["band", "key", "id", "n"])
 
-    return classes.select("id", "n", "sig").mapInArrow(task, "key long, id long, n long")
+    return classes.select("id", "n", "sig").mapInArrow(task, "band int, key long, id long, n long")
 
 
 def _likely(pairs: DataFrame, threshold: float, hashes: int, batch_size: int, miss: float) -> DataFrame:
@@ -141,15 +143,21 @@ def _likely(pairs: DataFrame, threshold: float, hashes: int, batch_size: int, mi
     return pairs.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -> DataFrame:
-    """a, b of ``pairs`` whose full sets have ``whole`` * intersection >= ``part`` * union."""
-    need = saved(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "need")
+def _sets(need: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """id, s (the bytes of its shingle set) of the documents in ``need`` (id)."""
+    need = saved(need.select(F.col("id").alias("doc_id")), "need")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], names=["id", "s"])
 
-    held = saved(docs.select("doc_id", "text").join(small(need), "doc_id", "left_semi").mapInArrow(sets, "id long, s binary").where("length(s) > 0"), "sets")
+    found = docs.select("doc_id", "text").join(small(need), "doc_id", "left_semi").mapInArrow(task, "id long, s binary")
+    return saved(found.where("length(s) > 0").dropDuplicates(["id", "s"]), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int) -> DataFrame:
+    """a, b of ``pairs`` whose full sets have ``whole`` * intersection >= ``part`` * union."""
+    held = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, k)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,35 +174,123 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int)
     return joined.select("a", "b", "x", "y").mapInArrow(task, "a long, b long")
 
 
-def _links(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, part: int, whole: int, hashes: int, batch: int, miss: float) -> DataFrame | None:
-    """id, component_id of all classes that link with another; ``members``: key, id, n of the distinct buckets."""
-    threshold, labels, links, tested, pivots = part / whole, None, None, None, PIVOTS
-    active = members
-    while True:
-        state = active.withColumn("c", F.col("id")) if labels is None else active.join(labels, "id", "left").select("key", "id", "n", F.coalesce("component_id", "id").alias("c"))
-        by = state.groupBy("key", "c").agg(F.count(F.lit(1)).alias("m"))
-        big = by.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("m", -F.col("c"))).alias("big")).where("parts > 1").drop("parts")
-        state = saved(state.join(big, "key"), "state")
-        outside = state.where("c <> big").select("key", "id", "n", "c")
-        outside = outside if tested is None else outside.join(tested, ["key", "id"], "left_anti")
-        outside = saved(outside, "outside")
-        counts = outside.groupBy("key").agg(F.count(F.lit(1)).alias("left"), F.min("id").alias("least"))
-        chosen = outside.join(counts, "key").where(f"id = least or pmod(xxhash64(id), cast(ceil(left / {float(pivots)}) as bigint)) = 0")
-        chosen = saved(chosen.select("key", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc")), "pivots")
-        if chosen.isEmpty():
-            return labels
-        pairs = chosen.join(state.select("key", "id", "n", "c"), "key").where(f"c <> pc and {whole} * least(n, pn) >= {part} * greatest(n, pn)")
-        pairs = pairs.select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-        sig = classes.select("id", "sig")
-        signed = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-        likely = saved(_likely(signed, threshold, hashes, batch, miss), "likely")
-        now = chosen.select("key", F.col("p").alias("id"))
-        tested = now if tested is None else tested.unionByName(now)
-        if not likely.isEmpty():
-            found = saved(_confirmed(likely, docs, k, part, whole), "links")
-            links = found if links is None else links.unionByName(found)
-            labels = connected_components(links)
-        active, pivots = state.select("key", "id", "n"), pivots * GROWTH
+class _Forest:
+    """Which rows of a block are connected, by known labels and by links found."""
+
+    def __init__(self, labels: np.ndarray):
+        _, self.up = np.unique(labels, return_inverse=True)
+        self.parent = list(range(int(self.up.max(initial=-1)) + 1))
+
+    def root(self, row: int) -> int:
+        at = int(self.up[row])
+        while self.parent[at] != at:
+            self.parent[at] = at = self.parent[self.parent[at]]
+        return at
+
+    def join(self, a: int, b: int) -> None:
+        self.parent[self.root(a)] = self.root(b)
+
+
+def _survivors(sig: np.ndarray, labels: np.ndarray, own: np.ndarray, x: int, y: int, band: int, per: int, steps: list[tuple[int, int]], sizes: np.ndarray, part: int, whole: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Likely pairs of a block across components, each row with later ones, if this band is the first that they share."""
+    n0, least0 = steps[0]
+    for a in range(0, len(sig), rows):
+        top = sig[a : a + rows]
+        same = np.zeros((len(top), len(sig)), np.uint8)
+        for h in range(n0):
+            same += top[:, h, None] == sig[None, :, h]
+        i, j = np.nonzero((same >= least0) & (labels[a : a + rows, None] != labels[None, :]))
+        m, i = same[i, j].astype(np.int64), i + a
+        keep = i < j
+        if x != y:
+            keep &= own[i] != own[j]
+        keep &= whole * np.minimum(sizes[i], sizes[j]) >= part * np.maximum(sizes[i], sizes[j])
+        i, j, m, done = i[keep], j[keep], m[keep], n0
+        for n, least in steps[1:]:
+            m = m + (sig[i, done:n] == sig[j, done:n]).sum(axis=1)
+            stay = m >= least
+            i, j, m, done = i[stay], j[stay], m[stay], n
+        met = np.zeros(len(i), bool)
+        for b in range(band):
+            met |= (sig[i, b * per : (b + 1) * per] == sig[j, b * per : (b + 1) * per]).all(axis=1)
+        yield i[~met], j[~met]
+
+
+def _read(rows: pa.Table, name: str) -> pa.Array:
+    return rows.column(rows.column_names.index(name)).combine_chunks()
+
+
+_BLOCK_KEY = ("band", "key", "x", "y")
+
+
+def _hopeful(entries: DataFrame, hashes: int, per: int, steps: list[tuple[int, int]], part: int, whole: int) -> DataFrame:
+    """band, key, x, y, id of the members of blocks (id, n, c, s8, own) that have a likely partner in another component."""
+
+    def task(key: tuple, rows: pa.Table) -> pa.Table:
+        band, x, y = key[0].as_py(), key[2].as_py(), key[3].as_py()
+        sig = np.frombuffer(b"".join(_read(rows, "s8").to_pylist()), np.uint8).reshape(-1, hashes)
+        hit = np.zeros(len(sig), bool)
+        for i, j in _survivors(sig, _read(rows, "c").to_numpy(), _read(rows, "own").to_numpy(), x, y, band, per, steps, _read(rows, "n").to_numpy(), part, whole):
+            hit[i] = hit[j] = True
+        return rows.select(["band", "key", "x", "y", "id"]).filter(pa.array(hit))
+
+    return entries.groupBy(*_BLOCK_KEY).applyInArrow(task, "band int, key long, x int, y int, id long")
+
+
+def _joining(entries: DataFrame, hashes: int, per: int, steps: list[tuple[int, int]], part: int, whole: int) -> DataFrame:
+    """a, b: of the likely pairs of blocks (as in _hopeful, with the sets s), confirmed links that join components."""
+
+    def task(key: tuple, rows: pa.Table) -> pa.Table:
+        band, x, y = key[0].as_py(), key[2].as_py(), key[3].as_py()
+        ids, labels = _read(rows, "id").to_numpy(), _read(rows, "c").to_numpy()
+        sig = np.frombuffer(b"".join(_read(rows, "s8").to_pylist()), np.uint8).reshape(-1, hashes)
+        raw = _read(rows, "s").to_pylist()
+        sizes = np.array([len(r) // 8 for r in raw], np.int64)
+        names, flat = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
+        starts = np.cumsum(sizes) - sizes
+        forest, mark, out = _Forest(labels), np.zeros(len(names), np.int64), []
+        for i, j in _survivors(sig, labels, _read(rows, "own").to_numpy(), x, y, band, per, steps, sizes, part, whole):
+            cuts = [*np.flatnonzero(np.diff(i, prepend=-1)).tolist(), len(i)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                row = int(i[a])
+                others = np.array([o for o in j[a:b].tolist() if forest.root(o) != forest.root(row)], np.int64)
+                if not len(others):
+                    continue
+                mine = flat[starts[row] : starts[row] + sizes[row]]
+                mark[mine] = 1
+                hits = mark[flat[ranges(starts[others], sizes[others])]]
+                both = np.add.reduceat(hits, np.cumsum(sizes[others]) - sizes[others])
+                mark[mine] = 0
+                for o in others[whole * both >= part * (sizes[row] + sizes[others] - both)].tolist():
+                    if forest.root(o) != forest.root(row):
+                        forest.join(o, row)
+                        out.append((int(ids[row]), int(ids[o])))
+        return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
+
+    return entries.groupBy(*_BLOCK_KEY).applyInArrow(task, "a long, b long")
+
+
+def _links(banded: DataFrame, classes: DataFrame, docs: DataFrame, k: int, part: int, whole: int, hashes: int, batch: int, miss: float, per: int) -> DataFrame | None:
+    """id, component_id of all classes that link with another; ``banded``: band, key, id, n of buckets that several share."""
+    threshold = part / whole
+    firsts = banded.groupBy("band", "key").agg(F.min_by(F.struct(F.col("id").alias("p"), F.col("n").alias("pn")), "id").alias("f")).select("band", "key", "f.p", "f.pn")
+    pairs = banded.join(firsts, ["band", "key"]).where(f"id <> p and {whole} * least(n, pn) >= {part} * greatest(n, pn)")
+    pairs = saved(pairs.select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    signed = pairs.join(classes.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(classes.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    links = saved(_confirmed(saved(_likely(signed, threshold, hashes, batch, miss), "likely"), docs, k, part, whole), "links")
+    labels = connected_components(links)
+    state = banded.join(labels, "id", "left").select("band", "key", "id", "n", F.coalesce("component_id", "id").alias("c"))
+    mixed = state.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "key")
+    narrow = F.udf(lambda s: np.frombuffer(s, np.uint32).astype(np.uint8).tobytes(), "binary", useArrow=True)
+    entries = state.join(mixed, ["band", "key"]).join(classes.select("id", narrow("sig").alias("s8")), "id")
+    entries = blocked(saved(entries, "entries"), ["band", "key"], BLOCK)
+    steps = least_matches(threshold + (1 - threshold) / 256, hashes, batch, miss)  # bytes agree by chance, too
+    hopeful = saved(_hopeful(entries, hashes, per, steps, part, whole), "hopeful")
+    if hopeful.isEmpty():
+        return labels
+    sets = _sets(hopeful.select("id").distinct(), docs, k)
+    more = saved(_joining(entries.join(hopeful, [*_BLOCK_KEY, "id"], "left_semi").join(sets, "id"), hashes, per, steps, part, whole), "joining")
+    return connected_components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100, hashes: int = HASHES, batch: int = BATCH, miss: float = MISS) -> DataFrame:
@@ -208,12 +304,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 10
     sole = known.withColumnRenamed("doc_id", "id").join(first, ["f1", "f2", "id"], "left_semi").select("id", "n", "f1", "f2", "sig").dropDuplicates(["id", "f1", "f2"])
     classes = saved(sole, "reps")
     banded = saved(_banded(classes, bands, rows, hashes), "bands")
-    buckets = banded.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("m"), F.expr("bit_xor(xxhash64(id))").alias("x")).where("lo < hi")
-    distinct = buckets.groupBy("lo", "hi", "m", "x").agg(F.min("key").alias("key")).select("key")
-    members = saved(banded.join(distinct, "key"), "members")
-    ids = members.select("id").distinct()
-    held = saved(classes.select("id", "sig").join(ids, "id", "left_semi"), "held")
-    labels = _links(members, held, docs, k, part, whole, hashes, batch, miss)
+    buckets = banded.groupBy("band", "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band", "key")
+    members = saved(banded.join(buckets, ["band", "key"]), "members")
+    held = saved(classes.select("id", "sig").join(members.select("id").distinct(), "id", "left_semi"), "held")
+    labels = _links(members, held, docs, k, part, whole, hashes, batch, miss, rows)
     out = every.select("doc_id", F.col("n").alias("n_shingles"), "f1", "f2").join(first, ["f1", "f2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.col("id"))
     out = out.withColumn("id", F.coalesce(own, F.col("doc_id"))) if labels is None else out.withColumn("id", own).join(labels, "id", "left").withColumn("id", F.coalesce("component_id", "id", "doc_id")).drop("component_id")
