@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import struct
+from collections import Counter, defaultdict
+
+import pyarrow as pa
 import pytest
+import xxhash
 
 import corpus_pipeline
 from pricewright.llm import queries as registry
+from pricewright.llm import secrets, tokens, toxicity
 
 
 def test_pipeline_stages_take_effect(spark, data):
@@ -36,3 +43,94 @@ def test_queries_return_every_row(spark, data, name):
 
 def test_ten_operators_are_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+
+
+def near_copies(docs: list) -> set[int]:
+    """Documents that are not the smallest of their group, by comparing all pairs."""
+    sets, parent = {}, {}
+    for d in docs:
+        w = re.findall(rb"[^\x20\x09-\x0d]+", (d.text or "").encode().lower())
+        sets[d.doc_id] = frozenset(zip(*(w[i:] for i in range(5)), strict=False)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
+        parent[d.doc_id] = d.doc_id
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = [i for i in sorted(sets) if sets[i]]
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i for i in parent if find(i) != i}
+
+
+def without_secrets(text: str) -> str:
+    spans = sorted((m.start(), i, m.end(), r.kind) for i, r in enumerate(secrets.BASE + secrets.MORE) for m in re.finditer(r.pattern, text) if len(m[r.group]) >= r.at_least)
+    out, at = "", 0
+    for a, _, b, kind in spans:
+        if a >= at:
+            out += text[at:a] + f"[{kind}]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def mix(docs: list) -> Counter:
+    """How often each document is taken, by sorting each source."""
+    size = {d.doc_id: len(re.findall(r"[^\x20\x09-\x0d]+", d.text or "")) for d in docs}
+    by = defaultdict(list)
+    for d in docs:
+        by[d.source].append(d.doc_id)
+    names = sorted(by)
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    total = {s: sum(size[i] for i in by[s]) for s in names}
+    open_, left, target = set(names), 1.5 * sum(total.values()), {}
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if level * weight[s] > 2 * total[s]]
+        if not full:
+            break
+        for s in full:
+            target[s] = 2.0 * total[s]
+            left -= target[s]
+            open_.remove(s)
+    target |= {s: level * weight[s] for s in open_}
+    out = Counter()
+    for s in names:
+        whole = int(target[s] // total[s])
+        budget, at = int(target[s]) - whole * total[s], 0
+        for i in sorted(by[s], key=lambda i: xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest()):
+            part = min(max(budget - at, 0), size[i])
+            out[i] = whole + (part * 2 >= size[i] and part > 0)
+            at += size[i]
+    return out
+
+
+def test_pipeline_against_brute_force(spark, data):
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{data}/documents.parquet")
+    step = lambda name, df: corpus_pipeline.common.saved(stages[name](spark, df, data), "stage")
+    model = toxicity.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    rows = docs.collect()
+    scores = model.score(pa.array([d.text for d in rows]))
+    clean = step("toxicity", docs)
+    left = clean.collect()
+    assert {d.doc_id for d in left} == {d.doc_id for d, s in zip(rows, scores, strict=True) if s < toxicity.THRESHOLD}
+    apart = step("minhash near-dedup", clean)
+    kept = apart.collect()
+    assert {d.doc_id for d in kept} == {d.doc_id for d in left} - near_copies(left)
+    bare = step("secret scans", apart)
+    shown = bare.collect()
+    assert {d.doc_id: (d.text, d.n_chars) for d in shown} == {d.doc_id: (t := without_secrets(d.text), len(t)) for d in kept}
+    mixed = step("mixing", bare)
+    copies = mixed.collect()
+    assert Counter(d.doc_id for d in copies) == +mix(shown)
+    enc = tokens.encoder(tokens.default_path())
+    length = {d.doc_id: int(n) + 1 for d, n in zip(shown, enc.encode(pa.array([d.text for d in shown]))[1], strict=True)}
+    packed = step("best-fit packing", mixed).collect()
+    assert sum(p.length for p in packed) == sum(length[d.doc_id] for d in copies)
+    room = Counter()
+    for p in packed:
+        room[p.sequence_id] += p.length
+    assert max(room.values()) <= 4096 and len(room) <= -(-sum(room.values()) // 4096) + 1
