@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import bounded_batches, documents, saved
-from pricewright.llm.textkernel import Words, grams, ranges, split_words
+from pricewright.llm.common import bounded_batches, documents, saved, small
+from pricewright.llm.textkernel import Words, grams, ranges, split_words, squeeze, unsqueeze
 
 WINDOW, SEED = 13, 4
 
@@ -50,7 +50,7 @@ def _window_seeds(words: Words, window: int, seed: int) -> tuple[np.ndarray, np.
 
 
 def seeds(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """doc_id, _t (the text's hash), seeds: the distinct winnowed seeds of each document of at least ``window`` words."""
+    """doc_id, _t (the text's hash where its doc_id holds several, else 0), seeds: the distinct winnowed seeds of each document of at least ``window`` words."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,12 +67,25 @@ def seeds(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     return docs.select("doc_id", "_t", "text").mapInArrow(task, "doc_id long, _t long, seeds array<long>").where("size(seeds) > 0")
 
 
+def squeezed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_z``, the compressed text, in place of text: what goes through the shuffles."""
+    at = docs.columns.index("text")
+    names = [c for c in docs.columns if c != "text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([*batch.drop_columns(["text"]).columns, squeeze(batch.column(at))], names=[*names, "_z"])
+
+    return docs.mapInArrow(task, f"{schema}, _z binary")
+
+
 def windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """doc_id, _t, at, seed, hash for every window whose seed is among the document's ``shared`` ones."""
+    """doc_id, _t, at, seed, hash for every window whose seed is among the document's ``shared`` ones; ``_z`` is its text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = split_words(batch.column(2))
+            words = split_words(unsqueeze(batch.column(2)))
             at, own, kept = _window_seeds(words, window, seed)
             if not len(at):
                 continue
@@ -87,23 +100,24 @@ def windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFram
             doc, at, own, kept = doc[hit], at[hit], own[hit], kept[hit]
             yield pa.record_batch([batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array((at - words.first[doc]).astype(np.int32)), pa.array(kept.view(np.int64)), pa.array(own.view(np.int64))], names=["doc_id", "_t", "at", "seed", "hash"])
 
-    return docs.select("doc_id", "_t", "text", "shared").mapInArrow(task, "doc_id long, _t long, at int, seed long, hash long")
+    return docs.select("doc_id", "_t", "_z", "shared").mapInArrow(task, "doc_id long, _t long, at int, seed long, hash long")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Of ``docs`` (doc_id, text, _t): rows (doc_id, _t, at) of windows that a smaller doc_id holds, and rows
-    (_t, _first) of texts that several documents hold, with the smallest doc_id."""
+    """Of ``docs`` (doc_id, text, _h, _t): rows (doc_id, _t, at) of windows that a smaller doc_id holds, and rows
+    (_h, _first) of texts that several documents hold, with the smallest doc_id."""
     known = docs.where("doc_id is not null")
-    texts = known.groupBy("_t", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_m")).agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    copied = saved(texts.where("_n > 1").groupBy("_t").agg(F.min("_first").alias("_first"), F.count(F.lit(1)).alias("_k")).where("_k = 1").drop("_k"), "copied")
-    fresh = known.join(copied, "_t", "left").where("_first is null or doc_id = _first").drop("_first")
-    held = saved(seeds(fresh, window, seed), "seeds")
+    texts = known.groupBy("_h", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_m")).agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    copied = saved(texts.groupBy("_h").agg(F.min("_first").alias("_first"), F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_k")).where("_k = 1 and _n > 1").drop("_k", "_n"), "copied")
+    fresh = known.join(copied, "_h", "left").where("_first is null or doc_id = _first").select("doc_id", "_t", "text")
+    held = saved(seeds(fresh, window, seed), "seeds", free=True)
     each = held.select("doc_id", "_t", F.explode("seeds").alias("seed"))
-    shared = each.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed")
-    mine = each.join(shared, "seed").groupBy("doc_id", "_t").agg(F.collect_set("seed").alias("shared"))
-    found = saved(windows(fresh.join(mine, ["doc_id", "_t"]), window, seed), "windows")
-    first = found.groupBy("seed", "hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed", "hash", "a")
-    return found.join(first, ["seed", "hash"]).where("doc_id > a").select("doc_id", "_t", "at"), copied
+    shared = saved(each.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed"), "shared", free=True)
+    mine = saved(each.join(shared, "seed").groupBy("doc_id", "_t").agg(F.collect_set("seed").alias("shared")), "mine", free=True)
+    found = saved(windows(squeezed(fresh).join(mine, ["doc_id", "_t"]), window, seed), "windows", free=True)
+    first = saved(found.groupBy("seed", "hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed", "hash", "a"), "first", free=True)
+    starts = found.join(first, ["seed", "hash"]).where("doc_id > a").groupBy("doc_id", "_t").agg(F.collect_set("at").alias("_at"))
+    return saved(starts, "starts", free=True), copied
 
 
 def _covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
@@ -119,21 +133,21 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
     end words) and kept_text, the words left over joined by a blank."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    keyed = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found, copied = repeated_windows(keyed.select("doc_id", "_t", "text"), window, seed)
-    starts = found.groupBy("doc_id", "_t").agg(F.collect_set("at").alias("_at")).withColumnsRenamed({"doc_id": "_doc", "_t": "_h"})
-    copied = copied.withColumnsRenamed({"_t": "_c"})
-    rows = keyed.join(starts, (F.col("doc_id") == F.col("_doc")) & (F.col("_t") == F.col("_h")), "left").drop("_doc", "_h")
-    rows = rows.join(copied, F.col("_t") == F.col("_c"), "left").withColumn("_whole", F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False))).drop("_t", "_c", "_first")
-    names = [c for c in rows.columns if c not in ("_at", "_whole")]
-    where = names.index("text")
+    hashed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    several = saved(hashed.groupBy("doc_id").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).where("lo < hi").select(F.col("doc_id").alias("_d"), F.lit(True).alias("_s")), "several")
+    keyed = hashed.join(small(several), F.col("doc_id") == F.col("_d"), "left").withColumn("_t", F.when(F.col("_s"), F.col("_h")).otherwise(F.lit(0).cast("long"))).drop("_d", "_s")
+    starts, copied = repeated_windows(keyed.select("doc_id", "_h", "_t", "text"), window, seed)
+    starts, copied = starts.withColumnsRenamed({"doc_id": "_doc", "_t": "_u"}), copied.withColumnsRenamed({"_h": "_c"})
+    rows = squeezed(keyed).join(starts, (F.col("doc_id") == F.col("_doc")) & (F.col("_t") == F.col("_u")), "left").drop("_doc", "_u")
+    rows = rows.join(small(copied), F.col("_h") == F.col("_c"), "left").withColumn("_whole", F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False))).drop("_t", "_h", "_c", "_first")
+    names, at_ = docs.columns, {c: i for i, c in enumerate(rows.columns)}
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = split_words(batch.column(where))
-            raw, at = words.data.tobytes(), batch.column(len(names)).to_pylist()
-            whole = batch.column(len(names) + 1).to_pylist()
+            text = unsqueeze(batch.column(at_["_z"]))
+            words = split_words(text)
+            raw, at, whole = words.data.tobytes(), batch.column(at_["_at"]).to_pylist(), batch.column(at_["_whole"]).to_pylist()
             n_removed, runs, kept = [], [], []
             for i, n in enumerate(words.counts().tolist()):
                 a = words.first[i]
@@ -148,7 +162,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
                 n_removed.append(int(gone.sum()))
                 runs.append([{"start": int(x), "end": int(y)} for x, y in edge])
                 kept.append(b" ".join([raw[x:y] for x, y in zip(s[~gone].tolist(), e[~gone].tolist(), strict=True)]).decode())
-            yield pa.record_batch([*batch.columns[: len(names)], pa.array(words.counts().astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "repeats", "kept_text"])
+            yield pa.record_batch([*(text if c == "text" else batch.column(at_[c]) for c in names), pa.array(words.counts().astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "repeats", "kept_text"])
 
     return rows.mapInArrow(task, f"{schema}, n_words long, n_removed long, repeats array<struct<start:int,end:int>>, kept_text string")
 

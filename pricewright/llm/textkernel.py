@@ -139,3 +139,20 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def squeeze(texts: pa.Array) -> pa.Array:
+    """Each text compressed, its length in bytes before it, for a trip through a shuffle; null stays null."""
+    out = []
+    for t in texts.to_pylist():
+        raw = None if t is None else t.encode()
+        out.append(None if raw is None else len(raw).to_bytes(8, "little") + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b""))
+    return pa.array(out, pa.binary())
+
+
+def unsqueeze(squeezed: pa.Array) -> pa.Array:
+    out = []
+    for z in squeezed.to_pylist():
+        n = 0 if z is None else int.from_bytes(z[:8], "little")
+        out.append(None if z is None else pa.decompress(z[8:], n, codec="zstd", asbytes=True).decode() if n else "")
+    return pa.array(out, pa.string())
