@@ -396,6 +396,100 @@ def _(spark, d):
     return found.select("start", "event_type", "n", F.round("total", 2).cast("decimal(18,2)").cast("string").alias("total"))
 
 
+@_add("azure_products", """WITH r AS (SELECT *, CASE l_suppkey % 4 WHEN 0 THEN 'Azure DNS' WHEN 1 THEN 'Virtual Machines' WHEN 2 THEN 'Load Balancer' ELSE 'Storage' END AS service, CASE WHEN l_suppkey % 4 = 1 THEN 'Virtual Machines ' || p_brand || CASE WHEN p_size % 2 = 0 THEN ' Windows' ELSE '' END ELSE p_brand END AS name,
+ CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE 'reg' || (l_suppkey % 5) END AS reg, CASE l_returnflag WHEN 'N' THEN 'Consumption' ELSE 'Reservation' END AS option, l_linenumber - 1 AS tier, printf('%.10f', l_extendedprice) AS usd,
+ l_linestatus = 'F' OR l_suppkey % 4 IN (0, 1, 2) AS auth, l_orderkey * 1000000 + l_suppkey * 1000 + l_linenumber * 10 + p_size % 10 AS ord FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 5 = 0),
+f AS (SELECT * EXCLUDE (reg), unnest(CASE service WHEN 'Azure DNS' THEN CASE WHEN reg = '' THEN ['Zone 1'] ELSE [reg, 'Zone 1'] END WHEN 'Load Balancer' THEN CASE WHEN reg = '' THEN ['Global'] ELSE [reg, 'Global'] END ELSE CASE WHEN reg = '' THEN ['Global'] ELSE [reg] END END) AS region FROM r),
+c AS (SELECT *, max(auth::INT) OVER (PARTITION BY name, p_type, region, option, l_linestatus, tier) AS covered FROM f),
+k AS (SELECT * FROM c WHERE auth OR covered = 0),
+e AS (SELECT *, row_number() OVER (PARTITION BY name, p_type, region, option, l_linestatus, tier, usd ORDER BY ord) AS n FROM k WHERE region NOT IN ('Zone 1', 'Global') UNION ALL SELECT *, row_number() OVER (PARTITION BY name, p_type, region, option, tier ORDER BY CAST(usd AS DOUBLE), ord) AS n FROM k WHERE region IN ('Zone 1', 'Global')),
+h AS (SELECT name, p_type, region, min_by(service, ord) AS service FROM f GROUP BY 1, 2, 3)
+SELECT region, h.service, substr(sha256(concat_ws(chr(0), 'azure-sku', name, p_type, 'meter')), 1, 32) AS sku, CASE WHEN h.service = 'Virtual Machines' THEN CASE WHEN name LIKE '% Windows' THEN 'Windows' ELSE 'Linux' END END AS os, CAST(count(*) AS BIGINT) AS n_prices, min(usd) AS least, max(CAST(tier AS VARCHAR)) AS last_tier
+FROM e JOIN h USING (name, p_type, region) WHERE n = 1 GROUP BY ALL""")
+def _(spark, d):
+    from pricewright.sources import azure
+
+    rows = _table(spark, d, "lineitem").join(_table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).where("l_partkey % 5 = 0")
+    kind, none = F.col("l_suppkey") % 4, F.lit("")
+    service = F.when(kind == 0, "Azure DNS").when(kind == 1, "Virtual Machines").when(kind == 2, "Load Balancer").otherwise("Storage")
+    name = F.when(kind == 1, F.concat(F.lit("Virtual Machines "), F.col("p_brand"), F.when(F.col("p_size") % 2 == 0, " Windows").otherwise(""))).otherwise(F.col("p_brand"))
+    region = F.when(F.col("l_suppkey") % 7 == 0, "").otherwise(F.concat(F.lit("reg"), (F.col("l_suppkey") % 5).cast("string")))
+    given = {"serviceName": service, "productName": name, "armRegionName": region, "skuName": F.col("p_type"), "meterName": F.lit("meter"), "type": F.when(F.col("l_returnflag") == "N", "Consumption").otherwise("Reservation"), "unitOfMeasure": F.col("l_linestatus"), "retailPrice": F.col("l_extendedprice"), "tierMinimumUnits": (F.col("l_linenumber") - 1).cast("double"), "isPrimaryMeterRegion": F.col("l_linestatus") == "F"}
+    items = rows.select(*(given.get(f.name, none).alias(f.name) for f in azure.ITEM.fields), (F.col("l_orderkey") * 1_000_000 + F.col("l_suppkey") * 1000 + F.col("l_linenumber") * 10 + F.col("p_size") % 10).alias("ord"))
+    usd, tier = F.transform("prices", lambda p: p["USD"]), F.transform("prices", lambda p: p["startUsageAmount"])
+    return azure.products(items).select("region", "service", "sku", F.col("attributes")["os"].alias("os"), F.size("prices").cast("long").alias("n_prices"), F.array_min(usd).alias("least"), F.array_max(tier).alias("last_tier"))
+
+
+@_add("aws_products", """WITH t AS (SELECT l_partkey, CASE WHEN l_returnflag = 'R' THEN 'reserved' ELSE 'on_demand' END AS option, CASE WHEN l_linenumber = 7 THEN printf('%.10f', l_extendedprice / 6.2069) ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) END AS usd, l_linestatus AS unit FROM lineitem WHERE l_partkey % 4 = 1 AND NOT (l_returnflag = 'R' AND l_linestatus = 'O'))
+SELECT substr(sha256(concat_ws(chr(0), 'aws', CASE WHEN p_size % 2 = 0 THEN 'eu-west-1' ELSE '' END, 'svc' || (p_partkey // 1000), CAST(p_partkey AS VARCHAR))), 1, 32) AS product_hash, CASE WHEN p_size % 2 = 0 THEN 'eu-west-1' ELSE '' END AS region, p_type AS product_family, CAST(count(*) AS BIGINT) AS n_prices, CAST(count(*) FILTER (WHERE option = 'reserved') AS BIGINT) AS n_reserved, min(usd) AS least
+FROM part JOIN t ON l_partkey = p_partkey GROUP BY p_partkey, p_size, p_type""")
+def _(spark, d):
+    from pricewright.sources import aws
+
+    line = _table(spark, d, "lineitem").where("l_partkey % 4 = 1").withColumn("n", F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")))
+    usd = F.when(F.col("l_linenumber") == 7, F.create_map(F.lit("CNY"), F.col("l_extendedprice").cast("string"))).otherwise(F.create_map(F.lit("USD"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string")))
+    unit = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), "Quantity").otherwise(F.col("l_linestatus"))
+    dimension = F.struct(unit.alias("unit"), usd.alias("pricePerUnit"), F.lit("0").alias("beginRange"), F.lit("Inf").alias("endRange"), F.lit("d").alias("description"))
+    term = F.struct(F.create_map(F.lit("1"), dimension).alias("priceDimensions"), F.create_map(F.lit("LeaseContractLength"), F.lit("1yr")).alias("termAttributes"))
+    offers = F.collect_list(F.struct(F.col("n").cast("string"), term))
+    service = lambda key: F.concat(F.lit("svc"), F.floor(F.col(key) / 1000).cast("string")).alias("service")  # noqa: E731  (one offer file for each thousand of parts)
+    by_sku = line.groupBy(service("l_partkey"), F.col("l_partkey").cast("string").alias("sku"), (F.col("l_returnflag") == "R").alias("reserved")).agg(F.map_from_entries(offers).alias("offers"))
+    product = F.struct(F.col("p_partkey").cast("string").alias("sku"), F.col("p_type").alias("productFamily"), F.create_map(F.lit("location"), F.when(F.col("p_size") % 2 == 0, "EU (Ireland)").otherwise("Any")).alias("attributes"))
+    kinds = lambda r: F.map_from_entries(F.collect_list(F.when(F.col("reserved") == F.lit(r), F.struct("sku", "offers"))))
+    listed = _table(spark, d, "part").where("p_partkey % 4 = 1").groupBy(service("p_partkey")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), product))).alias("products"))
+    terms = by_sku.groupBy("service").agg(F.struct(kinds(False).alias("OnDemand"), kinds(True).alias("Reserved")).alias("terms"))
+    found = aws.products(listed.join(terms, "service"))
+    return found.select("product_hash", "region", "product_family", F.size("prices").cast("long").alias("n_prices"), F.size(F.filter("prices", lambda p: p["purchaseOption"] == "reserved")).cast("long").alias("n_reserved"), F.array_min(F.transform("prices", lambda p: p["USD"])).alias("least"))
+
+
+@_add("gcp_products", """WITH s AS (SELECT p_partkey, p_name, unnest(range(0, 3)) AS i, p_size, unnest(['r' || (p_partkey % 3), 'r' || (p_partkey % 3), 'r' || (p_partkey % 3)]) AS region FROM part)
+SELECT substr(sha256(concat_ws(chr(0), 'gcp', region, 'Compute Engine', CAST(p_partkey AS VARCHAR))), 1, 32) AS product_hash, CAST(i * p_size AS VARCHAR) AS start_amount, CASE WHEN i < 2 THEN CAST((i + 1) * p_size AS VARCHAR) ELSE '' END AS end_amount, printf('%.10f', p_size + (1000000 * i) / 1e9) AS usd FROM s""")
+def _(spark, d):
+    from pricewright.sources import gcp
+
+    part = _table(spark, d, "part")
+    tier = lambda i: F.struct((F.col("p_size") * i).cast("double").alias("startUsageAmount"), F.struct(F.lit("USD").alias("currencyCode"), F.col("p_size").cast("string").alias("units"), F.lit(1_000_000 * i).cast("long").alias("nanos")).alias("unitPrice"))
+    pricing = F.array(F.struct(F.struct(F.lit("h").alias("usageUnit"), F.array(*map(tier, range(3))).alias("tieredRates")).alias("pricingExpression")))
+    category = F.struct(F.lit("Networking").alias("serviceDisplayName"), F.lit("Compute").alias("resourceFamily"), F.lit("g").alias("resourceGroup"), F.lit("OnDemand").alias("usageType"))
+    skus = part.select(F.col("p_partkey").cast("string").alias("skuId"), F.lit("").alias("name"), F.col("p_name").alias("description"), category.alias("category"), F.array(F.concat(F.lit("r"), (F.col("p_partkey") % 3).cast("string"))).alias("serviceRegions"), pricing.alias("pricingInfo"))
+    return gcp.products(skus).select("product_hash", F.explode("prices").alias("p")).select("product_hash", F.col("p.startUsageAmount").alias("start_amount"), F.col("p.endUsageAmount").alias("end_amount"), F.col("p.USD").alias("usd"))
+
+
+@_add("exact_number_text", """SELECT DISTINCT l_extendedprice AS x, printf('%.10f', l_extendedprice / 7) AS usd, printf('%.10f', l_extendedprice / 1024) AS tie FROM lineitem""")
+def _(spark, d):
+    from pricewright.functions.numfmt import usd_text
+
+    x = F.col("x")
+    return _table(spark, d, "lineitem").select(F.col("l_extendedprice").alias("x")).distinct().select("x", usd_text(x / 7).alias("usd"), usd_text(x / 1024).alias("tie"))
+
+
+_DEFINITION = """
+kind = "demo_part"
+provider = "aws"
+[[dimensions]]
+id = "hours"
+quantity = 'monthly_hours() * (type startsWith "PROMO" ? 0.5 : 1)'
+rate = "default(size, 1) * 0.25"
+[[dimensions]]
+id = "disks"
+quantity = 'sum_field(disks, "gb")'
+rate = 'price("disk") ?? 2'
+when = 'count_blocks(disks) > 0 and not (brand in ["Brand#1", "Brand#2"])'
+"""
+
+
+@_add("definition_costs", """SELECT p_partkey, CAST(round(730 * CASE WHEN starts_with(p_type, 'PROMO') THEN 0.5 ELSE 1 END * p_size * 0.25 + CASE WHEN p_size % 2 = 0 AND p_brand NOT IN ('Brand#1', 'Brand#2') THEN (p_size + 10) * CASE WHEN p_size % 3 = 0 THEN 0.5 ELSE 2 END ELSE 0 END, 3) AS DECIMAL(18,3))::VARCHAR AS cost FROM part""")
+def _(spark, d):
+    from pricewright.plans import definitions
+
+    gb = F.array(F.struct(F.col("p_size").alias("gb")), F.struct(F.lit(10).alias("gb")))
+    attributes = F.to_json(F.struct(F.col("p_type").alias("type"), F.col("p_size").alias("size"), F.col("p_brand").alias("brand"), F.when(F.col("p_size") % 2 == 0, gb).alias("disks")))
+    prices = F.when(F.col("p_size") % 3 == 0, F.create_map(F.lit("disk"), F.lit(0.5))).otherwise(F.create_map().cast("map<string,double>"))
+    rows = _table(spark, d, "part").select("p_partkey", attributes.alias("attributes"), prices.alias("prices"))
+    found = definitions.monthly_cost(rows, definitions.parse(_DEFINITION))
+    return found.select("p_partkey", F.round("monthly_cost", 3).cast("decimal(18,3)").cast("string").alias("cost"))
+
+
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """Lookup of one vendor's service in a region, with the prices on demand of each product."""
     f = ProductFilter("azure", "Brand#18", region="NATION_12")
