@@ -7,8 +7,9 @@ over Arrow batches, a batch of documents at a time, and no document is cut.
 
 Learning is bounded: of the labelled rows that ``learns`` admits, at most FIT_ROWS, those with the smallest hash of
 their doc_id, so the same rows each time. Their texts stay on the executors, which send word counts and features.
-The rows are dealt by hash into three folds, so that no part learns from what another has memorised: the lexicon
-(half of them), the trees (a quarter), the calibration (a quarter).
+The rows are dealt by hash into three folds, so that no part learns from what another has memorised: a row's features
+come from a lexicon of the other two folds, trees are fitted on two folds and calibrated on the third, and texts are
+scored with the lexicon of all three.
 
 Cases: a null or empty text has all features 0 and a score like any other; a label is used once per doc_id, repeated
 rows count each; without any positive or negative label the score is the share of positives (0 without labels); an
@@ -30,6 +31,7 @@ from pricewright.llm.textkernel import BLANK, NOT_LETTER, split_words, text_byte
 
 #: Bounds of what is learned from, and of the lexicon.
 FIT_ROWS, LEXICON_WORDS = 24_000, 6_000
+FOLDS = 3
 THRESHOLD = 0.7
 #: Insults to start from, and words of address in the corpus' languages.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash clown clowns worthless pathetic disgusting dumb jerk fool imbecile bastard crap damn shut hate ugly filthy vermin"
@@ -191,44 +193,57 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, learns: str, rows: int = FIT_ROWS) -> DataFrame:
-    """At most ``rows`` labelled documents that ``learns`` (a condition on doc_id) admits: text, toxic, _fold 0 to 3."""
+    """At most ``rows`` labelled documents that ``learns`` (a condition on doc_id) admits: text, toxic, _fold."""
     admitted = labels.where("toxic is not null and doc_id is not null").where(learns).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = admitted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)).cast("int"))
+    chosen = admitted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
     return saved(docs.select("doc_id", "text").join(small(chosen), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), "_fold"), "labelled")
 
 
-def _learn_lexicon(rows: DataFrame) -> Lexicon:
-    """Words and beginnings far more frequent, by documents, in toxic texts; tasks send counts of what they met."""
+def _learn_lexicons(rows: DataFrame) -> list[Lexicon]:
+    """Words and beginnings far more frequent, by documents, in toxic texts: a lexicon without each fold, and one of
+    all. Tasks send counts of what they met."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, toxic = split_words(batch.column(0), lower=True, between=NOT_LETTER), batch.column(1).to_numpy()
+            words, toxic, fold = split_words(batch.column(0), lower=True, between=NOT_LETTER), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for level, p in enumerate(PREFIXES):
                 pairs = np.unique(np.stack([words.text_of().astype(np.uint64), words.hashes(p)]), axis=1)
-                h, at = np.unique(pairs[1], return_inverse=True)
-                bad = toxic[pairs[0].astype(np.int64)]
-                columns = [np.full(len(h), level, np.int32), h.view(np.int64), np.bincount(at, bad, len(h)).astype(np.int64), np.bincount(at, 1 - bad, len(h)).astype(np.int64)]
-                yield pa.record_batch([pa.array(c) for c in columns], names=["level", "h", "bad", "good"])
-
-    totals = rows.groupBy().agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("toxic")).first()
-    n_bad, n_good = totals[0] + 1.0, totals[1] - totals[0] + 1.0
-    counted = rows.select("text", "toxic").mapInArrow(task, "level int, h long, bad long, good long").groupBy("level", "h").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    odds = F.log((F.col("bad") + 0.25) / n_bad) - F.log((F.col("good") + 0.25) / n_good)
-    least = 2 if totals[1] < 2_000 else 3
-    top = counted.withColumn("odds", odds).where(f"bad >= {least} and odds >= 2").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "level", "h").limit(LEXICON_WORDS).collect()
-    out = Lexicon()
-    for level in range(len(PREFIXES)):
-        mine = sorted((np.int64(r.h).view(np.uint64), r.odds) for r in top if r.level == level)
-        out.hashes[level], out.odds[level] = np.array([h for h, _ in mine], np.uint64), np.array([o for _, o in mine], float)
+                doc = pairs[0].astype(np.int64)
+                keys, at = np.unique(np.stack([pairs[1], fold[doc].astype(np.uint64)]), axis=1, return_inverse=True)
+                at, n = at.ravel(), keys.shape[1]
+                columns = [np.full(n, level, np.int32), keys[0].view(np.int64), keys[1].astype(np.int32), np.bincount(at, toxic[doc], n).astype(np.int64), np.bincount(at, 1 - toxic[doc], n).astype(np.int64)]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["level", "h", "fold", "bad", "good"])
+
+    found = {r._fold: (r.bad, r.n) for r in rows.groupBy("_fold").agg(F.sum("toxic").alias("bad"), F.count("toxic").alias("n")).collect()}
+    of = lambda c, k: F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
+    counted = rows.select("text", "toxic", "_fold").mapInArrow(task, "level int, h long, fold int, bad long, good long").groupBy("level", "h").agg(*(of(c, k) for c in ("bad", "good") for k in range(FOLDS)))
+    counted = saved(counted.where(" + ".join(f"bad{k}" for k in range(FOLDS)) + " >= 2"), "counts")
+    out = []
+    for left_out in [*range(FOLDS), None]:
+        used = [k for k in range(FOLDS) if k != left_out]
+        n_bad, n = (sum(found.get(k, (0, 0))[i] for k in used) for i in (0, 1))
+        bad, good = (sum((F.col(f"{c}{k}") for k in used[1:]), F.col(f"{c}{used[0]}")) for c in ("bad", "good"))
+        odds = F.log((F.col("bad") + 0.25) / (n_bad + 1.0)) - F.log((F.col("good") + 0.25) / (n - n_bad + 1.0))
+        seen = counted.select("level", "h", bad.alias("bad"), good.alias("good")).withColumn("odds", odds)
+        top = seen.where(f"bad >= {2 if n < 2_000 else 3} and odds >= 2").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "level", "h").limit(LEXICON_WORDS).collect()
+        made = Lexicon()
+        for level in range(len(PREFIXES)):
+            mine = sorted((np.int64(r.h).view(np.uint64), r.odds) for r in top if r.level == level)
+            made.hashes[level], made.odds[level] = np.array([h for h, _ in mine], np.uint64), np.array([o for _, o in mine], float)
+        out.append(made)
     return out
 
 
-def _matrix(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features, labels and folds of at most FIT_ROWS rows."""
+def _matrix(rows: DataFrame, lexicons: list[Lexicon]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features (by the lexicon without the row's fold), labels and folds of at most FIT_ROWS rows."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(0), lexicon)
+            fold = batch.column(2).to_numpy()
+            x = np.zeros((batch.num_rows, len(FEATURES)))
+            for k in np.unique(fold).tolist():
+                at = np.flatnonzero(fold == k)
+                x[at] = features(batch.column(0).take(pa.array(at)), lexicons[k])
             yield pa.record_batch([pa.array(list(x), pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "toxic", "fold"])
 
     got = rows.select("text", "toxic", "_fold").mapInArrow(task, "x array<double>, toxic int, fold int").toArrow()
@@ -241,17 +256,17 @@ def _matrix(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray,
 def train(docs: DataFrame, labels: DataFrame, learns: str = "pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1", rows: int = FIT_ROWS) -> Model:
     bounded_batches(docs.sparkSession)
     fitted = sample(docs, labels, learns, rows)
-    lexicon = _learn_lexicon(fitted.where("_fold < 2"))
-    x, y, fold = _matrix(fitted.where("_fold >= 2"), lexicon)
-    a, b = fold == 2, fold == 3
+    lexicons = _learn_lexicons(fitted)
+    x, y, fold = _matrix(fitted, lexicons)
+    a, b = fold < FOLDS - 1, fold == FOLDS - 1
     trees = Trees()
     if len(set(y[a])) == 2:
         trees.fit(x[a], y[a].astype(float))
         knots = isotonic(1 / (1 + np.exp(-trees.raw(x[b]))), y[b].astype(float)) if len(set(y[b])) == 2 else None
-        return Model(lexicon, trees, knots)
+        return Model(lexicons[-1], trees, knots)
     share = float(y.mean()) if len(y) else 0.0
     trees.bias = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    return Model(lexicon, trees, None)
+    return Model(lexicons[-1], trees, None)
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
