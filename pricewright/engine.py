@@ -53,7 +53,11 @@ class Engine:
         self.store = store.ProductStore(spark, f"{path}/products")
         self.path = path
         self.runs = spark.createDataFrame([], RUN)
-        self.seen = spark.createDataFrame([], "run_id long, product_hash string")
+        self._seen = store.SeenSets(spark, f"{path}/seen")
+
+    @property
+    def seen(self) -> DataFrame:
+        return self._seen.read()
 
     def _kept(self, df: DataFrame) -> DataFrame:
         """A small ledger as a relation of its own, so that its plan does not grow with its history."""
@@ -72,14 +76,16 @@ class Engine:
             ledger, run_id = runs.start(self.runs, source.name, began)
             self.runs, ingested, deleted = self._kept(ledger), 0, 0
             try:
-                for products in source.batches(self.spark):
+                for batch in source.batches(self.spark):
+                    products = batch.persist()  # read once: counted, upserted, marked
                     ingested += products.count()  # before repeats are dropped: the guards below rest on that
                     now = F.lit(self.clock()).cast("timestamp")
-                    self.store.upsert(products.dropDuplicates(["product_hash"]), now)
-                    self.seen = store.mark_seen(self.seen, run_id, products)
+                    self.store.upsert(store.one_per_product(products), now)
+                    self._seen.mark(run_id, products)
                     if snapshots:
                         store.snapshots(products, run_id, now).write.mode("append").partitionBy("scrape_run_id").parquet(f"{self.path}/snapshots")
-                mine = self.seen.where(F.col("run_id") == run_id).select("product_hash")
+                    products.unpersist()
+                mine = self._seen.read(run_id).select("product_hash")
                 if runs.empty_run(ingested):
                     return self._finish(run_id, "failed", 0, 0, "no products")
                 if runs.may_clean(source.failed_services(), runs.previous_products(self.runs, source.name), ingested) and runs.seen_complete(mine.count(), ingested):
@@ -89,7 +95,7 @@ class Engine:
                 self._finish(run_id, "failed", ingested, deleted, str(e))
                 raise
             finally:
-                self.seen = store.clear_seen(self.seen, run_id, self.runs)
+                self._seen.clear(run_id, {r.id for r in self.runs.where("status = 'running'").select("id").collect()})
         finally:
             self.store.unlock(source.name)
 

@@ -30,6 +30,12 @@ def first_in_batches(rows: DataFrame, order: str = "ord", batch: int = BATCH) ->
     return rows.withColumn("_n", place).where("_n = 1").drop("_n", order)
 
 
+def one_per_product(products: DataFrame) -> DataFrame:
+    """One row per product of a load without an order: the first by sku, family and prices, whatever the partitions."""
+    place = F.row_number().over(Window.partitionBy("product_hash").orderBy("sku", "product_family", "prices"))
+    return products.withColumn("_n", place).where("_n = 1").drop("_n")
+
+
 def changed(old: str = "o", new: str = "n") -> Column:
     """Whether a product's sku, attributes (in any order) or prices (in order) differ; null equals null."""
     entries = lambda t: F.array_sort(F.map_entries(f"{t}.attributes"))
@@ -73,6 +79,37 @@ def snapshots(products: DataFrame, run_id: int, now: Column) -> DataFrame:
     return products.select(F.lit(run_id).cast("long").alias("scrape_run_id"), "product_hash", "prices", now.alias("recorded_at"))
 
 
+class SeenSets:
+    """Which products each run has seen: a folder of hashes for each, appended to batch by batch."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def ids(self) -> list[int]:
+        return sorted(int(s.getPath().getName().split("=")[1]) for s in self._fs.listStatus(self._at("")) if "=" in s.getPath().getName()) if self._fs.exists(self._at("")) else []
+
+    def mark(self, run_id: int, products: DataFrame) -> None:
+        if run_id > 0:
+            products.select("product_hash").distinct().write.mode("append").parquet(f"{self.path}/run_id={run_id}")
+
+    def read(self, run_id: int | None = None) -> DataFrame:
+        """run_id and product_hash of one run, or of all."""
+        ids = [i for i in self.ids() if run_id in (None, i)]
+        none = self.spark.createDataFrame([], "run_id long, product_hash string")
+        marks = [self.spark.read.schema("product_hash string").parquet(f"{self.path}/run_id={i}").select(F.lit(i).cast("long").alias("run_id"), "product_hash") for i in ids]
+        return union([none, *marks]).distinct()
+
+    def clear(self, run_id: int, running: set[int]) -> None:
+        """Only marks of other runs that are still running stay."""
+        for i in self.ids():
+            if i == run_id or i not in running:
+                self._fs.delete(self._at(f"run_id={i}"), True)
+
+
 class ProductStore:
     """The products of a directory. One writer at a time: ``locked`` makes a file that only one can make."""
 
