@@ -1,13 +1,17 @@
 """A table of products without a table format: versions in directories, and a pointer to the current one.
 
-A version is written whole, beside the others, and the pointer is moved to it last, so readers of the old one are not
-disturbed and a writer that fails leaves nothing behind that is read. Versions are partitioned by vendor and service,
-sorted by region and hash within a file, and have hot attributes as columns of their own.
+The table is partitioned by vendor and service, sorted by region and hash within a file, and has hot attributes as
+columns of their own. A write puts the partitions that it touches into a new version's directory, beside the others,
+and then adds a pointer that lists which version holds which partition; so readers of an older pointer are not
+disturbed, a writer that fails leaves nothing behind that is read, and an upsert costs what it touches. A load that
+changes nothing writes nothing.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,39 +126,80 @@ class ProductStore:
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def version(self) -> int:
-        """The current version, 0 before the first. Pointers are files named by their version: a new one appears whole."""
+        """The current version, 0 before the first."""
         pointers = self._at("_current")
         if not self._fs.exists(pointers):
             return 0
-        return max((int(s.getPath().getName()) for s in self._fs.listStatus(pointers)), default=0)
+        return max((int(n) for s in self._fs.listStatus(pointers) if (n := s.getPath().getName()).isdigit()), default=0)
 
-    def read(self) -> DataFrame:
-        n = self.version()
+    def manifest(self, version: int | None = None) -> list[tuple[int, str, str]]:
+        """Which version's directory holds each vendor's service."""
+        n = self.version() if version is None else version
         if not n:
-            return self.spark.createDataFrame([], PRODUCT).withColumn("updated_at", F.lit(None).cast("timestamp"))
-        return self.spark.read.parquet(f"{self.path}/v{n}")
+            return []
+        said = self.spark.read.text(f"{self.path}/_current/{n}", wholetext=True).first()
+        return [tuple(x) for x in json.loads(said.value)]
+
+    def read(self) -> DataFrame:
+        held: dict[int, dict[str, list[str]]] = {}
+        for n, vendor, service in self.manifest():
+            held.setdefault(n, {}).setdefault(vendor, []).append(service)
+        if not held:
+            return self.spark.createDataFrame([], PRODUCT).withColumns({"updated_at": F.lit(None).cast("timestamp")} | {f"attr_{k}": F.lit(None).cast("string") for k in HOT_KEYS})
+        parts = []
+        for n, vendors in sorted(held.items()):
+            mine = [(F.col("vendor_name") == v) & F.col("service").isin(*s) for v, s in sorted(vendors.items())]
+            parts.append(self.spark.read.parquet(f"{self.path}/v{n}").where(reduce(lambda a, b: a | b, mine)))
+        return union(parts)
 
     def plain(self) -> DataFrame:
         """The current products without the hot columns."""
         return self.read().select(*PRODUCT.fieldNames(), "updated_at")
 
-    def write(self, products: DataFrame) -> int:
+    def write(self, products: DataFrame, touched: set[tuple[str, str]] | None = None) -> int:
+        """A new version in which ``products`` take the place of the ``touched`` partitions, or of all."""
         n = self.version() + 1
         hot = {f"attr_{k}": F.col("attributes")[k] for k in HOT_KEYS}
         rows = products.withColumns(hot).sortWithinPartitions("vendor_name", "service", "region", "product_hash")
         rows.write.mode("overwrite").partitionBy("vendor_name", "service").parquet(f"{self.path}/v{n}")
-        self._fs.mkdirs(self._at("_current"))
-        self._fs.create(self._at(f"_current/{n}")).close()
+        there = self.spark.read.schema(rows.schema).parquet(f"{self.path}/v{n}").select("vendor_name", "service").distinct().collect()
+        kept = [] if touched is None else [p for p in self.manifest() if (p[1], p[2]) not in touched]
+        listed = sorted(kept + [(n, r.vendor_name, r.service) for r in there])
+        pointers = self._at("_current")
+        self._fs.mkdirs(pointers)
+        out = self._fs.create(self._at(f"_current/_{n}"))
+        out.write(bytearray(json.dumps(listed).encode()))
+        out.close()
+        self._fs.rename(self._at(f"_current/_{n}"), self._at(f"_current/{n}"))
         return n
 
-    def upsert(self, products: DataFrame, now: Column) -> int:
-        return self.write(merged(self.plain(), canonical(products), now))
+    def upsert(self, products: DataFrame, now: Column, versions: int = 32) -> int:
+        """The version after the load; the same as before if nothing of it is new or changed. A product's hash names
+        its vendor and service, so only the partitions of the load can hold its old rows."""
+        touched = {(r.vendor_name, r.service) for r in products.select("vendor_name", "service").distinct().collect()}
+        if not touched:
+            return self.version()
+        after = merged(self._of(touched), canonical(products), now)
+        if after.where(F.col("updated_at").eqNullSafe(now)).isEmpty():
+            return self.version()
+        n = self.write(after, touched)
+        return self.write(self.plain()) if len({p[0] for p in self.manifest()}) > versions else n
+
+    def _of(self, partitions: set[tuple[str, str]]) -> DataFrame:
+        by: dict[str, list[str]] = {}
+        for v, s in partitions:
+            by.setdefault(v, []).append(s)
+        mine = [(F.col("vendor_name") == v) & F.col("service").isin(*s) for v, s in sorted(by.items())]
+        return self.plain().where(reduce(lambda a, b: a | b, mine))
 
     def delete_stale(self, vendor: str, start: Column, seen: DataFrame) -> int:
         """Deletes and counts; nothing is written if nothing is stale."""
-        gone = stale(self.plain(), vendor, start, seen).count()
+        touched = {(v, s) for _, v, s in self.manifest() if v == vendor}
+        if not touched:
+            return 0
+        gone = stale(self._of(touched), vendor, start, seen).count()
         if gone:
-            self.write(without_stale(self.plain(), vendor, start, seen))
+            self.write(without_stale(self._of(touched), vendor, start, seen), touched)
         return gone
 
     def count(self) -> int:
@@ -172,10 +217,14 @@ class ProductStore:
         self._fs.delete(self._at(f"_locks/{vendor}"), False)
 
     def drop_versions(self, keep: int = 2) -> None:
+        """Deletes all pointers but the last ``keep``, and directories that none of these lists."""
         last = self.version()
-        for n in range(1, last - keep + 1):
-            self._fs.delete(self._at(f"v{n}"), True)
-            self._fs.delete(self._at(f"_current/{n}"), False)
+        used = {p[0] for n in range(max(1, last - keep + 1), last + 1) for p in self.manifest(n)}
+        for n in range(1, last + 1):
+            if n <= last - keep:
+                self._fs.delete(self._at(f"_current/{n}"), False)
+            if n not in used:
+                self._fs.delete(self._at(f"v{n}"), True)
 
 
 def union(batches: Iterable[DataFrame]) -> DataFrame:

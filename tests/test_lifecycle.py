@@ -151,3 +151,19 @@ def test_streamed_load_and_windows(spark, tmp_path):
     events = spark.createDataFrame([(datetime(2024, 1, 1, 0, 10), 1, "click", 2.0), (datetime(2024, 1, 1, 0, 20), 1, "click", 3.0), (datetime(2024, 1, 1, 7), 1, "click", 1.0)], "ts timestamp, user_id long, event_type string, value double")
     assert sorted((r.n, r.total) for r in landing.windowed(events, "6 hours").collect()) == [(1, 1.0), (2, 5.0)]
     assert sorted(r.n for r in landing.sessions(events).collect()) == [1, 2]
+
+
+def test_an_upsert_writes_only_what_it_touches(spark, tmp_path):
+    target = store.ProductStore(spark, f"{tmp_path}/s")
+    other = product("x", vendor="gcp")[:4] + ("Cloud & more: a/b", *product("x")[5:])
+    now = F.lit(T0).cast("timestamp")
+    assert target.upsert(spark.createDataFrame([product("h1"), other], PRODUCT), now) == 1
+    assert target.upsert(spark.createDataFrame([product("h1")], PRODUCT), F.lit(T0 + timedelta(days=1)).cast("timestamp")) == 1
+    assert target.upsert(spark.createDataFrame([product("h2")], PRODUCT), F.lit(T0 + timedelta(days=1)).cast("timestamp")) == 2
+    assert {(n, v) for n, v, _ in target.manifest()} == {(1, "gcp"), (2, "aws")} and target.count() == 3
+    assert target.delete_stale("gcp", F.lit(T0 + timedelta(days=2)).cast("timestamp"), spark.createDataFrame([], "product_hash string")) == 1
+    assert {r.product_hash for r in target.read().collect()} == {"h1", "h2"}
+    assert target.upsert(spark.createDataFrame([product("h3")], PRODUCT), F.lit(T0 + timedelta(days=3)).cast("timestamp"), versions=0) == 5
+    assert {n for n, *_ in target.manifest()} == {5} and target.count() == 3
+    target.drop_versions(1)
+    assert target.count() == 3
