@@ -33,11 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(where)
+    store.deleteOnExit(where)  # holds for paths that exist
+    path = store.makeQualified(where).toString()
+    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to all shuffle partitions: for groups that are small in bytes but long in work, which
+    adaptive execution would put into a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def saved(df: DataFrame, label: str, free: bool = False) -> DataFrame:
@@ -48,10 +55,20 @@ def saved(df: DataFrame, label: str, free: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     if free:
         spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._saved_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``saved`` made and that nothing still to run reads: what was made of them is saved, too."""
+    for t in tables:
+        spark = t.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(t._saved_path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

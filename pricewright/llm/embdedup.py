@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import blocked, connected_components, saved
+from pricewright.llm.common import blocked, connected_components, saved, spread
 
 RECALL, SIGMAS, BLOCK, PER_BUCKET, SEED = 0.995, 4.0, 2_048, 64, 2024
 
@@ -129,6 +129,9 @@ def _pairs(mask: np.ndarray, own: np.ndarray, x: int, y: int) -> tuple[np.ndarra
     return i, j
 
 
+_BLOCK_KEY = ("tab", "bucket", "d", "x", "y")
+
+
 def _hopeful(entries: DataFrame, threshold: float, block: int) -> DataFrame:
     """tab, bucket, d, id of entries that have a partner by their codes."""
 
@@ -146,7 +149,7 @@ def _hopeful(entries: DataFrame, threshold: float, block: int) -> DataFrame:
         at = np.unique(np.concatenate([i[keep], j[keep]]))
         return rows.select(["tab", "bucket", "d", "id"]).take(pa.array(at))
 
-    return blocked(entries, ["tab", "bucket", "d"], block).groupBy("tab", "bucket", "d", "x", "y").applyInArrow(task, "tab int, bucket long, d int, id long")
+    return spread(blocked(entries, ["tab", "bucket", "d"], block), *_BLOCK_KEY).groupBy(*_BLOCK_KEY).applyInArrow(task, "tab int, bucket long, d int, id long")
 
 
 def _components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -186,7 +189,7 @@ def _exact(entries: DataFrame, threshold: float, block: int) -> DataFrame:
         at = np.flatnonzero(links > 0)
         return pa.table({"id": pa.array(ids[at], pa.int64()), "links": pa.array(links[at].astype(np.int64)), "least": pa.array(ids[label[at]], pa.int64())})
 
-    return blocked(entries, ["tab", "bucket", "d"], block).groupBy("tab", "bucket", "d", "x", "y").applyInArrow(task, "id long, links long, least long")
+    return spread(blocked(entries, ["tab", "bucket", "d"], block), *_BLOCK_KEY).groupBy(*_BLOCK_KEY).applyInArrow(task, "id long, links long, least long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, block: int = BLOCK) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import blocked, bounded_batches, connected_components, documents, saved, small
+from pricewright.llm.common import blocked, bounded_batches, connected_components, documents, saved, small, spread
 from pricewright.llm.textkernel import grams, mix, ranges, split_words
 
 HASHES, BATCH, MISS, LOST = 128, 16, 1e-7, 2e-6
@@ -234,7 +234,7 @@ def _hopeful(entries: DataFrame, hashes: int, per: int, steps: list[tuple[int, i
             hit[i] = hit[j] = True
         return rows.select(["band", "key", "x", "y", "id"]).filter(pa.array(hit))
 
-    return entries.groupBy(*_BLOCK_KEY).applyInArrow(task, "band int, key long, x int, y int, id long")
+    return spread(entries, *_BLOCK_KEY).groupBy(*_BLOCK_KEY).applyInArrow(task, "band int, key long, x int, y int, id long")
 
 
 def _joining(entries: DataFrame, hashes: int, per: int, steps: list[tuple[int, int]], part: int, whole: int) -> DataFrame:
@@ -267,7 +267,7 @@ def _joining(entries: DataFrame, hashes: int, per: int, steps: list[tuple[int, i
                         out.append((int(ids[row]), int(ids[o])))
         return pa.table({"a": pa.array([p for p, _ in out], pa.int64()), "b": pa.array([q for _, q in out], pa.int64())})
 
-    return entries.groupBy(*_BLOCK_KEY).applyInArrow(task, "a long, b long")
+    return spread(entries, *_BLOCK_KEY).groupBy(*_BLOCK_KEY).applyInArrow(task, "a long, b long")
 
 
 def _links(banded: DataFrame, classes: DataFrame, docs: DataFrame, k: int, part: int, whole: int, hashes: int, batch: int, miss: float, per: int) -> DataFrame | None:
