@@ -142,7 +142,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     grouped = split(cut)
     sizes = split(counts).groupBy("length", "_group").agg(F.sum("n").alias("_n"))
     before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    bases = F.broadcast(sizes.select("length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")))  # lengths times salts in use, by the bound on RANKED
+    bases = sizes.select("length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     ranked = grouped.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_group").orderBy("salt")) - 1).join(bases, ["length", "_group"])
     ranked = ranked.withColumn("_rank", (F.col("_rank") + F.col("_base")).cast("long")).drop("_group", "_base", "salt")
     table = spark.sparkContext.broadcast({k: g.drop(columns="length").to_numpy() for k, g in slots.groupby("length")})
