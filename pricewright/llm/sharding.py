@@ -3,8 +3,8 @@
 The order is by (hash of the text, hash of the doc_id, a drawn number): equal texts stand together, and a group of
 them too large for one shard can still be cut. Splitters are found without sorting: tasks count the exact bytes
 below a sorted list of candidate keys, the counts are summed, and each splitter's interval shrinks to the two
-candidates around its target, which are then probed more finely, until the bytes below are within the tolerance or
-no key is left between. Only then are the rows exchanged, once, by shard, and numbered within it in sort order.
+candidates around its target, which are then probed more finely, and at its few last rows' own keys, until the bytes
+below are within the tolerance or a single row is left between. Only then are the rows exchanged, once, by shard, and numbered within it in sort order.
 
 Where a cut falls inside a group of equal texts, it moves to the nearer end of the group if that keeps it within
 the tolerance; larger groups are cut.
@@ -16,6 +16,7 @@ by the drawn number, written down before it is used; an empty table gives an emp
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,22 +42,24 @@ def _below(keys: pd.DataFrame, probes: list[tuple[int, int, int]]) -> np.ndarray
     return at
 
 
-def _count(rows: DataFrame, probes: list[tuple[int, int, int]]) -> np.ndarray:
-    """Exact bytes below each probe; tasks send one row per probe interval that they met."""
+def _count(rows: DataFrame, probes: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Exact bytes and rows below each probe; tasks send one row per probe interval that they met."""
     sent = rows.sparkSession.sparkContext.broadcast(probes)
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(sent.value) + 1, np.int64)
+        total = np.zeros((len(sent.value) + 1, 2), np.int64)
         for f in frames:
-            np.add.at(total, _below(f, sent.value), f["size"].to_numpy())
-        some = np.flatnonzero(total)
-        yield pd.DataFrame({"slot": some, "size": total[some]})
-
-    found = rows.select(*_KEY, "size").mapInPandas(task, "slot long, size long").groupBy("slot").agg(F.sum("size").alias("size")).collect()
-    total = np.zeros(len(probes) + 1, np.int64)
+            at = _below(f, sent.value)
+            np.add.at(total[:, 0], at, f["size"].to_numpy())
+            np.add.at(total[:, 1], at, 1)
+        some = np.flatnonzero(total[:, 1])
+        yield pd.DataFrame({"slot": some, "size": total[some, 0], "n": total[some, 1]})
+
+    found = rows.select(*_KEY, "size").mapInPandas(task, "slot long, size long, n long").groupBy("slot").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).collect()
+    total = np.zeros((len(probes) + 1, 2), np.int64)
     for r in found:
-        total[r.slot] = r["size"]
-    return np.cumsum(total)[:-1]
+        total[r.slot] = r["size"], r["n"]
+    return [(int(x), int(y)) for x, y in np.cumsum(total, axis=0)[:-1]]
 
 
 def _between(lo: tuple, hi: tuple, n: int) -> list[tuple[int, int, int]]:
@@ -77,33 +80,48 @@ def _between(lo: tuple, hi: tuple, n: int) -> list[tuple[int, int, int]]:
     return []
 
 
+def _keys(rows: DataFrame, between: list[tuple[tuple, tuple]]) -> set[tuple[int, int, int]]:
+    """The keys of the rows in a few intervals that are known to hold few."""
+    key = F.struct(*_KEY)
+    mark = lambda k: F.struct(*(F.lit(v).cast("long").alias(c) for c, v in zip(_KEY, k, strict=True)))
+    held = [(key >= mark(lo)) & (key < mark(hi)) for lo, hi in between]
+    return {tuple(r) for r in rows.where(reduce(lambda a, b: a | b, held)).select(*_KEY).collect()}
+
+
 def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, probes: int = PROBES) -> list[tuple[int, int, int]]:
     """The ``shards`` - 1 keys at which the bytes below are nearest to equal shares."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    first = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    total = first[0]
     goal = [total * i / shards for i in range(1, shards)]
     near = total / shards * tolerance
     start, end = (_LOW,) * 3, (_HIGH, _HIGH, _HIGH)
-    known = {start: 0, end: total}
+    known = {start: (0, 0), end: (total, first[1])}
     for _ in range(40):
         order = sorted(known)
-        sums = np.array([known[k] for k in order])
+        sums = np.array([known[k][0] for k in order])
         asked: set[tuple[int, int, int]] = set()
+        few = []
         for g in goal:
             i = int(np.searchsorted(sums, g, "left"))
-            if min(abs(sums[max(i - 1, 0)] - g), abs(sums[min(i, len(sums) - 1)] - g)) > near and i > 0:
-                lo, hi = order[i - 1], order[min(i, len(order) - 1)]
-                asked.update(k for k in _between(lo, hi, probes) if k not in known)
+            lo, hi = order[max(i - 1, 0)], order[min(i, len(order) - 1)]
+            if min(abs(known[lo][0] - g), abs(known[hi][0] - g)) > near and known[hi][1] - known[lo][1] > 1:
+                if known[hi][1] - known[lo][1] <= probes:
+                    few.append((lo, hi))
+                else:
+                    asked.update(_between(lo, hi, probes))
+        asked |= _keys(rows, sorted(set(few))) if few else set()
+        asked = {k for k in asked if k not in known}
         if not asked:
             break
         new = sorted(asked)
-        known.update(zip(new, _count(rows, new).tolist(), strict=True))
+        known.update(zip(new, _count(rows, new), strict=True))
     order = sorted(known)
-    sums = np.array([known[k] for k in order])
+    sums = np.array([known[k][0] for k in order])
     out = []
     for g in goal:
         cut = order[int(np.abs(sums - g).argmin())]
-        whole = [k for k in ((cut[0], _LOW, _LOW), (min(cut[0] + 1, _HIGH), _LOW, _LOW)) if k in known and abs(known[k] - g) <= near]
-        out.append(min(whole, key=lambda k: abs(known[k] - g)) if whole else cut)
+        whole = [k for k in ((cut[0], _LOW, _LOW), (min(cut[0] + 1, _HIGH), _LOW, _LOW)) if k in known and abs(known[k][0] - g) <= near]
+        out.append(min(whole, key=lambda k: abs(known[k][0] - g)) if whole else cut)
     return sorted(out)
 
 
