@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import bounded_batches, documents, saved, small
+from pricewright.llm.common import bounded_batches, discard, documents, saved, small
 from pricewright.llm.textkernel import Words, grams, ranges, split_words, squeeze, unsqueeze
 
 WINDOW, SEED = 13, 4
@@ -115,9 +115,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     shared = saved(each.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed"), "shared", free=True)
     mine = saved(each.join(shared, "seed").groupBy("doc_id", "_t").agg(F.collect_set("seed").alias("shared")), "mine", free=True)
     found = saved(windows(squeezed(fresh).join(mine, ["doc_id", "_t"]), window, seed), "windows", free=True)
+    discard(held, shared, mine)
     first = saved(found.groupBy("seed", "hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed", "hash", "a"), "first", free=True)
     starts = found.join(first, ["seed", "hash"]).where("doc_id > a").groupBy("doc_id", "_t").agg(F.collect_set("at").alias("_at"))
-    return saved(starts, "starts", free=True), copied
+    starts = saved(starts, "starts", free=True)
+    discard(found, first)
+    return starts, copied
 
 
 def _covered(starts: np.ndarray, n: int, window: int) -> np.ndarray:
