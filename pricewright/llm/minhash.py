@@ -104,6 +104,17 @@ def _matrix(column: pa.Array, hashes: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, hashes)
 
 
+def _band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The key of the bucket that each signature (a row) is in, for each band (a column)."""
+    sig, keys = sig.astype(np.uint64), np.empty((len(sig), bands), np.uint64)
+    for b in range(bands):
+        h = np.full(len(sig), b + 1, np.uint64)
+        for x in sig[:, b * rows : (b + 1) * rows].T:
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x)
+        keys[:, b] = h
+    return keys
+
+
 def _banded(classes: DataFrame, bands: int, rows: int, hashes: int) -> DataFrame:
     """band, key, id, n: a row for each band of each class."""
 
@@ -111,19 +122,25 @@ def _banded(classes: DataFrame, bands: int, rows: int, hashes: int) -> DataFrame
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = _matrix(batch.column(2), hashes).astype(np.uint64)
-            keys = np.empty((len(sig), bands), np.uint64)
-            for b in range(bands):
-                h = np.full(len(sig), b + 1, np.uint64)
-                for x in sig[:, b * rows : (b + 1) * rows].T:
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + x)
-                keys[:, b] = h
-            at = pa.array(np.repeat(np.arange(len(sig)), bands))
-            yield pa.record_batch([pa.array(np.tile(np.arange(bands, dtype=np.int32), len(sig))), pa.array(keys.ravel().view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], names=["band", "key", "id", "n"])
+            keys = _band_keys(_matrix(batch.column(2), hashes), bands, rows)
+            at = pa.array(np.repeat(np.arange(len(keys)), bands))
+            yield pa.record_batch([pa.array(np.tile(np.arange(bands, dtype=np.int32), len(keys))), pa.array(keys.ravel().view(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], names=["band", "key", "id", "n"])
 
     return classes.select("id", "n", "sig").mapInArrow(task, "band int, key long, id long, n long")
 
 
+def _narrowed(classes: DataFrame, bands: int, rows: int, hashes: int) -> DataFrame:
+    """id, s8 (the signature's low bytes), met (the keys of all its buckets) of each class."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sig = _matrix(batch.column(1), hashes)
+                yield pa.record_batch([batch.column(0), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (sig.astype(np.uint8), _band_keys(sig, bands, rows)))], names=["id", "s8", "met"])
+
+    return classes.select("id", "sig").mapInArrow(task, "id long, s8 binary, met binary")
+
+
 def _likely(pairs: DataFrame, threshold: float, hashes: int, batch_size: int, miss: float) -> DataFrame:
     """a, b of ``pairs`` (a, b, sa, sb) that the sequential test does not rule out."""
     steps = least_matches(threshold, hashes, batch_size, miss)
@@ -191,8 +208,9 @@ class _Forest:
         self.parent[self.root(a)] = self.root(b)
 
 
-def _survivors(sig: np.ndarray, labels: np.ndarray, own: np.ndarray, x: int, y: int, band: int, per: int, steps: list[tuple[int, int]], sizes: np.ndarray, part: int, whole: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Likely pairs of a block across components, each row with later ones, if this band is the first that they share."""
+def _survivors(sig: np.ndarray, keys: np.ndarray, labels: np.ndarray, own: np.ndarray, x: int, y: int, band: int, steps: list[tuple[int, int]], sizes: np.ndarray, part: int, whole: int, rows: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Likely pairs of a block across components, each row with later ones, if this band is the first
+    in which ``keys``, those of their buckets, are equal."""
     n0, least0 = steps[0]
     for a in range(0, len(sig), rows):
         top = sig[a : a + rows]
@@ -212,7 +230,7 @@ def _survivors(sig: np.ndarray, labels: np.ndarray, own: np.ndarray, x: int, y:
             i, j, m, done = i[stay], j[stay], m[stay], n
         met = np.zeros(len(i), bool)
         for b in range(band):
-            met |= (sig[i, b * per : (b + 1) * per] == sig[j, b * per : (b + 1) * per]).all(axis=1)
+            met |= keys[i, b] == keys[j, b]
         yield i[~met], j[~met]
 
 
@@ -220,24 +238,28 @@ def _read(rows: pa.Table, name: str) -> pa.Array:
     return rows.column(rows.column_names.index(name)).combine_chunks()
 
 
+def _bucket_keys(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(_read(rows, "met").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+
+
 _BLOCK_KEY = ("band", "key", "x", "y")
 
 
-def _hopeful(entries: DataFrame, hashes: int, per: int, steps: list[tuple[int, int]], part: int, whole: int) -> DataFrame:
-    """band, key, x, y, id of the members of blocks (id, n, c, s8, own) that have a likely partner in another component."""
+def _hopeful(entries: DataFrame, hashes: int, steps: list[tuple[int, int]], part: int, whole: int) -> DataFrame:
+    """band, key, x, y, id of the members of blocks (id, n, c, s8, met, own) that have a likely partner in another component."""
 
     def task(key: tuple, rows: pa.Table) -> pa.Table:
         band, x, y = key[0].as_py(), key[2].as_py(), key[3].as_py()
         sig = np.frombuffer(b"".join(_read(rows, "s8").to_pylist()), np.uint8).reshape(-1, hashes)
-        hit = np.zeros(len(sig), bool)
-        for i, j in _survivors(sig, _read(rows, "c").to_numpy(), _read(rows, "own").to_numpy(), x, y, band, per, steps, _read(rows, "n").to_numpy(), part, whole):
+        keys, hit = _bucket_keys(rows), np.zeros(len(sig), bool)
+        for i, j in _survivors(sig, keys, _read(rows, "c").to_numpy(), _read(rows, "own").to_numpy(), x, y, band, steps, _read(rows, "n").to_numpy(), part, whole):
             hit[i] = hit[j] = True
         return rows.select(["band", "key", "x", "y", "id"]).filter(pa.array(hit))
 
     return spread(entries, *_BLOCK_KEY).groupBy(*_BLOCK_KEY).applyInArrow(task, "band int, key long, x int, y int, id long")
 
 
-def _joining(entries: DataFrame, hashes: int, per: int, steps: list[tuple[int, int]], part: int, whole: int) -> DataFrame:
+def _joining(entries: DataFrame, hashes: int, steps: list[tuple[int, int]], part: int, whole: int) -> DataFrame:
     """a, b: of the likely pairs of blocks (as in _hopeful, with the sets s), confirmed links that join components."""
 
     def task(key: tuple, rows: pa.Table) -> pa.Table:
@@ -249,7 +271,7 @@ def _joining(entries: DataFrame, hashes: int, per: int, steps: list[tuple[int, i
         names, flat = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
         starts = np.cumsum(sizes) - sizes
         forest, mark, out = _Forest(labels), np.zeros(len(names), np.int64), []
-        for i, j in _survivors(sig, labels, _read(rows, "own").to_numpy(), x, y, band, per, steps, sizes, part, whole):
+        for i, j in _survivors(sig, _bucket_keys(rows), labels, _read(rows, "own").to_numpy(), x, y, band, steps, sizes, part, whole):
             cuts = [*np.flatnonzero(np.diff(i, prepend=-1)).tolist(), len(i)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 row = int(i[a])
@@ -281,15 +303,14 @@ def _links(banded: DataFrame, classes: DataFrame, docs: DataFrame, k: int, part:
     labels = connected_components(links)
     state = banded.join(labels, "id", "left").select("band", "key", "id", "n", F.coalesce("component_id", "id").alias("c"))
     mixed = state.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "key")
-    narrow = F.udf(lambda s: np.frombuffer(s, np.uint32).astype(np.uint8).tobytes(), "binary", useArrow=True)
-    entries = state.join(mixed, ["band", "key"]).join(classes.select("id", narrow("sig").alias("s8")), "id")
+    entries = state.join(mixed, ["band", "key"]).join(_narrowed(classes, hashes // per, per, hashes), "id")
     entries = blocked(saved(entries, "entries"), ["band", "key"], BLOCK)
     steps = least_matches(threshold + (1 - threshold) / 256, hashes, batch, miss)  # bytes agree by chance, too
-    hopeful = saved(_hopeful(entries, hashes, per, steps, part, whole), "hopeful")
+    hopeful = saved(_hopeful(entries, hashes, steps, part, whole), "hopeful")
     if hopeful.isEmpty():
         return labels
     sets = _sets(hopeful.select("id").distinct(), docs, k)
-    more = saved(_joining(entries.join(hopeful, [*_BLOCK_KEY, "id"], "left_semi").join(sets, "id"), hashes, per, steps, part, whole), "joining")
+    more = saved(_joining(entries.join(hopeful, [*_BLOCK_KEY, "id"], "left_semi").join(sets, "id"), hashes, steps, part, whole), "joining")
     return connected_components(links.unionByName(more))
 
 

@@ -133,6 +133,21 @@ def test_minhash_in_a_large_group_without_a_center(spark, monkeypatch, block):
     assert got == brute_components(table, 3, 85, 100)
 
 
+def test_minhash_pair_that_agrees_only_in_low_bytes_in_an_earlier_band(spark):
+    bands, per = minhash.banding(0.85)
+    text = " ".join(f"w{i}" for i in range(300))
+    docs = spark.createDataFrame([(0, "something else entirely"), (1, text), (2, text + " more")], "doc_id long, text string")
+    r = np.random.default_rng(4)
+    pivot, a = (r.integers(0, 1 << 32, 128, np.uint32) for _ in range(2))
+    pivot[3 * per : 4 * per] = a[3 * per : 4 * per]
+    b = a.copy()
+    b[[h * per for h in range(bands) if h != 3]] ^= np.uint32(1 << 20)  # full rows are equal in band 3 only, low bytes in all
+    held = spark.createDataFrame([(i, 298, bytearray(s.tobytes())) for i, s in enumerate((pivot, a, b))], "id long, n long, sig binary")
+    found = minhash._banded(held, bands, per, 128).where("band = 3")
+    labels = minhash._links(found, held.drop("n"), docs, 3, 85, 100, 128, minhash.BATCH, minhash.MISS, per)
+    assert {x.id: x.component_id for x in labels.collect()} == {1: 1, 2: 1}
+
+
 def test_minhash_odd_tables(spark, empty):
     assert minhash.near_duplicates(empty).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A B c d e f"), (3, None), (4, "é x y z u v")], "doc_id long, text string")
