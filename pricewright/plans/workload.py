@@ -406,10 +406,10 @@ e AS (SELECT *, row_number() OVER (PARTITION BY name, p_type, region, option, l_
 h AS (SELECT name, p_type, region, min_by(service, ord) AS service FROM f GROUP BY 1, 2, 3)
 SELECT region, h.service, substr(sha256(concat_ws(chr(0), 'azure-sku', name, p_type, 'meter')), 1, 32) AS sku, CASE WHEN h.service = 'Virtual Machines' THEN CASE WHEN name LIKE '% Windows' THEN 'Windows' ELSE 'Linux' END END AS os, CAST(count(*) AS BIGINT) AS n_prices, min(usd) AS least, max(CAST(tier AS VARCHAR)) AS last_tier
 FROM e JOIN h USING (name, p_type, region) WHERE n = 1 GROUP BY ALL""")
-def _(spark, d):
+def _azure_products(spark, d, lines="l_partkey % 5 = 0"):
     from pricewright.sources import azure
 
-    rows = _table(spark, d, "lineitem").join(_table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).where("l_partkey % 5 = 0")
+    rows = _table(spark, d, "lineitem").join(_table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).where(lines)
     kind, none = F.col("l_suppkey") % 4, F.lit("")
     service = F.when(kind == 0, "Azure DNS").when(kind == 1, "Virtual Machines").when(kind == 2, "Load Balancer").otherwise("Storage")
     name = F.when(kind == 1, F.concat(F.lit("Virtual Machines "), F.col("p_brand"), F.when(F.col("p_size") % 2 == 0, " Windows").otherwise(""))).otherwise(F.col("p_brand"))
@@ -420,13 +420,17 @@ def _(spark, d):
     return azure.products(items).select("region", "service", "sku", F.col("attributes")["os"].alias("os"), F.size("prices").cast("long").alias("n_prices"), F.array_min(usd).alias("least"), F.array_max(tier).alias("last_tier"))
 
 
+#: The same over every line; the query above keeps the slice that its SQL names.
+_add("azure_products_whole", _SQL["azure_products"].replace(" WHERE l_partkey % 5 = 0)", ")"))(lambda spark, d: _azure_products(spark, d, "true"))
+
+
 @_add("aws_products", """WITH t AS (SELECT l_partkey, CASE WHEN l_returnflag = 'R' THEN 'reserved' ELSE 'on_demand' END AS option, CASE WHEN l_linenumber = 7 THEN printf('%.10f', l_extendedprice / 6.2069) ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) END AS usd, l_linestatus AS unit FROM lineitem WHERE l_partkey % 4 = 1 AND NOT (l_returnflag = 'R' AND l_linestatus = 'O'))
 SELECT substr(sha256(concat_ws(chr(0), 'aws', CASE WHEN p_size % 2 = 0 THEN 'eu-west-1' ELSE '' END, 'svc' || (p_partkey // 1000), CAST(p_partkey AS VARCHAR))), 1, 32) AS product_hash, CASE WHEN p_size % 2 = 0 THEN 'eu-west-1' ELSE '' END AS region, p_type AS product_family, CAST(count(*) AS BIGINT) AS n_prices, CAST(count(*) FILTER (WHERE option = 'reserved') AS BIGINT) AS n_reserved, min(usd) AS least
 FROM part JOIN t ON l_partkey = p_partkey GROUP BY p_partkey, p_size, p_type""")
-def _(spark, d):
+def _aws_products(spark, d, lines="l_partkey % 4 = 1", parts="p_partkey % 4 = 1"):
     from pricewright.sources import aws
 
-    line = _table(spark, d, "lineitem").where("l_partkey % 4 = 1").withColumn("n", F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")))
+    line = _table(spark, d, "lineitem").where(lines).withColumn("n", F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")))
     usd = F.when(F.col("l_linenumber") == 7, F.create_map(F.lit("CNY"), F.col("l_extendedprice").cast("string"))).otherwise(F.create_map(F.lit("USD"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string")))
     unit = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), "Quantity").otherwise(F.col("l_linestatus"))
     dimension = F.struct(unit.alias("unit"), usd.alias("pricePerUnit"), F.lit("0").alias("beginRange"), F.lit("Inf").alias("endRange"), F.lit("d").alias("description"))
@@ -436,12 +440,16 @@ def _(spark, d):
     by_sku = line.groupBy(service("l_partkey"), F.col("l_partkey").cast("string").alias("sku"), (F.col("l_returnflag") == "R").alias("reserved")).agg(F.map_from_entries(offers).alias("offers"))
     product = F.struct(F.col("p_partkey").cast("string").alias("sku"), F.col("p_type").alias("productFamily"), F.create_map(F.lit("location"), F.when(F.col("p_size") % 2 == 0, "EU (Ireland)").otherwise("Any")).alias("attributes"))
     kinds = lambda r: F.map_from_entries(F.collect_list(F.when(F.col("reserved") == F.lit(r), F.struct("sku", "offers"))))
-    listed = _table(spark, d, "part").where("p_partkey % 4 = 1").groupBy(service("p_partkey")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), product))).alias("products"))
+    listed = _table(spark, d, "part").where(parts).groupBy(service("p_partkey")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), product))).alias("products"))
     terms = by_sku.groupBy("service").agg(F.struct(kinds(False).alias("OnDemand"), kinds(True).alias("Reserved")).alias("terms"))
     found = aws.products(listed.join(terms, "service"))
     return found.select("product_hash", "region", "product_family", F.size("prices").cast("long").alias("n_prices"), F.size(F.filter("prices", lambda p: p["purchaseOption"] == "reserved")).cast("long").alias("n_reserved"), F.array_min(F.transform("prices", lambda p: p["USD"])).alias("least"))
 
 
+#: The same over every line and part; the query above keeps the slice that its SQL names.
+_add("aws_products_whole", _SQL["aws_products"].replace("l_partkey % 4 = 1 AND ", ""))(lambda spark, d: _aws_products(spark, d, "true", "true"))
+
+
 @_add("gcp_products", """WITH s AS (SELECT p_partkey, p_name, unnest(range(0, 3)) AS i, p_size, unnest(['r' || (p_partkey % 3), 'r' || (p_partkey % 3), 'r' || (p_partkey % 3)]) AS region FROM part)
 SELECT substr(sha256(concat_ws(chr(0), 'gcp', region, 'Compute Engine', CAST(p_partkey AS VARCHAR))), 1, 32) AS product_hash, CAST(i * p_size AS VARCHAR) AS start_amount, CASE WHEN i < 2 THEN CAST((i + 1) * p_size AS VARCHAR) ELSE '' END AS end_amount, printf('%.10f', p_size + (1000000 * i) / 1e9) AS usd FROM s""")
 def _(spark, d):
