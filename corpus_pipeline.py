@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pricewright.llm import common, minhash, mixing, packing, secrets, toxicity
 
@@ -21,9 +22,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group linked by five-word shingles at a similarity of 0.8."""
-    gone = common.saved(minhash.near_duplicates(docs, k=5, part=80, whole=100).where("not kept").select("doc_id").distinct(), "copies")
-    return docs.join(common.small(gone), "doc_id", "left_anti").select(*docs.columns)
+    """One row, of the smallest doc_id, of each group linked by five-word shingles at a similarity of 0.8, and one of
+    rows with equal doc_id and text; rows without a doc_id stay."""
+    again = common.saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        gone = common.saved(minhash.near_duplicates(docs, k=5, part=80, whole=100).where("not kept").select("doc_id").distinct(), "copies")
+        return docs.join(common.small(gone), "doc_id", "left_anti").select(*docs.columns)
+    shared = common.small(again)
+    apart = docs.join(shared, "doc_id", "left_anti").unionByName(docs.join(shared, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    rows = common.saved(apart.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    known = rows.where("doc_id is not null")
+    found = minhash.near_duplicates(known.select(F.col("_row").alias("doc_id"), "text"), k=5, part=80, whole=100)
+    found = common.saved(found.select(F.col("doc_id").alias("_row"), "component_id").join(known.select("_row", "doc_id"), "_row"), "found")
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row"))["_row"].alias("_row"))
+    gone = common.saved(found.join(first, "_row", "left_anti").select("_row"), "copies")
+    return rows.join(common.small(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def cut_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

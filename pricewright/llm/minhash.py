@@ -314,6 +314,16 @@ def _links(banded: DataFrame, classes: DataFrame, docs: DataFrame, k: int, part:
     return connected_components(links.unionByName(more))
 
 
+def _by_row(docs: DataFrame, every: DataFrame, k: int, part: int, whole: int, hashes: int, batch: int, miss: float) -> DataFrame:
+    """near_duplicates where a doc_id stands on different texts: rows are compared under numbers of their own."""
+    table = saved(docs.where("doc_id is not null").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+    found = near_duplicates(table.select(F.col("row").alias("doc_id"), "text"), k, part, whole, hashes, batch, miss)
+    found = saved(found.select(F.col("doc_id").alias("row"), "n_shingles", F.col("component_id").alias("c")).join(table.select("row", "doc_id"), "row"), "found")
+    out = found.join(found.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    alone = every.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 100, hashes: int = HASHES, batch: int = BATCH, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text): documents whose sets of ``k``-word
     shingles have ``whole`` * intersection >= ``part`` * union are linked."""
@@ -321,6 +331,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, part: int = 80, whole: int = 10
     bands, rows = banding(part / whole, hashes)
     every = saved(signatures(docs, k, hashes), "signatures")
     known = every.where("n > 0 and doc_id is not null")
+    if not known.groupBy("doc_id").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("f1", "f2"))).where("min_f1 < max_f1 or min_f2 < max_f2").isEmpty():
+        return _by_row(docs, every, k, part, whole, hashes, batch, miss)
     first = saved(known.groupBy("f1", "f2").agg(F.min("doc_id").alias("id")), "classes")
     sole = known.withColumnRenamed("doc_id", "id").join(first, ["f1", "f2", "id"], "left_semi").select("id", "n", "f1", "f2", "sig").dropDuplicates(["id", "f1", "f2"])
     classes = saved(sole, "reps")

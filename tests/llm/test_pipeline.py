@@ -12,7 +12,7 @@ import xxhash
 
 import corpus_pipeline
 from pricewright.llm import queries as registry
-from pricewright.llm import secrets, tokens, toxicity
+from pricewright.llm import minhash, secrets, tokens, toxicity
 
 
 def test_pipeline_stages_take_effect(spark, data):
@@ -67,6 +67,16 @@ def near_copies(docs: list) -> set[int]:
     return {i for i in parent if find(i) != i}
 
 
+def test_near_dedup_drops_rows_not_ids(spark, data):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, text), (5, text + " more"), (5, other), (6, other), (7, "alone at last"), (7, "alone at last"), (8, None), (8, None), (None, text), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = Counter((d.doc_id, d.text) for d in dict(corpus_pipeline.STAGES)["minhash near-dedup"](spark, docs, data).collect())
+    assert left == Counter([(1, text), (5, other), (7, "alone at last"), (8, None), (None, text), (9, "")])
+    out = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs, 5, 80, 100).collect())
+    assert out == Counter([(1, 1, True), (5, 1, False), (5, 5, True), (6, 5, False), (7, 7, True), (7, 7, True), (8, 8, True), (8, 8, True), (None, None, True), (9, 9, True)])
+
+
 def without_secrets(text: str) -> str:
     spans = sorted((m.start(), i, m.end(), r.kind) for i, r in enumerate(secrets.BASE + secrets.MORE) for m in re.finditer(r.pattern, text) if len(m[r.group]) >= r.at_least)
     out, at = "", 0
