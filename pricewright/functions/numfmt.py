@@ -11,7 +11,7 @@ from decimal import Decimal
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 def ten_places(x: float | None) -> str | None:
@@ -53,6 +53,18 @@ def plain_text(x: pd.Series) -> pd.Series:
     return x.map(plain)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def usd_texts(lists: pd.Series) -> pd.Series:
+    """usd_text of every entry of an array."""
+    return lists.map(lambda xs: None if xs is None else [ten_places(x) for x in xs])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def plain_texts(lists: pd.Series) -> pd.Series:
+    """plain_text of every entry of an array."""
+    return lists.map(lambda xs: None if xs is None else [plain(x) for x in xs])
+
+
 def number(text: Column) -> Column:
     """A price or amount as a double; null if it is no number."""
     return text.try_cast("double")

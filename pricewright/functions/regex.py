@@ -15,8 +15,19 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BYTES = 200
-#: Word anchors of the store's dialect without a namesake in Java.
-_ANCHORS = re.compile(r"\\[mMyY<>]|\[\[:[<>]:\]\]")
+#: Escapes of the store's dialect that Java writes otherwise: beginning and end of a word, either, neither, the very end.
+_ESCAPES = {"m": r"\b(?=\w)", "M": r"\b(?<=\w)", "y": r"\b", "Y": r"\B", "Z": r"\z"}
+_WORDS = {"[[:<:]]": _ESCAPES["m"], "[[:>:]]": _ESCAPES["M"]}
+#: Named classes inside brackets: in attribute patterns, which know all alphabets, and in description patterns, which
+#: know ASCII.
+_WIDE = {
+    "alpha": r"\p{IsAlphabetic}", "digit": r"\p{IsDigit}", "alnum": r"\p{IsAlphabetic}\p{IsDigit}", "upper": r"\p{IsUppercase}", "lower": r"\p{IsLowercase}", "space": r"\s\x85\p{Z}",
+    "blank": r" \t", "punct": r"\p{Punct}", "cntrl": r"\p{Cntrl}", "graph": r"\p{Graph}\p{IsAlphabetic}", "print": r"\p{Print}\p{IsAlphabetic}", "xdigit": "0-9A-Fa-f", "word": r"\p{IsAlphabetic}\p{IsDigit}_",
+}
+_ASCII = {
+    "alpha": "A-Za-z", "digit": "0-9", "alnum": "0-9A-Za-z", "upper": "A-Z", "lower": "a-z", "space": r"\x09-\x0D\x20", "blank": r"\x20\x09", "punct": r"!-/:-@\[-`{-~", "cntrl": r"\x00-\x1F\x7F",
+    "graph": "!-~", "print": r"\x20-~", "xdigit": "0-9A-Fa-f", "word": "0-9A-Za-z_", "ascii": r"\x00-\x7F",
+}
 
 
 def parse(pattern: str) -> tuple[str, bool] | None:
@@ -37,14 +48,51 @@ def check_length(pattern: str) -> None:
         raise ValueError(f"regular expression of more than {MAX_BYTES} bytes")
 
 
+def _bracket(body: str, at: int, classes: dict[str, str]) -> tuple[str, int]:
+    """The bracket expression that begins at ``at`` for Java and Python, and where it ends. Within it, signs that are
+    operators there are escaped, and named classes are written out."""
+    i, out = at + 1, "["
+    if body[i : i + 1] == "^":
+        i, out = i + 1, "[^"
+    first = i
+    while i < len(body):
+        c = body[i]
+        if c == "]" and i > first:
+            return out + "]", i + 1
+        if body.startswith("[:", i):
+            end = body.find(":]", i + 2)
+            name = body[i + 2 : end] if end > 0 else ""
+            negated = name.startswith("^")
+            if name.lstrip("^") not in classes or negated:
+                raise ValueError(f"no class of characters: {name}")
+            out, i = out + classes[name], end + 2
+        elif c == "\\":
+            out, i = out + body[i : i + 2], i + 2
+        else:
+            out, i = out + ("\\" + c if c in "[]&^" else c), i + 1
+    return body[at:], len(body)  # not closed: malformed for whoever compiles it
+
+
+def translated(body: str, classes: dict[str, str], end: str = r"\z", escapes: dict[str, str] | None = None) -> str:
+    """The expression with $ as the very end wherever it stands, and with the dialect's classes and escapes."""
+    out, i = "", 0
+    while i < len(body):
+        if escapes is not None and (word := body[i : i + 7]) in _WORDS:
+            out, i = out + _WORDS[word], i + 7
+        elif body[i] == "\\":
+            pair = body[i : i + 2]
+            out, i = out + (escapes or {}).get(pair[1:], pair), i + 2
+        elif body[i] == "[":
+            part, i = _bracket(body, i, classes)
+            out += part
+        else:
+            out, i = out + (end if body[i] == "$" else body[i]), i + 1
+    return out
+
+
 def to_java(body: str, ignore_case: bool) -> str:
-    """The expression for Java: a dot matches line ends, and $ only the very end."""
-    if _ANCHORS.search(body):
-        raise ValueError(f"word anchors are not supported: {body}")
-    ending = re.search(r"(\\*)\$$", body)
-    if ending and len(ending[1]) % 2 == 0:
-        body = body[:-1] + "\\z"
-    return ("(?is)" if ignore_case else "(?s)") + body
+    """The expression of an attribute pattern for Java: a dot matches line ends, and $ only the very end."""
+    return ("(?is)" if ignore_case else "(?s)") + translated(body, _WIDE, escapes=_ESCAPES)
 
 
 def compiles(pattern: str) -> bool:
@@ -66,7 +114,10 @@ def attribute_pattern(pattern: str) -> str | None:
     found = parse(pattern)
     if found is None or not found[0]:
         return None
-    return to_java(optional_prefix(found[0]), found[1])
+    try:
+        return to_java(optional_prefix(found[0]), found[1])
+    except ValueError:
+        return None
 
 
 def _groups(body: str, opening: str) -> list[tuple[int, int]]:
@@ -88,8 +139,8 @@ def _groups(body: str, opening: str) -> list[tuple[int, int]]:
 @lru_cache(maxsize=1024)
 def _compiled(body: str, ignore_case: bool) -> re.Pattern | None:
     try:
-        return re.compile(body, re.IGNORECASE if ignore_case else 0)
-    except re.error:
+        return re.compile(translated(body, _ASCII, r"\Z"), re.IGNORECASE if ignore_case else 0)
+    except (re.error, ValueError):
         return None
 
 
@@ -149,7 +200,10 @@ def description_test(pattern: str):
     if found is None or len(pattern.encode()) > MAX_BYTES or "(?!" in found[0] or "(?<!" in found[0]:
         return never
     body = optional_prefix(found[0]) if pattern.startswith("/") else found[0]
-    java = ("(?i)" if found[1] else "") + re.sub(r"(?<!\\)\$$", r"\\z", body)
+    try:
+        java = ("(?i)" if found[1] else "") + translated(body, _ASCII)
+    except ValueError:
+        return never
     return (lambda c: c.rlike(java)) if compiles(java) else never
 
 

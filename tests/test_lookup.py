@@ -26,9 +26,7 @@ def test_parse(pattern, want):
 
 def test_prefix_and_translation():
     assert regex.optional_prefix("\\-RDS") == "(^|-)RDS" and regex.optional_prefix("\\-") == "(^|-)" and regex.optional_prefix("RDS\\-") == "RDS\\-"
-    assert regex.to_java("a$", False) == "(?s)a\\z" and regex.to_java("a\\$", True) == "(?is)a\\$"
-    with pytest.raises(ValueError):
-        regex.to_java("\\mword", False)
+    assert regex.to_java("a$", False) == "(?s)a\\z" and regex.to_java("a\\$", True) == "(?is)a\\$" and regex.to_java("(a$|b)[$]", False) == "(?s)(a\\z|b)[$]"
     with pytest.raises(ValueError):
         regex.attribute_pattern("x" * 201)
 
@@ -38,6 +36,23 @@ def test_numbers(x, general, plain, ten):
     assert (numfmt.general(x), numfmt.plain(x), numfmt.ten_places(x)) == (general, plain, ten)
 
 
+@pytest.mark.parametrize(("pattern", "value", "want"), [
+    ("^[[:digit:]]+$", "123", True), ("^[[:digit:]]+$", "dig", False), ("/^[^[:space:]]+$/", "a b", False), ("/^[^[:space:]]+$/", "ab", True), ("/^[[:upper:][:digit:]_]+$/", "A_1", True), ("/^[]x[:alpha:]-]+$/", "a]-x", True),
+    ("/\\mlarge\\M/", "m5 large x", True), ("/\\mlarge\\M/", "xlarge", False), ("/[[:<:]]m5/", "a.m5", True), ("/[[:<:]]m5/", "am5", False), ("/\\yfoo\\Y/", "foobar", True), ("/(a$|b)/", "a\n", False), ("/(a$|b)/", "xa", True), ("/^[a&&b]$/", "&", True),
+])
+def test_attribute_patterns_of_the_store(spark, pattern, value, want):
+    row = spark.createDataFrame([(value,)], "v string")
+    assert row.select(regex.rlike(row.v, regex.attribute_pattern(pattern)).alias("x")).first().x is want
+
+
+@pytest.mark.parametrize(("pattern", "value", "want"), [("/^[[:digit:]]+$/", "12", True), ("/^[[:digit:]]+$/", "dig", False), ("/[[:nothing:]]/", "n", False), ("/(a$|b)/", "a\n", False), ("/^(?!.*Spot)[[:alpha:] ]+$/", "On Demand", True), ("/^(?!.*Spot)[[:alpha:] ]+$/", "D2", False)])
+def test_description_patterns_with_classes(spark, pattern, value, want):
+    assert regex.matches_description(pattern, value) is want
+    if not regex.emulated(pattern):
+        row = spark.createDataFrame([(value,)], "v string")
+        assert row.select(regex.description_test(pattern)(row.v).alias("x")).first().x is want
+
+
 def price(**given):
     return tuple(given.get(f, "") for f in PRICE_FIELDS)
 
