@@ -80,9 +80,12 @@ def operating_system(service: Column, name: Column) -> Column:
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
-    """Landed pages as rows with ``ord``, their order."""
-    rows = pages.withColumn("_page", F.monotonically_increasing_id()).select("_page", F.posexplode("Items").alias("_i", "item"))
-    return rows.select("item.*", (F.col("_page") * 1_000_000 + F.col("_i")).alias("ord"))
+    """Landed pages as rows with ``ord``, their order: service and page where the pages name them, else the file and the
+    row in it; and the place in the page. It is the same however the pages are dealt to tasks."""
+    named = {"service", "page"} <= set(pages.columns)
+    at = (F.col("service"), F.col("page").cast("long")) if named else (F.input_file_name(), F.monotonically_increasing_id())
+    rows = pages.select(at[0].alias("_from"), at[1].alias("_page"), "Items").select("_from", "_page", F.posexplode("Items").alias("_i", "item"))
+    return rows.select("item.*", F.struct("_from", "_page", "_i").alias("ord"))
 
 
 def products(rows: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Reading what has been fetched: offer files, pages, seed files, catalogs; and a data source that pages by itself.
 
-Vendors' APIs are read by the Python data source ``pages``: one partition per service, retries with growing pauses,
-a rate limit shared out over the partitions, and a status row for each service, so one that fails is counted and does
+Vendors' APIs are read by the Python data source ``pages``: as many services at once as the settings allow, retries with
+growing pauses, a rate limit and its burst shared out over them, and a status row for each service, so one that fails is counted and does
 not stop the others. Files that have been landed are read by Spark's own readers, with fixed schemas.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from pricewright.config import Settings
 from pricewright.schema import PRICE_FIELDS, SEED
 from pricewright.sources import aws, azure, gcp
 
@@ -30,6 +31,12 @@ def azure_rows(spark: SparkSession, path: str) -> DataFrame:
     return azure.from_pages(spark.read.schema(azure.PAGE).option("multiLine", True).json(path))
 
 
+def azure_answers(pages: DataFrame) -> DataFrame:
+    """Rows of what the data source ``pages`` has fetched; failed fetches have none."""
+    read = pages.where("body is not null").select("service", "page", F.from_json("body", azure.PAGE).alias("p"))
+    return azure.from_pages(read.select("service", "page", "p.Items"))
+
+
 def gcp_skus(spark: SparkSession, path: str) -> DataFrame:
     return gcp.from_pages(spark.read.schema(gcp.PAGE).option("multiLine", True).json(path))
 
@@ -86,15 +93,20 @@ def with_retries(fetch: Callable[[], str], tries: int = 5, pause: float = 10.0,
 
 
 class RateLimit:
-    """At most ``rate`` calls a second after a burst of ``burst``; give each partition its share of a common limit."""
+    """At most ``rate`` calls a second after a burst of ``burst``; a part of a common limit, whose burst may be 0, saves up
+    one call at most."""
 
     def __init__(self, rate: float, burst: int, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
         self.rate, self.burst, self.clock, self.sleep = rate, burst, clock, sleep
         self.tokens, self.at = float(burst), clock()
 
+    def share(self, i: int, n: int) -> RateLimit:
+        """The limit of the i-th of ``n`` callers: all together call as often as this limit lets one."""
+        return RateLimit(self.rate / n, self.burst // n + (i < self.burst % n), self.clock, self.sleep)
+
     def wait(self) -> None:
         now = self.clock()
-        self.tokens, self.at = min(self.burst, self.tokens + (now - self.at) * self.rate), now
+        self.tokens, self.at = min(max(1, self.burst), self.tokens + (now - self.at) * self.rate), now
         if self.tokens < 1:
             self.sleep((1 - self.tokens) / self.rate)
             self.tokens, self.at = 1.0, self.clock()
@@ -105,20 +117,22 @@ def odata_quoted(name: str) -> str:
     return "'" + name.replace("'", "''") + "'"
 
 
-class _Service(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
+class _Services(InputPartition):
+    def __init__(self, number: int, names: list[str]):
+        self.number, self.names = number, names
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.services = [s for s in options.get("services", "").split(";") if s]
         self.url, self.next = options["url"], options.get("next", "NextPageLink")
-        self.rate = RateLimit(float(options.get("rate", 20)) / max(1, len(self.services)), int(options.get("burst", 5)))
+        self.at_once = max(1, min(len(self.services), int(options.get("concurrency", 8))))
+        self.per_second, self.burst = float(options.get("rate", 20)), int(options.get("burst", 5))
         self.tries, self.pause = int(options.get("tries", 5)), float(options.get("pause", 10))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Service(s) for s in self.services]
+        """As many as may be read at once; each reads its services one after another, within its share of the limit."""
+        return [_Services(i, self.services[i :: self.at_once]) for i in range(self.at_once if self.services else 0)]
 
     def _fetch(self, url: str) -> str:
         from urllib import error, request
@@ -131,24 +145,31 @@ class _Reader(DataSourceReader):
         except OSError as e:
             raise Failed(str(e)) from e
 
-    def read(self, partition: _Service) -> Iterator[tuple]:
+    def read(self, partition: _Services) -> Iterator[tuple]:
+        limit = RateLimit(self.per_second, self.burst).share(partition.number, self.at_once)
+        for name in partition.names:
+            yield from self._pages(name, limit)
+
+    def _pages(self, service: str, limit: RateLimit) -> Iterator[tuple]:
         from urllib.parse import quote
 
-        url, n = self.url.replace("{service}", quote(odata_quoted(partition.name))), 0
+        first, n = self.url.replace("{service}", quote(odata_quoted(service))), 0
+        url = first
         try:
             while url:
-                self.rate.wait()
+                limit.wait()
                 page = with_retries(lambda url=url: self._fetch(url), self.tries, self.pause)
-                yield partition.name, n, page, None
+                yield service, n, page, None
                 link, n = json.loads(page).get(self.next) or "", n + 1
-                url = link if "://" in link or not link else f"{self.url.replace('{service}', quote(odata_quoted(partition.name)))}&pageToken={quote(link)}"
+                url = link if "://" in link or not link else f"{first}&pageToken={quote(link)}"
         except (Failed, ValueError) as e:
-            yield partition.name, n, None, str(e)
+            yield service, n, None, str(e)
 
 
 class Pages(DataSource):
     """``spark.read.format("pages")``: service, page, body, error. Options: services (by semicolons), url with
-    ``{service}``, next (the field of the next page's link or token), rate, burst, tries, pause."""
+    ``{service}``, next (the field of the next page's link or token), concurrency (services read at once), rate and burst
+    (of all together), tries, pause."""
 
     @classmethod
     def name(cls) -> str:
@@ -161,5 +182,12 @@ class Pages(DataSource):
         return _Reader(self.options)
 
 
+def pages(spark: SparkSession, vendor: str, services: list[str], url: str, settings: Settings | None = None, **options: str) -> DataFrame:
+    """What a vendor's API says about ``services``, as many at once as the settings have for the vendor."""
+    spark.dataSource.register(Pages)
+    at_once = (settings or Settings()).concurrency_for(vendor)
+    return spark.read.format("pages").options(services=";".join(services), url=url, concurrency=str(at_once), **options).load()
+
+
 def failed_services(pages: DataFrame) -> int:
     return pages.where("error is not null").select("service").distinct().count()

@@ -3,6 +3,7 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricewright.functions.hashing import price_hash, product_hash
 from pricewright.sources import aws, azure, gcp, landed
@@ -92,6 +93,14 @@ def test_gcp_machine_types(spark):
     assert r.product_family == "Compute Instance"
 
 
+def test_gcp_sku_that_appears_twice_stays_two_products(spark):
+    twice = [sku("Egress", tiers=[(0.0, "0", 0), (1.0, "0", 120000000)])] * 2
+    rows = gcp.products(spark.createDataFrame(twice, gcp.SKU).repartition(3)).collect()
+    assert len(rows) == 2 and all([p.startUsageAmount for p in r.prices] == ["0", "1"] for r in rows)
+    plan = gcp.products(spark.createDataFrame(twice, gcp.SKU))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
 def dim(usd=None, cny=None, unit="Hrs", begin="0", end="Inf", text="d"):
     return {"unit": unit, "pricePerUnit": {k: v for k, v in (("USD", usd), ("CNY", cny)) if v is not None}, "beginRange": begin, "endRange": end, "description": text}
 
@@ -166,6 +175,37 @@ def test_retries_and_rate():
     assert landed.odata_quoted("it's") == "'it''s'"
 
 
+def test_azure_order_is_that_of_pages_however_they_are_dealt(spark):
+    pages = [("B", n, [item(retailPrice=0.1 * n + 0.01 * i, isPrimaryMeterRegion=True, meterName=f"m{i}") for i in range(3)]) for n in range(40)]
+    rows = spark.createDataFrame(pages, T.StructType([T.StructField("service", T.StringType()), T.StructField("page", T.IntegerType()), azure.PAGE["Items"]]))
+    one = sorted((tuple(r.ord), r.retailPrice) for r in azure.from_pages(rows.coalesce(1)).collect())
+    many = sorted((tuple(r.ord), r.retailPrice) for r in azure.from_pages(rows.repartition(30)).collect())
+    assert one == many and [o[0][1:] for o in one] == [(n, i) for n in range(40) for i in range(3)]
+
+
+def test_shares_of_a_rate_limit_hold_its_burst():
+    for burst, n in ((5, 8), (5, 2), (5, 72), (1, 1)):
+        shares = [landed.RateLimit(20, burst, lambda: 0.0).share(i, n) for i in range(n)]
+        assert sum(s.tokens for s in shares) == burst and sum(s.rate for s in shares) == pytest.approx(20)
+    now, waited = [0.0], []
+    late = landed.RateLimit(20, 5, lambda: now[0], lambda s: (waited.append(s), now.__setitem__(0, now[0] + s))).share(7, 8)
+    late.wait()
+    late.wait()
+    assert waited == [pytest.approx(0.4)] * 2
+
+
+def test_services_are_read_as_many_at_once_as_the_settings_allow(spark, tmp_path):
+    from pricewright.config import Settings
+
+    for name in "ABCDE":
+        (tmp_path / f"'{name}'").write_text(json.dumps({"Items": [{"retailPrice": 1.0, "serviceName": name}], "NextPageLink": ""}))
+    asked = {"rate": "1000", "tries": "1", "pause": "0"}
+    found = landed.pages(spark, "azure", [*"ABCDE", "Gone"], f"file://{tmp_path}/{{service}}", Settings(concurrency_azure=2), **asked)
+    assert found.rdd.getNumPartitions() == 2 and landed.failed_services(found) == 1
+    rows = landed.azure_answers(found).collect()
+    assert sorted(r.serviceName for r in rows) == list("ABCDE") and {r.ord[0] for r in rows} == set("ABCDE")
+
+
 def test_paging_data_source(spark, tmp_path):
     (tmp_path / "p2").write_text(json.dumps({"Items": [{"retailPrice": 2.0}], "NextPageLink": ""}))
     (tmp_path / "%27A%27").write_text(json.dumps({"Items": [{"retailPrice": 1.0}], "NextPageLink": f"file://{tmp_path}/p2"}))
