@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Callable, Iterable
 from datetime import UTC, datetime
 from typing import Protocol
@@ -9,11 +12,13 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricewright.config import Settings
 from pricewright.model import BudgetSpent, PriceFilter, ProductFilter
 from pricewright.plans import query, runs, store
-from pricewright.schema import RUN
+from pricewright.sources import landed
 
-BATCH_REQUESTS, BUDGET = 50, 5_000
+BUDGET = 5_000
+LATE = "query timeout exceeded"
 
 
 class Source(Protocol):
@@ -47,39 +52,78 @@ class Budget:
         self.left += reserved - used
 
 
+class Deadline:
+    """A time that all requests of a batch share: what has not begun by then does not begin, and what runs is cancelled."""
+
+    def __init__(self, spark: SparkSession, seconds: float | None):
+        self.context, self.tag = spark.sparkContext, f"lookup-{uuid.uuid4().hex}"
+        self.at = None if seconds is None else time.monotonic() + seconds
+        self._timer: threading.Timer | None = None
+
+    def passed(self) -> bool:
+        return self.at is not None and time.monotonic() >= self.at
+
+    def __enter__(self) -> Deadline:
+        if self.at is not None:
+            self.context.addJobTag(self.tag)
+            self._timer = threading.Timer(max(0.0, self.at - time.monotonic()), self.context.cancelJobsWithTag, [self.tag])
+            self._timer.daemon = True
+            self._timer.start()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        if self._timer is not None:
+            self._timer.cancel()
+            self.context.removeJobTag(self.tag)
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None)):
-        self.spark, self.clock = spark, clock
+    def __init__(self, spark: SparkSession, path: str, clock: Callable[[], datetime] = lambda: datetime.now(UTC).replace(tzinfo=None), settings: Settings | None = None):
+        self.spark, self.clock, self.settings = spark, clock, settings or Settings()
         self.store = store.ProductStore(spark, f"{path}/products")
         self.path = path
-        self.runs = spark.createDataFrame([], RUN)
+        self.ledger = runs.Ledger(spark, f"{path}/runs")
         self._seen = store.SeenSets(spark, f"{path}/seen")
 
+    @property
+    def runs(self) -> DataFrame:
+        return self.ledger.read()
+
     @property
     def seen(self) -> DataFrame:
         return self._seen.read()
 
-    def _kept(self, df: DataFrame) -> DataFrame:
-        """A small ledger as a relation of its own, so that its plan does not grow with its history."""
-        return self.spark.createDataFrame(df.collect(), df.schema)
+    def budget(self) -> Budget:
+        """What one request may take by the settings."""
+        return Budget(self.settings.products_per_request, self.settings.lookups_per_request)
 
     def seed(self, products: DataFrame) -> int:
         """Loads products outside any run: the next clean run of their vendor deletes those it does not bring."""
         return self.store.upsert(products, F.lit(self.clock()).cast("timestamp"))
 
-    def ingest(self, source: Source, snapshots: bool = False) -> tuple[int, str, int]:
+    def reap(self) -> None:
+        """Runs that were left running too long have failed: to be called now and then, and before each run."""
+        now = F.lit(self.clock()).cast("timestamp")
+        if not runs.reaped(self.runs, now).exceptAll(self.runs).isEmpty():
+            self.ledger.update(lambda ledger, _: (runs.reaped(ledger, now), 0))
+
+    def ingest(self, source: Source, snapshots: bool | None = None) -> tuple[int, str, int]:
         """One run of a vendor: run id, status, deleted products. Skipped (id 0) if another holds its lock."""
-        if not self.store.locked(source.name):
+        began = self.clock()
+        if not self.store.locked(source.name, began):
             return 0, "skipped", 0
+        snapshots = self.settings.snapshots if snapshots is None else snapshots
         try:
-            began = self.clock()
-            ledger, run_id = runs.start(self.runs, source.name, began)
-            self.runs, ingested, deleted = self._kept(ledger), 0, 0
+            self.reap()
+            run_id = self.ledger.update(lambda ledger, n: runs.start(ledger, source.name, began, n))
+            ingested, deleted = 0, 0
             try:
                 for batch in source.batches(self.spark):
                     products = batch.persist()  # read once: counted, upserted, marked
                     ingested += products.count()  # before repeats are dropped: the guards below rest on that
-                    now = F.lit(self.clock()).cast("timestamp")
+                    at = self.clock()
+                    self.store.renew(source.name, at)
+                    now = F.lit(at).cast("timestamp")
                     self.store.upsert(store.one_per_product(products), now)
                     self._seen.mark(run_id, products)
                     if snapshots:
@@ -100,29 +144,58 @@ class Engine:
             self.store.unlock(source.name)
 
     def _finish(self, run_id: int, status: str, products: int, deleted: int, error: str | None = None) -> tuple[int, str, int]:
-        done = runs.finish(self.runs, run_id, self.clock(), status, products, deleted, error)
-        self.runs = self._kept(runs.pruned(done, F.lit(self.clock()).cast("timestamp")))
+        at = self.clock()
+        self.ledger.update(lambda ledger, _: (runs.pruned(runs.finish(ledger, run_id, at, status, products, deleted, error), F.lit(at).cast("timestamp")), run_id))
+        self._prune_snapshots()
         return run_id, status, deleted
 
+    def _prune_snapshots(self) -> None:
+        """Price history goes with its run, a folder for each."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshots")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if files.exists(folder):
+            known = {r.id for r in self.runs.select("id").collect()}
+            for s in files.listStatus(folder):
+                name, _, n = s.getPath().getName().partition("=")
+                if name == "scrape_run_id" and int(n) not in known:
+                    files.delete(s.getPath(), True)
+
+    def snapshots(self) -> DataFrame:
+        """The price history: scrape_run_id, product_hash, prices, recorded_at."""
+        empty = store.snapshots(self.store.plain().limit(0), 0, F.lit(None).cast("timestamp"))
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshots")
+        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+            return empty
+        return self.spark.read.schema(empty.schema).parquet(f"{self.path}/snapshots").select(*empty.columns)
+
     def products(self, f: ProductFilter, prices: PriceFilter | None = None) -> DataFrame:
         """One page, lazily; must name a vendor and a service."""
         query.guard(f)
         return query.filter_prices(query.plan_products(self.store.read(), f), prices)
 
-    def answer(self, requests: list[tuple[ProductFilter, PriceFilter | None]], budget: Budget | None = None) -> list:
-        """Rows of each request in turn, or the error that it ran into; all share a budget."""
-        if len(requests) > BATCH_REQUESTS:
-            raise ValueError(f"more than {BATCH_REQUESTS} requests")
-        budget, out = budget or Budget(), []
-        for f, prices in requests:
-            try:
-                query.guard(f)
-                n = budget.reserve(f.limit)
-                rows = query.filter_prices(query.plan_products(self.store.read(), ProductFilter(**{**f.__dict__, "limit": n})), prices).collect()
-                budget.refund(n, len(rows))
-                out.append(rows)
-            except (ValueError, BudgetSpent) as e:
-                out.append(e)
+    def answer(self, requests: list[tuple[ProductFilter, PriceFilter | None]], budget: Budget | None = None, seconds: float | None = None) -> list:
+        """Rows of each request in turn, or the error that it ran into; all share a budget and ``seconds`` (by default those
+        of the settings), after which the rest are errors and what has been found is still returned."""
+        if len(requests) > self.settings.batch_requests:
+            raise ValueError(f"more than {self.settings.batch_requests} requests")
+        budget, out = budget or self.budget(), []
+        with Deadline(self.spark, self.settings.query_seconds if seconds is None else seconds) as deadline:
+            for f, prices in requests:
+                if deadline.passed():
+                    out.append(TimeoutError(LATE))
+                    continue
+                try:
+                    query.guard(f)
+                    n = budget.reserve(f.limit)
+                    rows = query.filter_prices(query.plan_products(self.store.read(), ProductFilter(**{**f.__dict__, "limit": n})), prices).collect()
+                    budget.refund(n, len(rows))
+                    out.append(rows)
+                except (ValueError, BudgetSpent) as e:
+                    out.append(e)
+                except Exception:
+                    if not deadline.passed():
+                        raise
+                    out.append(TimeoutError(LATE))
         return out
 
     def as_json(self, products: DataFrame) -> DataFrame:
@@ -130,5 +203,11 @@ class Engine:
         shown = query.sorted_attributes(products).select(*query.COLUMNS)
         return shown.select(F.to_json(F.struct(*query.COLUMNS)).alias("product"))
 
+    def catalog(self, path: str, if_none_match: str | None = None) -> tuple[int, str, str]:
+        """Status, ETag and body of a request for the definition files under ``path``."""
+        return landed.catalog_response(landed.catalog_bundle(landed.catalog(self.spark, path)), if_none_match)
+
     def status(self, now: datetime | None = None) -> DataFrame:
-        return runs.vendor_status(self.runs, F.lit(now or self.clock()).cast("timestamp"))
+        """A row per vendor: its state, its products, and when it was last read, as text."""
+        found = runs.vendor_status(self.runs, F.lit(now or self.clock()).cast("timestamp"))
+        return found.withColumn("last_scraped", runs.rfc3339(F.col("last_finished"))).drop("last_finished")

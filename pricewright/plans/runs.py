@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricewright.schema import RUN, VENDORS
 
 REAP_AFTER, STALE_AFTER, KEEP_FOR, ERROR_CHARS = timedelta(hours=6), timedelta(hours=48), timedelta(days=30), 2000
 REAPED = "reaped: exceeded timeout"
+#: After so long, a claim on a file of the ledger is given up.
+CLAIM_SECONDS = 60
 
 
-def start(runs: DataFrame, vendor: str, now: datetime) -> tuple[DataFrame, int]:
-    """The ledger with a new running run, and its id."""
-    run_id = (runs.agg(F.max("id")).first()[0] or 0) + 1
+def start(runs: DataFrame, vendor: str, now: datetime, run_id: int | None = None) -> tuple[DataFrame, int]:
+    """The ledger with a new running run, and its id: ``run_id``, or the next one."""
+    run_id = run_id or (runs.agg(F.max("id")).first()[0] or 0) + 1
     row = runs.sparkSession.createDataFrame([(run_id, vendor, now, None, "running", 0, 0, None)], RUN)
     return runs.unionByName(row), run_id
 
@@ -48,11 +54,22 @@ def pruned_snapshots(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def latest(runs: DataFrame, vendor: str = "vendor") -> DataFrame:
-    """Of each vendor: the status of its latest run, and of its latest success the number of products and the end."""
+    """Of each vendor: the status of its latest run, of its latest success the number of products and the end, and when the
+    latest run ended, or the latest success where that one has not."""
     good = F.col("status") == "success"
     last = F.max_by(F.struct("products", "finished_at"), F.when(good, F.col("id")))
-    found = runs.groupBy(vendor).agg(F.max_by("status", "id").alias("latest_status"), F.max(good).alias("saw_success"), last.alias("_s"))
-    return found.select(vendor, "latest_status", "saw_success", F.col("_s.products").alias("success_products"), F.col("_s.finished_at").alias("finished_at"))
+    found = runs.groupBy(vendor).agg(F.max_by("status", "id").alias("latest_status"), F.max(good).alias("saw_success"), last.alias("_s"), F.max_by("finished_at", "id").alias("_end"))
+    return found.select(vendor, "latest_status", "saw_success", F.col("_s.products").alias("success_products"), F.col("_s.finished_at").alias("finished_at"), F.coalesce("_end", "_s.finished_at").alias("last_finished"))
+
+
+def rfc3339(at: Column) -> Column:
+    """A time of a session in UTC as text: 2024-01-31T00:00:00Z."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def freshness(runs: DataFrame) -> DataFrame:
+    """When each vendor's last success ended."""
+    return runs.where("status = 'success'").groupBy("vendor").agg(F.max("finished_at").alias("last_finished"))
 
 
 def state(now: Column) -> Column:
@@ -89,3 +106,83 @@ def may_clean(failed_services: int, previous: int, current: int) -> bool:
 
 def seen_complete(seen: int, ingested: int) -> bool:
     return seen > 0 and seen >= ingested // 2
+
+
+class Ledger:
+    """The runs in a folder, so that they outlive the driver: each change is a new file, whose number only one writer can
+    take; who comes second reads again. Ids are never given twice, whatever has been pruned."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def _numbers(self) -> list[int]:
+        if not self._fs.exists(self._at("")):
+            return []
+        return sorted(int(n) for s in self._fs.listStatus(self._at("")) if (n := s.getPath().getName()).isdigit())
+
+    def _state(self) -> tuple[int, dict]:
+        """The number of the last file, and what it says: the next id and the runs."""
+        held = self._numbers()
+        if not held:
+            return 0, {"next": 1, "runs": []}
+        said = self.spark.read.text(f"{self.path}/{held[-1]}", wholetext=True).first()
+        return held[-1], json.loads(said.value)
+
+    def _frame(self, state: dict) -> DataFrame:
+        times = [i for i, f in enumerate(RUN.fields) if f.dataType.typeName() == "timestamp"]
+        rows = [[datetime.fromisoformat(v) if i in times and v else v for i, v in enumerate(r)] for r in state["runs"]]
+        return self.spark.createDataFrame(rows, RUN)
+
+    def read(self) -> DataFrame:
+        return self._frame(self._state()[1])
+
+    def update(self, change: Callable[[DataFrame, int], tuple[DataFrame, int]]) -> int:
+        """Puts ``change(runs, next id)``, the runs and an id, in place of the runs, and returns the id."""
+        while True:
+            n, state = self._state()
+            after, run_id = change(self._frame(state), state["next"])
+            rows = [[v.isoformat() if isinstance(v, datetime) else v for v in r] for r in after.collect()]
+            if self._put(n + 1, {"next": max([state["next"], run_id + 1, *(r[0] + 1 for r in rows)]), "runs": rows}):
+                for old in self._numbers()[:-2]:
+                    self._fs.delete(self._at(str(old)), False)
+                return run_id
+
+    def _put(self, n: int, state: dict) -> bool:
+        """Writes a file aside and gives it its number, unless another has."""
+        self._fs.mkdirs(self._at(""))
+        aside = self._at(f"_{uuid.uuid4().hex}")
+        out = self._fs.create(aside)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        claim = self._at(f"_claim-{n}")
+        try:
+            if not created(self._fs, claim, ""):
+                if time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 > CLAIM_SECONDS:
+                    self._fs.delete(claim, False)  # its writer is gone
+                time.sleep(0.1)
+                return False
+            try:
+                return not self._fs.exists(self._at(str(n))) and bool(self._fs.rename(aside, self._at(str(n))))
+            finally:
+                self._fs.delete(claim, False)
+        finally:
+            self._fs.delete(aside, False)
+
+
+def created(fs, path, text: str) -> bool:
+    """Makes a file that must not exist; False if it does. Any other failure of the store is raised."""
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        out = fs.create(path, False)
+    except Py4JJavaError as e:
+        if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True

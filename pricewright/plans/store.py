@@ -10,16 +10,22 @@ changes nothing writes nothing.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterable
+from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pricewright.plans.runs import REAP_AFTER, created
 from pricewright.schema import HOT_KEYS, PRODUCT
 
 BATCH = 1_000
+#: A version's rows. Read with it, a service or vendor of digits stays text.
+STORED = T.StructType([*PRODUCT.fields, T.StructField("updated_at", T.TimestampType()), *(T.StructField(f"attr_{k}", T.StringType()) for k in HOT_KEYS)])
 
 
 def canonical(products: DataFrame) -> DataFrame:
@@ -118,7 +124,7 @@ class ProductStore:
     """The products of a directory. One writer at a time: ``locked`` makes a file that only one can make."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.owner = spark, path.rstrip("/"), uuid.uuid4().hex
         self._jvm = spark._jvm
         self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -145,24 +151,28 @@ class ProductStore:
         for n, vendor, service in self.manifest():
             held.setdefault(n, {}).setdefault(vendor, []).append(service)
         if not held:
-            return self.spark.createDataFrame([], PRODUCT).withColumns({"updated_at": F.lit(None).cast("timestamp")} | {f"attr_{k}": F.lit(None).cast("string") for k in HOT_KEYS})
+            return self.spark.createDataFrame([], STORED)
         parts = []
         for n, vendors in sorted(held.items()):
             mine = [(F.col("vendor_name") == v) & F.col("service").isin(*s) for v, s in sorted(vendors.items())]
-            parts.append(self.spark.read.parquet(f"{self.path}/v{n}").where(reduce(lambda a, b: a | b, mine)))
+            parts.append(self.spark.read.schema(STORED).parquet(f"{self.path}/v{n}").where(reduce(lambda a, b: a | b, mine)))
         return union(parts)
 
     def plain(self) -> DataFrame:
         """The current products without the hot columns."""
         return self.read().select(*PRODUCT.fieldNames(), "updated_at")
 
-    def write(self, products: DataFrame, touched: set[tuple[str, str]] | None = None) -> int:
-        """A new version in which ``products`` take the place of the ``touched`` partitions, or of all."""
+    def write(self, products: DataFrame, touched: set[tuple[str, str]] | None = None, unless: Observation | None = None) -> int:
+        """A new version in which ``products`` take the place of the ``touched`` partitions, or of all; the version as it
+        was if ``unless``, an observation of ``products`` with ``n``, has counted none."""
         n = self.version() + 1
         hot = {f"attr_{k}": F.col("attributes")[k] for k in HOT_KEYS}
         rows = products.withColumns(hot).sortWithinPartitions("vendor_name", "service", "region", "product_hash")
         rows.write.mode("overwrite").partitionBy("vendor_name", "service").parquet(f"{self.path}/v{n}")
-        there = self.spark.read.schema(rows.schema).parquet(f"{self.path}/v{n}").select("vendor_name", "service").distinct().collect()
+        if unless is not None and not unless.get.get("n", 0):
+            self._fs.delete(self._at(f"v{n}"), True)
+            return n - 1
+        there = self.spark.read.schema(STORED).parquet(f"{self.path}/v{n}").select("vendor_name", "service").distinct().collect()
         kept = [] if touched is None else [p for p in self.manifest() if (p[1], p[2]) not in touched]
         listed = sorted(kept + [(n, r.vendor_name, r.service) for r in there])
         pointers = self._at("_current")
@@ -179,10 +189,11 @@ class ProductStore:
         touched = {(r.vendor_name, r.service) for r in products.select("vendor_name", "service").distinct().collect()}
         if not touched:
             return self.version()
-        after = merged(self._of(touched), canonical(products), now)
-        if after.where(F.col("updated_at").eqNullSafe(now)).isEmpty():
-            return self.version()
-        n = self.write(after, touched)
+        written = Observation()
+        after = merged(self._of(touched), canonical(products), now).observe(written, F.count_if(F.col("updated_at").eqNullSafe(now)).alias("n"))
+        before, n = self.version(), self.write(after, touched, written)
+        if n == before:
+            return n
         return self.write(self.plain()) if len({p[0] for p in self.manifest()}) > versions else n
 
     def _of(self, partitions: set[tuple[str, str]]) -> DataFrame:
@@ -197,24 +208,53 @@ class ProductStore:
         touched = {(v, s) for _, v, s in self.manifest() if v == vendor}
         if not touched:
             return 0
-        gone = stale(self._of(touched), vendor, start, seen).count()
-        if gone:
-            self.write(without_stale(self._of(touched), vendor, start, seen), touched)
-        return gone
+        deleted, gone = Observation(), (F.col("vendor_name") == vendor) & (F.col("updated_at") < start) & F.col("_seen").isNull()
+        marked = self._of(touched).join(seen.select("product_hash").distinct().withColumn("_seen", F.lit(True)), "product_hash", "left").withColumn("_gone", gone)
+        marked = marked.observe(deleted, F.count_if("_gone").alias("n"))
+        self.write(marked.where("not coalesce(_gone, false)").drop("_seen", "_gone"), touched, deleted)
+        return deleted.get.get("n", 0)
 
     def count(self) -> int:
         return self.read().count()
 
-    def locked(self, vendor: str) -> bool:
-        """Takes the vendor's lock; False if it is held."""
-        try:
-            self._fs.mkdirs(self._at("_locks"))
-            return bool(self._fs.createNewFile(self._at(f"_locks/{vendor}")))
-        except Exception:
+    def locked(self, vendor: str, now: datetime | None = None, after: timedelta = REAP_AFTER) -> bool:
+        """Takes the vendor's lock; False if another holds it. One that was taken or renewed longer than ``after`` ago has
+        been left behind and is taken over. A store that cannot be reached is an error, not a lock."""
+        now, lock = now or datetime.now(), self._at(f"_locks/{vendor}")
+        self._fs.mkdirs(self._at("_locks"))
+        if created(self._fs, lock, self._claim(now)):
+            return True
+        held = self._holder(vendor)
+        if held and now - datetime.fromisoformat(held["at"]) <= after:
+            return False
+        aside = self._at(f"_locks/_{uuid.uuid4().hex}")  # only one of those who find it can move it
+        if not self._fs.rename(lock, aside):
             return False
+        self._fs.delete(aside, False)
+        return created(self._fs, lock, self._claim(now))
+
+    def _claim(self, now: datetime) -> str:
+        return json.dumps({"owner": self.owner, "at": now.isoformat()})
+
+    def _holder(self, vendor: str) -> dict | None:
+        if not self._fs.exists(self._at(f"_locks/{vendor}")):
+            return None
+        try:
+            rows = self.spark.read.text(f"{self.path}/_locks/{vendor}", wholetext=True).collect()
+            return json.loads(rows[0].value) if rows else None
+        except ValueError:
+            return None
+
+    def renew(self, vendor: str, now: datetime) -> None:
+        """Tells that the holder is still there."""
+        out = self._fs.create(self._at(f"_locks/{vendor}"), True)
+        out.write(bytearray(self._claim(now).encode()))
+        out.close()
 
     def unlock(self, vendor: str) -> None:
-        self._fs.delete(self._at(f"_locks/{vendor}"), False)
+        """Gives back a lock that this store took."""
+        if (held := self._holder(vendor)) is None or held["owner"] == self.owner:
+            self._fs.delete(self._at(f"_locks/{vendor}"), False)
 
     def drop_versions(self, keep: int = 2) -> None:
         """Deletes all pointers but the last ``keep``, and directories that none of these lists."""

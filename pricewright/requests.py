@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
 
-from pricewright.engine import BATCH_REQUESTS, Budget, Engine
+from pricewright.engine import LATE, Budget, Deadline, Engine
 from pricewright.model import AttributeFilter, BudgetSpent, PriceFilter, ProductFilter
 from pricewright.plans import query
 from pricewright.schema import PRICE_FIELDS
@@ -289,9 +289,20 @@ def run(engine: Engine, request: dict, budget: Budget | None = None, introspecti
     return {"data": data} | ({"errors": errors} if errors else {})
 
 
-def batch(engine: Engine, requests: list[dict], budget: Budget | None = None, **options) -> list[dict]:
-    """Answers in order; all requests share a budget."""
-    if len(requests) > BATCH_REQUESTS:
-        raise RequestError(f"more than {BATCH_REQUESTS} requests")
-    budget = budget or Budget()
-    return [run(engine, r, budget, **options) for r in requests]
+def batch(engine: Engine, requests: list[dict], budget: Budget | None = None, seconds: float | None = None, **options) -> list[dict]:
+    """Answers in order; all requests share a budget and ``seconds`` (by default those of the engine's settings): those that
+    have not been answered by then say so, and the others stand."""
+    if len(requests) > engine.settings.batch_requests:
+        raise RequestError(f"more than {engine.settings.batch_requests} requests")
+    budget, out = budget or engine.budget(), []
+    options = {"introspection": engine.settings.introspection, "max_depth": engine.settings.query_depth} | options
+    late = {"data": None, "errors": [{"message": LATE}]}
+    with Deadline(engine.spark, engine.settings.query_seconds if seconds is None else seconds) as deadline:
+        for r in requests:
+            try:
+                out.append(late if deadline.passed() else run(engine, r, budget, **options))
+            except Exception:
+                if not deadline.passed():
+                    raise
+                out.append(late)
+    return out

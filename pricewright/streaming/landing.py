@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from pricewright.plans.store import ProductStore
+from pricewright.plans.store import ProductStore, one_per_product
 
 
 def landed(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 64) -> DataFrame:
@@ -22,7 +22,7 @@ def load(files: DataFrame, transform: Callable[[DataFrame], DataFrame], store: P
 
     def handle(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            store.upsert(transform(batch).dropDuplicates(["product_hash"]), now())
+            store.upsert(one_per_product(transform(batch)), now())
 
     out = files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out).start()

@@ -167,3 +167,105 @@ def test_an_upsert_writes_only_what_it_touches(spark, tmp_path):
     assert {n for n, *_ in target.manifest()} == {5} and target.count() == 3
     target.drop_versions(1)
     assert target.count() == 3
+
+
+def test_a_new_engine_knows_the_runs_of_the_last(spark, tmp_path):
+    clock = Clock()
+    assert Engine(spark, f"{tmp_path}/a", clock).ingest(Fixed("aws", [product(f"h{i}") for i in range(10)]), snapshots=True) == (1, "success", 0)
+    again = Engine(spark, f"{tmp_path}/a", clock)
+    assert again.ingest(Fixed("aws", [product(f"h{i}") for i in range(3)]), snapshots=True) == (2, "success", 0)  # 3 < 10 // 2: no clean-up
+    assert again.store.count() == 10 and sorted(r.id for r in Engine(spark, f"{tmp_path}/a", clock).runs.collect()) == [1, 2]
+    assert {r.scrape_run_id: r["count"] for r in again.snapshots().groupBy("scrape_run_id").count().collect()} == {1: 10, 2: 3}
+
+
+def test_pruned_runs_take_their_snapshots_and_ids_go_on(spark, tmp_path):
+    clock = Clock()
+    engine = Engine(spark, f"{tmp_path}/p", clock)
+    assert engine.snapshots().count() == 0
+    engine.ingest(Fixed("aws", [product("h1")]), snapshots=True)
+    clock.now += timedelta(days=40)
+    assert Engine(spark, f"{tmp_path}/p", clock).ingest(Fixed("gcp", [product("g", vendor="gcp")]), snapshots=True)[0] == 2
+    assert [(r.id, r.vendor) for r in engine.runs.collect()] == [(2, "gcp")]
+    assert [r.scrape_run_id for r in engine.snapshots().collect()] == [2]
+
+
+def test_a_crashed_run_is_reaped_and_its_lock_taken_over(spark, tmp_path):
+    clock = Clock()
+    crashed = Engine(spark, f"{tmp_path}/c", clock)
+    assert crashed.store.locked("aws", clock())
+    crashed.ledger.update(lambda ledger, n: runs.start(ledger, "aws", clock(), n))
+    engine = Engine(spark, f"{tmp_path}/c", clock)
+    assert engine.ingest(Fixed("aws", [product("h1")])) == (0, "skipped", 0)
+    clock.now += timedelta(hours=7)
+    assert engine.ingest(Fixed("aws", [product("h1")])) == (2, "success", 0)
+    assert {r.id: (r.status, r.error) for r in engine.runs.collect()} == {1: ("failed", "reaped: exceeded timeout"), 2: ("success", None)}
+    crashed.store.unlock("aws")
+    assert engine.ingest(Fixed("aws", [product("h1")]))[1] == "success"
+
+
+def test_a_lock_of_another_is_not_given_back(spark, tmp_path):
+    a, b = store.ProductStore(spark, f"{tmp_path}/l"), store.ProductStore(spark, f"{tmp_path}/l")
+    assert a.locked("aws", T0) and not b.locked("aws", T0 + timedelta(hours=1)) and b.locked("aws", T0 + timedelta(hours=7))
+    a.unlock("aws")
+    assert not a.locked("aws", T0 + timedelta(hours=8))
+    b.unlock("aws")
+    assert a.locked("aws", T0 + timedelta(hours=8))
+    broken = store.ProductStore(spark, "/proc/nowhere")
+    with pytest.raises(Exception, match="."):
+        broken.locked("aws")
+
+
+def test_two_writers_of_the_ledger(spark, tmp_path):
+    one, two = runs.Ledger(spark, f"{tmp_path}/r"), runs.Ledger(spark, f"{tmp_path}/r")
+
+    def slow(ledger, n):
+        if not ledger.count():  # another run starts while this one is being written down
+            two.update(lambda other, m: runs.start(other, "gcp", T0, m))
+        return runs.start(ledger, "aws", T0, n)
+
+    assert one.update(slow) == 2
+    assert [(r.id, r.vendor) for r in one.read().orderBy("id").collect()] == [(1, "gcp"), (2, "aws")]
+
+
+def test_services_of_digits_stay_text(spark, tmp_path):
+    target = store.ProductStore(spark, f"{tmp_path}/d")
+    row = product("h1")[:4] + ("007", *product("h1")[5:])
+    target.upsert(spark.createDataFrame([row], PRODUCT), F.lit(T0).cast("timestamp"))
+    assert target.read().first().service == "007" and target.upsert(spark.createDataFrame([row], PRODUCT), F.lit(T0 + timedelta(days=1)).cast("timestamp")) == 1
+
+
+def test_a_batch_has_one_deadline(spark, tmp_path, monkeypatch):
+    from pricewright import requests
+    from pricewright.config import Settings
+
+    engine = Engine(spark, f"{tmp_path}/t", Clock(), Settings(batch_requests=3))
+    engine.seed(spark.createDataFrame([product(f"h{i}") for i in range(4)], PRODUCT))
+    f = ProductFilter("aws", "ec2", limit=2)
+    assert [type(x) for x in engine.answer([(f, None)] * 2, seconds=0)] == [TimeoutError] * 2
+    slow, calls = engine.store.read, []
+
+    def read():
+        calls.append(1)
+        if len(calls) == 2:  # the second lookup outlasts the batch
+            return spark.range(4, numPartitions=1).mapInPandas(lambda it: (x for x in it if not __import__("time").sleep(30)), "id long").crossJoin(slow()).drop("id")
+        return slow()
+
+    monkeypatch.setattr(engine.store, "read", read)
+    got = engine.answer([(f, None)] * 3, seconds=6)
+    assert len(got[0]) == 2 and [type(x) for x in got[1:]] == [TimeoutError] * 2
+    with pytest.raises(ValueError):
+        engine.answer([(f, None)] * 4)
+    one = {"query": '{ products(filter: {vendorName: "aws", service: "ec2"}) { sku } }'}
+    assert requests.batch(engine, [one], seconds=0) == [{"data": None, "errors": [{"message": "query timeout exceeded"}]}]
+
+
+def test_status_and_catalog(spark, tmp_path):
+    clock = Clock()
+    engine = Engine(spark, f"{tmp_path}/s", clock)
+    engine.ingest(Fixed("aws", [product("h1")]))
+    rows = {r.vendor: (r.status, r.last_scraped) for r in engine.status().collect()}
+    assert rows["gcp"] == ("never", None) and rows["aws"][0] == "ready" and rows["aws"][1].startswith("2024-01-01T00:0") and rows["aws"][1].endswith("Z")
+    (tmp_path / "defs" / "aws").mkdir(parents=True)
+    (tmp_path / "defs" / "aws" / "x.toml").write_text('kind = "x"\n')
+    status, etag, body = engine.catalog(f"{tmp_path}/defs")
+    assert status == 200 and '"count": 1' in body and engine.catalog(f"{tmp_path}/defs", etag)[0] == 304
