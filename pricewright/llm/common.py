@@ -8,15 +8,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of at most a few dozen bytes that may be broadcast; a side with more is joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Rows in an Arrow batch of whole documents, and bytes where Spark can count them.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+#: Spark's setting to delete a query's shuffle files when it ends.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,22 +50,40 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def saved(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+def saved(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, computes it once, survives lost executors.
 
-    Spark deletes the shuffle files of a job when the driver's collector finds its plan unused; ``free`` has it look
-    now, after a job that shuffled much.
+    The rows that the write counted and those that the read finds must agree, and the write's marker must be there, so
+    that a lost or half-written folder is an error and never an empty table. ``rows_of`` knows the count from then on.
+    The write's shuffle files go with it.
     """
     spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    if free:
-        spark._jvm.System.gc()
+    path, wrote = new_path(spark, label), Observation()
+    before = spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        df.observe(wrote, F.count(F.lit(1)).alias("n")).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FREED, before)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     table = spark.read.schema(df.schema).parquet(path)
-    table._saved_path = path
+    there, n = table.count(), wrote.get.get("n", 0)
+    if there != n or not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+        raise RuntimeError(f"{path} holds {there} rows of the {n} that were written")
+    table._saved_path, table._rows = path, n
     return table
 
 
+def rows_of(df: DataFrame, upto: int) -> int:
+    """The number of rows of ``df``, counted no further than ``upto`` + 1 unless ``saved`` has counted them."""
+    known = getattr(df, "_rows", None)
+    return df.limit(upto + 1).count() if known is None else known
+
+
+def is_empty(df: DataFrame) -> bool:
+    return rows_of(df, 0) == 0
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes tables that ``saved`` made and that nothing still to run reads: what was made of them is saved, too."""
     for t in tables:
@@ -73,11 +94,33 @@ def discard(*tables: DataFrame) -> None:
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else unmarked, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if rows_of(df, rows) <= rows else df
+
+
+def free(taken: Iterable[str], *names: str) -> list[str]:
+    """Each of ``names``, with underscores after it while a column in ``taken`` has it, in any case: what an operator
+    adds never replaces a column of its input."""
+    used, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever signs are in their names."""
+    return [F.col(quoted(c)) for c in df.columns]
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of documents small, whatever the longest text."""
+    """Keep Arrow batches small, whatever the longest text. Every operator that uses Arrow sets the same size, as plans
+    are lazy and run under what was set last."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -91,7 +134,7 @@ def blocked(rows: DataFrame, key: list[str], block: int) -> DataFrame:
     than ``block`` rows share ``key``; then each row goes to every pair of blocks that its own is part of."""
     large = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where(f"m > {block}").select(*key, F.ceil(F.col("m") / block).cast("int").alias("parts"))
     large = saved(large, "large")
-    if large.isEmpty():
+    if is_empty(large):
         return rows.withColumns({"x": F.lit(0), "y": F.lit(0), "own": F.lit(0)})
     joined = rows.join(small(large), key, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     other = joined.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -109,7 +152,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     left = saved(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels: DataFrame | None = None
     for _ in count():
-        if left.isEmpty():
+        if is_empty(left):
             break
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = saved(both.groupBy("a").agg(F.min("b").alias("n")).select(F.col("a").alias("id"), F.least("a", "n").alias("to")), "map")

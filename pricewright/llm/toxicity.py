@@ -9,11 +9,13 @@ Learning is bounded: of the labelled rows that ``learns`` admits, at most FIT_RO
 their doc_id, so the same rows each time. Their texts stay on the executors, which send word counts and features.
 The rows are dealt by hash into three folds, so that no part learns from what another has memorised: a row's features
 come from a lexicon of the other two folds, trees are fitted on two folds and calibrated on the third, and texts are
-scored with the lexicon of all three.
+scored with the lexicon of all three. Nothing in this depends on how many rows there are.
 
-Cases: a null or empty text has all features 0 and a score like any other; a label is used once per doc_id, repeated
-rows count each; without any positive or negative label the score is the share of positives (0 without labels); an
-empty table gives an empty result; other columns are left alone.
+Cases: a null or empty text has all features 0 and a score like any other; a label is used once per doc_id (the highest,
+if it repeats; null labels and labels of a null doc_id not at all), repeated rows of a labelled document count each;
+without any positive or negative label the score is the share of positives (0 without labels); an empty table gives an
+empty result; other columns are left alone, and where one has the name of the score, the score gets underscores after
+its name.
 """
 
 from __future__ import annotations
@@ -25,13 +27,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pricewright.llm.common import bounded_batches, documents, saved, small
+from pricewright.llm.common import bounded_batches, documents, free, saved, small
 from pricewright.llm.textkernel import BLANK, NOT_LETTER, split_words, text_bytes
 
-#: Bounds of what is learned from, and of the lexicon.
-FIT_ROWS, LEXICON_WORDS = 24_000, 6_000
+#: Labelled rows that are learned from, at most.
+FIT_ROWS = 24_000
 FOLDS = 3
+#: Toxic texts, at least, that a lexicon word stands in, and the log odds that it has, at least.
+SEEN, ODDS = 3, 2.0
 THRESHOLD = 0.7
 #: Insults to start from, and words of address in the corpus' languages.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash clown clowns worthless pathetic disgusting dumb jerk fool imbecile bastard crap damn shut hate ugly filthy vermin"
@@ -168,11 +173,12 @@ class Trees:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The non-decreasing fit of y on score, by pooling adjacent violators: knots to interpolate between."""
-    order = np.argsort(score, kind="stable")
+    """The non-decreasing fit of y on score, by pooling adjacent violators: knots to interpolate between. Equal scores
+    are one point, so that one odd label among many rows of a score does not become the value of that score."""
+    points, at = np.unique(score, return_inverse=True)
     blocks: list[list[float]] = []  # sum, count, first score, last score
-    for s, v in zip(score[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([v, 1, s, s])
+    for s, v, m in zip(points.tolist(), np.bincount(at, y, len(points)).tolist(), np.bincount(at, minlength=len(points)).tolist(), strict=True):
+        blocks.append([v, m, s, s])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             v2, n2, _, hi = blocks.pop()
             blocks[-1] = [blocks[-1][0] + v2, blocks[-1][1] + n2, blocks[-1][2], hi]
@@ -217,7 +223,7 @@ def _learn_lexicons(rows: DataFrame) -> list[Lexicon]:
     found = {r._fold: (r.bad, r.n) for r in rows.groupBy("_fold").agg(F.sum("toxic").alias("bad"), F.count("toxic").alias("n")).collect()}
     of = lambda c, k: F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0)).alias(f"{c}{k}")
     counted = rows.select("text", "toxic", "_fold").mapInArrow(task, "level int, h long, fold int, bad long, good long").groupBy("level", "h").agg(*(of(c, k) for c in ("bad", "good") for k in range(FOLDS)))
-    counted = saved(counted.where(" + ".join(f"bad{k}" for k in range(FOLDS)) + " >= 2"), "counts")
+    counted = saved(counted.where(" + ".join(f"bad{k}" for k in range(FOLDS)) + f" >= {SEEN}"), "counts")
     out = []
     for left_out in [*range(FOLDS), None]:
         used = [k for k in range(FOLDS) if k != left_out]
@@ -225,7 +231,7 @@ def _learn_lexicons(rows: DataFrame) -> list[Lexicon]:
         bad, good = (sum((F.col(f"{c}{k}") for k in used[1:]), F.col(f"{c}{used[0]}")) for c in ("bad", "good"))
         odds = F.log((F.col("bad") + 0.25) / (n_bad + 1.0)) - F.log((F.col("good") + 0.25) / (n - n_bad + 1.0))
         seen = counted.select("level", "h", bad.alias("bad"), good.alias("good")).withColumn("odds", odds)
-        top = seen.where(f"bad >= {2 if n < 2_000 else 3} and odds >= 2").orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "level", "h").limit(LEXICON_WORDS).collect()
+        top = seen.where((F.col("bad") >= SEEN) & (F.col("odds") >= ODDS)).collect()  # bounded by the words of FIT_ROWS texts
         made = Lexicon()
         for level in range(len(PREFIXES)):
             mine = sorted((np.int64(r.h).view(np.uint64), r.odds) for r in top if r.level == level)
@@ -262,7 +268,12 @@ def train(docs: DataFrame, labels: DataFrame, learns: str = "pmod(crc32(cast(cas
     trees = Trees()
     if len(set(y[a])) == 2:
         trees.fit(x[a], y[a].astype(float))
-        knots = isotonic(1 / (1 + np.exp(-trees.raw(x[b]))), y[b].astype(float)) if len(set(y[b])) == 2 else None
+        if len(set(y[b])) < 2:
+            return Model(lexicons[-1], trees, None)
+        p = 1 / (1 + np.exp(-trees.raw(x[b])))
+        knots = isotonic(p, y[b].astype(float))
+        if abs(np.interp(p, *knots).mean() - y[b].mean()) > 1e-6:
+            raise RuntimeError("the calibrated scores do not average to the labels that they were fitted on")
         return Model(lexicons[-1], trees, knots)
     share = float(y.mean()) if len(y) else 0.0
     trees.bias = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
@@ -270,17 +281,18 @@ def train(docs: DataFrame, labels: DataFrame, learns: str = "pmod(crc32(cast(cas
 
 
 def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """``docs`` with the model's score of each whole text."""
+    """``docs`` with the model's score of each whole text, as the last column."""
     bounded_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON_WORDS hashes and some thousand numbers
-    at = docs.columns.index("text")
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by FIT_ROWS texts
+    at, column = docs.columns.index("text"), free(docs.columns, column)[0]
+    names = [*docs.columns, column]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column(column, pa.array(sent.value.score(batch.column(at))))
+            yield pa.record_batch([*batch.columns, pa.array(sent.value.score(batch.column(at)), pa.float64())], names=names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(task, f"{schema}, `{column}` double")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots are no names to mapInArrow
+    return plain.mapInArrow(task, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
