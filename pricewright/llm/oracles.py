@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pricewright.llm import secrets
-
 _WORD = "[^\\x20\\x09-\\x0D]+"
 _AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -47,16 +45,28 @@ s AS (SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(q.e, c.e)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5"""
 
 
+#: The contract's three kinds and those that are added: name, gap before a match, match, group whose length counts,
+#: and the least length.
+_SECRETS = (
+    ("assign", "(.*?)", """(?i:(password|passwd|secret|token|api_?key))["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", "(.*?)", "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", "(.*?)", "[0-9a-f]+", 0, 32),
+    ("pem", "(.*?)", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("forge", "(.*?)", "gh[opsu]_[A-Za-z0-9]{36,}", 0, 40),
+    ("webtoken", "(.*?(?:^|[^A-Za-z0-9_-]))", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 30),
+)
+
+
 def secret_spans() -> str:
-    parts, counts = [], []
-    for i, r in enumerate(secrets.BASE + secrets.MORE):
-        pattern = f"(?s)(.*?)({r.pattern})".replace("'", "''")
-        value = f"regexp_extract_all(text, '{pattern}', {r.group + 2})" if r.group else "h"
-        parts.append(f"""SELECT doc_id, {i} AS rank, '{r.kind}' AS kind, {r.at_least} AS least, g, h, {value} AS v FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}', 1) AS g, regexp_extract_all(text, '{pattern}', 2) AS h FROM d)""")
-        if r in secrets.BASE:
-            counts.append(f"CAST(count(*) FILTER (WHERE kind = '{r.kind}') AS BIGINT) AS n_{r.kind}")
+    parts, counts, base = [], [], ("assign", "access", "hex")
+    for i, (kind, gap, match, group, least) in enumerate(_SECRETS):
+        pattern = f"(?s){gap}({match})".replace("'", "''")
+        value = f"regexp_extract_all(text, '{pattern}', {group + 2})" if group else "h"
+        parts.append(f"""SELECT doc_id, {i} AS rank, '{kind}' AS kind, {least} AS least, g, h, {value} AS v FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}', 1) AS g, regexp_extract_all(text, '{pattern}', 2) AS h FROM d)""")
+        if kind in base:
+            counts.append(f"CAST(count(*) FILTER (WHERE kind = '{kind}') AS BIGINT) AS n_{kind}")
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), m AS ({" UNION ALL ".join(parts)}),
 p AS (SELECT *, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS a FROM m, range(1, len(g) + 1) t(i)),
 s AS (SELECT doc_id, rank, kind, a, kind || ':' || a || ':' || (a + length(h[i])) AS t FROM p WHERE length(v[i]) >= least),
-f AS (SELECT doc_id, {", ".join(counts)}, string_agg(t, ',' ORDER BY a, rank) FILTER (WHERE rank < {len(secrets.BASE)}) AS base, string_agg(t, ',' ORDER BY a, rank) AS spans FROM s GROUP BY 1)
-SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (doc_id)"""
+f AS (SELECT doc_id, {", ".join(counts)}, string_agg(t, ',' ORDER BY a, rank) FILTER (WHERE rank < {len(base)}) AS base, string_agg(t, ',' ORDER BY a, rank) AS spans FROM s GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (doc_id)"""

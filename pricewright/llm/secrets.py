@@ -10,8 +10,9 @@ runs) is matched against every document. Trigrams are compared in lower case, wh
 Matches are leftmost and do not overlap within a rule; those that fail the rule's length are dropped after matching,
 as they have used up their characters. Positions are in code points, ends exclusive.
 
-Cases: null texts are empty; documents with equal doc_id are told apart by their text's hash; an empty table gives an
-empty result; other columns are left alone.
+Cases: null texts are empty; every row is judged by its own text, whatever its doc_id; a text is passed a fixed number of
+times however long it is, and its matches are summed in blocks; an empty table gives an empty result; other columns are
+left alone, and where one has the name of a column that is added, that one gets underscores after its name.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ except ImportError:  # pragma: no cover
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import documents
+from pricewright.llm.common import columns, documents, free
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,7 @@ BASE = (
 MORE = (
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
     Rule("forge", "gh[opsu]_[A-Za-z0-9]{36,}", 0, 40),
-    Rule("webtoken", "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 30),
+    Rule("webtoken", "(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++[.]eyJ[A-Za-z0-9_-]++[.][A-Za-z0-9_-]++", 0, 30),  # a run is read once
 )
 
 #: Strings that a part may stand for before it counts as unknown.
@@ -109,7 +110,7 @@ def _part(op, value) -> tuple[frozenset[str] | None, Query]:
         parts = [_walk(x) for x in value[1]]
         known = None if any(s is None for s, _ in parts) else frozenset().union(*(s for s, _ in parts))
         return (known if known is not None and len(known) <= _FEW else None), _or([_and([q, _needs(s)]) if s is not None else q for s, q in parts])
-    if op in (sc.MAX_REPEAT, sc.MIN_REPEAT):
+    if op in (sc.MAX_REPEAT, sc.MIN_REPEAT, sc.POSSESSIVE_REPEAT):
         low, high, inner = value
         strings, query = _walk(inner)
         if low == 0 and high == 1 and strings is not None:
@@ -117,7 +118,7 @@ def _part(op, value) -> tuple[frozenset[str] | None, Query]:
         if low == high and strings is not None and low <= 8 and len(strings) ** low <= _FEW:
             return reduce(lambda a, _: frozenset(x + y for x in a for y in strings), range(low), frozenset([""])), query
         return None, query if low else ALL
-    return (frozenset([""]), ALL) if op is sc.AT else (None, ALL)
+    return (frozenset([""]), ALL) if op in (sc.AT, sc.ASSERT, sc.ASSERT_NOT) else (None, ALL)
 
 
 def trigram_query(pattern: str) -> Query:
@@ -129,67 +130,81 @@ def trigrams(query: Query) -> set[str]:
     return {query[1]} if query[0] == "has" else set().union(*map(trigrams, query[1])) if len(query) > 1 else set()
 
 
-def _holds(query: Query, bit: dict[str, int]) -> Column:
-    """The query as a condition on the column _bits; the words of bits are 60 trigrams each."""
+#: Trigrams in one word of a bit set.
+_WORD_BITS = 60
+
+
+def _holds(query: Query, bit: dict[str, int], words: list[str]) -> Column:
+    """The query as a condition on bit sets, the columns ``words`` of _WORD_BITS trigrams each."""
     if query == ALL:
         return F.lit(True)
     if query[0] == "has":
         n = bit[query[1]]
-        return F.col(f"_bits{n // 60}").bitwiseAND(F.lit(1 << n % 60)) != 0
-    return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), (_holds(q, bit) for q in query[1]))
+        return F.col(words[n // _WORD_BITS]).bitwiseAND(F.lit(1 << n % _WORD_BITS)) != 0
+    return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), (_holds(q, bit, words) for q in query[1]))
+
+
+def vocabulary_of(rules: tuple[Rule, ...]) -> list[str]:
+    """The trigrams that the rules' queries ask for, in the order of their numbers."""
+    return sorted(set().union(*(trigrams(trigram_query(r.pattern)) for r in rules)))
 
 
 def postings(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """The inverted index over the trigrams of ``vocabulary``: _tri (its number), and the document's doc_id and _hash."""
+    """The inverted index as a table: trigram (its number) and doc_id, for documents that are told apart by doc_id."""
     lower = F.lower(F.coalesce("text", F.lit("")))
-    held = F.array_compact(F.array(*(F.when(F.contains("_lower", F.lit(t)), F.lit(i)) for i, t in enumerate(vocabulary))))
-    return docs.select("doc_id", "_hash", lower.alias("_lower")).select("doc_id", "_hash", F.explode(held).alias("_tri")).distinct()
+    held = F.array_compact(F.array(*(F.when(F.contains("lower", F.lit(t)), F.lit(i)) for i, t in enumerate(vocabulary))))
+    return docs.select("doc_id", lower.alias("lower")).select(F.explode(held).alias("trigram"), "doc_id").distinct()
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...], vocabulary: list[str]) -> DataFrame:
-    """doc_id, _hash and, as an array of kinds, the rules whose query the document's postings satisfy."""
-    bit = {t: i for i, t in enumerate(vocabulary)}
-    words = [F.bit_or(F.expr(f"if(_tri between {60 * w} and {60 * w + 59}, shiftleft(1L, _tri - {60 * w}), 0L)")).alias(f"_bits{w}") for w in range(-(-len(vocabulary) // 60))]
-    united = index.groupBy("doc_id", "_hash").agg(*words)
-    kinds = F.array_compact(F.array(*(F.when(_holds(trigram_query(r.pattern), bit), F.lit(r.kind)) for r in rules)))
-    return united.select("doc_id", "_hash", kinds.alias("_kinds")).where(F.size("_kinds") > 0)
+    """doc_id and kinds: the rules whose query the postings of a table satisfy, intersected and united by document."""
+    n = -(-len(vocabulary) // _WORD_BITS)
+    low = lambda w: w * _WORD_BITS
+    words = [F.bit_or(F.expr(f"if(trigram between {low(w)} and {low(w + 1) - 1}, shiftleft(1L, trigram - {low(w)}), 0L)")).alias(f"bits{w}") for w in range(n)]
+    bit, names = {t: i for i, t in enumerate(vocabulary)}, [f"bits{w}" for w in range(n)]
+    kinds = F.array_compact(F.array(*(F.when(_holds(trigram_query(r.pattern), bit, names), F.lit(r.kind)) for r in rules)))
+    return index.groupBy("doc_id").agg(*words).select("doc_id", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
 def _found(rule: Rule, text: Column) -> Column:
-    """The rule's matches in order, as structs of gap (text before it since the last), match and ok (long enough)."""
+    """The rule's matches in order, as structs of gap (characters before it since the last), match (its characters) and ok
+    (long enough)."""
     lazy = F.lit(f"(?s)\\G(.*?)({rule.pattern})")  # \\G: from the end of the last match, so a text is passed once
-    gaps, hits = F.regexp_extract_all(text, lazy, F.lit(1)), F.regexp_extract_all(text, lazy, F.lit(2))
-    parts = F.regexp_extract_all(text, lazy, F.lit(rule.group + 2)) if rule.group else hits
-    return F.zip_with(F.arrays_zip(gaps.alias("gap"), hits.alias("match")), parts, lambda x, p: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), (F.length(p) >= rule.at_least).alias("ok")))
-
-
-def _spans(found: Column, order: int, kind: str) -> Column:
-    """Structs (start, rank, kind, end) of the matches that are long enough."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,rank:int,kind:string,end:long>>").alias("spans"))
-
-    def step(acc: Column, m: Column) -> Column:
-        a = acc["at"] + F.length(m["gap"])
-        b = a + F.length(m["match"])
-        span = F.struct(a.alias("start"), F.lit(order).alias("rank"), F.lit(kind).alias("kind"), b.alias("end"))
-        return F.struct(b.alias("at"), F.when(m["ok"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
-
-    return F.aggregate(found, start, step)["spans"]
-
-
-def scanned(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """``docs`` with, for each rule, a column _<kind> of its matches (see _found); empty where its query fails."""
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    vocabulary = sorted(set().union(*map(trigrams, queries.values())))
-    indexed = tuple(r for r in rules if queries[r.kind] != ALL)
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    able = candidates(postings(keyed, vocabulary), indexed, vocabulary).select(F.col("doc_id").alias("_doc"), F.col("_hash").alias("_h"), "_kinds")
-    joined = keyed.join(able, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_h")), "left")
-    text = F.coalesce("text", F.lit(""))
-    none = F.array().cast("array<struct<gap:string,match:string,ok:boolean>>")
-    for r in rules:
-        found = _found(r, text)
-        joined = joined.withColumn(f"_{r.kind}", F.when(F.array_contains("_kinds", r.kind), found).otherwise(none) if r in indexed else found)
-    return joined.drop("_hash", "_doc", "_h", "_kinds")
+    size = lambda group: F.transform(F.regexp_extract_all(text, lazy, F.lit(group)), lambda x: F.length(x).cast("long"))
+    hits = F.arrays_zip(size(1).alias("gap"), size(2).alias("match"))
+    return F.zip_with(hits, size(rule.group + 2), lambda x, n: F.struct(x["gap"].alias("gap"), x["match"].alias("match"), (n >= rule.at_least).alias("ok")))
+
+
+def _before(values: Column, step, block: int = 128) -> Column:
+    """For each of ``values`` (numbers, none negative), ``step`` taken over all before it, from 0: in blocks, so that no
+    long array is copied once per entry."""
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<array<bigint>>")
+    cut = F.when(F.size(values) == 0, none).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / block).cast("int")), lambda i: F.slice(values, i * block + 1, block)))
+    running = lambda part, first: F.aggregate(part, F.array(first), lambda acc, v: F.concat(acc, F.array(step(F.element_at(acc, -1), v))))
+    bases = running(F.transform(cut, lambda part: F.aggregate(part, zero, step)), zero)
+    return F.flatten(F.zip_with(cut, F.slice(bases, 1, F.size(bases) - 1), lambda part, first: F.slice(running(part, first), 1, F.size(part))))
+
+
+def _spans(found: str, at: str, order: int, kind: str) -> Column:
+    """Structs (start, rank, kind, end) of the matches that are long enough; ``at``: what comes before each."""
+    both = F.zip_with(found, at, lambda m, a: F.struct((a + m["gap"]).alias("start"), F.lit(order).alias("rank"), F.lit(kind).alias("kind"), (a + m["gap"] + m["match"]).alias("end"), m["ok"].alias("ok")))
+    return F.transform(F.filter(both, lambda s: s["ok"]), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+
+def scanned(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> tuple[DataFrame, list[str]]:
+    """``docs`` with, for each rule, a column of its spans (start, rank, kind, end), empty where its query fails; and the
+    names of these columns."""
+    queries, vocabulary = {r.kind: trigram_query(r.pattern) for r in rules}, vocabulary_of(rules)
+    text, lower, *names = free(docs.columns, "_text", "_lower", *(f"_{r.kind}" for r in rules), *(f"_{r.kind}_at" for r in rules), *(f"_bits{w}" for w in range(-(-len(vocabulary) // _WORD_BITS))))
+    spans, at, words = names[: len(rules)], names[len(rules) : 2 * len(rules)], names[2 * len(rules) :]
+    out = docs.withColumn(text, F.coalesce("text", F.lit(""))).withColumn(lower, F.lower(text))
+    held = [F.when(F.contains(lower, F.lit(t)), F.lit(1 << i % _WORD_BITS)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(vocabulary)]
+    out = out.withColumns({w: reduce(Column.bitwiseOR, held[i * _WORD_BITS : (i + 1) * _WORD_BITS]) for i, w in enumerate(words)}).drop(lower)
+    bit, none = {t: i for i, t in enumerate(vocabulary)}, F.array().cast("array<struct<gap:bigint,match:bigint,ok:boolean>>")
+    out = out.withColumns({c: F.when(_holds(queries[r.kind], bit, words), _found(r, F.col(text))).otherwise(none) for c, r in zip(spans, rules, strict=True)}).drop(text, *words)
+    out = out.withColumns({a: F.transform(c, lambda m: m["gap"] + m["match"]) for a, c in zip(at, spans, strict=True)})
+    out = out.withColumns({a: _before(F.col(a), lambda x, y: x + y) for a in at})
+    return out.withColumns({c: _spans(c, a, i, r.kind) for i, (c, a, r) in enumerate(zip(spans, at, rules, strict=True))}).drop(*at), spans
 
 
 def _written(spans: Column) -> Column:
@@ -198,12 +213,10 @@ def _written(spans: Column) -> Column:
 
 def secret_spans(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:
     """``docs`` with n_<kind> for the base kinds, base_spans and spans (kind:start:end, by start, then kind as listed)."""
-    rules = base + more
-    out = scanned(docs, rules)
-    out = out.withColumns({f"_{r.kind}": _spans(F.col(f"_{r.kind}"), i, r.kind) for i, r in enumerate(rules)})
-    n = {f"n_{r.kind}": F.size(f"_{r.kind}").cast("long") for r in base}
-    out = out.withColumns(n | {"base_spans": _written(F.concat(*(F.col(f"_{r.kind}") for r in base))), "spans": _written(F.concat(*(F.col(f"_{r.kind}") for r in rules)))})
-    return out.drop(*(f"_{r.kind}" for r in rules))
+    out, spans = scanned(docs, base + more)
+    *n, base_spans, all_spans = free(out.columns, *(f"n_{r.kind}" for r in base), "base_spans", "spans")
+    out = out.withColumns({c: F.size(s).cast("long") for c, s in zip(n, spans, strict=False)} | {base_spans: _written(F.concat(*spans[: len(base)])), all_spans: _written(F.concat(*spans))})
+    return out.drop(*spans)
 
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
@@ -211,17 +224,15 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFram
 
     Spans of all rules are taken together by start; one that begins inside another only lengthens what is cut out.
     """
-    found = scanned(docs, rules).withColumn("_spans", F.array_sort(F.concat(*(_spans(F.col(f"_{r.kind}"), i, r.kind) for i, r in enumerate(rules)))))
-    text = F.col("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    rebuilt = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
-    out = found.withColumn("text", F.when(F.size("_spans") > 0, rebuilt).otherwise(text))
-    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*docs.columns)
+    out, spans = scanned(docs, rules)
+    found, reach = free(out.columns, "_spans", "_reach")
+    out = out.withColumn(found, F.array_sort(F.concat(*spans))).drop(*spans).withColumn(reach, F.transform(found, lambda s: s["end"]))
+    out = out.withColumn(reach, F.when(F.size(found) > 0, F.concat(_before(F.col(reach), lambda x, y: F.greatest(x, y)), F.array(F.array_max(reach)))))
+    cut = lambda a, n=None: F.substr("text", (a + 1).cast("int"), n.cast("int")) if n is not None else F.substr("text", (a + 1).cast("int"))
+    part = F.zip_with(found, F.slice(reach, 1, F.size(found)), lambda s, r: F.when(s["start"] >= r, F.concat(cut(r, s["start"] - r), F.lit("["), s["kind"], F.lit("]"))).otherwise(""))
+    rebuilt = F.concat(F.array_join(part, ""), cut(F.element_at(reach, -1)))
+    out = out.withColumn("text", F.when(F.size(found) > 0, rebuilt).otherwise(F.col("text")))
+    return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(*columns(docs))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
