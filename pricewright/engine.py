@@ -199,9 +199,7 @@ class Engine:
         return out
 
     def as_json(self, products: DataFrame) -> DataFrame:
-        """Products as one JSON text each, attributes by key, absent prices as an empty array."""
-        shown = query.sorted_attributes(products).select(*query.COLUMNS)
-        return shown.select(F.to_json(F.struct(*query.COLUMNS)).alias("product"))
+        return query.as_json(products)
 
     def catalog(self, path: str, if_none_match: str | None = None) -> tuple[int, str, str]:
         """Status, ETag and body of a request for the definition files under ``path``."""

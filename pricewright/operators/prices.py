@@ -79,11 +79,6 @@ def tier_ends(starts: Column) -> Column:
     return F.transform(starts, lambda x, i: F.coalesce(F.get(starts, i + 1), F.lit("")))
 
 
-def lowest(products: DataFrame, keys: list) -> DataFrame:
-    """The lowest price that is not zero, by ``keys``, of exploded prices."""
-    return products.where("USD <> '0.0000000000'").groupBy(*keys).agg(F.min(number(F.col("USD"))).alias("min_usd"))
-
-
 def max_nonzero_price(prices: Column) -> Column:
     """The highest price of an array that is not zero, null if there is none."""
     return F.array_max(F.filter(F.transform(prices, lambda p: number(p["USD"])), lambda x: x != 0))

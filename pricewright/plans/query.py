@@ -72,3 +72,8 @@ def guard(f: ProductFilter) -> None:
 def sorted_attributes(products: DataFrame) -> DataFrame:
     """Attributes as an array of key and value, by key."""
     return products.withColumn("attributes", F.array_sort(F.map_entries("attributes")))
+
+
+def as_json(products: DataFrame) -> DataFrame:
+    """Products as one JSON text each, attributes by key, absent prices as an empty array."""
+    return sorted_attributes(products).select(*COLUMNS).select(F.to_json(F.struct(*COLUMNS)).alias("product"))

@@ -113,6 +113,8 @@ _looked_up("filter_equality", ProductFilter(vendor_name="aws", service="Brand#20
 _looked_up("filter_region_excludes_global", ProductFilter(**_HERE), f"{_IN} AND region = 'NATION_9' AND {_OWN}")
 _looked_up("filter_attr_containment", ProductFilter("aws", "Brand#20", attribute_filters=(AttributeFilter("os", "Linux"),)), f"{_IN} AND a_os = 'Linux'")
 _looked_up("filter_same_key_two_values", ProductFilter("aws", "Brand#20", attribute_filters=(AttributeFilter("os", "Linux"), AttributeFilter("os", "Windows"))), f"{_IN} AND a_os = 'Linux' AND a_os = 'Windows'")
+_looked_up("filter_two_keys", ProductFilter("aws", "Brand#20", attribute_filters=(AttributeFilter("os", "Linux"), AttributeFilter("size", "4"))), f"{_IN} AND a_os = 'Linux' AND a_size = '4'")
+_looked_up("filter_regex_classes", ProductFilter("aws", attribute_filters=(AttributeFilter("usagetype", value_regex="/^[[:upper:]][[:alpha:]]+\\-.* \\mbolt$/"),)), "vendor_name = 'aws' AND regexp_matches(a_usagetype, '^[A-Z][A-Za-z]+-.* bolt$')")
 _looked_up("filter_attr_regex", ProductFilter("aws", attribute_filters=(AttributeFilter("name", value_regex="/^(red|old) .*t$/"),)), "vendor_name = 'aws' AND regexp_matches(a_name, '^(red|old) .*t$')")
 _looked_up("filter_attr_regex_ci", ProductFilter("aws", attribute_filters=(AttributeFilter("usagetype", value_regex="/^gLOBAL-.*BOLT/i"),)), "vendor_name = 'aws' AND regexp_matches(a_usagetype, '^gLOBAL-.*BOLT', 'i')")
 _looked_up("filter_regex_prefix_norm", ProductFilter("gcp", attribute_filters=(AttributeFilter("usagetype", value_regex="/\\-small [bg]/"),)), "vendor_name = 'gcp' AND regexp_matches(a_usagetype, '(^|-)small [bg]')")
@@ -207,14 +209,11 @@ def _(spark, d):
     return rows.select(*_KEY, F.size("prices").cast("long").alias("n_prices"), F.get(usd, 0).alias("first_usd"), F.array_join(usd, ",").alias("all_usd"))
 
 
-@_add("min_price_by_family", f"""WITH {LINES} SELECT product_family, region, "purchaseOption" AS purchaseoption, min(CAST("USD" AS DOUBLE)) AS min_usd FROM lines_v WHERE "USD" <> '0.0000000000' GROUP BY 1, 2, 3""")
-def _(spark, d):
-    return P.lowest(lines_v(spark, d), ["product_family", "region", F.col("purchaseOption").alias("purchaseoption")])
-
-
 @_add("max_nonzero_price", f"""{PRODUCTS} SELECT product_hash, max(CAST("USD" AS DOUBLE)) FILTER (WHERE CAST("USD" AS DOUBLE) <> 0) AS max_usd FROM prices_v GROUP BY 1""")
 def _(spark, d):
-    return products_v(spark, d).select("product_hash", P.max_nonzero_price(F.col("prices")).alias("max_usd"))
+    lines = lines_v(spark, d).select(*_KEY, "vendor_name", "region", "service", "sku", "USD")  # of a price, only what is asked for
+    rows = P.collected(lines, [*_KEY, "vendor_name", "region", "service", "sku"], [F.col("USD")], ("USD",))
+    return rows.select(product_hash(F.col("vendor_name"), F.col("region"), F.col("service"), F.col("sku")).alias("product_hash"), P.max_nonzero_price(F.col("prices")).alias("max_usd"))
 
 
 @_add("tier_end_lead", """WITH s AS (SELECT DISTINCT l_partkey, l_linenumber AS tier FROM lineitem) SELECT l_partkey, CAST(tier AS VARCHAR) AS tier, coalesce(CAST(lead(tier) OVER (PARTITION BY l_partkey ORDER BY tier) AS VARCHAR), '') AS tier_end FROM s""")
@@ -223,24 +222,6 @@ def _(spark, d):
     return sets.select("l_partkey", F.explode(F.arrays_zip(F.col("s").alias("tier"), P.tier_ends(F.col("s")).alias("tier_end"))).alias("x")).select("l_partkey", "x.tier", "x.tier_end")
 
 
-@_add("cpu_ram_join", """WITH c AS (SELECT p_brand AS family, s_nationkey AS region, min(l_extendedprice) AS core FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'N' GROUP BY 1, 2),
-r AS (SELECT p_brand AS family, s_nationkey AS region, min(l_extendedprice) AS ram FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' GROUP BY 1, 2),
-m AS (SELECT DISTINCT p_brand AS family, p_size AS cores FROM part) SELECT c.family, c.region, m.cores, CAST(round(core * cores + ram * cores * 4, 2) AS DECIMAL(18,2))::VARCHAR AS usd FROM c JOIN r USING (family, region) JOIN m USING (family)""")
-def _(spark, d):
-    part, supplier = _table(spark, d, "part"), _table(spark, d, "supplier")
-    line = _table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    by = line.groupBy(F.col("p_brand").alias("family"), F.col("s_nationkey").alias("region")).agg(F.min(F.when(F.col("l_returnflag") == "N", F.col("l_extendedprice"))).alias("core"), F.min(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice"))).alias("ram")).where("core is not null and ram is not null")
-    shapes = part.select(F.col("p_brand").alias("family"), F.col("p_size").alias("cores")).distinct()
-    usd = F.round(F.col("core") * F.col("cores") + F.col("ram") * F.col("cores") * 4, 2).cast("decimal(18,2)").cast("string")
-    return by.join(shapes, "family").select("family", "region", "cores", usd.alias("usd"))
-
-
-@_add("substring_theta_join", """SELECT p_partkey, t.pattern FROM part JOIN (VALUES ('bolt'), ('red'), ('g'), ('small r')) AS t(pattern) ON contains(p_name, t.pattern)""")
-def _(spark, d):
-    patterns = spark.createDataFrame([(p,) for p in ("bolt", "red", "g", "small r")], "pattern string")
-    return _table(spark, d, "part").join(F.broadcast(patterns), F.col("p_name").contains(F.col("pattern"))).select("p_partkey", "pattern")
-
-
 @_add("region_lookup_broadcast", """SELECT s_suppkey, CASE n_name WHEN 'NATION_1' THEN 'us-east-1' WHEN 'NATION_2' THEN 'eu-west-1' WHEN 'NATION_9' THEN 'ap-south-1' ELSE n_name END AS region FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def _(spark, d):
     names = {"NATION_1": "us-east-1", "NATION_2": "eu-west-1", "NATION_9": "ap-south-1"}
@@ -282,13 +263,6 @@ def _(spark, d):
     return _merged(spark, d).where(F.col("updated_at") > "2024-01-15").select("product_hash", F.get("prices", 0)["USD"].alias("usd"))
 
 
-@_add("batch_dedup", """WITH w AS (SELECT l_partkey AS product_hash, l_extendedprice AS usd, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey // 1000 DESC, l_orderkey, l_linenumber, l_extendedprice, l_suppkey) AS n FROM lineitem) SELECT product_hash, usd FROM w WHERE n = 1""")
-def _(spark, d):
-    rows = _table(spark, d, "lineitem").select(F.col("l_partkey").alias("product_hash"), F.col("l_extendedprice").alias("usd"), "l_orderkey", "l_linenumber", "l_suppkey")
-    place = F.row_number().over(Window.partitionBy("product_hash").orderBy(F.floor(F.col("l_orderkey") / 1000).desc(), "l_orderkey", "l_linenumber", "usd", "l_suppkey"))
-    return rows.withColumn("_n", place).where("_n = 1").select("product_hash", "usd")
-
-
 @_add("stale_anti_join", """SELECT CAST(p_partkey AS VARCHAR) AS product_hash FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0""")
 def _(spark, d):
     old, new = _before_after(spark, d)
@@ -346,21 +320,11 @@ def _(spark, d):
     return runs.reaped(ledger, F.lit(NOW).cast("timestamp")).select("id", "status", "error")
 
 
-@_add("freshness_max", f"{RUNS} SELECT vendor, max(finished_at) AS last_finished FROM runs_v WHERE status = 'success' GROUP BY 1")
-def _(spark, d):
-    return runs_v(spark, d).where("status = 'success'").groupBy("vendor").agg(F.max("finished_at").alias("last_finished"))
-
-
 @_add("json_extract", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def _(spark, d):
     return _table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@_add("json_response", f"""{PRODUCTS} SELECT product_hash, '{{"sku":"' || sku || '","region":"' || region || '"}}' AS product FROM products_v WHERE vendor_name = 'aws'""")
-def _(spark, d):
-    return query.matching(products_v(spark, d), ProductFilter("aws")).select("product_hash", F.to_json(F.struct("sku", "region")).alias("product"))
-
-
 @_add("union_terms", """SELECT l_partkey, 'on_demand' AS option, l_extendedprice AS usd FROM lineitem WHERE l_returnflag = 'N' UNION ALL SELECT l_partkey, 'reserved' AS option, l_extendedprice AS usd FROM lineitem WHERE l_returnflag = 'R'""")
 def _(spark, d):
     line = _table(spark, d, "lineitem")
@@ -396,73 +360,6 @@ def _(spark, d):
     return found.select("start", "event_type", "n", F.round("total", 2).cast("decimal(18,2)").cast("string").alias("total"))
 
 
-@_add("azure_products", """WITH r AS (SELECT *, CASE l_suppkey % 4 WHEN 0 THEN 'Azure DNS' WHEN 1 THEN 'Virtual Machines' WHEN 2 THEN 'Load Balancer' ELSE 'Storage' END AS service, CASE WHEN l_suppkey % 4 = 1 THEN 'Virtual Machines ' || p_brand || CASE WHEN p_size % 2 = 0 THEN ' Windows' ELSE '' END ELSE p_brand END AS name,
- CASE WHEN l_suppkey % 7 = 0 THEN '' ELSE 'reg' || (l_suppkey % 5) END AS reg, CASE l_returnflag WHEN 'N' THEN 'Consumption' ELSE 'Reservation' END AS option, l_linenumber - 1 AS tier, printf('%.10f', l_extendedprice) AS usd,
- l_linestatus = 'F' OR l_suppkey % 4 IN (0, 1, 2) AS auth, l_orderkey * 1000000 + l_suppkey * 1000 + l_linenumber * 10 + p_size % 10 AS ord FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 5 = 0),
-f AS (SELECT * EXCLUDE (reg), unnest(CASE service WHEN 'Azure DNS' THEN CASE WHEN reg = '' THEN ['Zone 1'] ELSE [reg, 'Zone 1'] END WHEN 'Load Balancer' THEN CASE WHEN reg = '' THEN ['Global'] ELSE [reg, 'Global'] END ELSE CASE WHEN reg = '' THEN ['Global'] ELSE [reg] END END) AS region FROM r),
-c AS (SELECT *, max(auth::INT) OVER (PARTITION BY name, p_type, region, option, l_linestatus, tier) AS covered FROM f),
-k AS (SELECT * FROM c WHERE auth OR covered = 0),
-e AS (SELECT *, row_number() OVER (PARTITION BY name, p_type, region, option, l_linestatus, tier, usd ORDER BY ord) AS n FROM k WHERE region NOT IN ('Zone 1', 'Global') UNION ALL SELECT *, row_number() OVER (PARTITION BY name, p_type, region, option, tier ORDER BY CAST(usd AS DOUBLE), ord) AS n FROM k WHERE region IN ('Zone 1', 'Global')),
-h AS (SELECT name, p_type, region, min_by(service, ord) AS service FROM f GROUP BY 1, 2, 3)
-SELECT region, h.service, substr(sha256(concat_ws(chr(0), 'azure-sku', name, p_type, 'meter')), 1, 32) AS sku, CASE WHEN h.service = 'Virtual Machines' THEN CASE WHEN name LIKE '% Windows' THEN 'Windows' ELSE 'Linux' END END AS os, CAST(count(*) AS BIGINT) AS n_prices, min(usd) AS least, max(CAST(tier AS VARCHAR)) AS last_tier
-FROM e JOIN h USING (name, p_type, region) WHERE n = 1 GROUP BY ALL""")
-def _azure_products(spark, d, lines="l_partkey % 5 = 0"):
-    from pricewright.sources import azure
-
-    rows = _table(spark, d, "lineitem").join(_table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).where(lines)
-    kind, none = F.col("l_suppkey") % 4, F.lit("")
-    service = F.when(kind == 0, "Azure DNS").when(kind == 1, "Virtual Machines").when(kind == 2, "Load Balancer").otherwise("Storage")
-    name = F.when(kind == 1, F.concat(F.lit("Virtual Machines "), F.col("p_brand"), F.when(F.col("p_size") % 2 == 0, " Windows").otherwise(""))).otherwise(F.col("p_brand"))
-    region = F.when(F.col("l_suppkey") % 7 == 0, "").otherwise(F.concat(F.lit("reg"), (F.col("l_suppkey") % 5).cast("string")))
-    given = {"serviceName": service, "productName": name, "armRegionName": region, "skuName": F.col("p_type"), "meterName": F.lit("meter"), "type": F.when(F.col("l_returnflag") == "N", "Consumption").otherwise("Reservation"), "unitOfMeasure": F.col("l_linestatus"), "retailPrice": F.col("l_extendedprice"), "tierMinimumUnits": (F.col("l_linenumber") - 1).cast("double"), "isPrimaryMeterRegion": F.col("l_linestatus") == "F"}
-    items = rows.select(*(given.get(f.name, none).alias(f.name) for f in azure.ITEM.fields), (F.col("l_orderkey") * 1_000_000 + F.col("l_suppkey") * 1000 + F.col("l_linenumber") * 10 + F.col("p_size") % 10).alias("ord"))
-    usd, tier = F.transform("prices", lambda p: p["USD"]), F.transform("prices", lambda p: p["startUsageAmount"])
-    return azure.products(items).select("region", "service", "sku", F.col("attributes")["os"].alias("os"), F.size("prices").cast("long").alias("n_prices"), F.array_min(usd).alias("least"), F.array_max(tier).alias("last_tier"))
-
-
-#: The same over every line; the query above keeps the slice that its SQL names.
-_add("azure_products_whole", _SQL["azure_products"].replace(" WHERE l_partkey % 5 = 0)", ")"))(lambda spark, d: _azure_products(spark, d, "true"))
-
-
-@_add("aws_products", """WITH t AS (SELECT l_partkey, CASE WHEN l_returnflag = 'R' THEN 'reserved' ELSE 'on_demand' END AS option, CASE WHEN l_linenumber = 7 THEN printf('%.10f', l_extendedprice / 6.2069) ELSE CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) END AS usd, l_linestatus AS unit FROM lineitem WHERE l_partkey % 4 = 1 AND NOT (l_returnflag = 'R' AND l_linestatus = 'O'))
-SELECT substr(sha256(concat_ws(chr(0), 'aws', CASE WHEN p_size % 2 = 0 THEN 'eu-west-1' ELSE '' END, 'svc' || (p_partkey // 1000), CAST(p_partkey AS VARCHAR))), 1, 32) AS product_hash, CASE WHEN p_size % 2 = 0 THEN 'eu-west-1' ELSE '' END AS region, p_type AS product_family, CAST(count(*) AS BIGINT) AS n_prices, CAST(count(*) FILTER (WHERE option = 'reserved') AS BIGINT) AS n_reserved, min(usd) AS least
-FROM part JOIN t ON l_partkey = p_partkey GROUP BY p_partkey, p_size, p_type""")
-def _aws_products(spark, d, lines="l_partkey % 4 = 1", parts="p_partkey % 4 = 1"):
-    from pricewright.sources import aws
-
-    line = _table(spark, d, "lineitem").where(lines).withColumn("n", F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")))
-    usd = F.when(F.col("l_linenumber") == 7, F.create_map(F.lit("CNY"), F.col("l_extendedprice").cast("string"))).otherwise(F.create_map(F.lit("USD"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string")))
-    unit = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), "Quantity").otherwise(F.col("l_linestatus"))
-    dimension = F.struct(unit.alias("unit"), usd.alias("pricePerUnit"), F.lit("0").alias("beginRange"), F.lit("Inf").alias("endRange"), F.lit("d").alias("description"))
-    term = F.struct(F.create_map(F.lit("1"), dimension).alias("priceDimensions"), F.create_map(F.lit("LeaseContractLength"), F.lit("1yr")).alias("termAttributes"))
-    offers = F.collect_list(F.struct(F.col("n").cast("string"), term))
-    service = lambda key: F.concat(F.lit("svc"), F.floor(F.col(key) / 1000).cast("string")).alias("service")  # noqa: E731  (one offer file for each thousand of parts)
-    by_sku = line.groupBy(service("l_partkey"), F.col("l_partkey").cast("string").alias("sku"), (F.col("l_returnflag") == "R").alias("reserved")).agg(F.map_from_entries(offers).alias("offers"))
-    product = F.struct(F.col("p_partkey").cast("string").alias("sku"), F.col("p_type").alias("productFamily"), F.create_map(F.lit("location"), F.when(F.col("p_size") % 2 == 0, "EU (Ireland)").otherwise("Any")).alias("attributes"))
-    kinds = lambda r: F.map_from_entries(F.collect_list(F.when(F.col("reserved") == F.lit(r), F.struct("sku", "offers"))))
-    listed = _table(spark, d, "part").where(parts).groupBy(service("p_partkey")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), product))).alias("products"))
-    terms = by_sku.groupBy("service").agg(F.struct(kinds(False).alias("OnDemand"), kinds(True).alias("Reserved")).alias("terms"))
-    found = aws.products(listed.join(terms, "service"))
-    return found.select("product_hash", "region", "product_family", F.size("prices").cast("long").alias("n_prices"), F.size(F.filter("prices", lambda p: p["purchaseOption"] == "reserved")).cast("long").alias("n_reserved"), F.array_min(F.transform("prices", lambda p: p["USD"])).alias("least"))
-
-
-#: The same over every line and part; the query above keeps the slice that its SQL names.
-_add("aws_products_whole", _SQL["aws_products"].replace("l_partkey % 4 = 1 AND ", ""))(lambda spark, d: _aws_products(spark, d, "true", "true"))
-
-
-@_add("gcp_products", """WITH s AS (SELECT p_partkey, p_name, unnest(range(0, 3)) AS i, p_size, unnest(['r' || (p_partkey % 3), 'r' || (p_partkey % 3), 'r' || (p_partkey % 3)]) AS region FROM part)
-SELECT substr(sha256(concat_ws(chr(0), 'gcp', region, 'Compute Engine', CAST(p_partkey AS VARCHAR))), 1, 32) AS product_hash, CAST(i * p_size AS VARCHAR) AS start_amount, CASE WHEN i < 2 THEN CAST((i + 1) * p_size AS VARCHAR) ELSE '' END AS end_amount, printf('%.10f', p_size + (1000000 * i) / 1e9) AS usd FROM s""")
-def _(spark, d):
-    from pricewright.sources import gcp
-
-    part = _table(spark, d, "part")
-    tier = lambda i: F.struct((F.col("p_size") * i).cast("double").alias("startUsageAmount"), F.struct(F.lit("USD").alias("currencyCode"), F.col("p_size").cast("string").alias("units"), F.lit(1_000_000 * i).cast("long").alias("nanos")).alias("unitPrice"))
-    pricing = F.array(F.struct(F.struct(F.lit("h").alias("usageUnit"), F.array(*map(tier, range(3))).alias("tieredRates")).alias("pricingExpression")))
-    category = F.struct(F.lit("Networking").alias("serviceDisplayName"), F.lit("Compute").alias("resourceFamily"), F.lit("g").alias("resourceGroup"), F.lit("OnDemand").alias("usageType"))
-    skus = part.select(F.col("p_partkey").cast("string").alias("skuId"), F.lit("").alias("name"), F.col("p_name").alias("description"), category.alias("category"), F.array(F.concat(F.lit("r"), (F.col("p_partkey") % 3).cast("string"))).alias("serviceRegions"), pricing.alias("pricingInfo"))
-    return gcp.products(skus).select("product_hash", F.explode("prices").alias("p")).select("product_hash", F.col("p.startUsageAmount").alias("start_amount"), F.col("p.endUsageAmount").alias("end_amount"), F.col("p.USD").alias("usd"))
-
-
 @_add("exact_number_text", """SELECT DISTINCT l_extendedprice AS x, printf('%.10f', l_extendedprice / 7) AS usd, printf('%.10f', l_extendedprice / 1024) AS tie FROM lineitem""")
 def _(spark, d):
     from pricewright.functions.numfmt import usd_text
@@ -506,9 +403,12 @@ def entry(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from pricewright.plans import landed_rows  # noqa: F401  (adds its own)
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 

@@ -27,6 +27,11 @@ def offers(spark: SparkSession, path: str, service: str | None = None) -> DataFr
     return rows.withColumn("service", F.lit(service) if service else F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:-[a-z]{2}(?:-[a-z]+)+-\d)?\.json(?:\.gz)?$", 1))
 
 
+def region_index(spark: SparkSession, path: str) -> DataFrame:
+    """Index files that name each region's offer file."""
+    return spark.read.schema(aws.REGION_INDEX).option("multiLine", True).json(path)
+
+
 def azure_rows(spark: SparkSession, path: str) -> DataFrame:
     return azure.from_pages(spark.read.schema(azure.PAGE).option("multiLine", True).json(path))
 
