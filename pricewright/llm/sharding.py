@@ -1,16 +1,18 @@
 """Sharding by histogram sort.
 
-The order is by (hash of the text, hash of the doc_id, a drawn number): equal texts stand together, and a group of
-them too large for one shard can still be cut. Splitters are found without sorting: tasks count the exact bytes
+The order is by (hash of the text, hash of the doc_id, a number among equal rows): equal texts stand together, and a
+group of them too large for one shard can still be cut. Splitters are found without sorting: tasks count the exact bytes
 below a sorted list of candidate keys, the counts are summed, and each splitter's interval shrinks to the two
 candidates around its target, which are then probed more finely, and at its few last rows' own keys, until the bytes
-below are within the tolerance or a single row is left between. Only then are the rows exchanged, once, by shard, and numbered within it in sort order.
-
-Where a cut falls inside a group of equal texts, it moves to the nearer end of the group if that keeps it within
-the tolerance; larger groups are cut.
-
-Cases: null texts hold no bytes (and cost the 16 of a row); rows that repeat, null doc_ids included, are told apart
-by the drawn number, written down before it is used; an empty table gives an empty result; other columns stay.
+below are within the tolerance or a single row is left between. Then both ends of the group of equal texts that a cut
+falls into are probed, and the cut moves to the nearer one if the shares that this makes stay within GROUP_TOLERANCE;
+larger groups are cut. Only then are the documents exchanged, once, whole, by ranges of (shard, key), as many as Spark
+has partitions for, and sorted there; a running sum of the rows of each range's part of a shard turns places into slots.
+
+Cases: null texts hold no bytes (and cost the 16 of a row) and count as equal to empty ones; rows that repeat, null doc_ids
+included, are told apart by a number that is written down with them before it is used, so any of them may stand first,
+but how many each shard holds is the same in every run; an empty table gives an empty result; other columns are left alone, and where one has the name
+of a column that is added, that one gets underscores after its name.
 """
 
 from __future__ import annotations
@@ -20,19 +22,20 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricewright.llm.common import documents, saved
+from pricewright.llm.common import columns, documents, free, saved, small
 
-SHARDS, ROW_BYTES, TOLERANCE, PROBES = 40, 16, 0.002, 64
-_KEY = ("_h", "_d", "_r")
+SHARDS, ROW_BYTES, TOLERANCE, GROUP_TOLERANCE, PROBES = 40, 16, 0.002, 0.02, 64
+_KEY = ("h", "d", "r")
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
+Key = tuple[int, int, int]
 
 
-def _below(keys: pd.DataFrame, probes: list[tuple[int, int, int]]) -> np.ndarray:
-    """For each row, how many of the sorted probes are at most its key, in the order of (_h, _d, _r)."""
+def _below(keys: pd.DataFrame, probes: list[Key]) -> np.ndarray:
+    """For each row, how many of the sorted probes are at most its key."""
     p = np.array(probes, np.int64)
     h, d, r = (keys[c].to_numpy() for c in _KEY)
     lo, hi = np.searchsorted(p[:, 0], h, "left"), np.searchsorted(p[:, 0], h, "right")
@@ -42,7 +45,7 @@ def _below(keys: pd.DataFrame, probes: list[tuple[int, int, int]]) -> np.ndarray
     return at
 
 
-def _count(rows: DataFrame, probes: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+def _count(rows: DataFrame, probes: list[Key]) -> list[tuple[int, int]]:
     """Exact bytes and rows below each probe; tasks send one row per probe interval that they met."""
     sent = rows.sparkSession.sparkContext.broadcast(probes)
 
@@ -62,7 +65,7 @@ def _count(rows: DataFrame, probes: list[tuple[int, int, int]]) -> list[tuple[in
     return [(int(x), int(y)) for x, y in np.cumsum(total, axis=0)[:-1]]
 
 
-def _between(lo: tuple, hi: tuple, n: int) -> list[tuple[int, int, int]]:
+def _between(lo: Key, hi: Key, n: int) -> list[Key]:
     """Up to ``n`` keys after lo and before hi, spread over the first part in which the two differ."""
     for level in range(3):
         if lo[level] == hi[level]:
@@ -80,26 +83,36 @@ def _between(lo: tuple, hi: tuple, n: int) -> list[tuple[int, int, int]]:
     return []
 
 
-def _keys(rows: DataFrame, between: list[tuple[tuple, tuple]]) -> set[tuple[int, int, int]]:
+def _marked(k: Key) -> Column:
+    return F.struct(*(F.lit(v).cast("long").alias(c) for c, v in zip(_KEY, k, strict=True)))
+
+
+def _keys(rows: DataFrame, between: list[tuple[Key, Key]]) -> set[Key]:
     """The keys of the rows in a few intervals that are known to hold few."""
     key = F.struct(*_KEY)
-    mark = lambda k: F.struct(*(F.lit(v).cast("long").alias(c) for c, v in zip(_KEY, k, strict=True)))
-    held = [(key >= mark(lo)) & (key < mark(hi)) for lo, hi in between]
+    held = [(key >= _marked(lo)) & (key < _marked(hi)) for lo, hi in between]
     return {tuple(r) for r in rows.where(reduce(lambda a, b: a | b, held)).select(*_KEY).collect()}
 
 
-def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, probes: int = PROBES) -> list[tuple[int, int, int]]:
-    """The ``shards`` - 1 keys at which the bytes below are nearest to equal shares."""
+def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, probes: int = PROBES, group_tolerance: float = GROUP_TOLERANCE) -> list[Key]:
+    """The ``shards`` - 1 keys at which the bytes below are nearest to equal shares, at ends of groups of equal texts
+    where these are within ``group_tolerance`` of a share. ``rows``: the key and size."""
     first = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     total = first[0]
     goal = [total * i / shards for i in range(1, shards)]
     near = total / shards * tolerance
     start, end = (_LOW,) * 3, (_HIGH, _HIGH, _HIGH)
     known = {start: (0, 0), end: (total, first[1])}
+
+    def nearest() -> list[Key]:
+        order = sorted(known)
+        sums = np.array([known[k][0] for k in order])
+        return [order[int(np.abs(sums - g).argmin())] for g in goal]
+
     for _ in range(40):
         order = sorted(known)
         sums = np.array([known[k][0] for k in order])
-        asked: set[tuple[int, int, int]] = set()
+        asked: set[Key] = set()
         few = []
         for g in goal:
             i = int(np.searchsorted(sums, g, "left"))
@@ -115,37 +128,51 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = TOLERANCE, probes
             break
         new = sorted(asked)
         known.update(zip(new, _count(rows, new), strict=True))
-    order = sorted(known)
-    sums = np.array([known[k][0] for k in order])
+    cuts = nearest()
+    ends = lambda cut: ((cut[0], _LOW, _LOW), (min(cut[0] + 1, _HIGH), _LOW, _LOW))
+    if new := sorted({k for cut in cuts for k in ends(cut)} - set(known)):
+        known.update(zip(new, _count(rows, new), strict=True))
     out = []
-    for g in goal:
-        cut = order[int(np.abs(sums - g).argmin())]
-        whole = [k for k in ((cut[0], _LOW, _LOW), (min(cut[0] + 1, _HIGH), _LOW, _LOW)) if k in known and abs(known[k][0] - g) <= near]
-        out.append(min(whole, key=lambda k: abs(known[k][0] - g)) if whole else cut)
+    for g, cut in zip(goal, cuts, strict=True):
+        whole = min(ends(cut), key=lambda k: abs(known[k][0] - g))
+        out.append(whole if abs(known[whole][0] - g) <= max(near, total / shards * group_tolerance) else cut)
     return sorted(out)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with size and the three columns of the sort key."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"size": (F.octet_length(text) + ROW_BYTES).cast("long"), "_h": F.xxhash64(text), "_d": F.xxhash64("doc_id"), "_r": F.floor(F.rand() * (1 << 62)).cast("long")})
+def _above(cuts: list[Key], h: str, d: str, r: str) -> Column:
+    """How many of the cuts a row's key has reached: as many comparisons inside generated code."""
+    number = F.lit(0)
+    for a, b, c in cuts:
+        number = number + ((F.col(h) > a) | ((F.col(h) == a) & ((F.col(d) > b) | ((F.col(d) == b) & (F.col(r) >= c))))).cast("int")
+    return number
 
 
-def shard(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """``keyed`` rows, whatever else they carry, with shard and slot: shards of near equal bytes, slots gapless
+def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """``docs`` (doc_id, text and others), whole, with size, shard and slot: shards of near equal bytes, slots gapless
     from 0 in sort order."""
-    rows = saved(rows, "keyed")
-    cuts = splitters(rows, shards, tolerance)
-    number = F.lit(0)
-    for h, d, r in cuts:  # `shards` - 1 comparisons inside generated code
-        above = (F.col("_h") > h) | ((F.col("_h") == h) & ((F.col("_d") > d) | ((F.col("_d") == d) & (F.col("_r") >= r))))
-        number = number + above.cast("int")
-    slot = F.row_number().over(Window.partitionBy("shard").orderBy(*_KEY)) - 1
-    return rows.withColumn("shard", number).withColumn("slot", slot.cast("long")).drop(*_KEY)
+    size, h, d, r, number, at, place, task, of, least, base = free(docs.columns, "size", "_h", "_d", "_r", "shard", "_at", "slot", "_task", "_of", "_least", "_base")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.withColumns({size: (F.octet_length(text) + ROW_BYTES).cast("long"), h: F.xxhash64(text), d: F.xxhash64("doc_id")})
+    narrow = saved(rows.select(F.col(h).alias("h"), F.col(d).alias("d"), F.col(size).alias("size")), "keys")
+    if narrow.groupBy("h", "d").count().where("count > 1").isEmpty():
+        rows, narrow = rows.withColumn(r, F.lit(0).cast("long")), narrow.withColumn("r", F.lit(0).cast("long"))
+    else:  # equal rows need a number of their own, and that must not change between two readings
+        rows = saved(rows.withColumn(r, F.monotonically_increasing_id()), "numbered")
+        narrow = rows.select(F.col(h).alias("h"), F.col(d).alias("d"), F.col(r).alias("r"), F.col(size).alias("size"))
+    cuts = splitters(narrow, shards, tolerance)
+    order = [number, h, d, r]
+    sorted_ = rows.withColumn(number, _above(cuts, h, d, r)).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = saved(sorted_.withColumn(at, F.monotonically_increasing_id()).drop(h, d, r), "sharded")
+    # the number of a row is its task's, shifted, and its place there; a shard's rows stand together in a task
+    parts = placed.groupBy(F.shiftright(at, 33).alias(task), F.col(number).alias(of)).agg(F.min(at).alias(least), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(of).orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
+    bases = saved(parts.select(task, of, least, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base)), "parts")
+    joined = placed.join(small(bases), (F.col(number) == F.col(of)) & (F.shiftright(at, 33) == F.col(task)))
+    return joined.withColumn(place, F.col(at) - F.col(least) + F.col(base)).select(*columns(docs), size, number, place)
 
 
 def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """40 shards of all documents by the law ``bytes``; digests are exchanged here, not texts."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    rows = keyed(docs).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).drop("text")
-    return shard(rows).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """40 shards of all documents by the law ``bytes``; the documents themselves are exchanged."""
+    found = shard(documents(spark, sf_dir).select("doc_id", "text"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return found.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
