@@ -10,8 +10,11 @@ Only one row per source, its epochs and the key at its cut, goes back to the doc
 Rows equal in source and doc_id share a key, and are counted before they are sorted; those at a cut share its words
 evenly, rounded down, so no group of repeats is ever ranked in one task.
 
-Cases: null and blank texts have size 0 and take nothing; a null source is a source, last in order; an empty table
-gives an empty result; a corpus without words has targets 0; other columns are left alone.
+The sources themselves are ranked in one task, a row of a few numbers for each: their number must stay in the millions.
+
+Cases: null and blank texts have size 0 and take nothing; a null source is a source, last in order; a null doc_id has a
+key like any other; an empty table gives an empty result; a corpus without words has targets 0; other columns are left
+alone, and where one has the name of a column that is added, that one gets underscores after its name.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricewright.llm.common import documents, saved, small
+from pricewright.llm.common import columns, documents, free, saved, small
 
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
-#: Documents sorted by one task within a source.
+#: Documents sorted by one task within a source, and ranges whose totals one task sums.
 RANGE_ROWS = 2_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -66,8 +69,11 @@ def cuts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
     position = (F.shiftrightunsigned("_k", 40) * F.col("_ranges") / (1 << 24)).cast("int")  # of the key among its source's ranges
     ordered = groups.join(small(goal.select(F.col("source").alias("_s"), "_ranges", "_epochs", "_budget", "target", "source_size")), F.col("source").eqNullSafe(F.col("_s"))).withColumn("_range", position)
     sums = ordered.groupBy("_s", "_range").agg(F.sum(F.col("_n") * F.col("_same")).alias("_sum"))
-    upto = Window.partitionBy("_s").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("_s").alias("_t"), F.col("_range").alias("_u"), F.coalesce(F.sum("_sum").over(upto), F.lit(0)).alias("_start"))
+    sums = saved(sums.withColumn("_block", F.floor(F.col("_range") / RANGE_ROWS)), "sums")
+    ahead = lambda value, *keys: F.coalesce(F.sum(value).over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.groupBy("_s", "_block").agg(F.sum("_sum").alias("_sum")).select(F.col("_s").alias("_bs"), F.col("_block").alias("_bb"), ahead("_sum", "_s", "_block").alias("_base"))
+    starts = sums.select("_s", "_range", "_block", ahead("_sum", "_s", "_block", "_range").alias("_in")).join(blocks, F.col("_s").eqNullSafe(F.col("_bs")) & (F.col("_block") == F.col("_bb")))
+    starts = saved(starts.select(F.col("_s").alias("_t"), F.col("_range").alias("_u"), (F.col("_in") + F.col("_base")).alias("_start")), "starts")
     within = Window.partitionBy("source", "_range").orderBy(F.shiftrightunsigned("_k", 32), F.shiftrightunsigned(F.shiftleft("_k", 32), 32), "doc_id", "_n").rowsBetween(Window.unboundedPreceding, -1)
     prefixed = ordered.withColumn("_before", F.coalesce(F.sum(F.col("_n") * F.col("_same")).over(within), F.lit(0)))
     prefixed = prefixed.join(small(starts), F.col("source").eqNullSafe(F.col("_t")) & (F.col("_range") == F.col("_u"))).withColumn("_before", F.col("_before") + F.col("_start"))
@@ -82,19 +88,23 @@ def cuts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHA
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, cut: str = "words") -> DataFrame:
     """``docs`` with size, source_size, target and taken: the words that the mix takes of each document, repeats counted."""
-    found = cuts(docs, weights, share, epochs, cut).withColumnRenamed("source", "_source")
-    rows = docs.withColumns({"size": n_words("text"), "_k": F.xxhash64("doc_id")})
+    found = cuts(docs, weights, share, epochs, cut)
+    size, source_size, target, taken, k, source, epoch, ck, cid, cn, part = free(docs.columns, "size", "source_size", "target", "taken", "_k", "_source", "_epochs", "_ck", "_cid", "_cn", "_part")
+    found = found.withColumnsRenamed({"source": source, "source_size": source_size, "target": target, "_epochs": epoch, "_ck": ck, "_cid": cid, "_cn": cn, "_part": part})
+    rows = docs.withColumns({size: n_words("text"), k: F.xxhash64("doc_id")})
     key = lambda k, i, n: F.struct(F.shiftrightunsigned(k, 32).alias("a"), F.shiftrightunsigned(F.shiftleft(k, 32), 32).alias("b"), F.col(i).alias("c"), F.col(n).alias("d"))
-    mine, last = key("_k", "doc_id", "size"), key("_ck", "_cid", "_cn")
-    once = F.when(F.col("_cn").isNull() | (mine > last), F.lit(0)).when(mine < last, F.col("size")).otherwise(F.col("_part"))
-    joined = rows.join(small(found), F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumn("taken", F.col("_epochs") * F.col("size") + once).drop("_source", "_k", "_epochs", "_ck", "_cid", "_cn", "_part")
+    mine, last = key(k, "doc_id", size), key(ck, cid, cn)
+    once = F.when(F.col(cn).isNull() | (mine > last), F.lit(0)).when(mine < last, F.col(size)).otherwise(F.col(part))
+    joined = rows.join(small(found), F.col("source").eqNullSafe(F.col(source)))
+    return joined.withColumn(taken, F.col(epoch) * F.col(size) + once).select(*columns(docs), size, source_size, target, taken)
 
 
 def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """The mix itself: each document whole, as many times as it is taken, in the columns of ``docs``."""
-    times = mixed(docs, weights, share, epochs, cut="documents").withColumn("_times", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int"))
-    return times.where("_times > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), "_times"))).select(*docs.columns)
+    found = mixed(docs, weights, share, epochs, cut="documents")
+    size, taken, (times, i) = found.columns[-4], found.columns[-1], free(found.columns, "_times", "_i")
+    found = found.withColumn(times, F.when(F.col(size) > 0, F.col(taken) / F.col(size)).otherwise(0).cast("int"))
+    return found.where(F.col(times) > 0).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*columns(docs))
 
 
 def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
