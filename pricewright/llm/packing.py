@@ -6,10 +6,11 @@ in a sequence, the index of single, pair and triple sums of the lengths still av
 fills it exactly, and as many sequences as the counts allow are made at once. Where no combination fits, the longest
 available piece that fits goes in and the rest of the gap is looked up again. The plan is a table of slots:
 pieces of a length, counted from ``first``, fill places of consecutive sequences. Pieces get their ranks within a
-length from per-(length, salt) counts, so that a length held by a third of all pieces is ranked by many tasks.
+length from per-(length, group of salts) counts, so that a length held by a third of all pieces is ranked by many tasks.
 
 Cases: null texts are empty and hold only the end id; texts of over ``capacity`` ids are cut into full pieces and
-a rest; rows with equal ids are packed each; an empty table gives an empty result; other columns are left alone.
+a rest; rows with equal ids, null ones too, are packed each; an empty table gives an empty result; of the documents, only
+doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pricewright.llm.common import bounded_batches, documents, saved
@@ -29,7 +31,7 @@ from pricewright.llm.tokens import default_path, encoder
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length ranked by one task, and salts at most.
-RANKED, SALTS = 500, 4_096
+RANKED, SALTS = 500, 1 << 20
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -133,21 +135,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (columns length and salt among others; a written table, read twice) with sequence_id and offset."""
     spark = cut.sparkSession
-    counts = cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    by_length = counts.groupBy("length").agg(F.sum("n").alias("n"))
-    histogram = {r.length: r.n for r in by_length.collect()}  # at most `capacity` rows
+    histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     slots = plan(histogram, capacity)
     ways = spark.createDataFrame([(k, int(min(SALTS, -(-v // RANKED)))) for k, v in histogram.items()], "length long, _ways int")  # at most `capacity` rows
     split = lambda df: df.join(F.broadcast(ways), "length").withColumn("_group", (F.col("salt") % F.col("_ways")).cast("int")).drop("_ways")
     grouped = split(cut)
-    sizes = split(counts).groupBy("length", "_group").agg(F.sum("n").alias("_n"))
+    sizes = grouped.groupBy("length", "_group").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     ranked = grouped.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_group").orderBy("salt")) - 1).join(bases, ["length", "_group"])
     ranked = ranked.withColumn("_rank", (F.col("_rank") + F.col("_base")).cast("long")).drop("_group", "_base", "salt")
     table = spark.sparkContext.broadcast({k: g.drop(columns="length").to_numpy() for k, g in slots.groupby("length")})
     fields = [f for f in ranked.schema.fields if f.name != "_rank"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", sequence_id long, offset long"
+    schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
