@@ -60,18 +60,30 @@ def slot_coverage(rows: DataFrame, product: list[str], slot: tuple[str, ...] = S
     return rows.withColumn("_covered", covered).where((F.col("_covered") == 0) | F.col(authoritative)).drop("_covered")
 
 
+def exact_rank(product: list[str], order: list, key: tuple[str, ...] = EXACT) -> Column:
+    """The place of a row among those of its (product, ``key``), from 1."""
+    return F.row_number().over(Window.partitionBy(*product, *key).orderBy(*order))
+
+
+def tier_rank(product: list[str], order: list, key: tuple[str, ...] = TIER) -> Column:
+    """The place of a row among those of its (product, tier), from 1, the lowest price first, then the first in order; text
+    that is no number counts as 0."""
+    return F.row_number().over(Window.partitionBy(*product, *key).orderBy(F.coalesce(number(F.col("USD")), F.lit(0.0)), *order))
+
+
+def tier_place(product: list[str], order: list, key: tuple[str, ...] = TIER) -> Column:
+    """The place of the tier's first row, which the row of its lowest price takes."""
+    return F.min(F.struct(*order) if len(order) > 1 else order[0]).over(Window.partitionBy(*product, *key))
+
+
 def dedup_exact(rows: DataFrame, product: list[str], order: list, key: tuple[str, ...] = EXACT) -> DataFrame:
     """The first row of each (product, ``key``)."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*product, *key).orderBy(*order))).where("_n = 1").drop("_n")
+    return rows.withColumn("_n", exact_rank(product, order, key)).where("_n = 1").drop("_n")
 
 
 def dedup_tier_min(rows: DataFrame, product: list[str], order: list, key: tuple[str, ...] = TIER, position: str = "_place") -> DataFrame:
-    """The row of the lowest price of each (product, tier), the first of equals; text that is no number counts as 0.
-    ``position`` gets the place of the tier's first row, which the kept row takes."""
-    group = Window.partitionBy(*product, *key)
-    out = rows.withColumn(position, F.min(F.struct(*order) if len(order) > 1 else order[0]).over(group))
-    ranked = F.row_number().over(group.orderBy(F.coalesce(number(F.col("USD")), F.lit(0.0)), *order))
-    return out.withColumn("_n", ranked).where("_n = 1").drop("_n")
+    """The row of the lowest price of each (product, tier), the first of equals; ``position`` gets tier_place."""
+    return rows.withColumn(position, tier_place(product, order, key)).withColumn("_n", tier_rank(product, order, key)).where("_n = 1").drop("_n")
 
 
 def tier_ends(starts: Column) -> Column:

@@ -11,10 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from pricewright.functions.hashing import _digest, price_hash, product_hash
 from pricewright.functions.numfmt import general_text, usd_text
-from pricewright.operators.prices import collected, dedup_exact, dedup_tier_min, slot_coverage
+from pricewright.operators.prices import collected, exact_rank, slot_coverage, tier_place, tier_rank
 from pricewright.schema import PRICE_FIELDS
 
 #: A page of the API.
@@ -96,15 +97,16 @@ def products(rows: DataFrame) -> DataFrame:
     vendor, start = F.lit("azure"), F.when(F.col("tierMinimumUnits") > 0, general_text("tierMinimumUnits")).otherwise("0")
     rows = rows.withColumn("sku", _digest((F.lit("azure-sku"), F.col("name"), F.col("skuName"), F.col("meterName"))))
     key = ["name", "skuName", "meterName", "region"]
-    first = {c: F.min_by(c, "ord") for c in ("serviceName", "serviceFamily", "armSkuName", "sku")}
     rows = rows.withColumns({"purchaseOption": F.col("type"), "unit": F.col("unitOfMeasure"), "USD": usd_text("retailPrice"), "startUsageAmount": start, "endUsageAmount": F.lit(""), "description": F.col("meterName"), "termLength": F.col("reservationTerm"), "termPurchaseOption": F.lit(""), "termOfferingClass": F.lit("")})
-    kept = slot_coverage(rows, key)
-    virtual = is_virtual(F.col("region"))
-    plain = dedup_exact(kept.where(~virtual), key, [F.col("ord")]).withColumn("_place", F.col("ord"))
-    lowest = dedup_tier_min(kept.where(virtual), key, [F.col("ord")])
+    # all of this is by product, so rows are exchanged once; virtual regions keep a tier's lowest price, others the first of equal prices
+    heads, order = ["serviceName", "serviceFamily", "armSkuName", "sku"], [F.col("ord")]
+    first = F.min(F.struct("ord", *heads)).over(Window.partitionBy(*key))
+    kept = slot_coverage(rows.withColumn("_head", first), key).withColumn("_virtual", is_virtual(F.col("region")))
+    kept = kept.withColumns({"_exact": exact_rank(key, order), "_tier": tier_rank(key, order), "_least": tier_place(key, order)})
+    kept = kept.where(F.when(F.col("_virtual"), F.col("_tier")).otherwise(F.col("_exact")) == 1)
+    place = F.when(F.col("_virtual"), F.col("_least")).otherwise(F.col("ord"))
     fields = tuple(f for f in PRICE_FIELDS if f != "priceHash")
-    heads = rows.groupBy(*key).agg(*(v.alias(k) for k, v in first.items()))
-    grouped = collected(plain.unionByName(lowest), key, [F.col("_place")], fields).join(heads, key)
+    grouped = collected(kept, [*key, "_head"], [place], fields).select("*", *(F.col(f"_head.{c}").alias(c) for c in heads))
     hash_ = product_hash(vendor, F.col("region"), F.col("serviceName"), F.concat("sku", "region"))
     attributes = F.map_from_arrays(F.array(*map(F.lit, ("productName", "skuName", "meterName", "armSkuName", "serviceFamily"))), F.array("name", "skuName", "meterName", "armSkuName", "serviceFamily"))
     system = operating_system(F.col("serviceName"), F.col("name"))
