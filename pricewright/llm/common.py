@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pricewright.llm.textkernel import squeeze
 
 #: Rows of at most a few dozen bytes that may be broadcast; a side with more is joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -125,6 +129,19 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def squeezed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_z``, the compressed text, in place of text: what goes through the shuffles."""
+    at = docs.columns.index("text")
+    names = [c for c in docs.columns if c != "text"]
+    schema = T.StructType([*(f for f in docs.schema.fields if f.name != "text"), T.StructField("_z", T.BinaryType())])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([*batch.drop_columns(["text"]).columns, squeeze(batch.column(at))], names=[*names, "_z"])
+
+    return docs.mapInArrow(task, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

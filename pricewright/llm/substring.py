@@ -5,7 +5,9 @@ smallest hash is kept (winnowing), so any ``window`` words hold a seed that depe
 are joined on seeds: a seed that only one document holds is dropped, which leaves few.
 
 Extension: a shared seed is extended to both sides into the windows of ``window`` words that it was kept for, and
-these are joined by (seed, window hash), 128 bits; a window whose first holder has a smaller doc_id is a repeat.
+these are joined by (seed, window hash), 128 bits; a window whose first holder has a smaller doc_id is a repeat. So
+the words around a seed are compared by hash, for all holders at once: growing each pair of holders word by word would
+list the pairs of a hot passage, and growing against a seed's first holder alone would miss windows of other holders.
 Overlapping and adjoining repeats of a document grow together into its maximal repeated runs, none shorter than
 ``window`` words. Both joins are on keys that are first reduced to their smallest doc_id by a combining aggregate,
 so nothing lists the holders of a hot passage, and no pairs of documents are made.
@@ -14,7 +16,8 @@ Texts equal to that of a smaller doc_id repeat it as a whole and are not seeded.
 
 Cases: null texts have no words; documents of fewer than ``window`` words keep all of them; a null doc_id neither
 lends nor loses words; rows with one doc_id are told apart by their text's hash and do not take words from each other; an
-empty table gives an empty result; other columns are left alone.
+empty table gives an empty result; other columns are left alone, and where one has the name of a column that is added,
+that one gets underscores after its name.
 """
 
 from __future__ import annotations
@@ -25,9 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pricewright.llm.common import bounded_batches, discard, documents, saved, small
-from pricewright.llm.textkernel import Words, grams, ranges, split_words, squeeze, unsqueeze
+from pricewright.llm.common import bounded_batches, columns, discard, documents, free, saved, small, squeezed
+from pricewright.llm.textkernel import Words, grams, ranges, split_words, unsqueeze
 
 WINDOW, SEED = 13, 4
 
@@ -67,19 +71,6 @@ def seeds(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     return docs.select("doc_id", "_t", "text").mapInArrow(task, "doc_id long, _t long, seeds array<long>").where("size(seeds) > 0")
 
 
-def squeezed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_z``, the compressed text, in place of text: what goes through the shuffles."""
-    at = docs.columns.index("text")
-    names = [c for c in docs.columns if c != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.record_batch([*batch.drop_columns(["text"]).columns, squeeze(batch.column(at))], names=[*names, "_z"])
-
-    return docs.mapInArrow(task, f"{schema}, _z binary")
-
-
 def windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """doc_id, _t, at, seed, hash for every window whose seed is among the document's ``shared`` ones; ``_z`` is its text."""
 
@@ -110,15 +101,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     texts = known.groupBy("_h", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_m")).agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     copied = saved(texts.groupBy("_h").agg(F.min("_first").alias("_first"), F.max("_n").alias("_n"), F.count(F.lit(1)).alias("_k")).where("_k = 1 and _n > 1").drop("_k", "_n"), "copied")
     fresh = known.join(copied, "_h", "left").where("_first is null or doc_id = _first").select("doc_id", "_t", "text")
-    held = saved(seeds(fresh, window, seed), "seeds", free=True)
+    held = saved(seeds(fresh, window, seed), "seeds")
     each = held.select("doc_id", "_t", F.explode("seeds").alias("seed"))
-    shared = saved(each.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed"), "shared", free=True)
-    mine = saved(each.join(shared, "seed").groupBy("doc_id", "_t").agg(F.collect_set("seed").alias("shared")), "mine", free=True)
-    found = saved(windows(squeezed(fresh).join(mine, ["doc_id", "_t"]), window, seed), "windows", free=True)
+    shared = saved(each.groupBy("seed").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed"), "shared")
+    mine = saved(each.join(shared, "seed").groupBy("doc_id", "_t").agg(F.collect_set("seed").alias("shared")), "mine")
+    found = saved(windows(squeezed(fresh).join(mine, ["doc_id", "_t"]), window, seed), "windows")
     discard(held, shared, mine)
-    first = saved(found.groupBy("seed", "hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed", "hash", "a"), "first", free=True)
+    first = saved(found.groupBy("seed", "hash").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("seed", "hash", "a"), "first")
     starts = found.join(first, ["seed", "hash"]).where("doc_id > a").groupBy("doc_id", "_t").agg(F.collect_set("at").alias("_at"))
-    starts = saved(starts, "starts", free=True)
+    starts = saved(starts, "starts")
     discard(found, first)
     return starts, copied
 
@@ -136,15 +127,17 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
     end words) and kept_text, the words left over joined by a blank."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    hashed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    inner = [c if c in ("doc_id", "text") else f"_x{i}" for i, c in enumerate(docs.columns)]  # no name of the input's but these two
+    hashed = docs.select(*(c.alias(n) for c, n in zip(columns(docs), inner, strict=True))).withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
     several = saved(hashed.groupBy("doc_id").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi")).where("lo < hi").select(F.col("doc_id").alias("_d"), F.lit(True).alias("_s")), "several")
     keyed = hashed.join(small(several), F.col("doc_id") == F.col("_d"), "left").withColumn("_t", F.when(F.col("_s"), F.col("_h")).otherwise(F.lit(0).cast("long"))).drop("_d", "_s")
     starts, copied = repeated_windows(keyed.select("doc_id", "_h", "_t", "text"), window, seed)
     starts, copied = starts.withColumnsRenamed({"doc_id": "_doc", "_t": "_u"}), copied.withColumnsRenamed({"_h": "_c"})
     rows = squeezed(keyed).join(starts, (F.col("doc_id") == F.col("_doc")) & (F.col("_t") == F.col("_u")), "left").drop("_doc", "_u")
     rows = rows.join(small(copied), F.col("_h") == F.col("_c"), "left").withColumn("_whole", F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False))).drop("_t", "_h", "_c", "_first")
-    names, at_ = docs.columns, {c: i for i, c in enumerate(rows.columns)}
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    added, at_ = free(docs.columns, "n_words", "n_removed", "repeats", "kept_text"), {c: i for i, c in enumerate(rows.columns)}
+    names, run = [*docs.columns, *added], T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, t) for c, t in zip(added, (T.LongType(), T.LongType(), T.ArrayType(run), T.StringType()), strict=True))])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,9 +158,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> Dat
                 n_removed.append(int(gone.sum()))
                 runs.append([{"start": int(x), "end": int(y)} for x, y in edge])
                 kept.append(b" ".join([raw[x:y] for x, y in zip(s[~gone].tolist(), e[~gone].tolist(), strict=True)]).decode())
-            yield pa.record_batch([*(text if c == "text" else batch.column(at_[c]) for c in names), pa.array(words.counts().astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "repeats", "kept_text"])
+            yield pa.record_batch([*(text if c == "text" else batch.column(at_[c]) for c in inner), pa.array(words.counts().astype(np.int64)), pa.array(n_removed, pa.int64()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.string())], names=names)
 
-    return rows.mapInArrow(task, f"{schema}, n_words long, n_removed long, repeats array<struct<start:int,end:int>>, kept_text string")
+    return rows.mapInArrow(task, schema)
 
 
 def op4_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
