@@ -1,14 +1,15 @@
 """Token-ID output: Arrow files of fixed-size-list batches (equal-length sequences with masks), read back in place.
 
 ``write`` orders the documents by id with one range exchange, and each task encodes its range and writes one Arrow
-file: rows of ``seq_len`` ids as a fixed-size list, a mask of the same shape, and a last row padded with mask 0.
+file: rows of ``seq_len`` ids as a fixed-size list, a byte mask of the same shape, and a last row padded with mask 0.
 A second small file holds the range's documents (doc_id, first id within the file, number of ids). Files are not
-compressed, so a reader maps them and any sequence is a slice of a buffer. A task writes under a name of its own
+compressed and batches hold equally many sequences, so a reader maps a file and any sequence is a slice of the mapping
+at a place that its number gives. A task writes under a name of its own
 and then renames, so a repeated task cannot leave half a file.
 
 Cases: null texts are empty (they still hold the end id); null doc_ids come first; rows that share a doc_id stand
-next to each other in an order fixed by their texts; an empty table gives no file and no row; other columns of the
-input play no part.
+next to each other in an order fixed by their texts, and so do repeated rows, which are written each; an empty table gives
+no file and no row; other columns of the input play no part.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import bounded_batches, documents, new_path, saved
+from pricewright.llm.common import bounded_batches, documents, new_path, saved, squeezed
+from pricewright.llm.textkernel import unsqueeze
 from pricewright.llm.tokens import default_path, encoder
 
 SEQ_LEN, END_ID = 2048, 1
@@ -38,32 +40,31 @@ def _open(path: str):
 
 
 class SequenceWriter:
-    """One Arrow file of equal-length sequences and masks."""
+    """One Arrow file of equal-length sequences and masks, in batches of ``rows`` sequences but for the last."""
 
     def __init__(self, sink, seq_len: int, dtype: type, rows: int = 512):
-        self.ids, self.mask = pa.list_(pa.from_numpy_dtype(dtype), seq_len), pa.list_(pa.bool_(), seq_len)
-        self.seq_len, self.dtype, self.rows, self.left = seq_len, dtype, rows, [np.zeros(0, dtype)]
-        self.writer = pa.ipc.new_file(sink, pa.schema([("ids", self.ids), ("mask", self.mask)]))
+        self.ids, self.mask = pa.list_(pa.from_numpy_dtype(dtype), seq_len), pa.list_(pa.uint8(), seq_len)
+        self.seq_len, self.dtype, self.rows, self.left, self.n = seq_len, dtype, rows, [], 0
+        self.writer = pa.ipc.new_file(sink, pa.schema([("ids", self.ids), ("mask", self.mask)], metadata={"rows": str(rows)}))
 
-    def add(self, ids: np.ndarray, last: bool = False) -> None:
+    def add(self, ids: np.ndarray) -> None:
         self.left.append(ids.astype(self.dtype))
-        n = sum(map(len, self.left))
-        if n < self.seq_len * self.rows and not last:
-            return
-        flat = np.concatenate(self.left)
-        whole = n - n % self.seq_len
-        self._batch(flat[:whole], np.ones(whole, bool))
-        self.left = [flat[whole:]]
-        if last and whole < n:
-            pad = self.seq_len - (n - whole)
-            self._batch(np.pad(flat[whole:], (0, pad)), np.pad(np.ones(n - whole, bool), (0, pad)))
-
-    def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        if len(ids):
-            self.writer.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), type=self.ids), pa.FixedSizeListArray.from_arrays(pa.array(mask), type=self.mask)], names=["ids", "mask"]))
+        self.n += len(ids)
+        step = self.seq_len * self.rows
+        if self.n >= step:
+            flat = np.concatenate(self.left)
+            for i in range(0, self.n - self.n % step, step):
+                self._batch(flat[i : i + step], step)
+            self.left, self.n = [flat[self.n - self.n % step :]], self.n % step
+
+    def _batch(self, ids: np.ndarray, n: int) -> None:
+        """Writes ``ids``, of which the first ``n`` are no padding."""
+        mask = (np.arange(len(ids)) < n).astype(np.uint8)
+        self.writer.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), type=self.ids), pa.FixedSizeListArray.from_arrays(pa.array(mask), type=self.mask)], names=["ids", "mask"]))
 
     def close(self) -> None:
-        self.add(np.zeros(0, self.dtype), last=True)
+        if self.n:
+            self._batch(np.pad(np.concatenate(self.left), (0, -self.n % self.seq_len)), self.n)
         self.writer.close()
 
 
@@ -72,7 +73,7 @@ def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int =
     spark, tokenizer = docs.sparkSession, tokenizer or default_path()
     bounded_batches(spark)
     _open(out)[0].create_dir(_open(out)[1], recursive=True)
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
+    ordered = squeezed(docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "_z")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, files, name = encoder(tokenizer), None, uuid.uuid4().hex
@@ -86,7 +87,7 @@ def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int =
                 files = SequenceWriter(sinks[0], seq_len, enc.dtype)
                 index = pa.ipc.new_file(sinks[1], _DOCS)
                 first = batch.column(0)[0].as_py()
-            ids, offsets = enc.encode_ended(batch.column(1), end_id)
+            ids, offsets = enc.encode_ended(unsqueeze(batch.column(2)), end_id)
             files.add(ids)
             index.write_batch(pa.record_batch([batch.column(0), pa.array(offsets[:-1] + n_ids), pa.array(np.diff(offsets))], schema=_DOCS))
             n_docs, n_ids, last = n_docs + batch.num_rows, n_ids + len(ids), batch.column(0)[batch.num_rows - 1].as_py()
@@ -103,25 +104,43 @@ def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int =
 
 
 class TokenFile:
-    """Random access to a file that ``write`` made; slices of it are views of the mapped or read buffer."""
+    """Random access to a file that ``write`` made. A file on this machine is mapped, and what is returned are views of the
+    mapping; of another store, the batch that is asked for is read."""
 
     def __init__(self, out: str, shard: str):
+        from pyarrow import fs
+
         filesystem, base = _open(out)
-        self.reader = pa.ipc.open_file(filesystem.open_input_file(f"{base}/{shard}.ids"))
-        self.seq_len = self.reader.schema.field("ids").type.list_size
-        self.docs = pa.ipc.open_file(filesystem.open_input_file(f"{base}/{shard}.docs"))
+        local = isinstance(filesystem, fs.LocalFileSystem)
+        open_ = lambda kind: pa.ipc.open_file(pa.memory_map(f"{base}/{shard}.{kind}") if local else filesystem.open_input_file(f"{base}/{shard}.{kind}"))
+        self.reader, self.docs = open_("ids"), open_("docs")
+        self.seq_len, self.rows = self.reader.schema.field("ids").type.list_size, int(self.reader.schema.metadata[b"rows"])
+
+    def __len__(self) -> int:
+        """The number of sequences."""
+        n = self.reader.num_record_batches
+        return 0 if not n else (n - 1) * self.rows + self.reader.get_batch(n - 1).num_rows
+
+    def _views(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(batch.column(c).flatten().to_numpy(zero_copy_only=True).reshape(-1, self.seq_len) for c in (0, 1))
+
+    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and mask (1, and 0 for padding) of the sequence number ``i``."""
+        if not 0 <= i < len(self):
+            raise IndexError(i)
+        ids, mask = self._views(self.reader.get_batch(i // self.rows))
+        return ids[i % self.rows], mask[i % self.rows]
 
     def batches(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids (a view of the buffer) and mask (unpacked from its bits) of each batch, a row for each sequence."""
+        """Ids and mask of each batch, a row for each sequence."""
         for i in range(self.reader.num_record_batches):
-            b = self.reader.get_batch(i)
-            yield tuple(b.column(c).flatten().to_numpy(zero_copy_only=c == 0).reshape(-1, self.seq_len) for c in (0, 1))
+            yield self._views(self.reader.get_batch(i))
 
 
 def digests(out: str, shard: str) -> Iterator[pa.RecordBatch]:
     """From a shard's files: doc_id, start within the shard, n_tokens, ids_crc32, a document's ids met in order."""
     file = TokenFile(out, shard)
-    pieces = (ids[mask].astype("<u4") for ids, mask in file.batches())
+    pieces = (ids[mask > 0].astype("<u4") for ids, mask in file.batches())
     have = np.zeros(0, "<u4")
     for k in range(file.docs.num_record_batches):
         index = file.docs.get_batch(k)
