@@ -103,10 +103,14 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     insult, address = np.isin(whole, word_hashes(INSULTS)), np.isin(whole, word_hashes(ADDRESS))
     known = lexicon.weigh(0, whole)
     begins = [lexicon.weigh(i, words.hashes(p)) for i, p in enumerate(PREFIXES) if p is not None]
-    between = lambda mask: np.concatenate([[False], mask[1:-1] & _LETTER[data[:-2]] & _LETTER[data[2:]], [False]]) if len(data) > 2 else np.zeros(len(data), bool)
-    drawn = np.zeros(len(data), bool)
-    if len(data) > 2:
-        drawn[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _LETTER[data[2:]]
+    first, last = np.zeros(len(data), bool), np.zeros(len(data), bool)  # bytes of a text; a neighbour may be another text's
+    full = np.diff(offsets) > 0
+    first[offsets[:-1][full]] = last[offsets[1:][full] - 1] = True
+    letter = _LETTER[data]
+    before, after = np.roll(letter, 1) & ~first, np.roll(letter, -1) & ~last
+    between = lambda mask: mask & before & after
+    same = (data == np.roll(data, 1)) & ~first
+    drawn = same & np.roll(same, 1) & ~first & letter
     columns = {
         "words": np.log1p(words.counts()), "insults": total(insult) / count, "insults_near": near(insult, address) / count,
         "lexicon": total(known) / count, "lexicon_max": highest(known), "lexicon_hits": np.log1p(total(known > 0)),
