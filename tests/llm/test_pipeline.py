@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -14,6 +18,9 @@ import corpus_pipeline
 from pricewright.llm import queries as registry
 from pricewright.llm import minhash, secrets, tokens, toxicity
 
+sys.path.insert(0, str(Path(__file__).parent))
+from test_text_operators import brute_mixture, brute_order  # noqa: E402
+
 
 def test_pipeline_stages_take_effect(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
@@ -35,10 +42,123 @@ def test_pipeline_on_an_empty_table(spark, data):
     assert docs.count() == 0
 
 
-@pytest.mark.parametrize("name", ["op3_binary_codes", "op5_cover_trees", "op9_histogram_sort", "op10_toxicity"])
+#: What the contract names, by query.
+COLUMNS = {
+    "op1_mixture": "doc_id size source_size target taken", "op2_minhash": "doc_id n_shingles component_id kept", "op3_binary_codes": "vec_id n_links component_id kept", "op4_seed_and_extend": "doc_id n_words n_removed kept_sha256",
+    "op5_cover_trees": "query_id rank vec_id score", "op6_token_files": "doc_id start n_tokens ids_crc32", "op7_best_fit": "doc_id piece start length ids_crc32 sequence_id offset", "op8_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans",
+    "op9_histogram_sort": "doc_id size text_crc32 law shard slot grown_shard", "op10_toxicity": "doc_id held_out score predicted",
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
 def test_queries_return_every_row(spark, data, name):
     out = registry.queries()[name](spark, data)
-    assert out.count() >= (50 if name == "op5_cover_trees" else 200)
+    assert out.columns == COLUMNS[name].split()
+    rows = out.collect()
+    if name == "op5_cover_trees":
+        assert Counter(r.query_id for r in rows) == {r.vec_id: 5 for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
+        return
+    table = "embeddings" if name == "op3_binary_codes" else "documents"
+    ids = Counter(r[0] for r in spark.read.parquet(f"{data}/{table}.parquet").collect())
+    assert Counter(r[0] for r in rows if name != "op7_best_fit" or r.piece == 0) == ids
+
+
+@pytest.fixture(scope="module")
+def texts(spark, data):
+    return {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+
+
+def encoded(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_path())
+    return {i: np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4") for i, r in sorted(texts.items())}
+
+
+def test_query_1_by_brute_force(spark, data, texts):
+    target, taken = brute_mixture(list(texts.values()))
+    for r in registry.queries()["op1_mixture"](spark, data).collect():
+        doc = texts[r.doc_id]
+        assert r.target == pytest.approx(target[doc.source]) and r.taken == taken[doc.source, r.doc_id, r.size]
+
+
+def test_query_6_by_brute_force(spark, data, texts):
+    got, at = {r.doc_id: r for r in registry.queries()["op6_token_files"](spark, data).collect()}, 0
+    for i, ids in encoded(texts).items():
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_query_7_by_brute_force(spark, data, texts):
+    ids, room, got = encoded(texts), defaultdict(list), registry.queries()["op7_best_fit"](spark, data).collect()
+    for r in got:
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.start == 4096 * r.piece and len(part) == r.length and zlib.crc32(part.tobytes()) == r.ids_crc32
+        room[r.sequence_id].append((r.offset, r.length))
+    assert sum(r.length for r in got) == sum(map(len, ids.values()))
+    for v in room.values():
+        assert [o for o, _ in sorted(v)] == np.cumsum([0, *(n for _, n in sorted(v))])[:-1].tolist() and sum(n for _, n in v) <= 4096
+    assert len(room) <= -(-sum(map(len, ids.values())) // 4096) + 1
+
+
+def test_query_9_by_brute_force(spark, data, texts):
+    got = registry.queries()["op9_histogram_sort"](spark, data).collect()
+    order, by = [r.doc_id for r in brute_order(texts.values())], defaultdict(list)
+    assert [r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))] == order
+    for r in got:
+        raw = (texts[r.doc_id].text or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
+        by[r.shard].append(r)
+    below, goal = np.cumsum([0, *(sum(r["size"] for r in by[s]) for s in range(40))]), sum(r["size"] for r in got) / 40
+    most = max(r["size"] for r in got)
+    assert set(by) <= set(range(40)) and all(abs(below[i] - goal * i) <= most for i in range(41))  # no nearer cut than a row
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
+
+
+def test_query_10_scores_as_its_model_does(spark, data, texts):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    model = toxicity.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    for r in registry.queries()["op10_toxicity"](spark, data).collect():
+        assert r.score == pytest.approx(model.score(pa.array([texts[r.doc_id].text]))[0])
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7)
+
+
+def test_stages_on_odd_rows_and_clashing_names(spark, data):
+    names = ["size", "target", "_k", "_source", "_hash", "_hex", "_h", "score", "_score", "_row", "shard", "a.b", "id", "count", "Kept"]
+    text = " ".join(f"w{i}" for i in range(40))
+    odd = [(None, text, None), (1, text, "s"), (2, text, "s"), (2, text, "s"), (3, None, "t"), (3, None, "t"), (4, "", None), (5, "  ", "s"), (6, "token=abcdefgh1 " + text[::-1], "t"), (7, "long " * 60_000, "s"), (7, text + " other", "t")]
+    for rows in (odd, [r for i, r in enumerate(odd) if i not in (0, 3, 5, 10)]):  # with and without repeated ids
+        made = [(i, t, "en", s, None if t is None else len(t), *(f"{n}:{j}" for n in names)) for j, (i, t, s) in enumerate(rows)]
+        docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+        columns, counts = docs.columns, []
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.common.saved(stage(spark, docs, data), "stage")
+            assert docs.columns == columns, name
+            found = docs.collect()
+            counts.append(len(found))
+            for r in found:
+                assert {v.split(":")[1] for v in r[5:]} <= {str(j) for j in range(len(rows))} and len({v.split(":")[1] for v in r[5:]}) == 1
+        assert counts[0] == len(rows) and counts[1] < counts[0] and counts[2] == counts[1] and counts[3] > 0
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, data).count() >= counts[3]
+
+
+def test_a_lost_table_is_an_error(spark, tmp_path, monkeypatch):
+    from pricewright.llm import common
+
+    made = common.saved(spark.range(10).repartition(3), "ten")
+    assert made.count() == 10 and common.rows_of(made, 0) == 10 and not common.is_empty(made)
+    read = spark.read.schema("id long")
+
+    class Lossy:
+        def schema(self, _):
+            return self
+
+        def parquet(self, path):
+            return read.parquet(path).limit(4)
+
+    monkeypatch.setattr(type(spark), "read", property(lambda self: Lossy()))
+    with pytest.raises(RuntimeError, match="holds 4 rows of the 10"):
+        common.saved(spark.range(10), "ten")
 
 
 def test_ten_operators_are_registered():

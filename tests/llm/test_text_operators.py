@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -81,6 +82,57 @@ def test_mixing(spark, table, empty):
     assert copies.columns == ["doc_id", "text", "lang", "source", "n_chars"] and max(Counter(r.doc_id for r in copies.collect()).values()) <= 2
 
 
+def brute_mixture(docs, weights=(3, 1, 2), share=1.5, epochs=2):
+    """target by source, and taken by row (doc_id, text, source): sources filled by hand, documents in the order of their
+    hash, repeated rows as one group."""
+    import xxhash
+
+    size, by = lambda r: len(words(r.text)), defaultdict(list)
+    for r in docs:
+        by[r.source].append(r)
+    names = sorted((s for s in by if s is not None)) + [None] * (None in by)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    total = {s: sum(map(size, by[s])) for s in names}
+    left, open_, target = share * sum(total.values()), set(names), {}
+    while True:
+        full = [s for s in open_ if left * weight[s] / sum(weight[t] for t in open_) > epochs * total[s]]
+        if not full:
+            break
+        for s in full:
+            target[s] = float(epochs * total[s])
+        left -= sum(target[s] for s in full)
+        open_ -= set(full)
+    target |= {s: left * weight[s] / sum(weight[t] for t in open_) for s in open_}
+    taken = {}
+    for s in names:
+        whole = int(target[s] // total[s]) if total[s] else 0
+        budget, at = int(target[s]) - whole * total[s], 0
+        groups = Counter((42 if r.doc_id is None else xxhash.xxh64(struct.pack("<q", r.doc_id), seed=42).intdigest(), r.doc_id or 0, size(r)) for r in by[s])
+        for (k, i, n), same in sorted(groups.items()):
+            taken[s, i, n] = whole * n + min(max(budget - at, 0) // same, n)
+            at += n * same
+    return target, taken
+
+
+def test_mixture_by_brute_force(spark, table):
+    docs = table.drop("size", "_k").collect()
+    target, taken = brute_mixture(docs)
+    for r in mixing.mixed(table.drop("size", "_k")).collect():
+        assert r.target == pytest.approx(target[r.source]) and r.taken == taken[r.source, r.doc_id or 0, r.size]
+    odd = spark.createDataFrame([(None, "a b c", "s"), (None, "a b c", "s"), (1, "x " * 5000, "s"), (2, None, None), (2, "", None), (3, "w " * 40, "t"), (3, "w " * 40, "t")], "doc_id long, text string, source string")
+    target, taken = brute_mixture(odd.collect())
+    got = mixing.mixed(odd).collect()
+    assert len(got) == 7 and all(r.target == pytest.approx(target[r.source]) and r.taken == taken[r.source, r.doc_id or 0, r.size] for r in got)
+
+
+def test_mixture_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 3)  # blocks of ranges, too
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, "w " * r.randint(0, 9), r.choice("aab")) for i in range(400)], "doc_id long, text string, source string")
+    _, taken = brute_mixture(docs.collect())
+    assert all(x.taken == taken[x.source, x.doc_id, x.size] for x in mixing.mixed(docs).collect())
+
+
 def test_mixing_repeated_rows_share_the_cut(spark):
     one = spark.createDataFrame([(1, "a b c d", "s")] * 9 + [(2, "a b", "t")], "doc_id long, text string, source string")
     out = mixing.mixed(one).collect()
@@ -223,14 +275,61 @@ def test_token_files_round_trip(spark, table, empty, tmp_path):
     for i, ids in sorted(truth(table).items()):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    name = shards.first().shard
-    file = tokenfile.TokenFile(out, name)
-    for ids, mask in file.batches():
-        assert ids.shape == mask.shape and ids.shape[1] == 128 and (ids[~mask] == 0).all()
+    for row in shards.collect():
+        file = tokenfile.TokenFile(out, row.shard)
+        whole = np.concatenate([ids[mask > 0] for ids, mask in file.batches()])
+        assert len(whole) == row.n_ids and len(file) == -(-row.n_ids // 128)
+        for i in range(len(file)):
+            ids, mask = file.sequence(i)
+            assert ids.shape == mask.shape == (128,) and (ids[mask > 0] == whole[i * 128 : (i + 1) * 128]).all() and (ids[mask == 0] == 0).all()
+        with pytest.raises(IndexError):
+            file.sequence(len(file))
     nothing = f"file://{tmp_path}/none"
     assert tokenfile.read_digests(spark, nothing, tokenfile.write(empty, nothing)).count() == 0
 
 
+def test_token_files_are_mapped_and_not_copied(tmp_path):
+    r = np.random.default_rng(0)
+    with pa.OSFile(f"{tmp_path}/x.ids", "wb") as sink:
+        writer = tokenfile.SequenceWriter(sink, 64, np.uint16, rows=4)
+        parts = [r.integers(0, 49_000, n) for n in (10, 700, 0, 3, 64, 255)]
+        for p in parts:
+            writer.add(p)
+        writer.close()
+    with pa.OSFile(f"{tmp_path}/x.docs", "wb") as sink, pa.ipc.new_file(sink, tokenfile._DOCS):
+        pass
+    file, flat = tokenfile.TokenFile(str(tmp_path), "x"), np.concatenate(parts)
+    assert len(file) == -(-len(flat) // 64) and file.reader.num_record_batches == -(-len(file) // 4)
+    before = pa.total_allocated_bytes()
+    held = [file.sequence(i) for i in range(len(file))]
+    assert pa.total_allocated_bytes() == before
+    again = file.sequence(5)
+    assert held[5][0].__array_interface__["data"] == again[0].__array_interface__["data"] and not again[0].flags.owndata
+    assert held[1][0].__array_interface__["data"][0] - held[0][0].__array_interface__["data"][0] == 64 * 2  # neighbours in one buffer
+    assert (np.concatenate([ids[mask > 0] for ids, mask in held]) == flat).all()
+
+
+def test_token_files_of_null_and_repeated_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "b a"), (2, "x"), (2, "x"), (2, "y y"), (None, None), (1, "")], "doc_id long, text string")
+    got = tokenfile.read_digests(spark, f"file://{tmp_path}/odd", tokenfile.write(docs, f"file://{tmp_path}/odd", seq_len=8)).collect()
+    got.sort(key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, 1, 2, 2, 2]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    enc = tokens.encoder(tokens.default_path())
+    crc = lambda t: zlib.crc32(np.append(enc.encode(pa.array([t]))[0], 1).astype("<u4").tobytes())
+    assert Counter(r.ids_crc32 for r in got) == Counter(map(crc, ["b a", "x", "x", "y y", "", ""]))
+
+
+def test_packing_of_null_and_repeated_ids(spark):
+    long_ = " ".join(f"w{i}" for i in range(6000))
+    docs = spark.createDataFrame([(None, None), (3, "a b"), (3, "a b"), (None, "c"), (4, ""), (5, long_)], "doc_id long, text string")
+    out = packing.packed(docs).collect()
+    assert Counter(r.doc_id for r in out if r.piece == 0) == Counter([None, None, 3, 3, 4, 5])
+    assert len({(r.sequence_id, r.offset) for r in out}) == len(out) and max(r.offset + r.length for r in out) <= 4096
+    parts = sorted((r.piece, r.start, r.length) for r in out if r.doc_id == 5)
+    assert [p[:2] for p in parts] == [(i, i * 4096) for i in range(len(parts))] and all(p[2] == 4096 for p in parts[:-1])
+
+
 def test_packing(table, empty):
     ids = truth(table)
     out = packing.packed(table).collect()
@@ -274,11 +373,56 @@ def test_trigram_queries():
     assert secrets.trigram_query("x*abc|q") == ("all",)
 
 
-def spans(text: str) -> list[tuple]:
+def spans(text: str, added: bool = False) -> list[tuple]:
     kinds = [("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
+    if added:
+        kinds += [("pem", re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----"), 0, 1), ("forge", re.compile("gh[opsu]_[A-Za-z0-9]{36,}"), 0, 40)]
+        kinds += [("webtoken", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0, 30)]
     return sorted((m.start(), k, name, m.end()) for k, (name, p, g, n) in enumerate(kinds) for m in p.finditer(text) if len(m[g]) >= n)
 
 
+def written(found: list[tuple]) -> str:
+    return ",".join(f"{n}:{a}:{b}" for a, _, n, b in found)
+
+
+def test_added_secrets_by_brute_force(spark):
+    r = random.Random(18)
+    bits = ["eyJ", "eyJ" + "x1_-" * 4, ".", "." + "eyJ" + "Q2" * 6, ".", "-", " ", "é", "gh" + "p_", "gh" + "s_", "A1" * 18, "A1" * 19, "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-----", "token=", "0f" * 17]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 30))) for _ in range(400)] + ["eyJ" + "a" * 12 + ".eyJ" + "b" * 12 + "." + "c" * 5] * 2
+    got = {x.doc_id: x for x in secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    seen = Counter()
+    for i, t in enumerate(texts):
+        want = spans(t, added=True)
+        seen.update(n for *_, n, _ in want)
+        assert got[i].spans == written(want) and got[i].base_spans == written(spans(t)), t
+    assert set(seen) == {"assign", "hex", "pem", "forge", "webtoken"}
+
+
+def test_secrets_in_very_long_texts(spark):
+    """Texts on which a backtracking or a quadratic scan would not come back."""
+    one = "token=abcdefgh%04d "
+    texts = ["eyJ" * 300_000, "eyJ" * 100_000 + ".eyJ" * 50_000, "password" * 100_000, "password" + " " * 500_000, "AKIA" * 200_000, "-----BEGIN " * 50_000, "".join(one % (i % 10_000) for i in range(30_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in secrets.secret_spans(docs).collect()}
+    assert got[6].n_assign == 30_000 and got[6].base_spans == written(spans(texts[6])) and got[4].n_access == 1 and got[0].spans == ""
+    assert {x.doc_id: x.text for x in secrets.redacted(docs.where("doc_id < 6 and doc_id <> 4")).collect()} == {i: texts[i] for i in (0, 1, 2, 3, 5)}
+
+
+def test_secrets_of_one_id_on_several_texts(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh1"), (1, "plain"), (1, "token=abcdefgh1"), (None, "AKIA" + "A" * 12)], "doc_id long, text string")
+    got = Counter((x.doc_id, x.text, x.spans) for x in secrets.secret_spans(docs).collect())
+    assert got == Counter([(1, "token=abcdefgh1", "assign:0:15"), (1, "plain", ""), (1, "token=abcdefgh1", "assign:0:15"), (None, "AKIA" + "A" * 12, "access:0:16")])
+
+
+def test_index_as_a_table_names_the_same_candidates(spark, table):
+    rules = secrets.BASE + secrets.MORE
+    words_ = secrets.vocabulary_of(rules)
+    docs = table.select("doc_id", "text").dropDuplicates(["doc_id"])
+    found = {x.doc_id: set(x.kinds) for x in secrets.candidates(secrets.postings(docs, words_), tuple(x for x in rules if x.kind != "hex"), words_).collect()}
+    for r in docs.collect():
+        assert {n for _, _, n, _ in spans(r.text or "", added=True)} - {"hex"} <= found.get(r.doc_id, set())
+
+
 def test_secret_scan(spark, table, empty):
     r, bits = random.Random(8), ["password", "Secret", "api_key", "apikey", "token", "AKIA", "=", ":", " ", "'", '"', "abcdefgh12", "0123456789ABCDEF", "0a1b2c3d" * 4, "é", "😀", "\n", "x"]
     made = spark.createDataFrame([(i, "".join(r.choice(bits) for _ in range(25))) for i in range(300)], "doc_id long, text string")
@@ -300,27 +444,54 @@ def test_redaction_leaves_no_secret(spark):
     assert out == {1: "é [assign] then [access].", 2: None, 3: rows_[2][1], 4: "[forge]", 5: "[assign]"}
 
 
+def brute_order(docs) -> list:
+    """Rows in the order of sharding: by the hashes of text and doc_id."""
+    import xxhash
+
+    signed = lambda b: xxhash.xxh64(b, seed=42).intdigest() - (1 << 64) * (xxhash.xxh64(b, seed=42).intdigest() >> 63)
+    return sorted(docs, key=lambda r: (signed((r.text or "").encode()), 42 if r.doc_id is None else signed(struct.pack("<q", r.doc_id))))
+
+
 def test_sharding(table, empty):
-    out = sharding.shard(sharding.keyed(table.drop("size")), 5).collect()
-    assert len(out) == table.count()
+    out = sharding.shard(table, 5).collect()
+    assert sharding.shard(table, 5).columns == [*table.columns, "size_", "shard", "slot"]  # the table has a size of its own
+    assert len(out) == table.count() and all(r["size"] == -1 and r["_k"] == "x" for r in out)
     by = defaultdict(list)
     for r in out:
-        assert r["size"] == len((r.text or "").encode()) + 16
+        assert r.size_ == len((r.text or "").encode()) + 16
         by[r.shard].append(r)
-    longest = max(r["size"] for r in out)
-    share = sum(r["size"] for r in out) / 5
+    longest = max(r.size_ for r in out)
+    share = sum(r.size_ for r in out) / 5
     for v in by.values():
         assert sorted(r.slot for r in v) == list(range(len(v)))
-        assert abs(sum(r["size"] for r in v) - share) <= longest
-    assert sharding.shard(sharding.keyed(empty.drop("size"))).count() == 0
+        assert abs(sum(r.size_ for r in v) - share) <= longest
+    want = [r.doc_id for r in brute_order(table.collect())]
+    assert [r.doc_id for r in sorted(out, key=lambda r: (r.shard, r.slot))] == want
+    assert sharding.shard(empty).count() == 0
+
+
+def test_sharding_keeps_small_groups_whole(spark):
+    r = random.Random(5)
+    texts = [f"text {i} " + "x" * r.randint(1, 200) for i in range(1500)]
+    docs = spark.createDataFrame([(i, texts[i % 1500 if i % 3 else i % 400]) for i in range(4000)], "doc_id long, text string")
+    out = sharding.shard(docs, 8).collect()
+    of, sizes = defaultdict(set), Counter()
+    for x in out:
+        of[x.text].add(x.shard)
+        sizes[x.shard] += x["size"]
+    assert all(len(v) == 1 for v in of.values())  # no group is near 2% of a shard
+    share = sum(sizes.values()) / 8
+    assert len(sizes) == 8 and max(abs(v - share) for v in sizes.values()) <= 2 * 0.02 * share + 250
 
 
 def test_sharding_cuts_a_group_of_equal_rows(spark):
-    hot = spark.createDataFrame([(7, "same text")] * 400 + [(i, f"other {i}") for i in range(100)], "doc_id long, text string")
-    sizes = Counter()
-    for r in sharding.shard(sharding.keyed(hot), 10).collect():
+    hot = spark.createDataFrame([(7, "same text")] * 400 + [(None, None)] * 3 + [(i, f"other {i}") for i in range(100)], "doc_id long, text string")
+    sizes, slots = Counter(), defaultdict(list)
+    for r in sharding.shard(hot, 10).collect():
         sizes[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
     assert len(sizes) == 10 and max(sizes.values()) - min(sizes.values()) <= 3 * 25
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
 def test_toxicity_learns_and_scores_odd_texts(spark):
@@ -347,8 +518,128 @@ def test_toxicity_learns_and_scores_odd_texts(spark):
     assert toxicity.scored(docs.limit(0), model, "s").count() == 0
 
 
+def test_features_of_a_text_do_not_depend_on_its_neighbours():
+    made = [t for _, t, *_ in rows()] + ["aa", "ab", "a.", "b", "sooo", "oo", "1a", "a1b", "don't", "é.", "x"]
+    lexicon = toxicity.Lexicon()
+    every = toxicity.features(pa.array(made), lexicon)
+    assert np.array_equal(every, np.concatenate([toxicity.features(pa.array([t]), lexicon) for t in made]))
+    at = {f: i for i, f in enumerate(toxicity.FEATURES)}
+    one = lambda t, f: toxicity.features(pa.array([t]), lexicon)[0, at[f]] * len(t.encode())
+    assert [round(one(t, "drawn_out")) for t in ("soo", "sooo", "soooo", "ooo", "...")] == [0, 1, 2, 1, 0]
+    assert [round(one(t, "marks_inside")) for t in ("don't", "a.", ".a", "a.b.c")] == [1, 0, 0, 2] and round(one("a1b", "digits_inside")) == 1
+
+
+def test_toxicity_of_odd_labels_and_rows(spark):
+    made = [(i, ("zorgel zorgax " if i % 5 == 0 else "") + "some plain words") for i in range(400)]
+    odd = [(0, made[0][1]), (0, made[0][1]), (None, "no id zorgel zorgax"), (None, None), (7001, "long " * 200_000 + "zorgel")]
+    labels = [(i, int(i % 5 == 0)) for i in range(400)] + [(0, 0), (3, None), (None, 1), (9999, 1)]
+    docs = spark.createDataFrame(made + odd, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = toxicity.scored(docs, model).collect()
+    assert len(got) == 405 and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 0}) == 1
+    assert all((r.score >= toxicity.THRESHOLD) == (r.doc_id % 5 == 0) for r in got if r.doc_id is not None and r.doc_id < 400)
+
+
+def test_isotonic_takes_equal_scores_as_one_point():
+    x, v = toxicity.isotonic(np.array([0.1] * 99 + [0.1, 0.9, 0.9]), np.array([0.0] * 99 + [1.0, 1.0, 1.0]))
+    assert np.interp([0.1, 0.9], x, v).tolist() == [0.01, 1.0]
+
+
+def test_one_toxic_label_on_a_clean_text_does_not_make_all_toxic(spark):
+    r, made, labels = random.Random(3), [], []
+    for i in range(900):
+        bad = i % 10 == 0
+        made.append((i, " ".join(["zorgel", "zorgax"] if bad else []) + " plain words of no harm at all"))
+        labels.append((i, int(bad or r.random() < 0.01)))
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    got = {x.doc_id: x.score for x in toxicity.scored(docs, toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
+    assert all((got[i] >= toxicity.THRESHOLD) == (i % 10 == 0) for i in got)
+
+
+def brute_trees(x, y, model):
+    """Boosting as Trees describes it, every split of every node tried one by one."""
+    edges, score, wide = model.edges, np.full(len(y), model.bias), model.bins + 1
+    binned = np.array([[int((e <= v).sum()) for e, v in zip(edges, row, strict=True)] for row in x.tolist()])
+    for splits in model.trees:
+        p = 1 / (1 + np.exp(-score))
+        g, h = y - p, np.maximum(p * (1 - p), 1e-6)
+        node, at = [0] * len(y), 0
+        for level in range(model.depth):
+            chosen = []
+            for k in range(1 << level):
+                mine = [i for i in range(len(y)) if node[i] == k]
+                gains = {}
+                for f in range(x.shape[1]):
+                    for cut in range(wide):
+                        left = [i for i in mine if binned[i, f] <= cut]
+                        if min(len(left), len(mine) - len(left)) >= model.leaf:
+                            part = lambda rows: sum(g[i] for i in rows) ** 2 / (sum(h[i] for i in rows) + model.ridge)
+                            gains[f, cut] = part(left) + part([i for i in mine if binned[i, f] > cut]) - part(mine)
+                best = max(gains.values(), default=0)
+                f, cut = splits[at]
+                at += 1
+                assert gains.get((f, cut), 0) >= best - 1e-9 or best <= 1e-9
+                chosen.append((f, cut))
+            node = [node[i] * 2 + int(binned[i, chosen[node[i]][0]] > chosen[node[i]][1]) for i in range(len(y))]
+        for k in range(1 << model.depth):
+            mine = [i for i in range(len(y)) if node[i] == k]
+            step = model.rate * sum(g[i] for i in mine) / (sum(h[i] for i in mine) + model.ridge) if mine else 0
+            score[mine] += step
+    return score
+
+
+def test_trees_against_plain_boosting():
+    r = np.random.default_rng(6)
+    x = np.round(r.random((70, 4)), 2)
+    y = ((x[:, 0] > 0.5) & (x[:, 2] < 0.7)).astype(float)
+    y[:5] = 1 - y[:5]
+    model = toxicity.Trees(rounds=4, depth=2, bins=8).fit(x, y)
+    assert np.allclose(model.raw(x), brute_trees(x, y, model))
+    assert ((model.raw(x) > 0) == (y > 0.5)).mean() > 0.8
+
+
 def test_isotonic_is_monotone():
     r = np.random.default_rng(0)
     s, y = r.random(500), (r.random(500) < 0.4).astype(float)
     x, v = toxicity.isotonic(s, y)
     assert (np.diff(v) >= 0).all() and (np.diff(x) >= 0).all() and abs(np.interp(s, x, v).mean() - y.mean()) < 0.05
+
+
+#: Names that operators use for columns of their own or add.
+CLASHING = ("size", "source_size", "target", "taken", "_k", "_source", "_epochs", "_times", "_i", "_hash", "_hex", "_assign", "_text", "_lower", "_bits0", "_spans", "_reach", "spans", "base_spans", "n_assign", "_h", "_d", "_r", "_t", "_s", "_z", "_at", "_doc", "_whole", "n_words", "n_removed", "repeats", "kept_text", "score", "_score", "SCORE_", "shard", "slot", "_row", "row", "a.b", "id", "n", "f1")
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    from pyspark.sql import functions as F
+
+    base = spark.createDataFrame([(i, t, "en", s, 5) for i, t, _, s, *_ in rows(24)], "doc_id long, text string, lang string, source string, n_chars long")
+    return base.select("*", *(F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHING))
+
+
+def unchanged(df, ids) -> None:
+    found = df.collect()
+    assert sorted(r.doc_id for r in found) == sorted(ids)
+    for r in found:
+        assert all(r[df.columns.index(c)] == f"{c}:{r.doc_id}" for c in CLASHING)
+
+
+def test_operators_leave_columns_of_any_name_alone(spark, clashing):
+    ids = [r.doc_id for r in clashing.collect()]
+    mixed = mixing.mixed(clashing)
+    assert mixed.columns == [*clashing.columns, "size_", "source_size_", "target_", "taken_"]
+    unchanged(mixed, ids)
+    repeated = mixing.repeated(clashing)
+    assert repeated.columns == clashing.columns
+    unchanged(repeated, [r.doc_id for r in repeated.collect()])
+    assert secrets.redacted(clashing).columns == clashing.columns
+    unchanged(secrets.redacted(clashing), ids)
+    unchanged(secrets.secret_spans(clashing), ids)
+    unchanged(substring.deduplicated(clashing), ids)
+    unchanged(sharding.shard(clashing, 3), ids)
+    model = toxicity.train(clashing, spark.createDataFrame([(i, int(n % 2)) for n, i in enumerate(ids)], "doc_id long, toxic int"))
+    scored = toxicity.scored(clashing, model)
+    assert scored.columns[-1] == "score__"  # SCORE_ is taken, too
+    unchanged(scored, ids)
+    assert minhash.near_duplicates(clashing).count() == len(ids) == packing.packed(clashing).where("piece = 0").count()

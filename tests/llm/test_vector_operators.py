@@ -67,14 +67,43 @@ def test_recall_at_the_threshold():
 
 def test_estimates_are_unbiased_and_bounded():
     r = np.random.default_rng(3)
-    x = embdedup.units(r.standard_normal((400, 64)))
-    y = embdedup.units(x + 0.3 * r.standard_normal((400, 64)) / 8)
-    turned, signs, factor = embdedup.codes(x)
-    other, _, _ = embdedup.codes(y)
-    estimate = (signs * other).sum(axis=1) / (np.sqrt(64) * factor)
-    true = (x * y).sum(axis=1)
-    assert abs((estimate - true).mean()) < 0.01
-    assert embdedup.may_reach(turned, signs, factor, other, 0.9)[np.arange(400), np.arange(400)][true >= 0.9].all()
+    x = r.standard_normal((400, 64))
+    unit = embdedup.units(np.concatenate([x, x + 0.4 * r.standard_normal((400, 64))]))
+    signs, factors = embdedup.codes(unit)
+    true, found = unit @ unit.T, embdedup.estimates(signs, factors)
+    far = np.triu(np.ones(true.shape, bool), 1)
+    twin = np.zeros(true.shape, bool)
+    twin[np.arange(400), np.arange(400, 800)] = True
+    for part in (far & ~twin, twin):
+        assert abs((found - true)[part].mean()) < 0.01
+    at = twin & (true >= 0.9)
+    i, j = embdedup.may_reach(signs, factors, 0.9)
+    likely = np.zeros(true.shape, bool)
+    likely[i, j] = True
+    assert at.sum() > 100 and likely[at].all()
+    a, b = np.nonzero(at)
+    assert 0.8 < ((found - true)[at] / embdedup.deviation(factors[a], factors[b], 64, 0.9)).std() <= 1.1
+    assert likely[far & ~twin].mean() < 0.001
+
+
+def test_keys_do_not_depend_on_the_batch():
+    unit = embdedup.units(np.random.default_rng(1).standard_normal((500, 48)))
+    every = embdedup.keys(unit, 12, range(20))
+    assert all((embdedup.keys(unit[i : i + n], 12, range(20)) == every[i : i + n]).all() for i, n in ((0, 1), (7, 3), (100, 399)))
+
+
+def test_embedding_dedup_in_rounds(spark, monkeypatch):
+    rows = vectors(seed=8)
+    ask = lambda: sorted(tuple(r) for r in embdedup.near_vectors(spark.createDataFrame(rows, SCHEMA), block=40).fillna(-1).collect())
+    once = ask()
+    monkeypatch.setattr(embdedup, "ROUND", 3)
+    assert ask() == once
+
+
+def test_embedding_dedup_of_null_and_repeated_ids(spark):
+    rows = [(None, [1.0, 2.0], 0), (4, [1.0, 2.0], 0), (4, [1.0, 2.0], 0), (4, [-1.0, 0.0], 0), (6, [-2.0, 0.01], 0), (2, [5.0, -1.0], 0)]
+    out = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in embdedup.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert out == [(0, 0, None, True), (2, 0, 2, True), (4, 1, 4, True), (4, 1, 4, True), (4, 1, 4, True), (6, 1, 4, False)]
 
 
 def brute(rows, k=5):
@@ -98,9 +127,61 @@ def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "DATA_BLOCK", 32)
     monkeypatch.setattr(topk, "SAMPLE", 10)
     assert run() == brute(rows)
+    monkeypatch.setattr(topk, "SAMPLE", 100)
+    assert run() == brute(rows)
     assert topk.top_k(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_is_exact_beyond_doubles(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(9)
+    ask = lambda rows: sorted(tuple(x) for x in topk.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect())
+    assert ask([(0, [1e6, 0.0], 0), *((i, [1e6, i / 256], 0) for i in (1, 2, 3)), (50, [1.0, 1.0], 0)])[:4] == [(0, 1, 1, 65536 * 10**12), (0, 2, 2, 65536 * 10**12), (0, 3, 3, 65536 * 10**12), (0, 4, 50, 65536 * 10**6)]
+    near = [(0, [1e6, 1e6], 0), *((i, [1e6, 1e6 + i / 256], 0) for i in (1, 2, 3))]
+    assert [x[2] for x in ask(near)] == [3, 2, 1]  # 65536e12 + 65536e12 + i * 256e6: apart by less than a double tells, times 2**53
+    for low, high in ((2**22, 2**23), (2**26, 2**27)):  # sums in 64 bits, and products whose bound passes them
+        rows = [(i * 10, [float(v) / 256 for v in r.integers(-high if i % 2 else low, high, 400 if high > 2**26 else 6)], 0) for i in range(40)]
+        if high > 2**26:
+            rows = [(i, [v[0], v[1], *[0.0] * 398], 0) for i, v, _ in rows]
+        assert ask(rows) == brute_exact(rows)
+    with pytest.raises(Exception, match="64 bits"):
+        ask([(0, [2.0**40], 0), (1, [2.0**40], 0)])
+    with pytest.raises(Exception, match="64 bits"):
+        ask([(0, [2.0**60], 0), (1, [0.0], 0)])
+
+
+def brute_exact(rows, k=5):
+    good = [(i, [int(np.floor(256 * c)) for c in v]) for i, v, _ in rows]
+    out = []
+    for q, x in good:
+        if q % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in good if i != q)
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def test_top_k_of_null_and_repeated_ids(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, [9.0, 9.0], 0), (50, [2.0, 0.0], 0), (50, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (3, [4.0, 0.0], 0), (7, [1.0, 0.0], 0)]
+    got = sorted(tuple(x) for x in topk.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect())
+    assert got == [(50, 1, 3, 4 * 65536), (50, 2, 3, 65536), (50, 3, 7, 65536)]
+
+
+def test_top_nodes_are_pruned(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in (100 if i % 2 else -100) + r.standard_normal(4)], 0) for i in range(400)]
+    rows = [(i, v, 0) for i, v, _ in rows]
+    seen, met = [], topk._met
+    monkeypatch.setattr(topk, "DATA_BLOCK", 100)
+    monkeypatch.setattr(topk, "_met", lambda sides, k: met(seen.append(sides.where("not asked").select("vec_id").distinct().count()) or sides, k))
+    got = sorted(tuple(x) for x in topk.top_k(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect())
+    assert got == brute(rows) and seen[0] <= 200  # the other cluster meets no query
+
+
 def test_cover_tree_covers():
     r = np.random.default_rng(0)
     x = np.concatenate([r.standard_normal((300, 4)), np.zeros((200, 4)), r.standard_normal((300, 4)) * 0.01 + 5])
