@@ -85,6 +85,11 @@ class Engine:
         self.ledger = runs.Ledger(spark, f"{path}/runs")
         self._seen = store.SeenSets(spark, f"{path}/seen")
 
+    @classmethod
+    def of(cls, spark: SparkSession, settings: Settings) -> Engine:
+        """An engine on the folder that the settings name."""
+        return cls(spark, settings.checked().path, settings=settings)
+
     @property
     def runs(self) -> DataFrame:
         return self.ledger.read()

@@ -329,3 +329,61 @@ def _(spark, d):
     ledger = runs_v(spark, d).withColumns({"deleted": F.lit(0).cast("long"), "error": F.lit(None).cast("string")})
     done = runs.finish(ledger, 7, datetime.fromisoformat(NOW), "failed", 42, 0, "e" * 3000)
     return done.select("id", "status", F.coalesce(F.length("error"), F.lit(0)).alias("n_error"), "products")
+
+
+@_add("stream_load", f"{PRODUCTS} SELECT product_hash, sku, service, CAST(count(*) AS BIGINT) AS n_prices FROM prices_v WHERE vendor_name = 'gcp' GROUP BY 1, 2, 3")
+def _(spark, d):
+    """Products that land as files, loaded batch by batch into a stored table."""
+    from pricewright.schema import SEED
+    from pricewright.streaming import landing
+
+    one = F.to_json(F.struct(F.col("product_hash").alias("productHash"), "sku", F.col("vendor_name").alias("vendorName"), "region", "service", F.col("product_family").alias("productFamily"), "attributes", "prices"))
+    mine = query.matching(products_v(spark, d), ProductFilter("gcp"))
+    groups = mine.groupBy(F.concat(F.lit("load"), (F.col("l_suppkey") % 4).cast("string")).alias("name")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value"))
+    path = _folder(spark, "stream")
+    _documents(groups, f"{path}/files")
+    held = store.ProductStore(spark, f"{path}/products")
+    shape = lambda b: b.select(F.col("productHash").alias("product_hash"), "sku", F.col("vendorName").alias("vendor_name"), "region", "service", F.col("productFamily").alias("product_family"), "attributes", "prices")
+    files = landing.landed(spark, f"{path}/files/*.json", SEED, files_per_batch=2)
+    landing.load(files, shape, held, f"{path}/checkpoint", lambda: _time(NOW)).awaitTermination()
+    return held.plain().select("product_hash", "sku", "service", F.size("prices").cast("long").alias("n_prices"))
+
+
+class _Parts:
+    """A vendor's source over the parts of a table: one batch for each condition."""
+
+    def __init__(self, products: DataFrame, *conditions: str, failed: int = 0):
+        self.name, self._products, self._conditions, self._failed = "aws", products, conditions, failed
+
+    def batches(self, spark: SparkSession):
+        for c in self._conditions:
+            yield self._products.where(c).drop("p_partkey")
+
+    def failed_services(self) -> int:
+        return self._failed
+
+
+@_add("engine_runs", """WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE p_partkey % 3 = 0) AS third, count(*) FILTER (WHERE p_partkey % 10 <> 0) AS most FROM part),
+r(id, status, products, deleted) AS (SELECT 1, 'success', n, 0 FROM c UNION ALL SELECT 2, 'success', third, 0 FROM c UNION ALL SELECT 3, 'success', most, 0 FROM c UNION ALL SELECT 4, 'success', most, n - most FROM c UNION ALL SELECT 5, 'failed', 0, 0 FROM c)
+SELECT CAST(id AS BIGINT) AS id, status, CAST(products AS BIGINT) AS products, CAST(deleted AS BIGINT) AS deleted, (SELECT CAST(most AS BIGINT) FROM c) AS stored FROM r""")
+def _(spark, d):
+    """Five runs of a vendor: all, too few to clean up after, one with a failed service, one that cleans up, an empty one;
+    each by an engine that begins anew."""
+    from datetime import datetime, timedelta
+
+    from pricewright.engine import Engine
+
+    now = [datetime.fromisoformat(NOW)]
+
+    def clock() -> datetime:
+        now[0] += timedelta(minutes=1)
+        return now[0]
+
+    price = F.struct(*((F.col("p_retailprice").cast("string") if f == "USD" else F.lit("")).alias(f) for f in PRICE_FIELDS))
+    key = F.col("p_partkey").cast("string")
+    products = _table(spark, d, "part").select("p_partkey", key.alias("product_hash"), key.alias("sku"), F.lit("aws").alias("vendor_name"), F.lit("r").alias("region"), F.lit("s").alias("service"), F.lit("f").alias("product_family"), F.create_map(F.lit("name"), F.col("p_name")).alias("attributes"), F.array(price).alias("prices"))
+    path = _folder(spark, "runs")
+    for source in (_Parts(products, "p_partkey % 2 = 0", "p_partkey % 2 = 1"), _Parts(products, "p_partkey % 3 = 0"), _Parts(products, "p_partkey % 10 <> 0", failed=1), _Parts(products, "p_partkey % 10 <> 0"), _Parts(products)):
+        Engine(spark, path, clock).ingest(source)
+    engine = Engine(spark, path, clock)
+    return engine.runs.select("id", "status", "products", "deleted", F.lit(engine.store.count()).cast("long").alias("stored"))

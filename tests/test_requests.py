@@ -57,11 +57,15 @@ def test_batches_share_a_budget(engine):
         requests.batch(engine, [one] * 51)
 
 
-def test_settings():
+def test_settings(spark, tmp_path):
     s = config.load({"SCRAPE_CONCURRENCY": "6", "SCRAPE_CONCURRENCY_AWS": "3", "CNY_USD_RATE": "7.5", "ENV": "production", "MAX_BATCH_SIZE": "x"})
     assert [s.concurrency_for(v) for v in ("aws", "AZURE", "gcp", "other")] == [3, 8, 6, 6] and s.cny_per_usd == 7.5 and not s.introspection and s.batch_requests == 50
     with pytest.raises(ValueError):
         s.checked()
+    made = Engine.of(spark, config.load({"PRICEWRIGHT_PATH": str(tmp_path), "MAX_BATCH_SIZE": "2", "MAX_PRODUCTS_PER_REQUEST": "7"}))
+    assert made.path == str(tmp_path) and made.budget().left == 7
+    with pytest.raises(requests.RequestError):
+        requests.batch(made, [{"query": "{ __typename }"}] * 3)
 
 
 def test_services(spark):
