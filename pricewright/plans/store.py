@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from pricewright.observed import counted
 from pricewright.plans.runs import REAP_AFTER, created
 from pricewright.schema import HOT_KEYS, PRODUCT
 
@@ -164,12 +165,12 @@ class ProductStore:
 
     def write(self, products: DataFrame, touched: set[tuple[str, str]] | None = None, unless: Observation | None = None) -> int:
         """A new version in which ``products`` take the place of the ``touched`` partitions, or of all; the version as it
-        was if ``unless``, an observation of ``products`` with ``n``, has counted none."""
+        was if ``unless``, an observation of ``products`` with ``n``, has counted none (a lost count writes it)."""
         n = self.version() + 1
         hot = {f"attr_{k}": F.col("attributes")[k] for k in HOT_KEYS}
         rows = products.withColumns(hot).sortWithinPartitions("vendor_name", "service", "region", "product_hash")
         rows.write.mode("overwrite").partitionBy("vendor_name", "service").parquet(f"{self.path}/v{n}")
-        if unless is not None and not unless.get.get("n", 0):
+        if unless is not None and counted(unless) == 0:
             self._fs.delete(self._at(f"v{n}"), True)
             return n - 1
         there = self.spark.read.schema(STORED).parquet(f"{self.path}/v{n}").select("vendor_name", "service").distinct().collect()
@@ -211,8 +212,13 @@ class ProductStore:
         deleted, gone = Observation(), (F.col("vendor_name") == vendor) & (F.col("updated_at") < start) & F.col("_seen").isNull()
         marked = self._of(touched).join(seen.select("product_hash").distinct().withColumn("_seen", F.lit(True)), "product_hash", "left").withColumn("_gone", gone)
         marked = marked.observe(deleted, F.count_if("_gone").alias("n"))
+        before = self.manifest()
         self.write(marked.where("not coalesce(_gone, false)").drop("_seen", "_gone"), touched, deleted)
-        return deleted.get.get("n", 0)
+        gone = counted(deleted)
+        return self._rows(before) - self._rows(self.manifest()) if gone is None else gone
+
+    def _rows(self, manifest: list[tuple[int, str, str]]) -> int:
+        return sum(self.spark.read.schema(STORED).parquet(f"{self.path}/v{n}").where((F.col("vendor_name") == v) & (F.col("service") == s)).count() for n, v, s in manifest)
 
     def count(self) -> int:
         return self.read().count()
