@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricewright.llm.textkernel import squeeze
+from pricewright.observed import counted
 
 #: Rows of at most a few dozen bytes that may be broadcast; a side with more is joined by a shuffle.
 BROADCAST_ROWS = 200_000
@@ -71,10 +72,10 @@ def saved(df: DataFrame, label: str) -> DataFrame:
         spark.conf.set(FREED, before)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     table = spark.read.schema(df.schema).parquet(path)
-    there, n = table.count(), wrote.get.get("n", 0)
-    if there != n or not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+    there, n = table.count(), counted(wrote)
+    if n not in (there, None) or not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
         raise RuntimeError(f"{path} holds {there} rows of the {n} that were written")
-    table._saved_path, table._rows = path, n
+    table._saved_path, table._rows = path, there
     return table
 
 
