@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricewright.llm.common import blocked, bounded_batches, connected_components, documents, saved, small, spread
+from pricewright.llm.common import blocked, bounded_batches, connected_components, documents, is_empty, saved, small, spread
 from pricewright.llm.textkernel import grams, mix, ranges, split_words
 
 HASHES, BATCH, MISS, LOST = 128, 16, 1e-7, 2e-6
@@ -141,23 +141,38 @@ def _narrowed(classes: DataFrame, bands: int, rows: int, hashes: int) -> DataFra
     return classes.select("id", "sig").mapInArrow(task, "id long, s8 binary, met binary")
 
 
-def _likely(pairs: DataFrame, threshold: float, hashes: int, batch_size: int, miss: float) -> DataFrame:
-    """a, b of ``pairs`` (a, b, sa, sb) that the sequential test does not rule out."""
+def _beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Rows a, blk, b, v of ``pairs`` (a, b) with the value v of b, and before those of each a and blk a row of a itself,
+    b null: what a is compared by goes to a task once per block of its partners, not once per partner."""
+    many = saved(pairs.groupBy("a").count().where(f"count > {BLOCK}").select("a", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "many")
+    sized = pairs.join(small(many), "a", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    members = sized.withColumn("blk", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).join(values.select(F.col("id").alias("b"), "v"), "b")
+    first = sized.select("a", "parts").distinct().withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(values.select(F.col("id").alias("a"), "v"), "a")
+    both = members.select("a", "blk", "b", "v").unionByName(first.select("a", "blk", F.lit(None).cast("long").alias("b"), "v"))
+    return spread(both, "a", "blk").sortWithinPartitions("a", "blk", F.col("b").asc_nulls_first())
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, threshold: float, hashes: int, batch_size: int, miss: float) -> DataFrame:
+    """a, b of ``pairs`` that the sequential test does not rule out by the signatures of ``classes``."""
     steps = least_matches(threshold, hashes, batch_size, miss)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((1, hashes), np.uint32)  # the signature of the last a
         for batch in batches:
-            alive = np.arange(batch.num_rows)
-            if len(alive):
-                x, y = (_matrix(batch.column(i), hashes) for i in (2, 3))
-                m, done = np.zeros(len(alive), np.int64), 0
-                for n, least in steps:
-                    m = m + (x[alive, done:n] == y[alive, done:n]).sum(axis=1)
-                    stay = m >= least
-                    alive, m, done = alive[stay], m[stay], n
-            yield batch.select(["a", "b"]).take(pa.array(alive))
+            if not batch.num_rows:
+                continue
+            sig = np.concatenate([held, _matrix(batch.column(3), hashes)])
+            own = np.concatenate([[True], batch.column(2).is_null().to_numpy(zero_copy_only=False)])
+            last = np.maximum.accumulate(np.where(own, np.arange(len(own)), 0))
+            held, alive = sig[last[-1:]], np.flatnonzero(~own)
+            m, done = np.zeros(len(alive), np.int64), 0
+            for n, least in steps:
+                m = m + (sig[alive, done:n] == sig[last[alive], done:n]).sum(axis=1)
+                stay = m >= least
+                alive, m, done = alive[stay], m[stay], n
+            yield batch.select(["a", "b"]).take(pa.array(alive - 1))
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long")
+    return _beside(pairs, classes.withColumnRenamed("sig", "v")).mapInArrow(task, "a long, b long")
 
 
 def _sets(need: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -177,18 +192,19 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, part: int, whole: int)
     held = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), docs, k)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.zeros(0, np.uint64)  # the set of the last a
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(whole * both >= part * (len(x) + len(y) - both))
+            for own, raw in zip(batch.column(2).is_null().to_pylist(), batch.column(3).to_pylist(), strict=True):
+                other = np.frombuffer(raw, np.uint64)
+                if own:
+                    mine = other
+                x, y = (mine, other) if len(mine) <= len(other) else (other, mine)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+                keep.append(not own and whole * both >= part * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(task, "a long, b long")
+    return _beside(pairs, held.withColumnRenamed("s", "v")).mapInArrow(task, "a long, b long")
 
 
 class _Forest:
@@ -298,8 +314,7 @@ def _links(banded: DataFrame, classes: DataFrame, docs: DataFrame, k: int, part:
     firsts = banded.groupBy("band", "key").agg(F.min_by(F.struct(F.col("id").alias("p"), F.col("n").alias("pn")), "id").alias("f")).select("band", "key", "f.p", "f.pn")
     pairs = banded.join(firsts, ["band", "key"]).where(f"id <> p and {whole} * least(n, pn) >= {part} * greatest(n, pn)")
     pairs = saved(pairs.select(F.col("p").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    signed = pairs.join(classes.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(classes.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    links = saved(_confirmed(saved(_likely(signed, threshold, hashes, batch, miss), "likely"), docs, k, part, whole), "links")
+    links = saved(_confirmed(saved(_likely(pairs, classes.select("id", "sig"), threshold, hashes, batch, miss), "likely"), docs, k, part, whole), "links")
     labels = connected_components(links)
     state = banded.join(labels, "id", "left").select("band", "key", "id", "n", F.coalesce("component_id", "id").alias("c"))
     mixed = state.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "key")
@@ -307,7 +322,7 @@ def _links(banded: DataFrame, classes: DataFrame, docs: DataFrame, k: int, part:
     entries = blocked(saved(entries, "entries"), ["band", "key"], BLOCK)
     steps = least_matches(threshold + (1 - threshold) / 256, hashes, batch, miss)  # bytes agree by chance, too
     hopeful = saved(_hopeful(entries, hashes, steps, part, whole), "hopeful")
-    if hopeful.isEmpty():
+    if is_empty(hopeful):
         return labels
     sets = _sets(hopeful.select("id").distinct(), docs, k)
     more = saved(_joining(entries.join(hopeful, [*_BLOCK_KEY, "id"], "left_semi").join(sets, "id"), hashes, steps, part, whole), "joining")
