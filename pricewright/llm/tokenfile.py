@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from pricewright.llm.textkernel import unsqueeze
 from pricewright.llm.tokens import default_path, encoder
 
 SEQ_LEN, END_ID = 2048, 1
-_INDEX = "shard string, n_docs long, n_ids long, first_doc long, last_doc long"
+_INDEX = "shard string, part int, n_docs long, n_ids long, first_doc long, last_doc long"
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
@@ -69,11 +70,12 @@ class SequenceWriter:
 
 
 def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int = END_ID, seq_len: int = SEQ_LEN) -> DataFrame:
-    """Encode and write all ``docs`` (doc_id, text); returns a row per file: shard, n_docs, n_ids, first_doc, last_doc."""
+    """Encode and write all ``docs`` (doc_id, text); returns a row per file: shard, part (its place), n_docs, n_ids, first_doc, last_doc."""
     spark, tokenizer = docs.sparkSession, tokenizer or default_path()
     bounded_batches(spark)
     _open(out)[0].create_dir(_open(out)[1], recursive=True)
-    ordered = squeezed(docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))).repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "_z")
+    numbered = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_n"))  # equal rows, too, may be split
+    ordered = squeezed(numbered).repartitionByRange("doc_id", "_h", "_n").sortWithinPartitions("doc_id", "_h", "_z")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, files, name = encoder(tokenizer), None, uuid.uuid4().hex
@@ -87,7 +89,7 @@ def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int =
                 files = SequenceWriter(sinks[0], seq_len, enc.dtype)
                 index = pa.ipc.new_file(sinks[1], _DOCS)
                 first = batch.column(0)[0].as_py()
-            ids, offsets = enc.encode_ended(unsqueeze(batch.column(2)), end_id)
+            ids, offsets = enc.encode_ended(unsqueeze(batch.column(3)), end_id)
             files.add(ids)
             index.write_batch(pa.record_batch([batch.column(0), pa.array(offsets[:-1] + n_ids), pa.array(np.diff(offsets))], schema=_DOCS))
             n_docs, n_ids, last = n_docs + batch.num_rows, n_ids + len(ids), batch.column(0)[batch.num_rows - 1].as_py()
@@ -98,7 +100,7 @@ def write(docs: DataFrame, out: str, tokenizer: str | None = None, end_id: int =
                 sink.close()
             for kind in ("docs", "ids"):
                 filesystem.move(f"{base}/_{name}.{kind}", f"{base}/{name}.{kind}")
-            yield pa.record_batch([pa.array([name]), pa.array([n_docs]), pa.array([n_ids]), pa.array([first], pa.int64()), pa.array([last], pa.int64())], names=["shard", "n_docs", "n_ids", "first_doc", "last_doc"])
+            yield pa.record_batch([pa.array([name]), pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n_docs]), pa.array([n_ids]), pa.array([first], pa.int64()), pa.array([last], pa.int64())], names=["shard", "part", "n_docs", "n_ids", "first_doc", "last_doc"])
 
     return saved(ordered.mapInArrow(task, _INDEX), "shards")
 
@@ -158,7 +160,7 @@ def read_digests(spark: SparkSession, out: str, shards: DataFrame) -> DataFrame:
 
     The start of each file is a running sum over one row per file; their number is that of the writing tasks.
     """
-    rows = sorted(shards.select("shard", "n_ids", "first_doc", "last_doc").collect(), key=lambda r: (r.first_doc is not None, r.first_doc or 0, r.last_doc is not None, r.last_doc or 0))
+    rows = sorted(shards.select("part", "shard", "n_ids").collect())
     base = np.cumsum([0, *(r.n_ids for r in rows)]).tolist()
     listed = spark.createDataFrame([(r.shard, b) for r, b in zip(rows, base[:-1], strict=True)], "shard string, base long").repartition(max(1, len(rows)))
 

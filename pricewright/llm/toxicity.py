@@ -217,11 +217,18 @@ def _learn_lexicons(rows: DataFrame) -> list[Lexicon]:
         for batch in batches:
             words, toxic, fold = split_words(batch.column(0), lower=True, between=NOT_LETTER), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for level, p in enumerate(PREFIXES):
-                pairs = np.unique(np.stack([words.text_of().astype(np.uint64), words.hashes(p)]), axis=1)
-                doc = pairs[0].astype(np.int64)
-                keys, at = np.unique(np.stack([pairs[1], fold[doc].astype(np.uint64)]), axis=1, return_inverse=True)
-                at, n = at.ravel(), keys.shape[1]
-                columns = [np.full(n, level, np.int32), keys[0].view(np.int64), keys[1].astype(np.int32), np.bincount(at, toxic[doc], n).astype(np.int64), np.bincount(at, 1 - toxic[doc], n).astype(np.int64)]
+                h, doc = words.hashes(p), words.text_of()
+                by_doc = np.lexsort([h, doc])
+                h, doc = h[by_doc], doc[by_doc]
+                new = np.ones(len(h), bool)  # a word counts once a document
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                h, doc = h[new], doc[new]
+                by_word = np.lexsort([fold[doc], h])
+                h, doc = h[by_word], doc[by_word]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (fold[doc[1:]] != fold[doc[:-1]])
+                at, n = np.cumsum(new) - 1, int(new.sum())
+                columns = [np.full(n, level, np.int32), h[new].view(np.int64), fold[doc[new]].astype(np.int32), np.bincount(at, toxic[doc], n).astype(np.int64), np.bincount(at, 1 - toxic[doc], n).astype(np.int64)]
                 yield pa.record_batch([pa.array(c) for c in columns], names=["level", "h", "fold", "bad", "good"])
 
     found = {r._fold: (r.bad, r.n) for r in rows.groupBy("_fold").agg(F.sum("toxic").alias("bad"), F.count("toxic").alias("n")).collect()}
