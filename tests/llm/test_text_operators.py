@@ -320,6 +320,22 @@ def test_token_files_of_null_and_repeated_ids(spark, tmp_path):
     assert Counter(r.ids_crc32 for r in got) == Counter(map(crc, ["b a", "x", "x", "y y", "", ""]))
 
 
+def test_token_files_split_a_hot_id(spark, tmp_path):
+    docs = spark.createDataFrame([(7, "same words here")] * 3000 + [(7, f"other {i}") for i in range(500)] + [(i, "a") for i in (1, 9)], "doc_id long, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little would be one partition
+    try:
+        shards = tokenfile.write(docs, f"file://{tmp_path}/hot", seq_len=16)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n_docs for r in shards.collect()]
+    assert sum(sizes) == 3502 and max(sizes) < 1800
+    got = sorted(tokenfile.read_digests(spark, f"file://{tmp_path}/hot", shards).collect(), key=lambda r: r.start)
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+    assert (got[0].doc_id, got[-1].doc_id) == (1, 9)
+    crcs = [r.ids_crc32 for r in got]
+    assert sum(a != b for a, b in zip(crcs, crcs[1:], strict=False)) <= 503  # equal texts stand together
+
+
 def test_packing_of_null_and_repeated_ids(spark):
     long_ = " ".join(f"w{i}" for i in range(6000))
     docs = spark.createDataFrame([(None, None), (3, "a b"), (3, "a b"), (None, "c"), (4, ""), (5, long_)], "doc_id long, text string")
