@@ -23,6 +23,8 @@ from pricewright.observed import counted
 BROADCAST_ROWS = 200_000
 #: Rows in an Arrow batch of whole documents, and bytes where Spark can count them.
 BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
+#: Bytes of text that a kernel takes at once, where it gains by more than a batch.
+CHUNK = 4 << 20
 #: Spark's setting to delete a query's shuffle files when it ends.
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -130,6 +132,19 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[pa.Table]:
+    """The batches put together until their last column holds ``size`` bytes."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.column(batch.num_columns - 1).nbytes
+        if n >= size:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def squeezed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_z``, the compressed text, in place of text: what goes through the shuffles."""
     at = docs.columns.index("text")

@@ -70,3 +70,32 @@ p AS (SELECT *, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coa
 s AS (SELECT doc_id, rank, kind, a, kind || ':' || a || ':' || (a + length(h[i])) AS t FROM p WHERE length(v[i]) >= least),
 f AS (SELECT doc_id, {", ".join(counts)}, string_agg(t, ',' ORDER BY a, rank) FILTER (WHERE rank < {len(base)}) AS base, string_agg(t, ',' ORDER BY a, rank) AS spans FROM s GROUP BY 1)
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in base)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (doc_id)"""
+
+
+def collocations(longest: int = 3, least: int = 10, top: int = 2000, inside: int = 50) -> str:
+    part = lambda a, b: f"array_to_string(ws[{a}:{b}], ' ')"
+    return f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_AZ}', '{_AZ.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, ws[i:i+k-1] AS ws FROM w, range(1, {longest + 1}) s(k), range(1, len(ws) - k + 2) t(i)),
+f AS (SELECT lang, k, ws, {part(1, "k")} AS phrase, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT * FROM f WHERE k >= 2 AND a >= {least}),
+cuts AS (SELECT c.lang, c.k, c.phrase, c.a, j, x.a AS l, y.a AS r, 1000000 * c.a * c.a // (x.a * y.a) AS score FROM c, range(1, {longest}) t(j) JOIN f x ON x.lang = c.lang AND x.k = j AND x.phrase = array_to_string(c.ws[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.k = c.k - j AND y.phrase = array_to_string(c.ws[j+1:], ' ') WHERE j < c.k QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, j) = 1),
+held AS (SELECT lang, {part("i", "i+m-1")} AS phrase, max(a) AS most FROM c, range(2, {longest}) s(m), range(1, k - m + 2) t(i) WHERE m < k GROUP BY 1, 2)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score
+FROM cuts LEFT JOIN held USING (lang, phrase) JOIN n USING (lang) WHERE most IS NULL OR 100 * most < {inside} * a QUALIFY rank <= {top}"""
+
+
+def filter_audit() -> str:
+    letters = "(VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16))"
+    bits = " | ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(("n < 200", "100 * len(list_distinct(ws)) < 50 * n", "100 * caps > 2 * length(t)", "regexp_matches(t, '[#$%&*|]')", "doc_id > least")))
+    return f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+e AS (SELECT *, len(ws) AS n, length(t) - length(translate(t, '{_AZ}', '')) AS caps, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+g AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+m AS (SELECT part, {bits} AS mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM e LEFT JOIN g USING (doc_id) GROUP BY 1, 2),
+x(f, bit) AS {letters},
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bit, CAST(coalesce((SELECT sum(y.bit) FROM x y WHERE contains(left(filter_order, step - 1), y.f)), 0) AS INTEGER) AS before FROM o, range(1, 6) t(step) JOIN x ON x.f = filter_order[step]),
+r AS (SELECT part, filter_order, step, bit, sum(n) FILTER (WHERE mask & (before | bit) = 0) AS kept, sum(n) FILTER (WHERE mask & before = 0 AND mask & bit > 0) AS removed, sum(n) FILTER (WHERE mask & before > 0 AND mask & bit > 0) AS redundant,
+ sum(n) FILTER (WHERE mask = bit) AS unique_fails, sum(good) FILTER (WHERE mask & before = 0 AND mask & bit > 0) AS good_lost, sum(toxic) FILTER (WHERE mask & before = 0 AND mask & bit > 0) AS toxic_lost FROM m, s GROUP BY ALL)
+SELECT part, filter_order, step, {", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))}, CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley FROM r"""

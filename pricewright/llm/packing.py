@@ -132,21 +132,27 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
     return pd.DataFrame(slots, columns=["length", "first", "each", "runs", "sequence", "place"]).astype("int64")
 
 
+def ranked(rows: DataFrame, key: str, counts: dict[int, int]) -> DataFrame:
+    """``rows`` (a written table, read twice) with _rank, from 0, among those of equal ``key``, and without salt. ``counts``
+    has the rows of each key, at most ``capacity`` numbers; a key of many rows is ranked in as many groups of salts."""
+    kind = rows.schema[key].dataType.simpleString()
+    ways = rows.sparkSession.createDataFrame([(k, int(min(SALTS, -(-v // RANKED)))) for k, v in counts.items()], f"{key} {kind}, _ways int")
+    grouped = rows.join(F.broadcast(ways), key).withColumn("_group", (F.col("salt") % F.col("_ways")).cast("int")).drop("_ways")
+    sizes = grouped.groupBy(key, "_group").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select(key, "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    found = grouped.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_group").orderBy("salt")) - 1).join(bases, [key, "_group"])
+    return found.withColumn("_rank", (F.col("_rank") + F.col("_base")).cast("long")).drop("_group", "_base", "salt")
+
+
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``cut`` (columns length and salt among others; a written table, read twice) with sequence_id and offset."""
     spark = cut.sparkSession
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     slots = plan(histogram, capacity)
-    ways = spark.createDataFrame([(k, int(min(SALTS, -(-v // RANKED)))) for k, v in histogram.items()], "length long, _ways int")  # at most `capacity` rows
-    split = lambda df: df.join(F.broadcast(ways), "length").withColumn("_group", (F.col("salt") % F.col("_ways")).cast("int")).drop("_ways")
-    grouped = split(cut)
-    sizes = grouped.groupBy("length", "_group").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    ranked = grouped.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_group").orderBy("salt")) - 1).join(bases, ["length", "_group"])
-    ranked = ranked.withColumn("_rank", (F.col("_rank") + F.col("_base")).cast("long")).drop("_group", "_base", "salt")
+    ranks = ranked(cut, "length", histogram)
     table = spark.sparkContext.broadcast({k: g.drop(columns="length").to_numpy() for k, g in slots.groupby("length")})
-    fields = [f for f in ranked.schema.fields if f.name != "_rank"]
+    fields = [f for f in ranks.schema.fields if f.name != "_rank"]
     schema = T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +168,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             kept = batch.drop_columns(["_rank"])
             yield pa.record_batch([*kept.columns, pa.array(sequence), pa.array(offset)], names=[*kept.schema.names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, schema)
+    return ranks.mapInArrow(place, schema)
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
