@@ -93,7 +93,7 @@ def _key(n: int) -> int:
     return xxhash.xxh64_intdigest(n.to_bytes(8, "little", signed=True))
 
 
-def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judged(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, text, doc_id, part, mask, n): with a compressed text where a smaller doc_id may still have it."""
 
     def send(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if gone := held[f].add(z, mask, doc_id, {part: 1}):
                 known += [(_key(gone[0]) - (1 << 63), None, gone[0], p, mask | COPY, n) for p, n in gone[1].items()]
         yield from send(known)
-        if size >= WINDOW_BYTES:
+        if size >= window:
             yield from send(flush(held))
             held, size = {}, 0
     yield from send(flush(held))
@@ -140,13 +140,13 @@ def _resolved(rows: Iterator[tuple]) -> Iterator[tuple]:
                 yield doc_id, p, mask, m
 
 
-def failures(docs: DataFrame) -> DataFrame:
+def failures(docs: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
     """doc_id, part, mask and n, the number of documents alike in these."""
     spark = docs.sparkSession
     bounded_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TEXT_BYTES))
-    judged = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), "text").mapInArrow(_judged, "key long, text binary, doc_id long, part string, mask int, n long")
+    judged = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), "text").mapInArrow(lambda batches: _judged(batches, window), "key long, text binary, doc_id long, part string, mask int, n long")
     routed = judged.rdd.map(lambda r: (r[0], tuple(r)[1:])).partitionBy(n, lambda key: key)
     return spark.createDataFrame(routed.mapPartitions(_resolved), "doc_id long, part string, mask int, n long", verifySchema=False)
 
@@ -201,9 +201,9 @@ def report(part: str, vector: np.ndarray) -> Iterator[tuple]:
 _REPORT = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
 
-def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def audit(docs: DataFrame, labels: DataFrame, window: int = WINDOW_BYTES) -> DataFrame:
     """The report over ``docs`` (doc_id, source, text) with ``labels`` (doc_id, quality, toxic)."""
-    return docs.sparkSession.createDataFrame(counted(failures(docs), labels).flatMap(lambda kv: report(*kv)), _REPORT, verifySchema=False)
+    return docs.sparkSession.createDataFrame(counted(failures(docs, window), labels).flatMap(lambda kv: report(*kv)), _REPORT, verifySchema=False)
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

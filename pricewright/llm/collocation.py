@@ -104,8 +104,8 @@ class Phrases:
         return self.langs.dictionary.take(pa.array(self.lang[at]))
 
 
-def buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
+def buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 class Bitmap:
@@ -113,15 +113,16 @@ class Bitmap:
 
     def __init__(self, marks: bytes):
         self.marks = np.frombuffer(marks, np.uint8)
+        self.bits = len(marks).bit_length() + 2
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        b = buckets(hashes)
+        b = buckets(hashes, self.bits)
         return (self.marks[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _spans(counts: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
     """The counts of buckets, none above ``least``, in runs of SPAN that hold any."""
-    counts = np.minimum(counts, least).astype("<u4" if least > 255 else np.uint8).reshape(-1, SPAN)
+    counts = np.minimum(counts, least).astype("<u4" if least > 255 else np.uint8).reshape(-1, min(SPAN, len(counts)))
     used = np.flatnonzero(counts.any(1))
     for i in range(0, len(used), 256):
         some = used[i : i + 256]
@@ -129,9 +130,9 @@ def _spans(counts: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([none.cast(pa.string()), none.cast(pa.string()), none.cast(pa.int64()), pa.array(some, pa.int32()), pa.array([counts[s].tobytes() for s in some], pa.binary())], names=["lang", "phrase", "n", "span", "counts"])
 
 
-def bitmap(spans: DataFrame, least: int) -> Bitmap:
+def bitmap(spans: DataFrame, least: int, bits: int = BITS) -> Bitmap:
     """The buckets whose counts, over all tasks, reach ``least``. Spans are summed where they are dealt to, one after
-    another; 2 ** BITS bits come back."""
+    another; 2 ** bits bits come back."""
     kind = "<u4" if least > 255 else np.uint8
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,20 +144,20 @@ def bitmap(spans: DataFrame, least: int) -> Bitmap:
         marks = [np.packbits(t >= least, bitorder="little").tobytes() for t in total.values()]
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array(marks, pa.binary())], names=["span", "marks"])
 
-    out = np.zeros((1 << BITS) // 8, np.uint8).reshape(-1, SPAN // 8)
+    out = np.zeros((1 << bits) // 8, np.uint8).reshape(-1, min(SPAN, 1 << bits) // 8)
     n = min(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), len(out))
     for r in spans.select("span", "counts").repartition(n, "span").mapInArrow(task, "span int, marks binary").collect():
         out[r.span] = np.frombuffer(r.marks, np.uint8)
     return Bitmap(out.tobytes())
 
 
-def _pass(texts: DataFrame, k: int, longest: int, least: int, marked: tuple[Bitmap, Bitmap] | None) -> DataFrame:
+def _pass(texts: DataFrame, k: int, longest: int, least: int, marked: tuple[Bitmap, Bitmap] | None, bits: int = BITS) -> DataFrame:
     """Rows (lang, phrase, n) of the phrases of ``k`` words that ``marked`` (buckets, frequent phrases of k - 1 words)
     admits, and rows (span, counts) of the buckets of those of k + 1 words whose parts are admitted."""
     sent = texts.sparkSession.sparkContext.broadcast(marked)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = np.zeros(1 << BITS if k < longest else 0, np.uint32)
+        filled = np.zeros(1 << bits if k < longest else 0, np.uint32)
         for table in chunks(batches):
             found = Phrases(table.column(0).combine_chunks(), table.column(1).combine_chunks())
             at = found.starts(k)
@@ -172,7 +173,7 @@ def _pass(texts: DataFrame, k: int, longest: int, least: int, marked: tuple[Bitm
                 open_[at] = True
                 longer = found.starts(k + 1)
                 longer = longer[open_[longer] & open_[longer + 1]]
-                np.add.at(filled, buckets(found.hashes(k + 1, longer)), 1)
+                np.add.at(filled, buckets(found.hashes(k + 1, longer), bits), 1)
                 np.minimum(filled, least, out=filled)
             if len(at):
                 first, n = found.counts(k, at)
@@ -186,33 +187,33 @@ def _pass(texts: DataFrame, k: int, longest: int, least: int, marked: tuple[Bitm
     return texts.mapInArrow(task, _ROWS)
 
 
-def _marks(frequent: DataFrame, k: int) -> Bitmap:
+def _marks(frequent: DataFrame, k: int, bits: int = BITS) -> Bitmap:
     """A bitmap of the hashes of frequent phrases."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = np.zeros(1 << BITS, np.uint32)
+        filled = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             found = Phrases(batch.column(0), batch.column(1))
-            filled[buckets(found.hashes(k, found.starts(k)))] = 1
+            filled[buckets(found.hashes(k, found.starts(k)), bits)] = 1
         yield from _spans(filled, 1)
 
-    return bitmap(frequent.select("lang", "phrase").mapInArrow(task, _ROWS), 1)
+    return bitmap(frequent.select("lang", "phrase").mapInArrow(task, _ROWS), 1, bits)
 
 
-def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[list[DataFrame], DataFrame]:
+def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, bits: int = BITS) -> tuple[list[DataFrame], DataFrame]:
     """For each length, the phrases (lang, phrase, a) that occur ``least`` times; and the words of each lang (lang, n)."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     found: list[DataFrame] = []
     marked, words = None, None
     for k in range(1, longest + 1):
-        raw = saved(_pass(texts, k, longest, least, marked), f"phrases{k}")
+        raw = saved(_pass(texts, k, longest, least, marked, bits), f"phrases{k}")
         counted = raw.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
         if words is None:
             words = saved(raw.where("phrase is not null").groupBy("lang").agg(F.sum("n").alias("n")), "words")
         found.append(saved(counted.where(F.col("a") >= least), f"frequent{k}"))
         if k < longest:
-            marked = bitmap(raw.where("span is not null"), least), _marks(found[-1], k)
+            marked = bitmap(raw.where("span is not null"), least, bits), _marks(found[-1], k, bits)
     return found, words
 
 
@@ -232,9 +233,9 @@ def _top(rows: DataFrame, top: int) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, inside: int = INSIDE) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, inside: int = INSIDE, bits: int = BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each lang's ``top`` phrases of 2 to ``longest`` words."""
-    found, words = frequent_phrases(docs, longest, least)
+    found, words = frequent_phrases(docs, longest, least, bits)
     kept = []
     for k in range(2, longest + 1):
         rows = found[k - 1]

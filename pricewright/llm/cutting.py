@@ -194,7 +194,8 @@ def tail(left: int, capacity: int) -> list[int]:
 
 def _laid(open_: DataFrame, left: DataFrame, sequences: int, slack: int, total: int, capacity: int, cell: int) -> DataFrame:
     """The pieces of ``left`` (at, ids and what is known of the document), cut by the open places (at, gap, sequence_id,
-    used) and, from ``slack`` on, by new sequences. A cell makes the pieces that begin in it."""
+    used) and, from ``slack`` on, by new sequences. A cell gets what it touches, and makes the pieces that begin in it; as
+    neither line has gaps, all of them begin where a document or a place does."""
     ends = [slack + (total - slack) // capacity * capacity]
     for size in tail((total - slack) % capacity, capacity):
         ends.append(ends[-1] + size)
@@ -207,20 +208,18 @@ def _laid(open_: DataFrame, left: DataFrame, sequences: int, slack: int, total:
         a, b = key[0].as_py() * cell, (key[0].as_py() + 1) * cell
         docs, places = docs.sort_by("at"), places.sort_by("at")
         begins = docs["at"].to_numpy()
-        at, sequence, used = (places[c].to_numpy() for c in ("at", "sequence_id", "used"))
+        at, gap, sequence, used = (places[c].to_numpy() for c in ("at", "gap", "sequence_id", "used"))
         over = np.arange(max(0, (a - slack) // capacity), max(0, -(-(min(b, ends[0]) - slack) // capacity)))
         last = np.array([e for e in ends[:-1] if e < b], np.int64)  # the sequences of powers of two begin where others end
-        new = np.concatenate([slack + over * capacity, last])
-        at = np.concatenate([at, new])
+        at = np.concatenate([at, slack + over * capacity, last])
+        until = np.concatenate([places["at"].to_numpy() + gap, slack + (over + 1) * capacity, np.array(ends[1:], np.int64)[: len(last)]])
         sequence = np.concatenate([sequence, sequences + over, sequences + (ends[0] - slack) // capacity + np.arange(len(last))])
-        used = np.concatenate([used, np.zeros(len(new), np.int64)])
-        cuts = np.unique(np.concatenate([begins, at, [max(a, 0)] * (a == 0)])).astype(np.int64)
-        stops = np.append(cuts[1:], total)
-        stops = np.minimum(stops, (begins + docs["length"].to_numpy())[np.maximum(np.searchsorted(begins, cuts, "right") - 1, 0)])
+        used = np.concatenate([used, np.zeros(len(over) + len(last), np.int64)])
+        cuts = np.unique(np.concatenate([begins, at])).astype(np.int64)
         mine = (cuts >= a) & (cuts < b)
-        cuts, stops = cuts[mine], stops[mine]
+        cuts = cuts[mine]
         doc, place = np.searchsorted(begins, cuts, "right") - 1, np.searchsorted(at, cuts, "right") - 1
-        shift = cuts - begins[doc]
+        stops, shift = np.minimum((begins + docs["length"].to_numpy())[doc], until[place]), cuts - begins[doc]
         raw = docs["ids"].combine_chunks()
         crcs = [zlib.crc32(raw[d].as_buffer().to_pybytes()[4 * s : 4 * e]) for d, s, e in zip(doc.tolist(), shift.tolist(), (stops - begins[doc]).tolist(), strict=True)]
         take = lambda c: docs[c].to_numpy()[doc]
