@@ -24,20 +24,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pricewright.llm.common import bounded_batches, chunks, documents, is_empty, saved
+from pricewright.llm.common import bounded_batches, chunks, discard, documents, is_empty, saved
 from pricewright.llm.textkernel import Words, grams, mix, ranges, split_words
 
 LEAST, LONGEST, TOP = 10, 3, 2000
 #: Percent of a phrase's occurrences within a longer one from which it is dropped.
 INSIDE = 50
 #: Buckets are 2 ** BITS; a task sends their counts in runs of SPAN buckets.
-BITS, SPAN = 23, 1 << 13
+BITS, SPAN = 26, 1 << 13
+#: Bytes of counted phrases that a task puts together before it sends them on.
+HELD = 16 << 20
 #: Bytes that end a piece, and those between words.
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?", *range(10, 14)]] = True
 _BETWEEN = _ENDS.copy()
 _BETWEEN[[32, 9]] = True
 _ROWS = "lang string, phrase string, n long, span int, counts binary"
+_NAMES = ["lang", "phrase", "n", "span", "counts"]
 
 
 def _bytes_of(words: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,9 +87,12 @@ class Phrases:
 
     def counts(self, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The first word of one of each distinct phrase among those at ``at``, and how often each occurs."""
-        _, number = np.unique(self.lang[at].astype(np.int64) * max(self._many, 1) + self._number[at], return_inverse=True)
+        number, bound = self.lang[at].astype(np.int64) * self._many + self._number[at], len(self.langs.dictionary) * max(self._many, 1)
         for j in range(1, k):
-            _, number = np.unique(number.astype(np.int64) * self._many + self._number[at + j], return_inverse=True)
+            if bound * self._many >= 1 << 63:
+                known, number = np.unique(number, return_inverse=True)
+                bound = len(known)
+            number, bound = number * self._many + self._number[at + j], bound * self._many
         _, first, n = np.unique(number, return_index=True, return_counts=True)
         return at[first], n
 
@@ -105,7 +111,7 @@ class Phrases:
 
 
 def buckets(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+    return (hashes >> np.uint64(64 - bits)).astype(np.int32)  # which sort faster than long ones
 
 
 class Bitmap:
@@ -120,27 +126,63 @@ class Bitmap:
         return (self.marks[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _spans(counts: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
-    """The counts of buckets, none above ``least``, in runs of SPAN that hold any."""
-    counts = np.minimum(counts, least).astype("<u4" if least > 255 else np.uint8).reshape(-1, min(SPAN, len(counts)))
-    used = np.flatnonzero(counts.any(1))
-    for i in range(0, len(used), 256):
-        some = used[i : i + 256]
-        none = pa.nulls(len(some))
-        yield pa.record_batch([none.cast(pa.string()), none.cast(pa.string()), none.cast(pa.int64()), pa.array(some, pa.int32()), pa.array([counts[s].tobytes() for s in some], pa.binary())], names=["lang", "phrase", "n", "span", "counts"])
+class Buckets:
+    """How often each bucket was met, no more than ``least`` times counted, in a byte for each where that suffices."""
+
+    def __init__(self, bits: int, least: int):
+        self.bits, self.least = bits, least
+        self.counts = np.zeros(1 << bits, kind(least))
+
+    def add(self, hashes: np.ndarray) -> None:
+        b, n = np.unique(buckets(hashes, self.bits), return_counts=True)
+        self.counts[b] = np.minimum(self.counts[b] + n, self.least)
+
+    def spans(self) -> Iterator[pa.RecordBatch]:
+        """The counts in runs of SPAN that hold any."""
+        counts = self.counts.reshape(-1, min(SPAN, len(self.counts)))
+        used = np.flatnonzero(counts.any(1))
+        for i in range(0, len(used), 256):
+            some = used[i : i + 256]
+            none = pa.nulls(len(some))
+            yield pa.record_batch([none.cast(pa.string()), none.cast(pa.string()), none.cast(pa.int64()), pa.array(some, pa.int32()), pa.array([counts[s].tobytes() for s in some], pa.binary())], names=_NAMES)
+
+
+def kind(least: int) -> str:
+    """The type of a bucket's count."""
+    return "u1" if least < 256 else "<u4"
+
+
+def _put_together(rows: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Counted phrases (lang, phrase, n) of chunks, equal ones added up as far as ``held`` bytes of them reach."""
+
+    def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for batch in table.to_batches(max_chunksize=1 << 16):
+            none = pa.nulls(batch.num_rows)
+            yield pa.record_batch([*batch.columns, none.cast(pa.int32()), none.cast(pa.binary())], names=_NAMES)
+
+    some: list[pa.Table] = []
+    for batch in rows:
+        some.append(pa.Table.from_batches([batch]))
+        if sum(t.nbytes for t in some) > held:
+            table = pa.concat_tables(some).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(_NAMES[:3])
+            some = [table]
+            if table.nbytes * 2 > held:
+                yield from out(table)
+                some = []
+    if some:
+        yield from out(pa.concat_tables(some).group_by(["lang", "phrase"]).aggregate([("n", "sum")]).rename_columns(_NAMES[:3]))
 
 
 def bitmap(spans: DataFrame, least: int, bits: int = BITS) -> Bitmap:
     """The buckets whose counts, over all tasks, reach ``least``. Spans are summed where they are dealt to, one after
     another; 2 ** bits bits come back."""
-    kind = "<u4" if least > 255 else np.uint8
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mine = np.frombuffer(c, kind).astype(np.uint32)
-                total[s] = np.minimum(total[s] + mine, least) if s in total else mine
+                mine = np.frombuffer(c, kind(least))
+                total[s] = np.minimum(total[s].astype(np.int64) + mine, least).astype(mine.dtype) if s in total else mine
         marks = [np.packbits(t >= least, bitorder="little").tobytes() for t in total.values()]
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array(marks, pa.binary())], names=["span", "marks"])
 
@@ -157,32 +199,31 @@ def _pass(texts: DataFrame, k: int, longest: int, least: int, marked: tuple[Bitm
     sent = texts.sparkSession.sparkContext.broadcast(marked)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = np.zeros(1 << bits if k < longest else 0, np.uint32)
-        for table in chunks(batches):
-            found = Phrases(table.column(0).combine_chunks(), table.column(1).combine_chunks())
-            at = found.starts(k)
-            if sent.value is not None:
-                bucket, parts = sent.value
-                frequent = np.zeros(len(found.lang) + 1, bool)
-                inner = found.starts(k - 1)
-                frequent[inner] = parts.has(found.hashes(k - 1, inner))
-                at = at[frequent[at] & frequent[at + 1]]
-                at = at[bucket.has(found.hashes(k, at))]
-            if k < longest:
-                open_ = np.zeros(len(found.lang) + 1, bool)
-                open_[at] = True
-                longer = found.starts(k + 1)
-                longer = longer[open_[longer] & open_[longer + 1]]
-                np.add.at(filled, buckets(found.hashes(k + 1, longer), bits), 1)
-                np.minimum(filled, least, out=filled)
-            if len(at):
-                first, n = found.counts(k, at)
-                for i in range(0, len(first), 1 << 16):
-                    one = first[i : i + (1 << 16)]
-                    none = pa.nulls(len(one))
-                    yield pa.record_batch([found.langs_of(one).cast(pa.string()), found.texts(k, one), pa.array(n[i : i + (1 << 16)], pa.int64()), none.cast(pa.int32()), none.cast(pa.binary())], names=["lang", "phrase", "n", "span", "counts"])
-        if k < longest:
-            yield from _spans(filled, least)
+        filled = Buckets(bits, least) if k < longest else None
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for table in chunks(batches):
+                found = Phrases(table.column(0).combine_chunks(), table.column(1).combine_chunks())
+                at = found.starts(k)
+                if sent.value is not None:
+                    bucket, parts = sent.value
+                    frequent = np.zeros(len(found.lang) + 1, bool)
+                    inner = found.starts(k - 1)
+                    frequent[inner] = parts.has(found.hashes(k - 1, inner))
+                    at = at[frequent[at] & frequent[at + 1]]
+                    at = at[bucket.has(found.hashes(k, at))]
+                if filled is not None:
+                    open_ = np.zeros(len(found.lang) + 1, bool)
+                    open_[at] = True
+                    longer = found.starts(k + 1)
+                    filled.add(found.hashes(k + 1, longer[open_[longer] & open_[longer + 1]]))
+                if len(at):
+                    first, n = found.counts(k, at)
+                    yield pa.record_batch([found.langs_of(first).cast(pa.string()), found.texts(k, first), pa.array(n, pa.int64())], names=_NAMES[:3])
+
+        yield from _put_together(counted())
+        if filled is not None:
+            yield from filled.spans()
 
     return texts.mapInArrow(task, _ROWS)
 
@@ -191,11 +232,11 @@ def _marks(frequent: DataFrame, k: int, bits: int = BITS) -> Bitmap:
     """A bitmap of the hashes of frequent phrases."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled = np.zeros(1 << bits, np.uint32)
+        filled = Buckets(bits, 1)
         for batch in batches:
             found = Phrases(batch.column(0), batch.column(1))
-            filled[buckets(found.hashes(k, found.starts(k)), bits)] = 1
-        yield from _spans(filled, 1)
+            filled.add(found.hashes(k, found.starts(k)))
+        yield from filled.spans()
 
     return bitmap(frequent.select("lang", "phrase").mapInArrow(task, _ROWS), 1, bits)
 
@@ -214,6 +255,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
         found.append(saved(counted.where(F.col("a") >= least), f"frequent{k}"))
         if k < longest:
             marked = bitmap(raw.where("span is not null"), least, bits), _marks(found[-1], k, bits)
+        discard(raw)
     return found, words
 
 
