@@ -3,7 +3,7 @@ sources to their target weights, pack what is left into sequences.
 
 Each stage takes the rows that the one before wrote and returns the columns of ``documents``; the last returns packed
 pieces. A document that the mix repeats is packed as often. A filtering stage counts what it keeps and what it drops,
-and fails if the two are not its input.
+and fails if the two are not its input; the first also fails if the share that it drops is far from that of the labels.
 
 Columns beyond doc_id, text, source and n_chars pass through all stages but the last, whatever their names; an empty
 table gives empty results in every stage.
@@ -24,18 +24,34 @@ def _accounted(stage: str, before: int, kept: int, dropped: int) -> None:
         raise RuntimeError(f"{stage}: of {before} rows, {kept} are kept and {dropped} dropped")
 
 
+#: How far the share of documents that the first stage drops may be from what the labels let expect, and the labelled
+#: rows from which that is asked.
+SHARE_OFF, ASKED_FROM = 0.25, 200
+
+
+def _expected(stage: str, dropped: int, before: int, positive: int, labelled: int) -> None:
+    """Fails if a stage drops a share far from that of the positive labels: a model that calls all or most documents
+    toxic has gone wrong, whatever it scores."""
+    if labelled >= ASKED_FROM and before and abs(dropped / before - positive / labelled) > SHARE_OFF:
+        raise RuntimeError(f"{stage}: {dropped} of {before} rows would be dropped, where {positive} of {labelled} labels are positive")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the threshold; the model learns from the labelled rows among them.
 
     Null, empty and blank texts get a score like any other and stay if it is low; rows that repeat are judged each, by
     the same score; rows without a doc_id are judged, too.
     """
-    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels)
     found = common.saved(toxicity.scored(docs, model, "_score"), "scored")
     score = F.col(found.columns[-1])
     kept = found.where(score < toxicity.THRESHOLD).select(*common.columns(docs))
     n = found.agg(F.count_if(score < toxicity.THRESHOLD), F.count_if((score >= toxicity.THRESHOLD) & (score <= 1))).first()
-    _accounted("toxicity", docs.count(), *n)
+    before = docs.count()
+    _accounted("toxicity", before, *n)
+    marked = labels.where("toxic is not null and doc_id is not null").agg(F.count_if(F.col("toxic") > 0), F.count(F.lit(1))).first()
+    _expected("toxicity", n[1], before, *marked)
     return kept
 
 
