@@ -162,10 +162,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def blocked(rows: DataFrame, key: list[str], block: int) -> DataFrame:
+def blocked(rows: DataFrame, key: list[str], block: int, weight: str | None = None, weights: int = 0) -> DataFrame:
     """Adds x, y (the pair of blocks that a copy of the row is for) and own (its block, by ``id``): one pair unless more
-    than ``block`` rows share ``key``; then each row goes to every pair of blocks that its own is part of."""
-    large = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where(f"m > {block}").select(*key, F.ceil(F.col("m") / block).cast("int").alias("parts"))
+    than ``block`` rows share ``key``, or rows whose ``weight`` sums up to more than ``weights``; then each row goes to
+    every pair of blocks that its own is part of."""
+    parts = F.ceil(F.count(F.lit(1)) / block)
+    if weight is not None:
+        parts = F.greatest(parts, F.ceil(F.sum(weight) / weights))
+    large = rows.groupBy(*key).agg(parts.cast("int").alias("parts")).where("parts > 1")
     large = saved(large, "large")
     if is_empty(large):
         return rows.withColumns({"x": F.lit(0), "y": F.lit(0), "own": F.lit(0)})

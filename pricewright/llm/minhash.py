@@ -35,6 +35,8 @@ from pricewright.llm.textkernel import grams, mix, ranges, split_words
 HASHES, BATCH, MISS, LOST = 128, 16, 1e-7, 2e-6
 #: Members of a bucket that meet in one task.
 BLOCK = 2_048
+#: Shingles of all rows in a block, at most, beyond those of one row: 16 MB of hashes.
+BLOCK_SHINGLES = 2 << 20
 
 
 def banding(threshold: float, hashes: int = HASHES, lost: float = LOST) -> tuple[int, int]:
@@ -319,7 +321,7 @@ def _links(banded: DataFrame, classes: DataFrame, docs: DataFrame, k: int, part:
     state = banded.join(labels, "id", "left").select("band", "key", "id", "n", F.coalesce("component_id", "id").alias("c"))
     mixed = state.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band", "key")
     entries = state.join(mixed, ["band", "key"]).join(_narrowed(classes, hashes // per, per, hashes), "id")
-    entries = blocked(saved(entries, "entries"), ["band", "key"], BLOCK)
+    entries = blocked(saved(entries, "entries"), ["band", "key"], BLOCK, "n", BLOCK_SHINGLES)
     steps = least_matches(threshold + (1 - threshold) / 256, hashes, batch, miss)  # bytes agree by chance, too
     hopeful = saved(_hopeful(entries, hashes, steps, part, whole), "hopeful")
     if is_empty(hopeful):

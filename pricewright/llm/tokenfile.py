@@ -33,11 +33,25 @@ _INDEX = "shard string, part int, n_docs long, n_ids long, first_doc long, last_
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
+#: What Hadoop calls stores that Arrow opens by another name.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss", "wasbs": "abfss", "hdfs": "hdfs", "viewfs": "viewfs", "file": "file"}
+
+
+def arrow_uri(path: str) -> str:
+    """The URI by which Arrow opens what Spark calls ``path``. What it can't open is an error before any task runs."""
+    scheme, found, rest = path.partition(":")
+    if not found or "/" in scheme:
+        return f"file://{path}"
+    if scheme not in _SCHEMES:
+        raise ValueError(f"token files can't be written to {scheme}: spark.checkpoint.dir must be in one of {', '.join(sorted(_SCHEMES))}")
+    return f"{_SCHEMES[scheme]}:{rest}"
+
+
 def _open(path: str):
     """The file system of a URI and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return fs.FileSystem.from_uri(arrow_uri(path))
 
 
 class SequenceWriter:

@@ -6,13 +6,14 @@ other marks, and signs of obfuscation (digits or marks inside words, drawn-out l
 over Arrow batches, a batch of documents at a time, and no document is cut.
 
 Learning is bounded: of the labelled rows that ``learns`` admits, at most FIT_ROWS, those with the smallest hash of
-their doc_id, so the same rows each time. Their texts stay on the executors, which send word counts and features.
+their doc_id, then of their text, so the same rows each time and no more of them, however many rows a doc_id stands on.
+Their texts stay on the executors, which send word counts and features.
 The rows are dealt by hash into three folds, so that no part learns from what another has memorised: a row's features
 come from a lexicon of the other two folds, trees are fitted on two folds and calibrated on the third, and texts are
 scored with the lexicon of all three. Nothing in this depends on how many rows there are.
 
 Cases: a null or empty text has all features 0 and a score like any other; a label is used once per doc_id (the highest,
-if it repeats; null labels and labels of a null doc_id not at all), repeated rows of a labelled document count each;
+if it repeats; null labels and labels of a null doc_id not at all), rows equal in doc_id and text are learned from once;
 without any positive or negative label the score is the share of positives (0 without labels); an empty table gives an
 empty result; other columns are left alone, and where one has the name of the score, the score gets underscores after
 its name.
@@ -203,10 +204,20 @@ class Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, learns: str, rows: int = FIT_ROWS) -> DataFrame:
-    """At most ``rows`` labelled documents that ``learns`` (a condition on doc_id) admits: text, toxic, _fold."""
+    """At most ``rows`` labelled rows that ``learns`` (a condition on doc_id) admits: text, toxic, _fold. The doc_ids
+    are cut first, so that few texts take part; then the rows, of which a doc_id may have any number."""
     admitted = labels.where("toxic is not null and doc_id is not null").where(learns).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = admitted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
-    return saved(docs.select("doc_id", "text").join(small(chosen), "doc_id").select("text", (F.col("toxic") > 0).cast("int").alias("toxic"), "_fold"), "labelled")
+    found = docs.select("doc_id", "text").join(small(chosen), "doc_id").select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"), "_fold")
+    place = [F.col("_k"), F.col("doc_id"), F.col("_h")]
+    found = found.withColumns({"_k": F.xxhash64("doc_id"), "_h": F.xxhash64("text")})
+    pairs = saved(found.groupBy("_k", "doc_id", "_h").agg(F.count(F.lit(1)).alias("n")), "pairs")
+    beyond = pairs.orderBy(*place).offset(rows).limit(1).collect()
+    for r in beyond:
+        found = found.where(F.struct(*place) < F.struct(F.lit(r["_k"]).alias("_k"), F.lit(r["doc_id"]).alias("doc_id"), F.lit(r["_h"]).alias("_h")))
+    if not pairs.where("n > 1").isEmpty():
+        found = found.dropDuplicates(["doc_id", "_h"])
+    return saved(found.select("text", "toxic", "_fold"), "labelled")
 
 
 def _learn_lexicons(rows: DataFrame) -> list[Lexicon]:

@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 
 from pricewright.llm import audit, collocation, cutting, packing
+from pricewright.llm import queries as registry
 from pricewright.llm.tokens import default_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, a long, _k string"
@@ -276,3 +277,23 @@ def test_ranks_of_a_key(spark):
     df = spark.createDataFrame([(i % 3, i) for i in range(2000)], "kind int, salt int")
     got = packing.ranked(df, "kind", Counter(i % 3 for i in range(2000))).collect()
     assert sorted((r.kind, r._rank) for r in got) == sorted((k, n) for k in range(3) for n in range(len(range(k, 2000, 3))))
+
+
+@pytest.fixture(scope="module")
+def documents(spark, data):
+    return [tuple(r) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
+
+
+def test_query_11_by_brute_force(spark, data, documents):
+    assert sorted(map(tuple, registry.queries()["op11_collocations"](spark, data).collect())) == mined(documents, 3, 10, 2000, 50)
+
+
+def test_query_12_by_brute_force(spark, data, documents):
+    labels = [(r.doc_id, r.quality, r.toxic) for r in spark.read.parquet(f"{data}/labels.parquet").collect()]
+    assert {tuple(r) for r in registry.queries()["op12_filter_audit"](spark, data).collect()} == audited(documents, labels)
+
+
+def test_query_13_by_brute_force(spark, data, documents):
+    found = registry.queries()["op13_cutting_stock"](spark, data)
+    assert found.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    whole(found.collect(), documents, 4096)

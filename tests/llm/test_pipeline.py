@@ -161,8 +161,8 @@ def test_a_lost_table_is_an_error(spark, tmp_path, monkeypatch):
         common.saved(spark.range(10), "ten")
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+def test_thirteen_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
 
 
 def near_copies(docs: list) -> set[int]:
@@ -264,3 +264,11 @@ def test_pipeline_against_brute_force(spark, data):
     for p in packed:
         room[p.sequence_id] += p.length
     assert max(room.values()) <= 4096 and len(room) <= -(-sum(room.values()) // 4096) + 1
+
+
+def test_a_stage_that_drops_nearly_all_fails():
+    corpus_pipeline._expected("toxicity", 120, 1000, 100, 1000)
+    corpus_pipeline._expected("toxicity", 3, 3, 1, 3)  # too few labels to tell
+    for dropped in (1000, 600):
+        with pytest.raises(RuntimeError, match="would be dropped"):
+            corpus_pipeline._expected("toxicity", dropped, 1000, 100, 1000)

@@ -659,3 +659,60 @@ def test_operators_leave_columns_of_any_name_alone(spark, clashing):
     assert scored.columns[-1] == "score__"  # SCORE_ is taken, too
     unchanged(scored, ids)
     assert minhash.near_duplicates(clashing).count() == len(ids) == packing.packed(clashing).where("piece = 0").count()
+
+
+def test_token_files_by_the_names_of_stores():
+    names = {"s3a://b/x": "s3://b/x", "hdfs://h:1/x": "hdfs://h:1/x", "/tmp/x": "file:///tmp/x", "file:///tmp/x": "file:///tmp/x", "file:/tmp/x": "file:/tmp/x", "abfss://c@a/x": "abfss://c@a/x"}
+    assert {k: tokenfile.arrow_uri(k) for k in names} == names
+    with pytest.raises(ValueError, match="odd"):
+        tokenfile.arrow_uri("odd://b/x")
+
+
+def test_the_sample_is_bounded_by_rows(spark):
+    """Ten labelled ids with many rows each, some of them equal, give no more rows than asked for."""
+    docs = spark.range(4000).selectExpr("id % 10 as doc_id", "concat('text ', if(id < 2000, 0, id)) as text")
+    labels = spark.range(10).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    for rows_ in (4, 100, 24_000):
+        found = toxicity.sample(docs, labels, "true", rows_).collect()
+        assert len(found) == min(rows_, 2010) and sorted(map(tuple, found)) == sorted(map(tuple, toxicity.sample(docs.repartition(7), labels, "true", rows_).collect()))
+
+
+def test_features_by_their_definition():
+    """A plain version of every feature, one text at a time."""
+    lexicon = toxicity.Lexicon()
+    for level, (prefix, known) in enumerate(zip(toxicity.PREFIXES, (["kappa", "zeta"], ["kapp"], ["kappa"], ["thetas"]), strict=True)):
+        weights = sorted((int(textkernel.split_words(pa.array([w])).hashes(prefix)[0]), 2.0 + i + level) for i, w in enumerate(known))
+        lexicon.hashes[level], lexicon.odds[level] = np.array([h for h, _ in weights], np.uint64), np.array([o for _, o in weights])
+    texts = [t for _, t, *_ in rows()][:40] + [None, "", "You stupid KAPPA!! zeta", "i.d1ot st*pid sooo THETAsaurus, ihr trash", "été ÉTÉ ça", "a" * 50]
+
+    def plain(text: str | None) -> list[float]:
+        t = (text or "").encode()
+        lower = bytes(b + 32 if 65 <= b <= 90 else b for b in t)
+        words = re.findall(rb"[A-Za-z\x80-\xff]+", lower)
+        n, size = max(len(words), 1), max(len(t), 1)
+        insults, address = ({w.encode() for w in x.lower().split()} for x in (toxicity.INSULTS, toxicity.ADDRESS))
+        odds = [{"kappa": 2.0, "zeta": 3.0}, {"kapp": 3.0}, {"kappa": 4.0}, {"thetas": 5.0}]
+        weigh = lambda level, w: odds[level].get((w if toxicity.PREFIXES[level] is None else w[: toxicity.PREFIXES[level]]).decode("utf-8", "replace"), 0.0)
+        near = lambda hit: sum(hit(w) and any(v in address for v in words[max(0, i - toxicity.NEAR) : i + toxicity.NEAR + 1]) for i, w in enumerate(words))
+        letter = lambda b: b > 127 or chr(b).isalpha()
+        inside = lambda mark: sum(mark(t[i]) and letter(t[i - 1]) and letter(t[i + 1]) for i in range(1, len(t) - 1))
+        mark = lambda b: b < 128 and not chr(b).isalnum() and b not in (32, 9, 10, 11, 12, 13)
+        begins = [[weigh(level, w) for w in words] for level in (1, 2, 3)]
+        known = [weigh(0, w) for w in words]
+        return [
+            np.log1p(len(words)), sum(w in insults for w in words) / n, near(lambda w: w in insults) / n, sum(known) / n, max(known, default=0), np.log1p(sum(k > 0 for k in known)),
+            *(np.log1p(sum(x > 0 for x in b)) for b in begins), max((max(b, default=0) for b in begins), default=0), sum(w in address for w in words) / n, near(lambda w: weigh(0, w) > 0 or w in insults) / n,
+            sum(65 <= b <= 90 for b in t) / size, t.count(b"!") / size, sum(map(mark, t)) / size, inside(lambda b: 48 <= b <= 57) / size, inside(mark) / size,
+            sum(t[i] == t[i - 1] == t[i - 2] and letter(t[i]) for i in range(2, len(t))) / size, sum(b > 127 for b in t) / size, sum(map(len, words)) / n,
+        ]
+
+    assert toxicity.features(pa.array(texts), lexicon) == pytest.approx(np.array([plain(t) for t in texts]))
+
+
+def test_minhash_blocks_are_bounded_by_shingles(spark):
+    from pricewright.llm import common
+
+    table = spark.createDataFrame([(i, "k", 20_000 if i < 300 else 5) for i in range(400)], "id long, key string, n long")
+    found = common.blocked(table, ["key"], 2048, "n", 1 << 20).groupBy("x", "y").agg({"n": "sum", "id": "count"}).collect()
+    assert len(found) > 15 and max(r["sum(n)"] for r in found) < 4 << 20
+    assert common.blocked(table, ["key"], 2048).where("x = 0 and y = 0").count() == 400
