@@ -11,14 +11,20 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricewright.config import Settings
 from pricewright.model import BudgetSpent, PriceFilter, ProductFilter
 from pricewright.plans import query, runs, store
+from pricewright.schema import PRODUCT
 from pricewright.sources import landed
 
 BUDGET = 5_000
+#: Versions of the table that stay after a run: lookups that have begun still read theirs.
+KEPT_VERSIONS = 8
 LATE = "query timeout exceeded"
+#: The batches of a run, as they are kept until they are loaded.
+STAGED = T.StructType([*PRODUCT.fields, T.StructField("batch", T.IntegerType())])
 
 
 class Source(Protocol):
@@ -121,19 +127,22 @@ class Engine:
         try:
             self.reap()
             run_id = self.ledger.update(lambda ledger, n: runs.start(ledger, source.name, began, n))
-            ingested, deleted = 0, 0
+            ingested, deleted, staged = 0, 0, f"{self.path}/staged/{uuid.uuid4().hex}"
             try:
-                for batch in source.batches(self.spark):
-                    products = batch.persist()  # read once: counted, upserted, marked
-                    ingested += products.count()  # before repeats are dropped: the guards below rest on that
-                    at = self.clock()
-                    self.store.renew(source.name, at)
-                    now = F.lit(at).cast("timestamp")
-                    self.store.upsert(store.one_per_product(products), now)
-                    self._seen.mark(run_id, products)
-                    if snapshots:
-                        store.snapshots(products, run_id, now).write.mode("append").partitionBy("scrape_run_id").parquet(f"{self.path}/snapshots")
-                    products.unpersist()
+                try:
+                    for i, batch in enumerate(source.batches(self.spark)):
+                        batch.select(*PRODUCT.fieldNames()).write.parquet(f"{staged}/batch={i}")  # a vendor's pages are asked for once
+                        products = self.spark.read.schema(PRODUCT).parquet(f"{staged}/batch={i}")
+                        ingested += products.count()  # before repeats are dropped: the guards below rest on that
+                        at = self.clock()
+                        self.store.renew(source.name, at)
+                        self._seen.mark(run_id, products)
+                        if snapshots:
+                            store.snapshots(products, run_id, F.lit(at).cast("timestamp")).write.mode("append").partitionBy("scrape_run_id").parquet(f"{self.path}/snapshots")
+                finally:  # what came before a failure is loaded, too
+                    if ingested:
+                        batches = self.spark.read.schema(STAGED).parquet(staged)
+                        self.store.upsert(store.last_batch(batches), F.lit(self.clock()).cast("timestamp"))
                 mine = self._seen.read(run_id).select("product_hash")
                 if runs.empty_run(ingested):
                     return self._finish(run_id, "failed", 0, 0, "no products")
@@ -144,10 +153,16 @@ class Engine:
                 self._finish(run_id, "failed", ingested, deleted, str(e))
                 raise
             finally:
+                self._delete(staged)
+                self.store.drop_versions(KEPT_VERSIONS)
                 self._seen.clear(run_id, {r.id for r in self.runs.where("status = 'running'").select("id").collect()})
         finally:
             self.store.unlock(source.name)
 
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def _finish(self, run_id: int, status: str, products: int, deleted: int, error: str | None = None) -> tuple[int, str, int]:
         at = self.clock()
         self.ledger.update(lambda ledger, _: (runs.pruned(runs.finish(ledger, run_id, at, status, products, deleted, error), F.lit(at).cast("timestamp")), run_id))
@@ -176,7 +191,7 @@ class Engine:
     def products(self, f: ProductFilter, prices: PriceFilter | None = None) -> DataFrame:
         """One page, lazily; must name a vendor and a service."""
         query.guard(f)
-        return query.filter_prices(query.plan_products(self.store.read(), f), prices)
+        return query.filter_prices(query.plan_products(self.store.read(query.keys_of(f)), f), prices)
 
     def answer(self, requests: list[tuple[ProductFilter, PriceFilter | None]], budget: Budget | None = None, seconds: float | None = None) -> list:
         """Rows of each request in turn, or the error that it ran into; all share a budget and ``seconds`` (by default those
@@ -192,7 +207,7 @@ class Engine:
                 try:
                     query.guard(f)
                     n = budget.reserve(f.limit)
-                    rows = query.filter_prices(query.plan_products(self.store.read(), ProductFilter(**{**f.__dict__, "limit": n})), prices).collect()
+                    rows = query.filter_prices(query.plan_products(self.store.read(query.keys_of(f)), ProductFilter(**{**f.__dict__, "limit": n})), prices).collect()
                     budget.refund(n, len(rows))
                     out.append(rows)
                 except (ValueError, BudgetSpent) as e:

@@ -20,7 +20,7 @@ def _folder(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share, deleted when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pricewright-")
     path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -265,6 +265,25 @@ def _(spark, d):
     return held.plain().select("product_hash", "sku", F.get("prices", 0)["USD"].alias("usd"), (F.col("updated_at") > "2024-01-15").alias("written"))
 
 
+@_add("store_two_vendors", f"""{PRODUCTS} SELECT product_hash, vendor_name, sku, CAST(count(*) AS BIGINT) AS n_prices FROM prices_v JOIN (SELECT product_hash FROM products_v) USING (product_hash) GROUP BY 1, 2, 3""")
+def _(spark, d):
+    """All vendors load at once into one table, each twice, as writers that do not know of one another."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    path, products = _folder(spark, "vendors") + "/products", products_v(spark, d).select(*PRODUCT.fieldNames())
+    store.ProductStore(spark, path).upsert(products.where("vendor_name = 'aws'"), _time("2024-01-01 00:00:00"))
+
+    def load(vendor: str) -> None:
+        mine = products.where(F.col("vendor_name") == vendor)
+        held = store.ProductStore(spark, path)
+        held.upsert(mine.withColumn("sku", F.lit("old")), _time("2024-01-02 00:00:00"))
+        held.upsert(mine, _time(NOW))
+
+    with ThreadPoolExecutor() as pool:
+        list(pool.map(load, [r.vendor_name for r in products.select("vendor_name").distinct().collect()]))  # few vendors
+    return store.ProductStore(spark, path).plain().select("product_hash", "vendor_name", "sku", F.size("prices").cast("long").alias("n_prices"))
+
+
 @_add("store_stale", "SELECT CAST(p_partkey AS VARCHAR) AS product_hash FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 10 = 5")
 def _(spark, d):
     """The same, and then the clean-up of a run that has seen the load; another vendor's products stay."""
@@ -322,13 +341,13 @@ def _(spark, d):
     return runs.latest(runs_v(spark, d)).select("vendor", runs.rfc3339(F.col("last_finished")).alias("last_scraped"))
 
 
-@_add("run_finish", f"{RUNS} SELECT id, CASE id WHEN 7 THEN 'failed' ELSE status END AS status, CASE id WHEN 7 THEN 2000 ELSE 0 END AS n_error, CASE id WHEN 7 THEN 42 ELSE products END AS products FROM runs_v")
+@_add("run_finish", f"{RUNS} SELECT id, CASE id WHEN 7 THEN 'failed' ELSE status END AS status, CASE id WHEN 7 THEN 1999 ELSE 0 END AS n_error, CASE id WHEN 7 THEN 42 ELSE products END AS products FROM runs_v")
 def _(spark, d):
     from datetime import datetime
 
     ledger = runs_v(spark, d).withColumns({"deleted": F.lit(0).cast("long"), "error": F.lit(None).cast("string")})
-    done = runs.finish(ledger, 7, datetime.fromisoformat(NOW), "failed", 42, 0, "e" * 3000)
-    return done.select("id", "status", F.coalesce(F.length("error"), F.lit(0)).alias("n_error"), "products")
+    done = runs.finish(ledger, 7, datetime.fromisoformat(NOW), "failed", 42, 0, "e" + "€" * 3000)  # 2000 bytes end within a character
+    return done.select("id", "status", F.coalesce(F.octet_length("error"), F.lit(0)).alias("n_error"), "products")
 
 
 @_add("stream_load", f"{PRODUCTS} SELECT product_hash, sku, service, CAST(count(*) AS BIGINT) AS n_prices FROM prices_v WHERE vendor_name = 'gcp' GROUP BY 1, 2, 3")

@@ -1,7 +1,7 @@
 """The served lookup as a lazy plan: predicates for what the filter names, order by hash, a page.
 
 Flat columns are compared as they are, so a store partitioned by vendor and service is pruned and the others reach
-the scan; an attribute of HOT_KEYS is compared in its own column if the table has it.
+the scan; an attribute is compared in its own column if the table has one, as tables that ``store`` reads do.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pricewright.functions import regex
 from pricewright.model import AttributeFilter, FilterTooBroad, ProductFilter
 from pricewright.operators.prices import filter_prices  # noqa: F401  (part of the lookup)
+from pricewright.plans.store import key_column
 
 MAX_ROWS = 5_000
 COLUMNS = ("product_hash", "sku", "vendor_name", "region", "service", "product_family", "attributes", "prices")
@@ -23,8 +24,13 @@ def effective_limit(limit: int | None) -> int:
 
 def attribute(products: DataFrame, key: str) -> Column:
     """An attribute by name; null if the product has none."""
-    hot = f"attr_{key}"
-    return F.col(hot) if hot in products.columns else F.col("attributes")[key]
+    own = key_column(key)
+    return F.col(own) if own in products.columns else F.col("attributes")[key]
+
+
+def keys_of(f: ProductFilter) -> list[str]:
+    """The attributes that a filter asks for: what a store should read as columns."""
+    return [a.key for a in f.attribute_filters]
 
 
 def attribute_condition(products: DataFrame, f: AttributeFilter) -> Column | None:

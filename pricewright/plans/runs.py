@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pricewright.schema import RUN, VENDORS
 
-REAP_AFTER, STALE_AFTER, KEEP_FOR, ERROR_CHARS = timedelta(hours=6), timedelta(hours=48), timedelta(days=30), 2000
+REAP_AFTER, STALE_AFTER, KEEP_FOR, ERROR_BYTES = timedelta(hours=6), timedelta(hours=48), timedelta(days=30), 2000
 REAPED = "reaped: exceeded timeout"
 #: After so long, a claim on a file of the ledger is given up.
 CLAIM_SECONDS = 60
@@ -26,10 +26,14 @@ def start(runs: DataFrame, vendor: str, now: datetime, run_id: int | None = None
     return runs.unionByName(row), run_id
 
 
+def cut_bytes(text: str, size: int = ERROR_BYTES) -> str:
+    return text.encode("utf-8", "replace")[:size].decode("utf-8", "ignore")
+
+
 def finish(runs: DataFrame, run_id: int, now: datetime, status: str, products: int = 0, deleted: int = 0, error: str | None = None) -> DataFrame:
-    """Errors are cut to 2000 characters."""
+    """Errors are cut to 2000 bytes; of a character that the cut falls into, nothing stays."""
     mine = F.col("id") == run_id
-    values = {"finished_at": F.lit(now).cast("timestamp"), "status": F.lit(status), "products": F.lit(products).cast("long"), "deleted": F.lit(deleted).cast("long"), "error": F.substring(F.lit(error), 1, ERROR_CHARS)}
+    values = {"finished_at": F.lit(now).cast("timestamp"), "status": F.lit(status), "products": F.lit(products).cast("long"), "deleted": F.lit(deleted).cast("long"), "error": F.lit(None if error is None else cut_bytes(error)).cast("string")}
     return runs.withColumns({k: F.when(mine, v).otherwise(F.col(k)) for k, v in values.items()})
 
 
@@ -152,25 +156,34 @@ class Ledger:
                 return run_id
 
     def _put(self, n: int, state: dict) -> bool:
-        """Writes a file aside and gives it its number, unless another has."""
-        self._fs.mkdirs(self._at(""))
-        aside = self._at(f"_{uuid.uuid4().hex}")
-        out = self._fs.create(aside)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        claim = self._at(f"_claim-{n}")
-        try:
-            if not created(self._fs, claim, ""):
-                if time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 > CLAIM_SECONDS:
-                    self._fs.delete(claim, False)  # its writer is gone
-                time.sleep(0.1)
-                return False
+        return published(self._fs, self._at, "", n, json.dumps(state))
+
+
+def published(fs, at: Callable, folder: str, n: int, text: str) -> bool:
+    """Writes a file aside and gives it the number ``n`` in ``folder``, unless another has that: False then. Only the
+    holder of a claim on the number may rename, and what the rename says is the answer."""
+    name = lambda x: f"{folder}/{x}" if folder else x
+    fs.mkdirs(at(folder))
+    aside, claim, there = at(name(f"_{uuid.uuid4().hex}")), at(name(f"_claim-{n}")), at(name(str(n)))
+    out = fs.create(aside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if not created(fs, claim, ""):
             try:
-                return not self._fs.exists(self._at(str(n))) and bool(self._fs.rename(aside, self._at(str(n))))
-            finally:
-                self._fs.delete(claim, False)
+                if time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 > CLAIM_SECONDS:
+                    fs.delete(claim, False)  # its writer is gone
+            except Exception:
+                if fs.exists(claim):
+                    raise
+            time.sleep(0.1)
+            return False
+        try:
+            return not fs.exists(there) and bool(fs.rename(aside, there))
         finally:
-            self._fs.delete(aside, False)
+            fs.delete(claim, False)
+    finally:
+        fs.delete(aside, False)
 
 
 def created(fs, path, text: str) -> bool:

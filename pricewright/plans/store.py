@@ -1,10 +1,20 @@
-"""A table of products without a table format: versions in directories, and a pointer to the current one.
+"""A table of products without a table format: folders of rows, and pointers that list which folder holds what.
 
-The table is partitioned by vendor and service, sorted by region and hash within a file, and has hot attributes as
-columns of their own. A write puts the partitions that it touches into a new version's directory, beside the others,
-and then adds a pointer that lists which version holds which partition; so readers of an older pointer are not
-disturbed, a writer that fails leaves nothing behind that is read, and an upsert costs what it touches. A load that
-changes nothing writes nothing.
+The table is partitioned by vendor, service and bucket, a range of product hashes, and sorted by region and hash within
+a file. A write puts the buckets that it changes into a folder of its own and then commits: it adds a pointer, the next
+by number, that lists which folder holds which bucket. Readers of an older pointer are not disturbed, and a writer that
+fails leaves nothing behind that is read.
+
+Commits are optimistic. A pointer's number is taken by one writer only; who comes second reads the new pointer. If the
+buckets that it has read are as they were, its own take their place beside those of the other; else ``Stale`` is raised
+and the load is merged anew with what is there. So vendors load side by side and no load is lost.
+
+An upsert writes its rows down once with a digest of what can change, compares digests with those stored, and rewrites
+the buckets of rows that are new or differ. The stored rows are not exchanged where the changed ones are small enough to
+be sent to them. A load that changes nothing writes nothing.
+
+Every attribute key has a column of its own, with a dictionary or a Bloom filter in each row group, up to KEYS of them
+in a folder; ``read`` returns those that are asked for, so that equality on any key is left to the scan.
 """
 
 from __future__ import annotations
@@ -15,18 +25,46 @@ from collections.abc import Iterable
 from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from pricewright.observed import counted
-from pricewright.plans.runs import REAP_AFTER, created
+from pricewright.plans.runs import REAP_AFTER, created, published
 from pricewright.schema import HOT_KEYS, PRODUCT
 
 BATCH = 1_000
-#: A version's rows. Read with it, a service or vendor of digits stays text.
-STORED = T.StructType([*PRODUCT.fields, T.StructField("updated_at", T.TimestampType()), *(T.StructField(f"attr_{k}", T.StringType()) for k in HOT_KEYS)])
+#: Ranges of hashes that a service is cut into, and digits of a hash that tell its range.
+BUCKETS, DIGITS = 4, 2
+#: Bytes of changed rows that may be sent to the stored ones, and columns of attribute keys in a folder.
+SENT_BYTES, KEYS = 16 << 20, 400
+#: Bytes in a row group and in a Bloom filter of it, and rows in a page: what a lookup reads at least.
+GROUP_BYTES, BLOOM_BYTES, PAGE_ROWS = 1 << 20, 32 << 10, 1_000
+#: How often a load is merged anew when others commit to its buckets.
+ATTEMPTS = 20
+#: A folder's rows. Read with it, a service or vendor of digits stays text.
+STORED = T.StructType([*PRODUCT.fields, T.StructField("updated_at", T.TimestampType()), T.StructField("content", T.StringType()), T.StructField("bucket", T.IntegerType()), *(T.StructField(f"attr_{k}", T.StringType()) for k in HOT_KEYS)])
+Part = tuple[str, str, int]
+
+
+class Stale(RuntimeError):
+    """Another writer has committed to buckets that this one has read."""
+
+
+def bucket(buckets: int, key: str = "product_hash") -> Column:
+    """The number of a hash's range; in the order of hashes, whatever their signs."""
+    bounds = [format(i * 16**DIGITS // buckets, f"0{DIGITS}x") for i in range(1, buckets)]
+    return sum((F.col(key) >= b).cast("int") for b in bounds) if bounds else F.lit(0)
+
+
+def content() -> Column:
+    """A digest of what an upsert compares: sku, attributes in any order, prices in order."""
+    return F.substring(F.sha2(F.to_json(F.struct("sku", F.array_sort(F.map_entries("attributes")).alias("a"), "prices")), 256), 1, 32)
+
+
+def key_column(key: str) -> str:
+    """The name of an attribute's own column, for keys with any signs in any case."""
+    return f"attr_{key}" if key in HOT_KEYS else f"key_{key.encode().hex()}"
 
 
 def canonical(products: DataFrame) -> DataFrame:
@@ -47,6 +85,12 @@ def one_per_product(products: DataFrame) -> DataFrame:
     return products.withColumn("_n", place).where("_n = 1").drop("_n")
 
 
+def last_batch(products: DataFrame, batch: str = "batch") -> DataFrame:
+    """One row per product of a run: of the last batch that has it, the first as in ``one_per_product``."""
+    place = F.row_number().over(Window.partitionBy("product_hash").orderBy(F.desc(batch), "sku", "product_family", "prices"))
+    return products.withColumn("_n", place).where("_n = 1").drop("_n", batch)
+
+
 def changed(old: str = "o", new: str = "n") -> Column:
     """Whether a product's sku, attributes (in any order) or prices (in order) differ; null equals null."""
     entries = lambda t: F.array_sort(F.map_entries(f"{t}.attributes"))
@@ -122,10 +166,10 @@ class SeenSets:
 
 
 class ProductStore:
-    """The products of a directory. One writer at a time: ``locked`` makes a file that only one can make."""
+    """The products of a directory. Any number of writers; ``locked`` keeps a vendor's runs apart."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.owner = spark, path.rstrip("/"), uuid.uuid4().hex
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.owner, self.buckets = spark, path.rstrip("/"), uuid.uuid4().hex, buckets
         self._jvm = spark._jvm
         self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -134,91 +178,181 @@ class ProductStore:
 
     def version(self) -> int:
         """The current version, 0 before the first."""
+        return max(self._versions(), default=0)
+
+    def _versions(self) -> list[int]:
         pointers = self._at("_current")
         if not self._fs.exists(pointers):
-            return 0
-        return max((int(n) for s in self._fs.listStatus(pointers) if (n := s.getPath().getName()).isdigit()), default=0)
+            return []
+        return sorted(int(n) for s in self._fs.listStatus(pointers) if (n := s.getPath().getName()).isdigit())
 
-    def manifest(self, version: int | None = None) -> list[tuple[int, str, str]]:
-        """Which version's directory holds each vendor's service."""
+    def _state(self, version: int | None = None) -> tuple[int, dict]:
+        """A version, and what its pointer says: the number of buckets, the folder of each part, and each folder's keys."""
         n = self.version() if version is None else version
         if not n:
-            return []
-        said = self.spark.read.text(f"{self.path}/_current/{n}", wholetext=True).first()
-        return [tuple(x) for x in json.loads(said.value)]
-
-    def read(self) -> DataFrame:
-        held: dict[int, dict[str, list[str]]] = {}
-        for n, vendor, service in self.manifest():
-            held.setdefault(n, {}).setdefault(vendor, []).append(service)
+            return 0, {"buckets": self.buckets, "parts": {}, "keys": {}}
+        said = json.loads(self.spark.read.text(f"{self.path}/_current/{n}", wholetext=True).first().value)
+        return n, {**said, "parts": {tuple(k): f for k, f in said["parts"]}}
+
+    def manifest(self, version: int | None = None) -> list[tuple[str, str, str, int]]:
+        """Which folder holds each bucket of a vendor's service."""
+        return sorted((f, *part) for part, f in self._state(version)[1]["parts"].items())
+
+    def read(self, keys: Iterable[str] = ()) -> DataFrame:
+        """The current products, with the columns of ``keys`` beside those of HOT_KEYS."""
+        state = self._state()[1]
+        return self._rows(state, state["parts"], tuple(k for k in dict.fromkeys(keys) if k not in HOT_KEYS))
+
+    def _rows(self, state: dict, parts: Iterable[Part], keys: tuple[str, ...] = ()) -> DataFrame:
+        held: dict[str, dict[str, dict[str, list[int]]]] = {}
+        for vendor, service, b in sorted(parts):
+            if f := state["parts"].get((vendor, service, b)):
+                held.setdefault(f, {}).setdefault(vendor, {}).setdefault(service, []).append(b)
+        wanted = T.StructType([*STORED.fields, *(T.StructField(key_column(k), T.StringType()) for k in keys)])
         if not held:
-            return self.spark.createDataFrame([], STORED)
-        parts = []
-        for n, vendors in sorted(held.items()):
-            mine = [(F.col("vendor_name") == v) & F.col("service").isin(*s) for v, s in sorted(vendors.items())]
-            parts.append(self.spark.read.schema(STORED).parquet(f"{self.path}/v{n}").where(reduce(lambda a, b: a | b, mine)))
-        return union(parts)
+            return self.spark.createDataFrame([], wanted)
+        found = []
+        for folder, vendors in held.items():
+            has = state["keys"][folder]
+            mine = []
+            for vendor, services in vendors.items():
+                alike: dict[tuple[int, ...], list[str]] = {}
+                for service, buckets in services.items():
+                    alike.setdefault(tuple(buckets), []).append(service)
+                mine += [(F.col("vendor_name") == vendor) & F.col("service").isin(*names) & F.col("bucket").isin(*buckets) for buckets, names in alike.items()]
+            schema = wanted if has is not None else STORED
+            rows = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}").where(reduce(lambda a, b: a | b, mine))
+            if has is None:  # too many keys for columns: they are looked up in the map
+                rows = rows.withColumns({key_column(k): F.col("attributes")[k] for k in keys})
+            found.append(rows.select(*wanted.fieldNames()))
+        return union(found)
 
     def plain(self) -> DataFrame:
-        """The current products without the hot columns."""
+        """The current products without the columns of attributes."""
         return self.read().select(*PRODUCT.fieldNames(), "updated_at")
 
-    def write(self, products: DataFrame, touched: set[tuple[str, str]] | None = None, unless: Observation | None = None) -> int:
-        """A new version in which ``products`` take the place of the ``touched`` partitions, or of all; the version as it
-        was if ``unless``, an observation of ``products`` with ``n``, has counted none (a lost count writes it)."""
-        n = self.version() + 1
-        hot = {f"attr_{k}": F.col("attributes")[k] for k in HOT_KEYS}
-        rows = products.withColumns(hot).sortWithinPartitions("vendor_name", "service", "region", "product_hash")
-        rows.write.mode("overwrite").partitionBy("vendor_name", "service").parquet(f"{self.path}/v{n}")
-        if unless is not None and counted(unless) == 0:
-            self._fs.delete(self._at(f"v{n}"), True)
-            return n - 1
-        there = self.spark.read.schema(STORED).parquet(f"{self.path}/v{n}").select("vendor_name", "service").distinct().collect()
-        kept = [] if touched is None else [p for p in self.manifest() if (p[1], p[2]) not in touched]
-        listed = sorted(kept + [(n, r.vendor_name, r.service) for r in there])
-        pointers = self._at("_current")
-        self._fs.mkdirs(pointers)
-        out = self._fs.create(self._at(f"_current/_{n}"))
-        out.write(bytearray(json.dumps(listed).encode()))
-        out.close()
-        self._fs.rename(self._at(f"_current/_{n}"), self._at(f"_current/{n}"))
-        return n
-
-    def upsert(self, products: DataFrame, now: Column, versions: int = 32) -> int:
+    def _keys(self, base: dict, parts: Iterable[Part], more: DataFrame | None = None) -> list[str] | None:
+        """The attribute keys of the parts, and of ``more``; None for over KEYS of them."""
+        known = [base["keys"][f] for f in {base["parts"][p] for p in parts if p in base["parts"]}]
+        if None in known:
+            return None
+        rows = [] if more is None else more.select(F.explode(F.map_keys("attributes")).alias("k")).distinct().limit(KEYS + len(HOT_KEYS) + 1).collect()
+        keys = sorted(({k for ks in known for k in ks} | {r.k for r in rows}) - set(HOT_KEYS))
+        return None if len(keys) > KEYS else keys
+
+    def _put(self, rows: DataFrame, keys: list[str] | None) -> str:
+        """Writes rows (of STORED, without columns of attributes) into a new folder and returns its name."""
+        folder = f"v-{uuid.uuid4().hex}"
+        own = {key_column(k): F.col("attributes")[k] for k in [*HOT_KEYS, *(keys or ())]}
+        out = rows.withColumns(own).sortWithinPartitions("vendor_name", "service", "bucket", "region", "product_hash").write.mode("overwrite")
+        out = out.option("parquet.block.size", GROUP_BYTES).option("parquet.bloom.filter.max.bytes", BLOOM_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS)
+        for c in own:
+            out = out.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        out.partitionBy("vendor_name", "service", "bucket").parquet(f"{self.path}/{folder}")
+        return folder
+
+    def _commit(self, base: tuple[int, dict], touched: set[Part], rows: DataFrame, keys: list[str] | None, emptied: set[Part] = frozenset()) -> int:
+        """A new version in which ``rows`` take the place of the parts ``touched``, read at ``base``, of which those
+        ``emptied`` go. What others have committed since to other parts stays; ``Stale`` if it was to these."""
+        folder = None if touched == emptied else self._put(rows, keys)
+        made = dict.fromkeys(touched - emptied, folder)
+        try:
+            while True:
+                n, state = self._state()
+                if any(state["parts"].get(p) != base[1]["parts"].get(p) for p in touched):
+                    raise Stale(f"version {n} holds other rows of what was read at version {base[0]}")
+                parts = {p: f for p, f in state["parts"].items() if p not in touched} | made
+                listed = {f: k for f, k in {**state["keys"], folder: keys}.items() if f in parts.values()}
+                said = {"buckets": state["buckets"], "parts": sorted([list(p), f] for p, f in parts.items()), "keys": listed}
+                if published(self._fs, self._at, "_current", n + 1, json.dumps(said)):
+                    return n + 1
+        except BaseException:
+            if folder is not None:
+                self._fs.delete(self._at(folder), True)
+            raise
+
+    def upsert(self, products: DataFrame, now: Column, folders: int = 64) -> int:
         """The version after the load; the same as before if nothing of it is new or changed. A product's hash names
-        its vendor and service, so only the partitions of the load can hold its old rows."""
-        touched = {(r.vendor_name, r.service) for r in products.select("vendor_name", "service").distinct().collect()}
-        if not touched:
-            return self.version()
-        written = Observation()
-        after = merged(self._of(touched), canonical(products), now).observe(written, F.count_if(F.col("updated_at").eqNullSafe(now)).alias("n"))
-        before, n = self.version(), self.write(after, touched, written)
-        if n == before:
+        its vendor and service, so only buckets of the load can hold its old rows. Over ``folders`` folders become one."""
+        load = f"_staged/{uuid.uuid4().hex}"
+        try:
+            held = canonical(products).select(*PRODUCT.fieldNames()).withColumns({"content": content(), "bucket": bucket(self._state()[1]["buckets"])})
+            held.write.parquet(f"{self.path}/{load}/load")
+            held = self.spark.read.schema(held.schema).parquet(f"{self.path}/{load}/load")
+            for attempt in range(ATTEMPTS):
+                try:
+                    n = self._merge(held, now, f"{load}/{attempt}")
+                    break
+                except Stale:
+                    if attempt == ATTEMPTS - 1:
+                        raise
+        finally:
+            self._fs.delete(self._at(load), True)
+        base = self._state()
+        if len(set(base[1]["parts"].values())) <= folders:
             return n
-        return self.write(self.plain()) if len({p[0] for p in self.manifest()}) > versions else n
-
-    def _of(self, partitions: set[tuple[str, str]]) -> DataFrame:
-        by: dict[str, list[str]] = {}
-        for v, s in partitions:
-            by.setdefault(v, []).append(s)
-        mine = [(F.col("vendor_name") == v) & F.col("service").isin(*s) for v, s in sorted(by.items())]
-        return self.plain().where(reduce(lambda a, b: a | b, mine))
+        try:
+            return self._commit(base, set(base[1]["parts"]), self._rows(base[1], base[1]["parts"]).select(*self._own()), self._keys(base[1], base[1]["parts"]))
+        except Stale:
+            return n  # the next load will find as many
+
+    @staticmethod
+    def _own() -> list[str]:
+        return [c for c in STORED.fieldNames() if not c.startswith("attr_")]
+
+    def _sent(self, rows: DataFrame, at: str) -> DataFrame:
+        """``rows``, which the folder ``at`` holds, marked to be sent to the other side of a join if they are small."""
+        return F.broadcast(rows) if self._fs.getContentSummary(self._at(at)).getLength() <= SENT_BYTES else rows
+
+    def _changes(self, base: dict, held: DataFrame) -> DataFrame:
+        """Rows of the load that are new or differ, with _had: the stored side gives two columns of the load's parts."""
+        parts = {(r.vendor_name, r.service, r.bucket) for r in held.select("vendor_name", "service", "bucket").distinct().collect()}
+        old = self._rows(base, parts).select("product_hash", F.col("content").alias("_content"))
+        both = held.join(old, "product_hash", "left")
+        return both.where(~F.col("_content").eqNullSafe(F.col("content"))).withColumn("_had", F.col("_content").isNotNull()).drop("_content")
+
+    def _after(self, base: dict, delta: DataFrame, touched: set[Part], now: Column) -> DataFrame:
+        """The rows of the touched parts after the load: stored ones with what the load changes of them, and new ones.
+        Identity columns are never rewritten."""
+        new = delta.where("_had").select("product_hash", *(F.col(c).alias(f"_{c}") for c in ("sku", "attributes", "prices", "content")))
+        old = self._rows(base, touched).select(*self._own()).join(new, "product_hash", "left")
+        take = lambda c: F.when(F.col("_content").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+        picks = {c: take(c) for c in ("sku", "attributes", "prices", "content")} | {"updated_at": F.when(F.col("_content").isNotNull(), now).otherwise(F.col("updated_at")).alias("updated_at")}
+        fresh = delta.where("not _had").withColumn("updated_at", now).select(*self._own())
+        return old.select(*(picks.get(c, F.col(c)) for c in self._own())).unionByName(fresh)
+
+    def _merge(self, held: DataFrame, now: Column, at: str) -> int:
+        base = self._state()
+        self._changes(base[1], held).write.parquet(f"{self.path}/{at}")
+        delta = self.spark.read.schema(T.StructType([*held.schema.fields, T.StructField("_had", T.BooleanType())])).parquet(f"{self.path}/{at}")
+        touched = {(r.vendor_name, r.service, r.bucket) for r in delta.select("vendor_name", "service", "bucket").distinct().collect()}
+        if not touched:
+            return base[0]
+        return self._commit(base, touched, self._after(base[1], self._sent(delta, at), touched, now), self._keys(base[1], touched, delta))
 
     def delete_stale(self, vendor: str, start: Column, seen: DataFrame) -> int:
-        """Deletes and counts; nothing is written if nothing is stale."""
-        touched = {(v, s) for _, v, s in self.manifest() if v == vendor}
-        if not touched:
-            return 0
-        deleted, gone = Observation(), (F.col("vendor_name") == vendor) & (F.col("updated_at") < start) & F.col("_seen").isNull()
-        marked = self._of(touched).join(seen.select("product_hash").distinct().withColumn("_seen", F.lit(True)), "product_hash", "left").withColumn("_gone", gone)
-        marked = marked.observe(deleted, F.count_if("_gone").alias("n"))
-        before = self.manifest()
-        self.write(marked.where("not coalesce(_gone, false)").drop("_seen", "_gone"), touched, deleted)
-        gone = counted(deleted)
-        return self._rows(before) - self._rows(self.manifest()) if gone is None else gone
-
-    def _rows(self, manifest: list[tuple[int, str, str]]) -> int:
-        return sum(self.spark.read.schema(STORED).parquet(f"{self.path}/v{n}").where((F.col("vendor_name") == v) & (F.col("service") == s)).count() for n, v, s in manifest)
+        """Deletes and counts; only buckets that hold something stale are written anew."""
+        for attempt in range(ATTEMPTS):
+            at = f"_staged/{uuid.uuid4().hex}"
+            try:
+                base = self._state()
+                mine = {p for p in base[1]["parts"] if p[0] == vendor}
+                old = stale(self._rows(base[1], mine), vendor, start, seen.select("product_hash").distinct()).select("product_hash", "vendor_name", "service", "bucket")
+                old.write.parquet(f"{self.path}/{at}")
+                gone = self.spark.read.schema(old.schema).parquet(f"{self.path}/{at}")
+                counts = {(r.vendor_name, r.service, r.bucket): r["count"] for r in gone.groupBy("vendor_name", "service", "bucket").count().collect()}
+                if counts:
+                    there = self._rows(base[1], counts).select(*self._own())
+                    emptied = {tuple(p) for *p, n in there.groupBy("vendor_name", "service", "bucket").count().collect() if counts[tuple(p)] == n}
+                    left = there.join(self._sent(gone.select("product_hash"), at), "product_hash", "left_anti")
+                    self._commit(base, set(counts), left, self._keys(base[1], counts), emptied)
+                return sum(counts.values())
+            except Stale:
+                if attempt == ATTEMPTS - 1:
+                    raise
+            finally:
+                self._fs.delete(self._at(at), True)
+        return 0
 
     def count(self) -> int:
         return self.read().count()
@@ -263,14 +397,16 @@ class ProductStore:
             self._fs.delete(self._at(f"_locks/{vendor}"), False)
 
     def drop_versions(self, keep: int = 2) -> None:
-        """Deletes all pointers but the last ``keep``, and directories that none of these lists."""
-        last = self.version()
-        used = {p[0] for n in range(max(1, last - keep + 1), last + 1) for p in self.manifest(n)}
-        for n in range(1, last + 1):
-            if n <= last - keep:
-                self._fs.delete(self._at(f"_current/{n}"), False)
-            if n not in used:
-                self._fs.delete(self._at(f"v{n}"), True)
+        """Deletes all pointers but the last ``keep``, and the folders that only those have listed; a folder that no
+        pointer lists may be another writer's and stays."""
+        versions = self._versions()
+        last, old = versions[-keep:], versions[:-keep] if keep else versions
+        used = {f for n in last for f, *_ in self.manifest(n)}
+        unused = {f for n in old for f, *_ in self.manifest(n)} - used
+        for n in old:
+            self._fs.delete(self._at(f"_current/{n}"), False)
+        for f in unused:
+            self._fs.delete(self._at(f), True)
 
 
 def union(batches: Iterable[DataFrame]) -> DataFrame:

@@ -1,4 +1,6 @@
+import threading
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +121,8 @@ def test_ledger(spark):
     ledger = runs.finish(ledger, n, T0, "success", 42, 3, "e" * 3000)
     row = ledger.first()
     assert (n, row.status, row.products, row.deleted, len(row.error)) == (1, "success", 42, 3, 2000)
+    cut = runs.finish(ledger, n, T0, "failed", error="é" * 999 + "ab€c").first().error
+    assert cut == "é" * 999 + "ab" and len(cut.encode()) == 2000
     old = F.lit(T0 + timedelta(days=40))
     assert runs.pruned(ledger, old).count() == 0 and runs.pruned(ledger, old, timedelta(0)).count() == 1
     running, _ = runs.start(ledger, "gcp", T0)
@@ -160,13 +164,14 @@ def test_an_upsert_writes_only_what_it_touches(spark, tmp_path):
     assert target.upsert(spark.createDataFrame([product("h1"), other], PRODUCT), now) == 1
     assert target.upsert(spark.createDataFrame([product("h1")], PRODUCT), F.lit(T0 + timedelta(days=1)).cast("timestamp")) == 1
     assert target.upsert(spark.createDataFrame([product("h2")], PRODUCT), F.lit(T0 + timedelta(days=1)).cast("timestamp")) == 2
-    assert {(n, v) for n, v, _ in target.manifest()} == {(1, "gcp"), (2, "aws")} and target.count() == 3
+    folders = {v: f for f, v, *_ in target.manifest()}
+    assert set(folders) == {"gcp", "aws"} and folders["gcp"] != folders["aws"] and target.count() == 3
     assert target.delete_stale("gcp", F.lit(T0 + timedelta(days=2)).cast("timestamp"), spark.createDataFrame([], "product_hash string")) == 1
-    assert {r.product_hash for r in target.read().collect()} == {"h1", "h2"}
-    assert target.upsert(spark.createDataFrame([product("h3")], PRODUCT), F.lit(T0 + timedelta(days=3)).cast("timestamp"), versions=0) == 5
-    assert {n for n, *_ in target.manifest()} == {5} and target.count() == 3
+    assert {r.product_hash for r in target.read().collect()} == {"h1", "h2"} and {v for _, v, *_ in target.manifest()} == {"aws"}
+    assert target.upsert(spark.createDataFrame([product("h3")], PRODUCT), F.lit(T0 + timedelta(days=3)).cast("timestamp"), folders=0) == 5
+    assert len({f for f, *_ in target.manifest()}) == 1 and target.count() == 3
     target.drop_versions(1)
-    assert target.count() == 3
+    assert target.count() == 3 and target.version() == 5 and len([f for f in Path(f"{tmp_path}/s").iterdir() if f.name.startswith("v-")]) == 1
 
 
 def test_a_new_engine_knows_the_runs_of_the_last(spark, tmp_path):
@@ -244,7 +249,7 @@ def test_a_batch_has_one_deadline(spark, tmp_path, monkeypatch):
     assert [type(x) for x in engine.answer([(f, None)] * 2, seconds=0)] == [TimeoutError] * 2
     slow, calls = engine.store.read, []
 
-    def read():
+    def read(*keys):
         calls.append(1)
         if len(calls) == 2:  # the second lookup outlasts the batch
             return spark.range(4, numPartitions=1).mapInPandas(lambda it: (x for x in it if not __import__("time").sleep(30)), "id long").crossJoin(slow()).drop("id")
@@ -269,3 +274,163 @@ def test_status_and_catalog(spark, tmp_path):
     (tmp_path / "defs" / "aws" / "x.toml").write_text('kind = "x"\n')
     status, etag, body = engine.catalog(f"{tmp_path}/defs")
     assert status == 200 and '"count": 1' in body and engine.catalog(f"{tmp_path}/defs", etag)[0] == 304
+
+
+def at(days):
+    return F.lit(T0 + timedelta(days=days)).cast("timestamp")
+
+
+def hashed(i):
+    import hashlib
+
+    return hashlib.sha256(str(i).encode()).hexdigest()[:32]
+
+
+def test_three_vendors_load_side_by_side(spark, tmp_path):
+    """Each loads and cleans up beside the others; no row of any is lost."""
+    said = []
+
+    def run(vendor):
+        try:
+            target = store.ProductStore(spark, f"{tmp_path}/v")
+            for day, n in ((0, 30), (1, 40), (2, 25)):
+                rows = [product(hashed(f"{vendor}{i}"), f"{day}.5", vendor) for i in range(n)]
+                load = spark.createDataFrame(rows, PRODUCT)
+                target.upsert(load, at(day))
+                target.delete_stale(vendor, at(day), load.select("product_hash"))
+        except Exception as e:
+            said.append(e)
+
+    threads = [threading.Thread(target=run, args=(v,)) for v in ("aws", "azure", "gcp")]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    held = store.ProductStore(spark, f"{tmp_path}/v").plain().collect()
+    assert not said and len(held) == 75
+    assert {(r.vendor_name, r.product_hash, r.prices[0].USD) for r in held} == {(v, hashed(f"{v}{i}"), "2.5") for v in ("aws", "azure", "gcp") for i in range(25)}
+
+
+def test_a_stale_writer_merges_or_begins_anew(spark, tmp_path, monkeypatch):
+    one, two = store.ProductStore(spark, f"{tmp_path}/w"), store.ProductStore(spark, f"{tmp_path}/w")
+    one.upsert(spark.createDataFrame([product(hashed(i)) for i in range(8)], PRODUCT), at(0))
+    commit, raised = one._commit, []
+
+    def late(base, *args):
+        """Between reading and committing, the other writer commits: first another vendor's rows, then the same ones."""
+        if not raised:
+            raised.append(None)
+            two.upsert(spark.createDataFrame([product(hashed(f"g{i}"), vendor="gcp") for i in range(5)], PRODUCT), at(1))
+            two.upsert(spark.createDataFrame([product(hashed(i), "7") for i in range(4)], PRODUCT), at(1))
+        try:
+            return commit(base, *args)
+        except store.Stale as e:
+            raised.append(e)
+            raise
+
+    monkeypatch.setattr(one, "_commit", late)
+    assert one.upsert(spark.createDataFrame([product(hashed(i), "9") for i in range(2, 9)], PRODUCT), at(2)) == 4
+    assert len(raised) == 2 and isinstance(raised[1], store.Stale)
+    usd = {r.product_hash: r.prices[0].USD for r in one.plain().collect()}
+    assert len(usd) == 14 and [usd[hashed(i)] for i in range(9)] == ["7", "7", *["9"] * 7]
+    assert not [f for f in Path(f"{tmp_path}/w/_staged").iterdir() if not f.name.startswith(".")]
+
+
+def test_a_number_is_published_once(spark, tmp_path):
+    target = store.ProductStore(spark, f"{tmp_path}/n")
+    assert runs.published(target._fs, target._at, "_current", 1, "{}") and not runs.published(target._fs, target._at, "_current", 1, "x")
+    assert Path(f"{tmp_path}/n/_current/1").read_text() == "{}" and target.version() == 1
+
+
+def test_an_upsert_writes_only_buckets_that_change(spark, tmp_path):
+    target = store.ProductStore(spark, f"{tmp_path}/b", buckets=16)
+    rows = [product(hashed(i)) for i in range(400)]
+    target.upsert(spark.createDataFrame(rows, PRODUCT), at(0))
+    before = {(v, s, b): f for f, v, s, b in target.manifest()}
+    assert len(before) == 16
+    rows[7] = product(hashed(7), "9.9")
+    target.upsert(spark.createDataFrame(rows, PRODUCT), at(1))
+    after = {(v, s, b): f for f, v, s, b in target.manifest()}
+    assert [p for p in after if after[p] != before[p]] == [("aws", "ec2", int(hashed(7)[0], 16))]
+    written = sum(1 for f in Path(f"{tmp_path}/b/{after['aws', 'ec2', int(hashed(7)[0], 16)]}").rglob("*.parquet"))
+    assert written and {r.updated_at for r in target.read().where(F.col("product_hash") == hashed(7)).collect()} == {T0 + timedelta(days=1)}
+    assert target.read().where(F.col("updated_at") == at(0)).count() == 399
+    buckets = target.read().groupBy("bucket").agg(F.min("product_hash").alias("lo"), F.max("product_hash").alias("hi")).orderBy("bucket").collect()
+    assert all(a.hi < b.lo for a, b in zip(buckets, buckets[1:], strict=False))
+
+
+def test_stored_rows_are_not_exchanged(spark, tmp_path):
+    target = store.ProductStore(spark, f"{tmp_path}/x")
+    target.upsert(spark.createDataFrame([product(hashed(i)) for i in range(100)], PRODUCT), at(0))
+    (_, base), load = target._state(), spark.createDataFrame([product(hashed(i), "9") for i in range(3)], PRODUCT)
+    load = load.withColumns({"content": store.content(), "bucket": store.bucket(4)})
+    target._changes(base, load).write.parquet(f"{tmp_path}/x/_d")
+    delta = spark.read.parquet(f"{tmp_path}/x/_d")
+    after = target._after(base, target._sent(delta, "_d"), set(base["parts"]), at(1))
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert after.count() == 100 and "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_any_attribute_key_reaches_the_scan(spark, tmp_path):
+    from pricewright.plans import query
+    from pricewright.model import AttributeFilter
+
+    key = F.col("id").cast("string")
+    price = F.array(F.struct(*(F.lit("x").alias(f) for f in PRICE_FIELDS)))
+    attributes = F.create_map(F.lit("Odd Key=1"), F.concat(F.lit("v"), F.floor(F.col("id") / 40)), F.lit("os"), F.lit("Linux"))
+    rows = spark.range(200_000).select(F.substring(F.sha2(key, 256), 1, 32).alias("product_hash"), key.alias("sku"), F.lit("aws").alias("vendor_name"), F.concat(F.lit("r"), F.lpad(F.floor(F.col("id") / 4000).cast("string"), 3, "0")).alias("region"), F.lit("ec2").alias("service"), F.lit("f").alias("product_family"), attributes.alias("attributes"), price.alias("prices"))
+    target = store.ProductStore(spark, f"{tmp_path}/k")
+    target.upsert(rows, at(0))
+    f = ProductFilter("aws", "ec2", attribute_filters=(AttributeFilter("Odd Key=1", "v77"),), limit=50)
+    found = query.plan_products(target.read(query.keys_of(f)), f)
+    assert sorted(int(r.sku) for r in found.collect()) == list(range(77 * 40, 78 * 40))
+    plan = found._jdf.queryExecution().executedPlan()
+    assert f"EqualTo({store.key_column('Odd Key=1')},v77)" in plan.toString()
+
+    def scans(node):
+        node = node.executedPlan() if "AdaptiveSparkPlan" in node.nodeName() else node
+        out = [node] if node.nodeName().startswith("Scan") else []
+        return out + [x for i in range(node.children().size()) for x in scans(node.children().apply(i))]
+
+    scan = scans(plan)[0]
+    plan.execute().count() if not scan.metrics().apply("numOutputRows").value() else None
+    assert scan.metrics().apply("numOutputRows").value() < 50_000
+    none = query.plan_products(target.read(["os", "nowhere"]), ProductFilter("aws", "ec2", attribute_filters=(AttributeFilter("nowhere", "x"),)))
+    assert none.count() == 0
+
+
+def test_more_keys_than_columns(spark, tmp_path, monkeypatch):
+    from pricewright.model import AttributeFilter
+    from pricewright.plans import query
+
+    monkeypatch.setattr(store, "KEYS", 3)
+    target = store.ProductStore(spark, f"{tmp_path}/m")
+    target.upsert(spark.createDataFrame([product(hashed(i), **{f"k{i}": "v", "os": "L"}) for i in range(6)] + [product("g", vendor="gcp", K="1", k="2")], PRODUCT), at(0))
+    f = ProductFilter("aws", "ec2", attribute_filters=(AttributeFilter("k4", "v"), AttributeFilter("os", "L")))
+    assert [r.sku for r in query.plan_products(target.read(query.keys_of(f)), f).collect()] == [f"sku-{hashed(4)}"]
+    other = ProductFilter("gcp", "ec2", attribute_filters=(AttributeFilter("K", "1"), AttributeFilter("k", "2")))
+    assert query.plan_products(target.read(query.keys_of(other)), other).count() == 1
+    target.upsert(spark.createDataFrame([product(hashed(9), k9="v")], PRODUCT), at(1))
+    assert target.count() == 8
+
+
+def test_a_run_loads_its_batches_at_once(spark, tmp_path, monkeypatch):
+    """The last batch that has a product counts; what came before a failure stays loaded; old versions go."""
+
+    class Failing(Fixed):
+        def batches(self, spark):
+            yield from super().batches(spark)
+            raise OSError("gone " + "é" * 2000)
+
+    engine = Engine(spark, f"{tmp_path}/o", Clock())
+    assert engine.ingest(Fixed("aws", [product("h1"), product("h2")], [product("h1", "5")], [product("h3")]))[1:] == ("success", 0)
+    assert engine.store.version() == 1 and stored(engine)["h1"].prices[0].USD == "5"
+    with pytest.raises(OSError):
+        engine.ingest(Failing("aws", [product("h4")]))
+    assert set(stored(engine)) == {"h1", "h2", "h3", "h4"} and not any(Path(f"{tmp_path}/o/staged").iterdir())
+    error = engine.runs.where("status = 'failed'").first().error
+    assert len(error.encode()) in (1999, 2000)
+    monkeypatch.setattr("pricewright.engine.KEPT_VERSIONS", 1)
+    engine.ingest(Fixed("aws", [product("h1", "6")] * 2))
+    used = {f for f, *_ in engine.store.manifest()}
+    assert used == {f.name for f in Path(f"{tmp_path}/o/products").iterdir() if f.name.startswith("v-")}
