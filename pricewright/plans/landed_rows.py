@@ -87,16 +87,16 @@ SELECT substr(sha256(concat_ws(chr(0), 'aws', CASE WHEN p_size % 2 = 0 THEN 'eu-
 FROM part JOIN t ON l_partkey = p_partkey GROUP BY p_partkey, p_size, p_type""")
 def _(spark, d):
     """Parts and lines as offer files, one for each thousand of parts, and their products."""
-    from pricewright.sources import aws, landed
+    from pricewright.sources import aws, offers
 
     line = _table(spark, d, "lineitem").withColumn("n", F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")))
     usd = F.when(F.col("l_linenumber") == 7, F.create_map(F.lit("CNY"), F.col("l_extendedprice").cast("string"))).otherwise(F.create_map(F.lit("USD"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string")))
     unit = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O"), "Quantity").otherwise(F.col("l_linestatus"))
     dimension = F.struct(unit.alias("unit"), usd.alias("pricePerUnit"), F.lit("0").alias("beginRange"), F.lit("Inf").alias("endRange"), F.lit("d").alias("description"))
     term = F.struct(F.create_map(F.lit("1"), dimension).alias("priceDimensions"), F.create_map(F.lit("LeaseContractLength"), F.lit("1yr")).alias("termAttributes"))
-    offers = F.collect_list(F.struct(F.col("n").cast("string"), term))
+    of_sku = F.collect_list(F.struct(F.col("n").cast("string"), term))
     name = lambda key: F.concat(F.lit("svc"), F.floor(F.col(key) / 1000).cast("string")).alias("name")
-    by_sku = line.groupBy(name("l_partkey"), F.col("l_partkey").cast("string").alias("sku"), (F.col("l_returnflag") == "R").alias("reserved")).agg(F.map_from_entries(offers).alias("offers"))
+    by_sku = line.groupBy(name("l_partkey"), F.col("l_partkey").cast("string").alias("sku"), (F.col("l_returnflag") == "R").alias("reserved")).agg(F.map_from_entries(of_sku).alias("offers"))
     family = F.when(F.col("p_type") == "STANDARD", "DNS Domain Names").otherwise(F.col("p_type"))
     product = F.struct(F.col("p_partkey").cast("string").alias("sku"), family.alias("productFamily"), F.create_map(F.lit("location"), F.when(F.col("p_size") % 2 == 0, "EU (Ireland)").otherwise("Any")).alias("attributes"))
     kinds = lambda r: F.map_from_entries(F.collect_list(F.when(F.col("reserved") == F.lit(r), F.struct("sku", "offers"))))
@@ -104,7 +104,7 @@ def _(spark, d):
     terms = by_sku.groupBy("name").agg(F.struct(kinds(False).alias("OnDemand"), kinds(True).alias("Reserved")).alias("terms"))
     path = _folder(spark, "offers") + "/files"
     _documents(listed.join(terms, "name").select("name", F.to_json(F.struct("products", "terms")).alias("value")), path)
-    found = aws.products(landed.offers(spark, f"{path}/*.json"))
+    found = aws.products_of(offers.cut(spark, f"{path}/*.json", _folder(spark, "offers") + "/entries"))
     return found.select("product_hash", "region", "product_family", F.size("prices").cast("long").alias("n_prices"), F.size(F.filter("prices", lambda p: p["purchaseOption"] == "reserved")).cast("long").alias("n_reserved"), F.array_min(F.transform("prices", lambda p: p["USD"])).alias("least"))
 
 

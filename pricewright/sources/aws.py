@@ -18,10 +18,14 @@ _S, _F = T.StringType(), T.StructField
 _MAP = T.MapType(_S, _S)
 _DIMENSION = T.StructType([_F("unit", _S), _F("pricePerUnit", _MAP), _F("beginRange", _S), _F("endRange", _S), _F("description", _S)])
 _TERM = T.MapType(_S, T.MapType(_S, T.StructType([_F("priceDimensions", T.MapType(_S, _DIMENSION)), _F("termAttributes", _MAP)])))
+_LISTED = T.StructType([_F("sku", _S), _F("productFamily", _S), _F("attributes", _MAP)])
 OFFER = T.StructType([
-    _F("products", T.MapType(_S, T.StructType([_F("sku", _S), _F("productFamily", _S), _F("attributes", _MAP)]))),
+    _F("products", T.MapType(_S, _LISTED)),
     _F("terms", T.StructType([_F("OnDemand", _TERM), _F("Reserved", _TERM)])),
 ])
+#: What an offer file is cut into: a product, or the offers of a product on one kind of terms, as JSON text.
+KINDS = ("OnDemand", "Reserved")
+ENTRY = T.StructType([_F("service", _S), _F("sku", _S), _F("value", _S), _F("kind", _S)])
 REGION_INDEX = T.StructType([_F("regions", T.MapType(_S, T.StructType([_F("currentVersionUrl", _S)])))])
 CNY_PER_USD = 6.2069
 
@@ -82,10 +86,9 @@ def normalized(attributes: Column, service: Column) -> Column:
     )
 
 
-def terms(offers: DataFrame, kind: str, rate: float = CNY_PER_USD) -> DataFrame:
-    """A row for each price dimension of the offers' terms: service, sku and the fields of a price but its hash."""
+def terms(per_sku: DataFrame, kind: str, rate: float = CNY_PER_USD) -> DataFrame:
+    """A row for each price dimension of the terms (service, sku, offers): service, sku and the fields of a price but its hash."""
     none = F.lit("")
-    per_sku = offers.select("service", F.explode(f"terms.{kind}").alias("sku", "offers"))
     per_offer = per_sku.select("service", "sku", F.explode("offers").alias("_o", "offer"))
     flat = per_offer.select("service", "sku", F.col("offer.termAttributes").alias("_t"), F.explode("offer.priceDimensions").alias("_d", "d"))
     reserved = kind == "Reserved"
@@ -101,12 +104,24 @@ def terms(offers: DataFrame, kind: str, rate: float = CNY_PER_USD) -> DataFrame:
 
 
 def products(offers: DataFrame, rate: float = CNY_PER_USD) -> DataFrame:
-    """Products of offer files (the columns of OFFER and ``service``); those without a price stay out.
+    """Products of offer files that are rows (the columns of OFFER and ``service``)."""
+    listed = offers.select("service", F.explode("products").alias("sku", "p"))
+    return _products(listed, {k: offers.select("service", F.explode(f"terms.{k}").alias("sku", "offers")) for k in KINDS}, rate)
+
+
+def products_of(entries: DataFrame, rate: float = CNY_PER_USD) -> DataFrame:
+    """Products of what offer files were cut into (the columns of ENTRY): the same, of files of any size."""
+    part = lambda kind, schema, name: entries.where(F.col("kind") == kind).select("service", "sku", F.from_json("value", schema).alias(name)).where(F.col(name).isNotNull())
+    return _products(part("products", _LISTED, "p"), {k: part(k, _TERM.valueType, "offers") for k in KINDS}, rate)
+
+
+def _products(listed: DataFrame, per_sku: dict[str, DataFrame], rate: float) -> DataFrame:
+    """Products of listed ones (service, sku, p) and their terms; those without a price stay out.
 
     Prices stand in the order of all their fields: the files hold them in maps, which have none.
     """
-    listed = offers.select("service", F.explode("products").alias("sku", "p")).select("service", "sku", F.coalesce("p.productFamily", F.lit("")).alias("family"), F.coalesce("p.attributes", F.create_map().cast("map<string,string>")).alias("raw"))
-    prices = terms(offers, "OnDemand", rate).unionByName(terms(offers, "Reserved", rate))
+    listed = listed.select("service", "sku", F.coalesce("p.productFamily", F.lit("")).alias("family"), F.coalesce("p.attributes", F.create_map().cast("map<string,string>")).alias("raw"))
+    prices = terms(per_sku["OnDemand"], "OnDemand", rate).unionByName(terms(per_sku["Reserved"], "Reserved", rate))
     fields = tuple(f for f in PRICE_FIELDS if f != "priceHash")
     grouped = collected(prices, ["service", "sku"], [F.struct(*fields)], fields)
     attributes = normalized(F.col("raw"), F.col("service"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricewright.functions.hashing import price_hash, product_hash
-from pricewright.sources import aws, azure, gcp, landed
+from pricewright.sources import aws, azure, gcp, landed, offers
 
 
 def item(**given):
@@ -115,6 +115,10 @@ def test_aws_products(spark, tmp_path):
     reserved = {"A": {"A.2": {"priceDimensions": {"1": dim("99", unit="Quantity"), "2": dim("0.01", end="100")}, "termAttributes": {"LeaseContractLength": "1yr", "PurchaseOption": "No Upfront", "OfferingClass": "standard"}}}}
     (tmp_path / "AmazonEC2-us-east-2.json").write_text(json.dumps(offer(products, on_demand, reserved)))
     rows = {r.sku: r for r in aws.products(landed.offers(spark, f"{tmp_path}/*.json")).collect()}
+    streamed = aws.products_of(offers.cut(spark, f"{tmp_path}/*.json", f"{tmp_path}/entries"))
+    assert {r.sku: r for r in streamed.collect()} == rows and streamed.columns == list(rows["A"].asDict())
+    plan = streamed._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan json" not in plan and "FileScan text" not in plan
     assert set(rows) == {"A", "B"} and rows["A"].service == "AmazonEC2" and rows["A"].region == "us-east-2" and rows["A"].product_family == "DNS Zone" and rows["B"].region == ""
     assert sorted((p.purchaseOption, p.USD, p.startUsageAmount, p.endUsageAmount, p.termLength) for p in rows["A"].prices) == [("on_demand", "0.05", "10", "", ""), ("on_demand", "0.10", "0", "", ""), ("reserved", "0.01", "0", "100", "1yr")]
     assert sorted(p.USD for p in rows["B"].prices) == ["0.0000000000", "10.0000000000"]
@@ -217,3 +221,55 @@ def test_paging_data_source(spark, tmp_path):
         assert bodies[1]["Items"][0]["retailPrice"] == 2.0
     assert {r.service for r in rows if r.error} >= {"Gone"} and landed.failed_services(pages) >= 1
     assert datetime
+
+
+ODD = {
+    "offerCode": "products", "notes": [{"products": {"x": {"sku": "no"}}}, "}{", '{"products": {'], "products": {'A"{': {"sku": "A", "attributes": {"t": "a } in {a text}", "u": "\\"}}, "B": {}, "é}": {"sku": "é"}},
+    "terms": {"FlatRate": {"A": {"A.1": {}}}, "OnDemand": {"A": {"A.1": {"priceDimensions": {"1": {"unit": "}"}}}}, "B": {}}, "Reserved": {}}, "products2": {"Z": {}},
+}
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_offers_are_cut_wherever_the_pieces_end(indent):
+    text = json.dumps(ODD, indent=indent, ensure_ascii=False)
+    want = [("products", k, v) for k, v in ODD["products"].items()] + [("OnDemand", k, v) for k, v in ODD["terms"]["OnDemand"].items()]
+    for size in (1, 2, 3, 7, 10**6):
+        decoder = offers.Decoder()
+        got = [(kind, key, json.loads(v)) for i in range(0, len(text), size) for kind, key, v in decoder.feed(text[i : i + size])]
+        assert got == want and not decoder.path
+    decoder = offers.Decoder()
+    assert len([x for x in decoder.feed(text[: text.index('"FlatRate"')])]) == 3
+
+
+def test_large_offer_files_are_read_in_pieces(spark, tmp_path):
+    """Files of one line, one of them compressed: every entry comes out, and little is held at any time."""
+    import gzip
+
+    n = 6000
+    made = {"products": {f"S{i}": {"sku": f"S{i}", "productFamily": "f", "attributes": {"location": "EU (Ireland)", "n": "x}" * 50}} for i in range(n)}, "terms": {"OnDemand": {f"S{i}": {"o": {"priceDimensions": {"1": dim(f"{i}.5")}}} for i in range(n)}, "Reserved": {}}}
+    (tmp_path / "AmazonS3.json").write_text(json.dumps(made))
+    with gzip.open(tmp_path / "AmazonEC2-eu-west-1.json.gz", "wt") as f:
+        json.dump(made, f)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")  # would cut a file into many splits
+    try:
+        entries = offers.cut(spark, f"{tmp_path}/*.json*", f"{tmp_path}/entries")
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "100k"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {(r.service, r.kind): r["count"] for r in entries.groupBy("service", "kind").count().collect()} == {(s, k): n for s in ("AmazonS3", "AmazonEC2") for k in ("products", "OnDemand")}
+    found = aws.products_of(entries)
+    assert found.count() == 2 * n and found.select("sku").distinct().count() == n
+    decoder, most = offers.Decoder(), 0
+    text = json.dumps(made)
+    for i in range(0, len(text), 5000):
+        list(decoder.feed(text[i : i + 5000]))
+        most = max(most, len(decoder.held))
+    assert most < 1000
+
+
+def test_offers_of_one_service_and_of_no_file(spark, tmp_path):
+    (tmp_path / "x.json").write_text(json.dumps(ODD))
+    assert {r.service for r in offers.cut(spark, f"{tmp_path}/x.json", f"{tmp_path}/e", "AmazonEC2").collect()} == {"AmazonEC2"}
+    (tmp_path / "empty.json").write_text("{}")
+    assert aws.products_of(offers.cut(spark, f"{tmp_path}/empty.json", f"{tmp_path}/f")).count() == 0
