@@ -32,8 +32,8 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 INSIDE = 50
 #: Buckets are 2 ** BITS; a task sends their counts in runs of SPAN buckets.
 BITS, SPAN = 26, 1 << 13
-#: Bytes of counted phrases that a task puts together before it sends them on.
-HELD = 16 << 20
+#: Bytes of text that are numbered at once, and of counted phrases that a task puts together before it sends them on.
+TEXT, HELD = 2 << 20, 12 << 20
 #: Bytes that end a piece, and those between words.
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?", *range(10, 14)]] = True
@@ -202,7 +202,7 @@ def _pass(texts: DataFrame, k: int, longest: int, least: int, marked: tuple[Bitm
         filled = Buckets(bits, least) if k < longest else None
 
         def counted() -> Iterator[pa.RecordBatch]:
-            for table in chunks(batches):
+            for table in chunks(batches, TEXT):
                 found = Phrases(table.column(0).combine_chunks(), table.column(1).combine_chunks())
                 at = found.starts(k)
                 if sent.value is not None:
