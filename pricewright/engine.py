@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable
 from datetime import UTC, datetime
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,25 +145,30 @@ class Engine:
                         self.store.upsert(store.last_batch(batches), F.lit(self.clock()).cast("timestamp"))
                 mine = self._seen.read(run_id).select("product_hash")
                 if runs.empty_run(ingested):
-                    return self._finish(run_id, "failed", 0, 0, "no products")
-                if runs.may_clean(source.failed_services(), runs.previous_products(self.runs, source.name), ingested) and runs.seen_complete(mine.count(), ingested):
-                    deleted = self.store.delete_stale(source.name, F.lit(began).cast("timestamp"), mine)
-                return self._finish(run_id, "success", ingested, deleted)
+                    return self.finish(run_id, "failed", 0, 0, "no products")
+                deleted = self.clean_up(source.name, F.lit(began).cast("timestamp"), ingested, source.failed_services(), mine)
+                return self.finish(run_id, "success", ingested, deleted)
             except Exception as e:
-                self._finish(run_id, "failed", ingested, deleted, str(e))
+                self.finish(run_id, "failed", ingested, deleted, str(e))
                 raise
             finally:
-                self._delete(staged)
+                self.delete(staged)
                 self.store.drop_versions(KEPT_VERSIONS)
                 self._seen.clear(run_id, {r.id for r in self.runs.where("status = 'running'").select("id").collect()})
         finally:
             self.store.unlock(source.name)
 
-    def _delete(self, path: str) -> None:
+    def clean_up(self, vendor: str, began: Column, ingested: int, failed_services: int, seen: DataFrame) -> int:
+        """Deletes and counts what a run that ``began`` then has not seen; nothing where a guard forbids it."""
+        if runs.may_clean(failed_services, runs.previous_products(self.runs, vendor), ingested) and runs.seen_complete(seen.count(), ingested):
+            return self.store.delete_stale(vendor, began, seen)
+        return 0
+
+    def delete(self, path: str) -> None:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
-    def _finish(self, run_id: int, status: str, products: int, deleted: int, error: str | None = None) -> tuple[int, str, int]:
+    def finish(self, run_id: int, status: str, products: int, deleted: int, error: str | None = None) -> tuple[int, str, int]:
         at = self.clock()
         self.ledger.update(lambda ledger, _: (runs.pruned(runs.finish(ledger, run_id, at, status, products, deleted, error), F.lit(at).cast("timestamp")), run_id))
         self._prune_snapshots()

@@ -382,12 +382,23 @@ class _Parts:
         return self._failed
 
 
-@_add("engine_runs", """WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE p_partkey % 3 = 0) AS third, count(*) FILTER (WHERE p_partkey % 10 <> 0) AS most FROM part),
+#: What five runs of a vendor come to: all products, too few to clean up after, one with a failed service, one that
+#: cleans up, an empty one.
+_FIVE_RUNS = """WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE p_partkey % 3 = 0) AS third, count(*) FILTER (WHERE p_partkey % 10 <> 0) AS most FROM part),
 r(id, status, products, deleted) AS (SELECT 1, 'success', n, 0 FROM c UNION ALL SELECT 2, 'success', third, 0 FROM c UNION ALL SELECT 3, 'success', most, 0 FROM c UNION ALL SELECT 4, 'success', most, n - most FROM c UNION ALL SELECT 5, 'failed', 0, 0 FROM c)
-SELECT CAST(id AS BIGINT) AS id, status, CAST(products AS BIGINT) AS products, CAST(deleted AS BIGINT) AS deleted, (SELECT CAST(most AS BIGINT) FROM c) AS stored FROM r""")
+SELECT CAST(id AS BIGINT) AS id, status, CAST(products AS BIGINT) AS products, CAST(deleted AS BIGINT) AS deleted, (SELECT CAST(most AS BIGINT) FROM c) AS stored FROM r"""
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as products, with their key."""
+    price = F.struct(*((F.col("p_retailprice").cast("string") if f == "USD" else F.lit("")).alias(f) for f in PRICE_FIELDS))
+    key = F.col("p_partkey").cast("string")
+    return _table(spark, d, "part").select("p_partkey", key.alias("product_hash"), key.alias("sku"), F.lit("aws").alias("vendor_name"), F.lit("r").alias("region"), F.lit("s").alias("service"), F.lit("f").alias("product_family"), F.create_map(F.lit("name"), F.col("p_name")).alias("attributes"), F.array(price).alias("prices"))
+
+
+@_add("engine_runs", _FIVE_RUNS)
 def _(spark, d):
-    """Five runs of a vendor: all, too few to clean up after, one with a failed service, one that cleans up, an empty one;
-    each by an engine that begins anew."""
+    """Five runs of a vendor, each by an engine that begins anew."""
     from datetime import datetime, timedelta
 
     from pricewright.engine import Engine
@@ -398,11 +409,29 @@ def _(spark, d):
         now[0] += timedelta(minutes=1)
         return now[0]
 
-    price = F.struct(*((F.col("p_retailprice").cast("string") if f == "USD" else F.lit("")).alias(f) for f in PRICE_FIELDS))
-    key = F.col("p_partkey").cast("string")
-    products = _table(spark, d, "part").select("p_partkey", key.alias("product_hash"), key.alias("sku"), F.lit("aws").alias("vendor_name"), F.lit("r").alias("region"), F.lit("s").alias("service"), F.lit("f").alias("product_family"), F.create_map(F.lit("name"), F.col("p_name")).alias("attributes"), F.array(price).alias("prices"))
+    products = _parts(spark, d)
     path = _folder(spark, "runs")
     for source in (_Parts(products, "p_partkey % 2 = 0", "p_partkey % 2 = 1"), _Parts(products, "p_partkey % 3 = 0"), _Parts(products, "p_partkey % 10 <> 0", failed=1), _Parts(products, "p_partkey % 10 <> 0"), _Parts(products)):
         Engine(spark, path, clock).ingest(source)
     engine = Engine(spark, path, clock)
     return engine.runs.select("id", "status", "products", "deleted", F.lit(engine.store.count()).cast("long").alias("stored"))
+
+
+@_add("stream_runs", _FIVE_RUNS)
+def _(spark, d):
+    """The same five runs as a feed of files, some runs in more than one micro-batch."""
+    from datetime import datetime, timedelta
+
+    from pricewright.engine import Engine
+    from pricewright.streaming.feed import FEED, Feed
+
+    products, path, first = _parts(spark, d), _folder(spark, "feed"), datetime.fromisoformat(NOW)
+    for i, (which, failed) in enumerate((("true", 0), ("p_partkey % 3 = 0", 0), ("p_partkey % 10 <> 0", 1), ("p_partkey % 10 <> 0", 0), ("false", 0))):
+        started = first + timedelta(minutes=i)
+        rows = products.where(which).select(F.lit("aws").alias("vendor"), F.lit(started).alias("started"), F.lit(None).cast("int").alias("failed"), F.struct(*PRODUCT.fieldNames()).alias("product"))
+        rows.write.parquet(f"{path}/in/{i}-products")
+        spark.createDataFrame([("aws", started, failed, None)], FEED).write.parquet(f"{path}/in/{i}-end")  # lands after its products
+    engine = Engine(spark, f"{path}/engine", lambda: first + timedelta(hours=1))
+    files = spark.readStream.schema(FEED).option("maxFilesPerTrigger", len(products.inputFiles()) + 2).parquet(f"{path}/in/*")
+    Feed(engine, f"{path}/checkpoint", parts=8).start(files).awaitTermination()
+    return engine.runs.select("id", "status", "products", "deleted", F.lit(engine.store.count()).cast("long").alias("stored"))

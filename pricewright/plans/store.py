@@ -385,6 +385,14 @@ class ProductStore:
         except ValueError:
             return None
 
+    def hold(self, vendor: str, now: datetime) -> bool:
+        """Takes the vendor's lock, or renews it where it is this owner's; False if another holds it."""
+        held = self._holder(vendor)
+        if held and held["owner"] == self.owner:
+            self.renew(vendor, now)
+            return True
+        return self.locked(vendor, now)
+
     def renew(self, vendor: str, now: datetime) -> None:
         """Tells that the holder is still there."""
         out = self._fs.create(self._at(f"_locks/{vendor}"), True)
