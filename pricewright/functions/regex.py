@@ -1,16 +1,16 @@
 """Patterns: how a request writes them, and what the engine matches.
 
 A pattern is a bare expression, or ``/expression/flags`` with ``i`` for either case. Attribute patterns run in Spark's
-own engine after translation; patterns on price descriptions that use negative lookaround follow an emulation with
-rules of its own, in an Arrow UDF, and all others run in Spark's engine too.
+own engine after translation, and so do those on price descriptions; where these use negative lookaround, they follow an
+emulation with rules of its own, compiled to conditions.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,85 +136,70 @@ def _groups(body: str, opening: str) -> list[tuple[int, int]]:
     return out
 
 
-@lru_cache(maxsize=1024)
-def _compiled(body: str, ignore_case: bool) -> re.Pattern | None:
+def _described(body: str, ignore_case: bool) -> str | None:
+    """The expression of a description pattern for Java; None if it is malformed."""
     try:
-        return re.compile(translated(body, _ASCII, r"\Z"), re.IGNORECASE if ignore_case else 0)
-    except (re.error, ValueError):
+        java = ("(?i)" if ignore_case else "") + translated(body, _ASCII)
+    except ValueError:
         return None
+    return java if compiles(java) else None
+
+
+def _never(_: Column) -> Column:
+    return F.lit(False)
 
 
-def _ahead(body: str, value: str, ignore_case: bool) -> bool:
+def _ahead(body: str, ignore_case: bool) -> Callable[[Column], Column]:
     """Excluded words are plain substrings; what is left of the pattern must match, or not compile."""
-    fold = str.lower if ignore_case else str
+    words = []
     for a, b in _groups(body, "(?!"):
         inner = body[a + 3 : b - 1].removeprefix(".*").removesuffix("$").removeprefix("(").removesuffix(")")
-        if any(word and fold(word) in fold(value) for word in map(str.strip, inner.split("|"))):
-            return False
+        words += [word for word in map(str.strip, inner.split("|")) if word]
     rest = re.sub(r"\(\?![^)]*\)", "", body).replace("(?i)", "")
-    if rest in ("", "^.*$", ".*"):
-        return True
-    found = _compiled(rest, ignore_case)
-    return found is None or bool(found.search(value))
+    java = None if rest in ("", "^.*$", ".*") else _described(rest, ignore_case)
+
+    def test(c: Column) -> Column:
+        excluded = [F.contains(F.lower(c), F.lit(w.lower())) if ignore_case else F.contains(c, F.lit(w)) for w in words]
+        return reduce(lambda x, e: x & ~e, excluded, F.lit(True) if java is None else c.rlike(java))
+
+    return test
 
 
-def _behind(body: str, value: str, ignore_case: bool) -> bool:
-    """The first match of what is left must not follow an excluded text."""
-    fold = str.lower if ignore_case else str
+def _behind(body: str, ignore_case: bool) -> Callable[[Column], Column]:
+    """The first match of what is left must not follow an excluded text. What comes before that match is the shortest
+    prefix after which the pattern matches."""
     spans = _groups(body, "(?<!")
-    excluded = [fold(body[a + 4 : b - 1]) for a, b in spans]
+    excluded = [body[a + 4 : b - 1] for a, b in spans]
     for a, b in reversed(spans):
         body = body[:a] + body[b:]
     if body in ("", "$"):
-        return True
-    value, found = fold(value), _compiled(body, ignore_case)
-    hit = found.search(value) if found else None
-    return hit is not None and not any(value[: hit.start()].endswith(x) for x in excluded)
+        return lambda c: F.lit(True)
+    java = _described(body, ignore_case)
+    if java is None:
+        return _never
 
+    def test(c: Column) -> Column:
+        value = F.lower(c) if ignore_case else c
+        before = F.regexp_extract(value, f"^((?s:.*?))(?:{java})", 1)
+        return reduce(lambda x, e: x & ~F.endswith(before, F.lit(e.lower() if ignore_case else e)), excluded, value.rlike(java))
 
-def matches_description(pattern: str, value: str) -> bool:
-    """Whether a description matches; a pattern too long, malformed or invalid matches nothing."""
+    return test
+
+
+def description_test(pattern: str) -> Callable[[Column], Column]:
+    """A function from a description column to a condition; a pattern too long, malformed or invalid matches nothing."""
     found = parse(pattern)
     if found is None or len(pattern.encode()) > MAX_BYTES:
-        return False
+        return _never
     body, ignore_case = found
     if pattern.startswith("/"):
         body = optional_prefix(body)
         if "(?!" in body:
-            return _ahead(body, value, ignore_case)
+            return _ahead(body, ignore_case)
         if "(?<!" in body:
-            return _behind(body, value, ignore_case)
-    compiled = _compiled(body, ignore_case)
-    return compiled is not None and "(?!" not in body and "(?<!" not in body and bool(compiled.search(value))
-
-
-def emulated(pattern: str) -> bool:
-    found = parse(pattern)
-    return pattern.startswith("/") and found is not None and len(pattern.encode()) <= MAX_BYTES and ("(?!" in found[0] or "(?<!" in found[0])
-
-
-def description_test(pattern: str):
-    """A function from a description column to a condition, for patterns that need no emulation."""
-    found = parse(pattern)
-    never = lambda c: F.lit(False)
-    if found is None or len(pattern.encode()) > MAX_BYTES or "(?!" in found[0] or "(?<!" in found[0]:
-        return never
-    body = optional_prefix(found[0]) if pattern.startswith("/") else found[0]
-    try:
-        java = ("(?i)" if found[1] else "") + translated(body, _ASCII)
-    except ValueError:
-        return never
-    return (lambda c: c.rlike(java)) if compiles(java) else never
-
-
-def match_description_udf(pattern: str):
-    """A UDF over arrays of descriptions: which of them match, by the emulation."""
-
-    @F.pandas_udf("array<boolean>")
-    def match(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda xs: None if xs is None else [matches_description(pattern, x or "") for x in xs])
-
-    return match
+            return _behind(body, ignore_case)
+    java = None if "(?!" in body or "(?<!" in body else _described(body, ignore_case)
+    return _never if java is None else lambda c: c.rlike(java)
 
 
 def rlike(column: Column, pattern: str) -> Column:

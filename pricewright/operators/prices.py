@@ -34,7 +34,7 @@ def price_condition(f: PriceFilter):
             tests.append(lambda p, name=name, value=value: F.coalesce(p[name], F.lit("")) == value)
     if f.start_usage_amount is not None:
         tests.append(lambda p: F.when(F.coalesce(p["startUsageAmount"], F.lit("")) == "", "0").otherwise(p["startUsageAmount"]) == f.start_usage_amount)
-    if f.description_regex is not None and not regex.emulated(f.description_regex):
+    if f.description_regex is not None:
         test = regex.description_test(f.description_regex)
         tests.append(lambda p: test(F.coalesce(p["description"], F.lit(""))))
     return (lambda p: reduce(lambda a, b: a & b, (t(p) for t in tests))) if tests else None
@@ -47,10 +47,6 @@ def filter_prices(products: DataFrame, f: PriceFilter | None) -> DataFrame:
     out, keep = products, price_condition(f)
     if keep is not None:
         out = out.withColumn("prices", F.filter("prices", keep))
-    if f.description_regex is not None and regex.emulated(f.description_regex):
-        hit = regex.match_description_udf(f.description_regex)(F.transform("prices", lambda p: p["description"]))
-        pairs = F.filter(F.arrays_zip(F.col("prices").alias("p"), F.col("_hit").alias("h")), lambda x: x["h"])
-        out = out.withColumn("_hit", hit).withColumn("prices", F.transform(pairs, lambda x: x["p"])).drop("_hit")
     return out
 
 

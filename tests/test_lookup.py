@@ -1,4 +1,12 @@
+import itertools
+import math
+import random
+import re
+import struct
+
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from pricewright.functions import numfmt, regex
 from pricewright.model import AttributeFilter, FilterTooBroad, PriceFilter, ProductFilter
@@ -15,8 +23,44 @@ LONG = "/" + "a" * 210 + "/"
     (LONG, "a" * 210, False), ("/noclose", "noclose", False), ("/(unclosed/", "x", False), ("^(?!x)", "y", False), ("/^(?!.*(Spot|Low)$).*$/", "D2 Spot", False), ("/^(?!.*(Spot|Low)$).*$/", "D2", True),
     ("/(?<!IA-)Storage$/", "S3-Storage", True), ("/(?<!IA-)Storage$/", "S3-IA-Storage", False), ("/(?<!ia-)STORAGE$/i", "S3-IA-Storage", False), ("/(?<!x)/", "anything", True), ("/\\-RDS$/", "USE1-RDS", True), ("/\\-RDS$/", "RDS", True),
 ])
-def test_description_patterns(pattern, value, want):
-    assert regex.matches_description(pattern, value) is want
+def test_description_patterns(spark, pattern, value, want):
+    assert described(spark, pattern, value) is want
+
+
+def described(spark, pattern, value):
+    row = spark.createDataFrame([(value,)], "v string")
+    return row.select(regex.description_test(pattern)(row.v).alias("x")).first().x
+
+
+@pytest.mark.parametrize("ignore_case", [False, True])
+def test_lookaround_as_a_plain_version(spark, ignore_case):
+    """Every value of up to five signs: the first match's place, what stands before it, and excluded words."""
+    words = ["".join(w) for n in range(6) for w in itertools.product("aB\n", repeat=n)]
+    rows, flag = spark.createDataFrame([(w,) for w in words], "v string"), re.IGNORECASE if ignore_case else 0
+    fold = str.lower if ignore_case else str
+    for x, rest in itertools.product(["B", "aB", "Ba", "\n"], ["a+", "B$", "a|B", "[aB]a", "^a", "\\Ba"]):
+        found = {r.v for r in rows.where(regex.description_test(f"/(?<!{x}){rest}/{'i' * ignore_case}")(rows.v)).collect()}
+        hits = {w: re.search(rest.replace("$", r"\Z"), fold(w), flag) for w in words}
+        assert found == {w for w, m in hits.items() if m and not fold(w)[: m.start()].endswith(fold(x))}, (x, rest)
+    for x in ("aB", "B|a\n"):
+        found = {r.v for r in rows.where(regex.description_test(f"/^(?!.*({x})$).*$/{'i' * ignore_case}")(rows.v)).collect()}
+        assert found == {w for w in words if not any(fold(e.strip()) in fold(w) for e in x.split("|"))}
+
+
+def test_ten_places_of_exact_values(spark):
+    """Against Python's format, which rounds the exact value: doubles of all sizes, ties, and neighbours of ties."""
+    draw = random.Random(5)
+    held = [0.0, -0.0, 1 / 1024, 3 / 2048, -1e-12, 0.99999999995, 9.99999999995, 2.0**-11, 2.0**-12, 2.0**-43, 5e-11, 2.0**53, 2.0**63, 2.0**64 + 2.0**20, 1e30, -(2.0**125), 5e-324, float("inf"), float("-inf")]
+    for _ in range(200_000):
+        held += [draw.uniform(0, 10) ** draw.randint(-12, 12), draw.randrange(10**6) / 2 ** draw.randrange(64), round(draw.uniform(0, 100), draw.randrange(13)), struct.unpack("<d", struct.pack("<Q", draw.randrange(0x38 << 56, 0x47 << 56)))[0] * draw.choice((1, -1))]
+    held += [math.nextafter(x, y) for x in (i / 2048 for i in range(1, 2048, 2)) for y in (0, 1)] + [i / 2048 for i in range(1, 2048, 2)]
+    frame = spark.createDataFrame(pd.DataFrame({"x": held}))
+    plan = frame.select("x", numfmt.usd_text("x").alias("t"))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString()
+    got = plan.toPandas()
+    assert [(x, t) for x, t in zip(got.x, got.t) if (abs(x) < 2.0**126 or math.isinf(x)) and f"{x:.10f}" != t] == []
+    odd = spark.createDataFrame([(None,), (float("nan"),), (1e300,)], "x double").select(numfmt.usd_text("x").alias("t"), numfmt.usd_texts(F.array("x", F.lit(0.5))).alias("l"))
+    assert [r.t for r in odd.collect()] == [None, None, "1" + "0" * 300 + ".0000000000"] and odd.first().l == [None, "0.5000000000"]
 
 
 @pytest.mark.parametrize(("pattern", "want"), [("/^aws/i", ("^aws", True)), ("/test/", ("test", False)), ("/foo|bar/i", ("foo|bar", True)), ("bare", ("bare", False)), ("/noclosing", None), ("/a/b/i", ("a/b", True))])
@@ -32,8 +76,8 @@ def test_prefix_and_translation():
 
 
 @pytest.mark.parametrize(("x", "general", "plain", "ten"), [(51200.0, "51200", "51200", "51200.0000000000"), (1e6, "1e+06", "1000000", "1000000.0000000000"), (0.5, "0.5", "0.5", "0.5000000000"), (1234567.0, "1.234567e+06", "1234567", "1234567.0000000000"), (0.00001, "1e-05", "0.00001", "0.0000100000"), (0.0, "0", "0", "0.0000000000"), (2.5e-11, "2.5e-11", "0.000000000025", "0.0000000000")])
-def test_numbers(x, general, plain, ten):
-    assert (numfmt.general(x), numfmt.plain(x), numfmt.ten_places(x)) == (general, plain, ten)
+def test_numbers(spark, x, general, plain, ten):
+    assert (numfmt.general(x), numfmt.plain(x), spark.range(1).select(numfmt.usd_text(F.lit(x)).alias("t")).first().t) == (general, plain, ten)
 
 
 @pytest.mark.parametrize(("pattern", "value", "want"), [
@@ -47,10 +91,7 @@ def test_attribute_patterns_of_the_store(spark, pattern, value, want):
 
 @pytest.mark.parametrize(("pattern", "value", "want"), [("/^[[:digit:]]+$/", "12", True), ("/^[[:digit:]]+$/", "dig", False), ("/[[:nothing:]]/", "n", False), ("/(a$|b)/", "a\n", False), ("/^(?!.*Spot)[[:alpha:] ]+$/", "On Demand", True), ("/^(?!.*Spot)[[:alpha:] ]+$/", "D2", False)])
 def test_description_patterns_with_classes(spark, pattern, value, want):
-    assert regex.matches_description(pattern, value) is want
-    if not regex.emulated(pattern):
-        row = spark.createDataFrame([(value,)], "v string")
-        assert row.select(regex.description_test(pattern)(row.v).alias("x")).first().x is want
+    assert described(spark, pattern, value) is want
 
 
 def price(**given):
