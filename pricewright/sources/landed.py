@@ -122,6 +122,14 @@ def odata_quoted(name: str) -> str:
     return "'" + name.replace("'", "''") + "'"
 
 
+def _link(page: str, field: str) -> str:
+    """The link to the next page, or its token; empty on the last page. A page that is no JSON object is a failed fetch."""
+    try:
+        return json.loads(page).get(field) or ""
+    except (ValueError, AttributeError) as e:
+        raise Failed(f"not a page: {e}", again=False) from e
+
+
 class _Services(InputPartition):
     def __init__(self, number: int, names: list[str]):
         self.number, self.names = number, names
@@ -134,6 +142,7 @@ class _Reader(DataSourceReader):
         self.at_once = max(1, min(len(self.services), int(options.get("concurrency", 8))))
         self.per_second, self.burst = float(options.get("rate", 20)), int(options.get("burst", 5))
         self.tries, self.pause = int(options.get("tries", 5)), float(options.get("pause", 10))
+        self.starts, self.most = json.loads(options.get("starts", "{}")), int(options.get("most", 0))
 
     def partitions(self) -> list[InputPartition]:
         """As many as may be read at once; each reads its services one after another, within its share of the limit."""
@@ -158,23 +167,26 @@ class _Reader(DataSourceReader):
     def _pages(self, service: str, limit: RateLimit) -> Iterator[tuple]:
         from urllib.parse import quote
 
-        first, n = self.url.replace("{service}", quote(odata_quoted(service))), 0
-        url = first
+        first = self.url.replace("{service}", quote(odata_quoted(service)))
+        begun, link = self.starts.get(service, (0, None))
+        n, more = begun, True
         try:
-            while url:
+            while more and (not self.most or n < begun + self.most):
                 limit.wait()
+                url = first if not link else link if "://" in link else f"{first}&pageToken={quote(link)}"
                 page = with_retries(lambda url=url: self._fetch(url), self.tries, self.pause)
+                link = _link(page, self.next)
                 yield service, n, page, None
-                link, n = json.loads(page).get(self.next) or "", n + 1
-                url = link if "://" in link or not link else f"{first}&pageToken={quote(link)}"
-        except (Failed, ValueError) as e:
+                n, more = n + 1, bool(link)
+        except Failed as e:
             yield service, n, None, str(e)
 
 
 class Pages(DataSource):
     """``spark.read.format("pages")``: service, page, body, error. Options: services (by semicolons), url with
     ``{service}``, next (the field of the next page's link or token), concurrency (services read at once), rate and burst
-    (of all together), tries, pause."""
+    (of all together), tries, pause; starts (as JSON, for services that do not begin anew, the number of a page and its
+    link or token) and most (pages of a service, 0 for all)."""
 
     @classmethod
     def name(cls) -> str:

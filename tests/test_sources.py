@@ -1,12 +1,14 @@
 import json
 from datetime import datetime
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from threading import Thread
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricewright.functions.hashing import price_hash, product_hash
-from pricewright.sources import aws, azure, gcp, landed, offers
+from pricewright.sources import aws, azure, gcp, landed, offers, paging
 
 
 def item(**given):
@@ -223,6 +225,92 @@ def test_paging_data_source(spark, tmp_path):
     assert datetime
 
 
+def page_files(folder, service, n, broken=()):
+    """n pages with one row each, linked; those in ``broken`` are no JSON."""
+    for i in range(n):
+        link = f"file://{folder}/{service}-{i + 1}" if i + 1 < n else ""
+        (folder / (f"'{service}'" if i == 0 else f"{service}-{i}")).write_text("{" if i in broken else json.dumps({"Items": [{"retailPrice": float(i), "serviceName": service}], "NextPageLink": link}))
+
+
+ASKED = {"rate": "1000", "tries": "1", "pause": "0"}
+
+
+def held(frame):
+    return sorted((r.service, r.page, None if r.body is None else json.loads(r.body)["Items"][0]["retailPrice"], r.error is None) for r in frame.collect())
+
+
+def test_paging_goes_on_where_it_stopped(spark, tmp_path):
+    for service, n in (("A", 7), ("B", 1), ("C", 2)):
+        page_files(tmp_path, service, n)
+    reader = lambda **more: paging.Paging(spark, f"{tmp_path}/held", "azure", ["C", "A", "B", "A"], f"file://{tmp_path}/{{service}}", **ASKED | more)
+    one = reader(most=3)
+    assert one.positions() == {} and one.open() == ["A", "B", "C"] and one.landed().count() == 0
+    assert one.round() == ["A"]  # stopped after page 3 of A
+    assert one.positions() == {"A": (3, f"file://{tmp_path}/A-3", None), "B": (1, None, None), "C": (2, None, None)}
+    for seen in ("'A'", "A-1", "A-2", "'B'", "'C'", "C-1"):
+        (tmp_path / seen).unlink()  # whoever asks for them again fails
+    other = reader(most=2)
+    assert other.open() == ["A"]
+    want = sorted([("A", i, float(i), True) for i in range(7)] + [("B", 0, 0.0, True), ("C", 0, 0.0, True), ("C", 1, 1.0, True)])
+    assert held(other.read()) == want and reader().open() == [] and held(reader().read()) == want
+    assert len([f for f in (tmp_path / "held" / "_at").iterdir() if f.name.isdigit()]) == 2
+
+
+def test_paging_keeps_what_came_before_a_failure(spark, tmp_path):
+    page_files(tmp_path, "A", 5, broken=(3,))
+    page_files(tmp_path, "B", 2)
+    reader = lambda: paging.Paging(spark, f"{tmp_path}/held", "azure", ["A", "B", "Gone"], f"file://{tmp_path}/{{service}}", most=2, **ASKED)
+    found = reader().read()
+    good = [("A", 0, 0.0, True), ("A", 1, 1.0, True), ("A", 2, 2.0, True)]
+    assert held(found) == [*good, ("A", 3, None, False), ("B", 0, 0.0, True), ("B", 1, 1.0, True), ("Gone", 0, None, False)]
+    assert landed.failed_services(found) == 2 and landed.azure_answers(found).count() == 5 and reader().open() == ["A", "Gone"]
+    page_files(tmp_path, "A", 5)
+    page_files(tmp_path, "Gone", 1)
+    assert held(reader().read()) == [*good, ("A", 3, 3.0, True), ("A", 4, 4.0, True), ("B", 0, 0.0, True), ("B", 1, 1.0, True), ("Gone", 0, 0.0, True)]
+
+
+def test_paging_by_tokens_and_two_readers(spark, tmp_path, monkeypatch):
+    class Answers(BaseHTTPRequestHandler):
+        def do_GET(self):
+            n = int(self.path.partition("&pageToken=")[2].removeprefix("t/") or 0)
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"skus": [n], "nextPageToken": f"t/{n + 1}" if n < 4 else ""}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answers)
+    Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/{{service}}?x=1"
+    reader = lambda: paging.Paging(spark, f"{tmp_path}/held", "gcp", ["S"], url, most=2, next="nextPageToken", **ASKED)
+    one, other = reader(), reader()
+    assert one.round() == ["S"] and one.positions() == {"S": (2, "t/2", None)}
+    late = other._state()
+    one.round()
+    monkeypatch.setattr(other, "_state", lambda: late)
+    with pytest.raises(paging.Moved):
+        other.round()
+    found = reader().read()
+    assert [(r.page, json.loads(r.body)["skus"]) for r in found.orderBy("page").collect()] == [(i, [i]) for i in range(5)]
+    server.shutdown()
+
+
+def test_an_engine_reads_pages_as_a_source(spark, tmp_path):
+    from pricewright.engine import Engine
+
+    for i, service in enumerate("AB"):
+        rows = [item(productName=f"P{service}{n}", meterName=f"m{n}", retailPrice=1.0 + n + i) for n in range(2)]
+        (tmp_path / f"'{service}'").write_text(json.dumps({"Items": rows, "NextPageLink": ""}))
+    engine = Engine(spark, f"{tmp_path}/engine")
+    made = lambda answers: azure.products(landed.azure_answers(answers))
+    source = lambda n, *names: paging.PagedSource("azure", paging.Paging(spark, f"{tmp_path}/pass{n}", "azure", names, f"file://{tmp_path}/{{service}}", **ASKED), made)
+    with_gone = source(1, "A", "B", "Gone")
+    assert engine.ingest(with_gone)[1:] == ("success", 0) and with_gone.failed_services() == 1
+    stored = engine.store.count()
+    assert stored > 0 and engine.ingest(source(2, "A", "B"))[1:] == ("success", 0) and engine.store.count() == stored
+
+
 ODD = {
     "offerCode": "products", "notes": [{"products": {"x": {"sku": "no"}}}, "}{", '{"products": {'], "products": {'A"{': {"sku": "A", "attributes": {"t": "a } in {a text}", "u": "\\"}}, "B": {}, "é}": {"sku": "é"}},
     "terms": {"FlatRate": {"A": {"A.1": {}}}, "OnDemand": {"A": {"A.1": {"priceDimensions": {"1": {"unit": "}"}}}}, "B": {}}, "Reserved": {}}, "products2": {"Z": {}},
