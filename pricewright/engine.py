@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 from datetime import UTC, datetime
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,6 +200,27 @@ class Engine:
         query.guard(f)
         return query.filter_prices(query.plan_products(self.store.read(query.keys_of(f)), f), prices)
 
+    def page(self, f: ProductFilter, prices: PriceFilter | None = None, late: Callable[[], bool] = lambda: False) -> list[Row]:
+        """The rows of ``products``, read range by range of hashes until the page is full, so that it reads no more where a
+        service has more buckets. Lookups by SKU or by an attribute's value find few rows, if any, and read all ranges at
+        once."""
+        query.guard(f)
+        limit, skip = query.effective_limit(f.limit), 0 if f.after_hash else max(0, f.offset)
+        narrow = f.sku is not None or any(a.value is not None for a in f.attribute_filters)
+        out: list[Row] = []
+        for rows in self.store.in_order(f.vendor_name, f.service, query.keys_of(f), f.after_hash, at_once=sys.maxsize if narrow else 1):
+            if late():
+                raise TimeoutError(LATE)
+            if skip and not narrow and (there := query.matching(rows, f).count()) <= skip:
+                skip -= there
+                continue
+            page = query.plan_products(rows, replace(f, limit=limit - len(out), offset=skip))
+            out += query.filter_prices(page, prices).collect()
+            skip = 0
+            if len(out) >= limit:
+                break
+        return out
+
     def answer(self, requests: list[tuple[ProductFilter, PriceFilter | None]], budget: Budget | None = None, seconds: float | None = None) -> list:
         """Rows of each request in turn, or the error that it ran into; all share a budget and ``seconds`` (by default those
         of the settings), after which the rest are errors and what has been found is still returned."""
@@ -212,7 +235,7 @@ class Engine:
                 try:
                     query.guard(f)
                     n = budget.reserve(f.limit)
-                    rows = query.filter_prices(query.plan_products(self.store.read(query.keys_of(f)), ProductFilter(**{**f.__dict__, "limit": n})), prices).collect()
+                    rows = self.page(replace(f, limit=n), prices, deadline.passed)
                     budget.refund(n, len(rows))
                     out.append(rows)
                 except (ValueError, BudgetSpent) as e:

@@ -256,6 +256,19 @@ def _(spark, d):
     return query.plan_products(held.read(), ProductFilter(vendor_name="aws", service="Brand#20", region="NATION_9")).select("product_hash", "sku", "region")
 
 
+@_add("store_page", f"{PRODUCTS} SELECT product_hash, sku, region FROM products_v WHERE {_IN} ORDER BY product_hash LIMIT 100 OFFSET 20")
+def _(spark, d):
+    """A page of the stored table, from the ranges of hashes that it needs."""
+    from pricewright.engine import Engine
+
+    path = _folder(spark, "page")
+    engine = Engine(spark, path)
+    engine.store = store.ProductStore(spark, f"{path}/products", buckets=16)
+    engine.seed(products_v(spark, d).select(*PRODUCT.fieldNames()))
+    rows = engine.page(ProductFilter(vendor_name="aws", service="Brand#20", limit=100, offset=20))
+    return spark.createDataFrame([(r.product_hash, r.sku, r.region) for r in rows], "product_hash string, sku string, region string")
+
+
 @_add("store_upsert", f"{_MERGE} SELECT product_hash, sku, usd, written FROM m")
 def _(spark, d):
     """A load into the stored table: what is new or dearer is written, the rest keeps its time."""

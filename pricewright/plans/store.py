@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from datetime import datetime, timedelta
 from functools import reduce
 
@@ -51,9 +51,13 @@ class Stale(RuntimeError):
     """Another writer has committed to buckets that this one has read."""
 
 
+def _bounds(buckets: int) -> list[str]:
+    return [format(i * 16**DIGITS // buckets, f"0{DIGITS}x") for i in range(1, buckets)]
+
+
 def bucket(buckets: int, key: str = "product_hash") -> Column:
     """The number of a hash's range; in the order of hashes, whatever their signs."""
-    bounds = [format(i * 16**DIGITS // buckets, f"0{DIGITS}x") for i in range(1, buckets)]
+    bounds = _bounds(buckets)
     return sum((F.col(key) >= b).cast("int") for b in bounds) if bounds else F.lit(0)
 
 
@@ -203,6 +207,18 @@ class ProductStore:
         state = self._state()[1]
         return self._rows(state, state["parts"], tuple(k for k in dict.fromkeys(keys) if k not in HOT_KEYS))
 
+    def in_order(self, vendor: str, service: str, keys: Iterable[str] = (), after: str | None = None, at_once: int = 1) -> Iterator[DataFrame]:
+        """The rows of a vendor's service in one version, cut by ranges of hashes in their order, from the range that
+        ``after`` falls into: ``at_once`` buckets, then as many as have been given before. Only what is asked for is read."""
+        state = self._state()[1]
+        first = sum(after >= b for b in _bounds(state["buckets"])) if after else 0
+        mine = sorted(p for p in state["parts"] if p[:2] == (vendor, service) and p[2] >= first)
+        own, step, given = tuple(k for k in dict.fromkeys(keys) if k not in HOT_KEYS), max(1, at_once), 0
+        while mine:
+            yield self._rows(state, mine[:step], own)
+            mine, given = mine[step:], given + step
+            step = given
+
     def _rows(self, state: dict, parts: Iterable[Part], keys: tuple[str, ...] = ()) -> DataFrame:
         held: dict[str, dict[str, dict[str, list[int]]]] = {}
         for vendor, service, b in sorted(parts):

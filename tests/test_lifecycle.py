@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricewright.engine import Budget, Engine
-from pricewright.model import BudgetSpent, PriceFilter, ProductFilter
+from pricewright.model import AttributeFilter, BudgetSpent, PriceFilter, ProductFilter
 from pricewright.plans import runs, store
 from pricewright.schema import PRICE_FIELDS, PRODUCT, RUN
 
@@ -249,13 +249,13 @@ def test_a_batch_has_one_deadline(spark, tmp_path, monkeypatch):
     assert [type(x) for x in engine.answer([(f, None)] * 2, seconds=0)] == [TimeoutError] * 2
     slow, calls = engine.store.read, []
 
-    def read(*keys):
+    def in_order(*asked, **more):
         calls.append(1)
         if len(calls) == 2:  # the second lookup outlasts the batch
-            return spark.range(4, numPartitions=1).mapInPandas(lambda it: (x for x in it if not __import__("time").sleep(30)), "id long").crossJoin(slow()).drop("id")
-        return slow()
+            return iter([spark.range(4, numPartitions=1).mapInPandas(lambda it: (x for x in it if not __import__("time").sleep(30)), "id long").crossJoin(slow()).drop("id")])
+        return iter([slow()])
 
-    monkeypatch.setattr(engine.store, "read", read)
+    monkeypatch.setattr(engine.store, "in_order", in_order)
     got = engine.answer([(f, None)] * 3, seconds=6)
     assert len(got[0]) == 2 and [type(x) for x in got[1:]] == [TimeoutError] * 2
     with pytest.raises(ValueError):
@@ -359,6 +359,47 @@ def test_an_upsert_writes_only_buckets_that_change(spark, tmp_path):
     assert all(a.hi < b.lo for a, b in zip(buckets, buckets[1:], strict=False))
 
 
+def paged(spark, path, n, buckets, monkeypatch):
+    """An engine over n products of a service, and the parts that it reads from now on."""
+    engine, read = Engine(spark, path, Clock()), []
+    engine.store = store.ProductStore(spark, f"{path}/products", buckets=buckets)
+    rows = [product(hashed(i), k=str(i % 7), **({"usagetype": "Global-x"} if i % 5 == 0 else {})) for i in range(n)]
+    engine.seed(spark.createDataFrame([*rows, product("0" * 32, vendor="gcp")], PRODUCT))
+    rows_of = engine.store._rows
+    monkeypatch.setattr(engine.store, "_rows", lambda state, parts, *more: (read.extend(parts), rows_of(state, parts, *more))[1])
+    return engine, read
+
+
+@pytest.mark.parametrize("buckets", [1, 16])
+def test_pages_by_ranges_are_those_of_the_whole(spark, tmp_path, monkeypatch, buckets):
+    engine, _ = paged(spark, str(tmp_path), 300, buckets, monkeypatch)
+    all_, key = sorted(hashed(i) for i in range(300)), AttributeFilter("k", "3")
+    asked = [{}, {"limit": 7}, {"limit": 40, "offset": 33}, {"limit": 5, "offset": 299}, {"offset": 300}, {"offset": -3, "limit": 2}, {"limit": 9, "after_hash": all_[150], "offset": 4}, {"after_hash": "~"}, {"after_hash": "", "limit": 3}, {"limit": 3, "offset": 100, "region": "us-east-1"}, {"limit": 4, "offset": 2, "attribute_filters": (key,)}, {"sku": f"sku-{all_[9]}"}, {"region": "none"}, {"product_family": "f", "limit": 60, "attribute_filters": (AttributeFilter("k", None, "/[12]/"),)}]
+    for more in asked:
+        f = ProductFilter("aws", "ec2", **more)
+        assert engine.page(f) == engine.products(f).collect(), more
+    prices = PriceFilter(unit="none")
+    assert engine.page(ProductFilter("aws", "ec2", limit=3), prices) == engine.products(ProductFilter("aws", "ec2", limit=3), prices).collect()
+    assert engine.page(ProductFilter("aws", "s3")) == [] and [r.vendor_name for r in engine.page(ProductFilter("gcp", "ec2"))] == ["gcp"]
+    walked, last = [], None
+    while page := engine.page(ProductFilter("aws", "ec2", limit=90, after_hash=last)):
+        walked, last = walked + [r.product_hash for r in page], page[-1].product_hash
+    assert walked == all_
+
+
+def test_a_page_reads_no_more_of_a_larger_table(spark, tmp_path, monkeypatch):
+    for n, buckets in ((160, 4), (640, 16)):
+        engine, read = paged(spark, f"{tmp_path}/{n}", n, buckets, monkeypatch)
+        all_ = sorted(hashed(i) for i in range(n))
+        assert [r.product_hash for r in engine.page(ProductFilter("aws", "ec2", limit=10))] == all_[:10] and read == [("aws", "ec2", 0)]
+        read.clear()
+        late = all_[-5]
+        assert [r.product_hash for r in engine.page(ProductFilter("aws", "ec2", limit=10, after_hash=late))] == all_[-4:] and {p[2] for p in read} == {buckets - 1}
+        read.clear()
+        engine.page(ProductFilter("aws", "ec2", sku="none"))
+        assert len(read) == buckets
+
+
 def test_stored_rows_are_not_exchanged(spark, tmp_path):
     target = store.ProductStore(spark, f"{tmp_path}/x")
     target.upsert(spark.createDataFrame([product(hashed(i)) for i in range(100)], PRODUCT), at(0))
