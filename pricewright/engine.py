@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import sys
 import threading
 import time
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 
 from pricewright.config import Settings
 from pricewright.model import BudgetSpent, PriceFilter, ProductFilter
-from pricewright.plans import query, runs, store
+from pricewright.plans import metrics, query, runs, store
 from pricewright.schema import PRODUCT
 from pricewright.sources import landed
 
@@ -92,6 +93,7 @@ class Engine:
         self.path = path
         self.ledger = runs.Ledger(spark, f"{path}/runs")
         self._seen = store.SeenSets(spark, f"{path}/seen")
+        self.metrics = metrics.Metrics(spark, f"{path}/metrics")
 
     @classmethod
     def of(cls, spark: SparkSession, settings: Settings) -> Engine:
@@ -122,6 +124,21 @@ class Engine:
 
     def ingest(self, source: Source, snapshots: bool | None = None) -> tuple[int, str, int]:
         """One run of a vendor: run id, status, deleted products. Skipped (id 0) if another holds its lock."""
+        try:
+            with self.metrics.timed("run", source.name) as event:
+                run_id, event.outcome, deleted = self._ingest(source, snapshots, event)
+                return run_id, event.outcome, deleted
+        finally:
+            self._write_metrics()
+
+    def _write_metrics(self) -> None:
+        """What has been done stays done if its metrics cannot be written: they are held until the next time."""
+        try:
+            self.metrics.flush()
+        except Exception:
+            logging.getLogger(__name__).exception("metrics are not written")
+
+    def _ingest(self, source: Source, snapshots: bool | None, event: metrics.Event) -> tuple[int, str, int]:
         began = self.clock()
         if not self.store.locked(source.name, began):
             return 0, "skipped", 0
@@ -135,7 +152,7 @@ class Engine:
                     for i, batch in enumerate(source.batches(self.spark)):
                         batch.select(*PRODUCT.fieldNames()).write.parquet(f"{staged}/batch={i}")  # a vendor's pages are asked for once
                         products = self.spark.read.schema(PRODUCT).parquet(f"{staged}/batch={i}")
-                        ingested += products.count()  # before repeats are dropped: the guards below rest on that
+                        event.rows = ingested = ingested + products.count()  # before repeats are dropped: the guards below rest on that
                         at = self.clock()
                         self.store.renew(source.name, at)
                         self._seen.mark(run_id, products)
@@ -229,23 +246,36 @@ class Engine:
         budget, out = budget or self.budget(), []
         with Deadline(self.spark, self.settings.query_seconds if seconds is None else seconds) as deadline:
             for f, prices in requests:
-                if deadline.passed():
-                    out.append(TimeoutError(LATE))
-                    continue
-                try:
-                    query.guard(f)
-                    n = budget.reserve(f.limit)
-                    rows = self.page(replace(f, limit=n), prices, deadline.passed)
-                    budget.refund(n, len(rows))
-                    out.append(rows)
-                except (ValueError, BudgetSpent) as e:
-                    out.append(e)
-                except Exception:
-                    if not deadline.passed():
-                        raise
-                    out.append(TimeoutError(LATE))
+                with self.metrics.timed("lookup", f.vendor_name, f.service) as event:
+                    out.append(found := self._answered(f, prices, budget, deadline))
+                    if isinstance(found, Exception):
+                        event.outcome, event.error = "error", str(found)
+                    else:
+                        event.outcome, event.rows = "ok" if found else "empty", len(found)
+        if self.metrics.full():
+            self._write_metrics()
         return out
 
+    def _answered(self, f: ProductFilter, prices: PriceFilter | None, budget: Budget, deadline: Deadline) -> list[Row] | Exception:
+        if deadline.passed():
+            return TimeoutError(LATE)
+        try:
+            query.guard(f)
+            n = budget.reserve(f.limit)
+            rows = self.page(replace(f, limit=n), prices, deadline.passed)
+            budget.refund(n, len(rows))
+            return rows
+        except (ValueError, BudgetSpent) as e:
+            return e
+        except Exception:
+            if not deadline.passed():
+                raise
+            return TimeoutError(LATE)
+
+    def gauges(self) -> DataFrame:
+        """vendor, products, last_finished: what is stored, and when a run last succeeded."""
+        return metrics.gauges(self.store.read(), runs.freshness(self.runs))
+
     def as_json(self, products: DataFrame) -> DataFrame:
         return query.as_json(products)
 

@@ -430,6 +430,20 @@ def _(spark, d):
     return engine.runs.select("id", "status", "products", "deleted", F.lit(engine.store.count()).cast("long").alias("stored"))
 
 
+@_add("run_metrics", """WITH c AS (SELECT CAST(count(*) AS BIGINT) AS n FROM part)
+SELECT 'run' AS kind, 'aws' AS vendor, 'success' AS outcome, CAST(1 AS BIGINT) AS n, n AS rows, n AS products FROM c UNION ALL SELECT 'run', 'aws', 'failed', 1, 0, n FROM c UNION ALL SELECT 'lookup', 'aws', 'ok', 1, least(n, 5000), n FROM c
+UNION ALL SELECT 'lookup', 'aws', 'empty', 2, 0, n FROM c UNION ALL SELECT 'lookup', 'aws', 'error', 1, 0, n FROM c""")
+def _(spark, d):
+    """A run over all parts, an empty one, and lookups of each outcome: the counters, and the products that are stored."""
+    from pricewright.engine import Engine
+
+    engine, products = Engine(spark, _folder(spark, "metrics")), _parts(spark, d)
+    engine.ingest(_Parts(products, "true"))
+    engine.ingest(_Parts(products))
+    engine.answer([(ProductFilter("aws", "s", region="none"), None), (ProductFilter("aws", "s", sku=""), None), (ProductFilter("aws"), None), (ProductFilter("aws", "s"), None)], seconds=600)
+    return engine.metrics.counters().select("kind", "vendor", "outcome", "n", "rows").join(engine.gauges().select("vendor", "products"), "vendor")
+
+
 @_add("stream_runs", _FIVE_RUNS)
 def _(spark, d):
     """The same five runs as a feed of files, some runs in more than one micro-batch."""

@@ -239,6 +239,78 @@ def test_services_of_digits_stay_text(spark, tmp_path):
     assert target.read().first().service == "007" and target.upsert(spark.createDataFrame([row], PRODUCT), F.lit(T0 + timedelta(days=1)).cast("timestamp")) == 1
 
 
+def test_metrics_are_rows(spark, tmp_path):
+    from pricewright.plans import metrics
+
+    held = metrics.Metrics(spark, f"{tmp_path}/m", lambda: T0, held=3)
+    assert held.counters().count() == 0 and not held.full()
+    held.flush()
+    assert not Path(f"{tmp_path}/m").exists()
+    with held.timed("lookup", "aws", "ec2") as event:
+        event.rows = 4
+    with pytest.raises(KeyError), held.timed("lookup", "aws", "ec2"):
+        raise KeyError("€" * 3000)
+    held.add("lookup", "aws", None, "ok", 2, metrics.BOUNDS[-1] + 1)
+    assert held.full() and held.read().count() == 3
+    held.flush()
+    other = metrics.Metrics(spark, f"{tmp_path}/m")
+    other.add("run", None, None, "failed", seconds=0.004)
+    found = {(r.kind, r.vendor, r.outcome): r for r in other.counters().collect()}
+    ok = found["lookup", "aws", "ok"]
+    assert (ok.n, ok.rows, ok.within[-1], len(ok.within)) == (2, 6, 1, 14) and found["run", None, "failed"].within == [0, 0, *[1] * 12]
+    error = other.read().where("outcome = 'error'").first()
+    assert error.at == T0 and 1990 < len(error.error.encode()) <= 2000 and not held.full()
+    held.add("run", "aws", None, "ok")
+    held.path = "none://none"
+    with pytest.raises(Exception):  # noqa: B017
+        held.flush()
+    assert len(held._rows) == 1
+
+
+def test_the_engine_counts_runs_and_lookups(spark, tmp_path):
+    class Broken:
+        name = "gcp"
+
+        def batches(self, spark):
+            yield spark.createDataFrame([product("g0", vendor="gcp")], PRODUCT)
+            raise OSError("gone")
+
+        def failed_services(self):
+            return 0
+
+    engine = Engine(spark, str(tmp_path), Clock())
+    engine.ingest(Fixed("aws", [product(f"h{i}") for i in range(3)]))
+    with pytest.raises(OSError):
+        engine.ingest(Broken())
+    assert engine.store.locked("azure") and Engine(spark, str(tmp_path), Clock()).ingest(Fixed("azure"))[1] == "skipped"
+    f = ProductFilter("aws", "ec2")
+    engine.answer([(f, None), (ProductFilter("aws", "s3"), None), (ProductFilter("aws"), None)])
+    engine.answer([(f, None)], seconds=0)
+    rows = {(r.kind, r.vendor, r.service, r.outcome, r.rows, r.error) for r in engine.metrics.read().collect()}
+    assert rows == {("run", "aws", None, "success", 3, None), ("run", "gcp", None, "error", 1, "gone"), ("run", "azure", None, "skipped", 0, None), ("lookup", "aws", "ec2", "ok", 3, None), ("lookup", "aws", "s3", "empty", 0, None), ("lookup", "aws", None, "error", 0, "vendorName and service are required"), ("lookup", "aws", "ec2", "error", 0, "query timeout exceeded")}
+    assert {(r.vendor, r.products, r.last_finished is None) for r in engine.gauges().collect()} == {("aws", 3, False), ("gcp", 1, True)}
+
+
+def test_micro_batches_are_counted(spark, tmp_path):
+    from pricewright.plans import metrics
+
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    held = metrics.Metrics(spark, f"{tmp_path}/m")
+    listener = metrics.Batches(held)
+    spark.streams.addListener(listener)
+    try:
+        files = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+        files.writeStream.queryName("counted").format("noop").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        for _ in range(100):
+            if held.read().where("outcome = 'ended'").count():
+                break
+            __import__("time").sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    found = {(r.service, r.outcome, r.rows) for r in held.read().collect()}
+    assert {("counted", "ok", 5), ("counted", "ended", 0)} <= found
+
+
 def test_a_batch_has_one_deadline(spark, tmp_path, monkeypatch):
     from pricewright import requests
     from pricewright.config import Settings

@@ -19,7 +19,7 @@ def database(data):
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("" if v is None or v != v else str(v) for v in r) for r in df.itertuples(index=False))
+    return sorted(tuple((False, "") if v is None or v != v else (True, str(v)) for v in r) for r in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(workload.queries()))
