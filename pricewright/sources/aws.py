@@ -10,14 +10,13 @@ from pyspark.sql import types as T
 
 from pricewright.functions.hashing import product_hash
 from pricewright.functions.numfmt import number, usd_text
-from pricewright.operators.prices import collected
 from pricewright.schema import PRICE_FIELDS
 from pricewright.sources.azure import with_price_hashes
 
 _S, _F = T.StringType(), T.StructField
 _MAP = T.MapType(_S, _S)
-_DIMENSION = T.StructType([_F("unit", _S), _F("pricePerUnit", _MAP), _F("beginRange", _S), _F("endRange", _S), _F("description", _S)])
-_TERM = T.MapType(_S, T.MapType(_S, T.StructType([_F("priceDimensions", T.MapType(_S, _DIMENSION)), _F("termAttributes", _MAP)])))
+_DIMENSION = T.StructType([_F("unit", _S), _F("pricePerUnit", T.StructType([_F("USD", _S), _F("CNY", _S)])), _F("beginRange", _S), _F("endRange", _S), _F("description", _S)])
+_TERM = T.MapType(_S, T.MapType(_S, T.StructType([_F("priceDimensions", T.MapType(_S, _DIMENSION)), _F("termAttributes", T.StructType([_F("LeaseContractLength", _S), _F("PurchaseOption", _S), _F("OfferingClass", _S)]))])))
 _LISTED = T.StructType([_F("sku", _S), _F("productFamily", _S), _F("attributes", _MAP)])
 OFFER = T.StructType([
     _F("products", T.MapType(_S, _LISTED)),
@@ -86,46 +85,53 @@ def normalized(attributes: Column, service: Column) -> Column:
     )
 
 
-def terms(per_sku: DataFrame, kind: str, rate: float = CNY_PER_USD) -> DataFrame:
-    """A row for each price dimension of the terms (service, sku, offers): service, sku and the fields of a price but its hash."""
+def terms(offers: Column, reserved: Column, rate: float = CNY_PER_USD) -> Column:
+    """The price dimensions of a product's offers on one kind of terms, as an array of prices without their hashes."""
     none = F.lit("")
-    per_offer = per_sku.select("service", "sku", F.explode("offers").alias("_o", "offer"))
-    flat = per_offer.select("service", "sku", F.col("offer.termAttributes").alias("_t"), F.explode("offer.priceDimensions").alias("_d", "d"))
-    reserved = kind == "Reserved"
-    if reserved:
-        flat = flat.where("coalesce(d.unit, '') <> 'Quantity'")
-    term = lambda k: F.coalesce(F.col("_t")[k], none) if reserved else none
-    fields = {
-        "purchaseOption": F.lit("reserved" if reserved else "on_demand"), "unit": F.coalesce("d.unit", none), "USD": dollars(F.col("d.pricePerUnit"), rate),
-        "startUsageAmount": F.coalesce("d.beginRange", none), "endUsageAmount": F.when(F.col("d.endRange") == "Inf", "").otherwise(F.coalesce("d.endRange", none)), "description": F.coalesce("d.description", none),
-        "termLength": term("LeaseContractLength"), "termPurchaseOption": term("PurchaseOption"), "termOfferingClass": term("OfferingClass"),
-    }
-    return flat.select("service", "sku", *(v.alias(k) for k, v in fields.items())).where("USD is not null")
+
+    def price(d: Column, attributes: Column) -> Column:
+        term = lambda k: F.when(reserved, F.coalesce(attributes[k], none)).otherwise(none)
+        fields = {
+            "purchaseOption": F.when(reserved, "reserved").otherwise("on_demand"), "unit": F.coalesce(d["unit"], none), "USD": dollars(d["pricePerUnit"], rate),
+            "startUsageAmount": F.coalesce(d["beginRange"], none), "endUsageAmount": F.when(d["endRange"] == "Inf", "").otherwise(F.coalesce(d["endRange"], none)), "description": F.coalesce(d["description"], none),
+            "termLength": term("LeaseContractLength"), "termPurchaseOption": term("PurchaseOption"), "termOfferingClass": term("OfferingClass"),
+        }
+        return F.struct(*(fields[f].alias(f) for f in PRICE_FIELDS if f != "priceHash"))
+
+    def of_offer(offer: Column) -> Column:
+        dimensions = F.filter(F.map_values(offer["priceDimensions"]), lambda d: ~reserved | (F.coalesce(d["unit"], none) != "Quantity"))
+        return F.coalesce(F.transform(dimensions, lambda d: price(d, offer["termAttributes"])), F.array())
+
+    return F.filter(F.flatten(F.transform(F.map_values(offers), of_offer)), lambda p: p["USD"].isNotNull())
 
 
 def products(offers: DataFrame, rate: float = CNY_PER_USD) -> DataFrame:
     """Products of offer files that are rows (the columns of OFFER and ``service``)."""
     listed = offers.select("service", F.explode("products").alias("sku", "p"))
-    return _products(listed, {k: offers.select("service", F.explode(f"terms.{k}").alias("sku", "offers")) for k in KINDS}, rate)
+    of_kind = lambda k: offers.select("service", F.explode(f"terms.{k}").alias("sku", "offers"), F.lit(k == "Reserved").alias("reserved"))
+    return _products(listed.unionByName(of_kind("OnDemand"), True).unionByName(of_kind("Reserved"), True), rate)
 
 
 def products_of(entries: DataFrame, rate: float = CNY_PER_USD) -> DataFrame:
     """Products of what offer files were cut into (the columns of ENTRY): the same, of files of any size."""
-    part = lambda kind, schema, name: entries.where(F.col("kind") == kind).select("service", "sku", F.from_json("value", schema).alias(name)).where(F.col(name).isNotNull())
-    return _products(part("products", _LISTED, "p"), {k: part(k, _TERM.valueType, "offers") for k in KINDS}, rate)
+    listed = F.col("kind") == "products"
+    read = lambda where, schema: F.from_json(F.when(where, F.col("value")), schema)
+    rows = entries.select("service", "sku", read(listed, _LISTED).alias("p"), read(F.col("kind").isin(*KINDS), _TERM.valueType).alias("offers"), (F.col("kind") == "Reserved").alias("reserved"))
+    return _products(rows, rate)
 
 
-def _products(listed: DataFrame, per_sku: dict[str, DataFrame], rate: float) -> DataFrame:
-    """Products of listed ones (service, sku, p) and their terms; those without a price stay out.
+def _products(rows: DataFrame, rate: float) -> DataFrame:
+    """Products of rows (service, sku, p, offers, reserved) that each list a product or hold its offers on one kind of terms;
+    those without a price stay out.
 
-    Prices stand in the order of all their fields: the files hold them in maps, which have none.
+    A product's prices meet as arrays, one for each row. They stand in the order of all their fields: the files hold them in
+    maps, which have none.
     """
-    listed = listed.select("service", "sku", F.coalesce("p.productFamily", F.lit("")).alias("family"), F.coalesce("p.attributes", F.create_map().cast("map<string,string>")).alias("raw"))
-    prices = terms(per_sku["OnDemand"], "OnDemand", rate).unionByName(terms(per_sku["Reserved"], "Reserved", rate))
-    fields = tuple(f for f in PRICE_FIELDS if f != "priceHash")
-    grouped = collected(prices, ["service", "sku"], [F.struct(*fields)], fields)
-    attributes = normalized(F.col("raw"), F.col("service"))
-    rows = listed.join(grouped, ["service", "sku"]).withColumn("attributes", attributes).withColumn("region", region(F.col("raw")))
+    priced = rows.select("service", "sku", "p", terms(F.col("offers"), F.col("reserved"), rate).alias("prices"))
+    grouped = priced.groupBy("service", "sku").agg(F.collect_list("p").alias("listed"), F.flatten(F.collect_list("prices")).alias("prices")).where("size(prices) > 0")
+    listed = grouped.select("service", "sku", "prices", F.explode("listed").alias("p"))
+    listed = listed.select("service", "sku", F.sort_array("prices").alias("prices"), F.coalesce("p.productFamily", F.lit("")).alias("family"), F.coalesce("p.attributes", F.create_map().cast("map<string,string>")).alias("raw"))
+    rows = listed.withColumn("attributes", normalized(F.col("raw"), F.col("service"))).withColumn("region", region(F.col("raw")))
     family = F.coalesce(F.try_element_at(literal_map(FAMILIES), F.col("family")), F.col("family"))
     family = F.when(family == "", F.coalesce(F.col("attributes")["productFamily"], F.lit(""))).otherwise(family)
     out = rows.select(product_hash(F.lit("aws"), F.col("region"), F.col("service"), F.col("sku")).alias("product_hash"), "sku", F.lit("aws").alias("vendor_name"), "region", "service", family.alias("product_family"), "attributes", "prices")
