@@ -4,8 +4,8 @@ A feed is a stream of rows (FEED): a product of a run, or the end of a run, whic
 product. A run is a vendor and the time at which it started; its products carry that time as ``updated_at``, so a batch
 that is repeated after a failure writes the same.
 
-The state is cut by ranges of product hashes, so no run is one group: each part of a run holds a list of the hashes it
-has seen and a count. At the end of the run, the parts give their hashes back and are cleared; a part whose run does not
+The state is cut by ranges of product hashes, so no run is one group: each part of a run holds the hashes it
+has seen, a list of them for each chunk of rows, and a count. At the end of the run, the parts give their hashes back and are cleared; a part whose run does not
 end within ``life`` is cleared, too, and its run has failed. Prices and attributes pass as text and are not looked into.
 """
 
@@ -29,8 +29,11 @@ from pricewright.schema import PRODUCT
 FEED = T.StructType([T.StructField("vendor", T.StringType()), T.StructField("started", T.TimestampType()), T.StructField("failed", T.IntegerType()), T.StructField("product", PRODUCT)])
 #: What comes out of the state: products as they came in, and of a run that is over its counts and its hashes, by parts.
 OUT = "kind string, vendor string, started long, product_hash string, payload string, ingested long, failed int"
-PARTS, HASHES = 64, 10_000
+PARTS = 64
+#: Stores that hold the state, at most: a run has no more parts than PARTS, and each store is opened in each micro-batch.
+STORES = 32
 LOST = "reaped: the feed did not end in time"
+_SHUFFLE = "spark.sql.shuffle.partitions"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -43,7 +46,7 @@ class Seen(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.hashes = handle.getListState("hashes", "product_hash string")
+        self.hashes = handle.getListState("hashes", "product_hash array<string>")
         self.count = handle.getValueState("count", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -55,7 +58,7 @@ class Seen(StatefulProcessor):
                 failed = max(int(ends.failed.max()), failed or 0)
             if len(here):
                 n += len(here)
-                self.hashes.appendList([(h,) for h in here.product_hash.unique()])
+                self.hashes.appendValue((here.product_hash.unique().tolist(),))
                 yield _rows("product", vendor, started, product_hash=here.product_hash.to_list(), payload=here.payload.to_list())
         known = self.count.get()[0] if self.count.exists() else None
         if failed is not None:
@@ -73,14 +76,8 @@ class Seen(StatefulProcessor):
 
     def _over(self, kind: str, vendor: str, started: int, n: int, failed: int) -> Iterator[pd.DataFrame]:
         yield _rows(kind, vendor, started, product_hash=[None], ingested=n, failed=failed)
-        held: list[str] = []
-        for (h,) in self.hashes.get() if self.hashes.exists() else ():
-            held.append(h)
-            if len(held) == HASHES:
-                yield _rows("seen", vendor, started, product_hash=held)
-                held = []
-        if held:
-            yield _rows("seen", vendor, started, product_hash=held)
+        for (held,) in self.hashes.get() if self.hashes.exists() else ():
+            yield _rows("seen", vendor, started, product_hash=list(held))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, tuple) else t)
         self.hashes.clear()
@@ -117,8 +114,9 @@ class Feed:
 
     def start(self, feed: DataFrame, once: bool = True) -> StreamingQuery:
         conf = feed.sparkSession.conf
-        before = {k: conf.get(k, None) for k in (_STORE, "spark.sql.streaming.noDataMicroBatches.enabled")}
+        before = {k: conf.get(k, None) for k in (_STORE, _SHUFFLE, "spark.sql.streaming.noDataMicroBatches.enabled")}
         conf.set(_STORE, _ROCKS)
+        conf.set(_SHUFFLE, str(min(int(conf.get(_SHUFFLE)), self.parts, STORES)))  # of the stream alone, which takes a copy
         if once:  # else the last batch would ask for another, for its timers, without end
             conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
         try:
