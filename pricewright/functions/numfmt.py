@@ -105,7 +105,8 @@ def usd_texts(lists: Column | str) -> Column:
 
 @F.pandas_udf(StringType())
 def general_text(x: pd.Series) -> pd.Series:
-    return x.map(general)
+    codes, values = pd.factorize(x, use_na_sentinel=False)  # few amounts, many rows
+    return pd.Series([general(v) for v in values], dtype=object).take(codes).reset_index(drop=True)
 
 
 @F.pandas_udf(StringType())

@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pricewright.functions.hashing import _digest, price_hash, product_hash
-from pricewright.functions.numfmt import general_text, usd_text
-from pricewright.operators.prices import collected, exact_rank, slot_coverage, tier_place, tier_rank
+from pricewright.functions.numfmt import general_text, number, usd_text
+from pricewright.operators.prices import TIER
 from pricewright.schema import PRICE_FIELDS
 
 #: A page of the API.
@@ -93,26 +93,38 @@ def products(rows: DataFrame) -> DataFrame:
     """Products of price rows (the columns of ITEM and ``ord``)."""
     texts = [f.name for f in ITEM.fields if isinstance(f.dataType, T.StringType)]
     rows = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in texts}).withColumn("authoritative", authoritative())
-    rows = rows.withColumn("name", product_name(F.col("productName"))).withColumn("region", F.explode(regions(F.col("armRegionName"), F.col("serviceName"))))
     vendor, start = F.lit("azure"), F.when(F.col("tierMinimumUnits") > 0, general_text("tierMinimumUnits")).otherwise("0")
-    rows = rows.withColumn("sku", _digest((F.lit("azure-sku"), F.col("name"), F.col("skuName"), F.col("meterName"))))
-    key = ["name", "skuName", "meterName", "region"]
-    rows = rows.withColumns({"purchaseOption": F.col("type"), "unit": F.col("unitOfMeasure"), "USD": usd_text("retailPrice"), "startUsageAmount": start, "endUsageAmount": F.lit(""), "description": F.col("meterName"), "termLength": F.col("reservationTerm"), "termPurchaseOption": F.lit(""), "termOfferingClass": F.lit("")})
-    # all of this is by product, so rows are exchanged once; virtual regions keep a tier's lowest price, others the first of equal prices
-    heads, order = ["serviceName", "serviceFamily", "armSkuName", "sku"], [F.col("ord")]
-    first = F.min(F.struct("ord", *heads)).over(Window.partitionBy(*key))
-    kept = slot_coverage(rows.withColumn("_head", first), key).withColumn("_virtual", is_virtual(F.col("region")))
-    kept = kept.withColumns({"_exact": exact_rank(key, order), "_tier": tier_rank(key, order), "_least": tier_place(key, order)})
-    kept = kept.where(F.when(F.col("_virtual"), F.col("_tier")).otherwise(F.col("_exact")) == 1)
-    place = F.when(F.col("_virtual"), F.col("_least")).otherwise(F.col("ord"))
-    fields = tuple(f for f in PRICE_FIELDS if f != "priceHash")
-    grouped = collected(kept, [*key, "_head"], [place], fields).select("*", *(F.col(f"_head.{c}").alias(c) for c in heads))
+    own = {"name": product_name(F.col("productName")), "purchaseOption": F.col("type"), "unit": F.col("unitOfMeasure"), "USD": usd_text("retailPrice"), "startUsageAmount": start, "termLength": F.col("reservationTerm")}
+    heads, key = ["serviceName", "serviceFamily", "armSkuName"], ["name", "skuName", "meterName", "region"]
+    rows = rows.select(*heads, *key[1:3], *(c.alias(n) for n, c in own.items()), "authoritative", "ord", regions(F.col("armRegionName"), F.col("serviceName")).alias("regions"))
+    rows = rows.select("*", F.explode("regions").alias("region")).drop("regions")  # what is said above is worked out once for all regions
+    # all of this is by product, so rows are exchanged and sorted once; virtual regions keep a tier's lowest price, others the first of equal prices
+    tier = [*key, *TIER]
+    slot, first = [*tier, "unit"], [F.desc("authoritative"), F.col("ord")]
+    exact = [*slot, "USD"]
+    over = lambda columns: Window.partitionBy(*columns)
+    rows = rows.repartition(*key).sortWithinPartitions(*exact, *first)
+    rows = rows.withColumn("_stays", F.col("authoritative") | ~F.max("authoritative").over(over(slot)))  # as slot_coverage; of equal prices, these come first
+    place = F.struct(F.coalesce(number(F.col("USD")), F.lit(0.0)).alias("usd"), "ord", "unit", "USD")
+    rows = rows.withColumn("_first", F.row_number().over(over(exact).orderBy(*first)) == 1).withColumn("_place", F.when(F.col("_stays"), place))
+    rows = rows.withColumns({"_least": F.min("_place").over(over(tier)), "_at": F.min(F.when(F.col("_stays"), F.col("ord"))).over(over(tier))})
+    virtual = is_virtual(F.col("region"))
+    kept = F.col("_stays") & F.col("_first") & (~virtual | (F.col("_place") == F.col("_least")))
+    price = F.struct(F.when(virtual, F.col("_at")).otherwise(F.col("ord")).alias("at"), "purchaseOption", "unit", "USD", "startUsageAmount", "termLength")
+    grouped = rows.groupBy(*key).agg(F.min(F.struct("ord", *heads)).alias("_head"), F.sort_array(F.collect_list(F.when(kept, price))).alias("prices"))
+
+    def whole(p: Column) -> Column:
+        given = {"description": F.col("meterName")} | {f: p[f] for f in ("purchaseOption", "unit", "USD", "startUsageAmount", "termLength")}
+        h = price_hash(F.col("product_hash"), given["purchaseOption"], given["unit"], given["startUsageAmount"], given["description"], given["termLength"])
+        return F.struct(h.alias("priceHash"), *(F.coalesce(given.get(f, F.lit("")), F.lit("")).alias(f) for f in PRICE_FIELDS[1:]))
+
+    grouped = grouped.select(*key, *(F.col(f"_head.{c}").alias(c) for c in heads), _digest((F.lit("azure-sku"), F.col("name"), F.col("skuName"), F.col("meterName"))).alias("sku"), "prices")
     hash_ = product_hash(vendor, F.col("region"), F.col("serviceName"), F.concat("sku", "region"))
     attributes = F.map_from_arrays(F.array(*map(F.lit, ("productName", "skuName", "meterName", "armSkuName", "serviceFamily"))), F.array("name", "skuName", "meterName", "armSkuName", "serviceFamily"))
     system = operating_system(F.col("serviceName"), F.col("name"))
     out = grouped.select(hash_.alias("product_hash"), "sku", vendor.alias("vendor_name"), "region", F.col("serviceName").alias("service"), F.col("serviceFamily").alias("product_family"),
-        F.when(system.isNotNull(), F.map_concat(attributes, F.create_map(F.lit("os"), system))).otherwise(attributes).alias("attributes"), "prices")
-    return with_price_hashes(out)
+        F.when(system.isNotNull(), F.map_concat(attributes, F.create_map(F.lit("os"), system))).otherwise(attributes).alias("attributes"), "prices", "meterName")
+    return out.withColumn("prices", F.transform("prices", whole)).drop("meterName")
 
 
 def with_price_hashes(products: DataFrame, start: str | None = None) -> DataFrame:

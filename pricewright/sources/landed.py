@@ -37,9 +37,10 @@ def azure_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def azure_answers(pages: DataFrame) -> DataFrame:
-    """Rows of what the data source ``pages`` has fetched; failed fetches have none."""
-    read = pages.where("body is not null").select("service", "page", F.from_json("body", azure.PAGE).alias("p"))
-    return azure.from_pages(read.select("service", "page", "p.Items"))
+    """Rows of what the data source ``pages`` has fetched; failed fetches have none. A page is parsed in a generator, so once:
+    as a column it would be parsed again by each condition on it."""
+    read = pages.where("body is not null").select("service", "page", F.explode(F.array(F.from_json("body", azure.PAGE)["Items"])).alias("Items"))
+    return azure.from_pages(read)
 
 
 def gcp_skus(spark: SparkSession, path: str) -> DataFrame:
